@@ -6,23 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillframe.llm.bpe import bpe_encode
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
 from rillframe.llm.simhash import simhash_components
+from rillframe.llm.toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The default vocabulary; it lies at one path on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(read_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="high")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), radius=2, width=3)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
 }
 
