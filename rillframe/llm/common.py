@@ -62,12 +62,24 @@ class Workspace:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+#: Rows and bytes of an Arrow batch: texts reach hundreds of kilobytes, so a batch of Spark's default
+#: 10,000 rows would fill a small executor several times over.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id bigint, text string); other columns are left out, so their names can't clash."""
+    """(doc_id bigint, text string) in small batches; other columns are left out, so their names can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

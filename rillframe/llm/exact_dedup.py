@@ -19,7 +19,7 @@ from rillframe.llm.common import row_binaries, texts_of
 from rillframe.llm.patricia import PatriciaTrie
 
 #: Bytes of edges that a task's trie holds before it spills a subtree (reducer) or sends its rows on (combiner).
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 32 << 20
 
 DIGEST_SCHEMA = "doc_id bigint, n_bytes bigint, digest binary"
 PART_SCHEMA = "n_bytes bigint, part bigint, body binary, low bigint, high bigint, n bigint"
