@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillframe.llm import mixing
 from rillframe.llm.bpe import bpe_encode
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
@@ -30,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="high")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
 }
@@ -52,6 +58,28 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents) WINDOW w AS (PARTITION BY body)""",
+    # the schedule is simulated slot by slot: the earliest deadline among the released blocks takes the slot
+    "op5_mixing": """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS w FROM documents GROUP BY 1),
+p AS (SELECT *, (1000 - count(*) OVER ()) AS spare, (sum(w) OVER ())::BIGINT AS all_w FROM c),
+q AS (SELECT *, spare * w // all_w AS part, spare * w % all_w AS rest FROM p),
+r AS (SELECT *, (spare - sum(part) OVER ())::BIGINT AS left_over, count(*) OVER () AS n_all,
+             row_number() OVER (ORDER BY rest DESC, source) AS place FROM q),
+src AS (SELECT source, 1 + part + left_over // n_all + CASE WHEN place <= left_over % n_all THEN 1 ELSE 0 END AS u,
+               row_number() OVER (ORDER BY source) AS i FROM r),
+us AS (SELECT list(u ORDER BY i) AS us FROM src),
+sim AS (
+  SELECT -1 AS t, list_transform(us, lambda x: 0::BIGINT) AS k, 0::BIGINT AS pick, us FROM us
+  UNION ALL
+  SELECT t + 1, list_transform(k, lambda v, j: CASE WHEN j = p THEN v + 1 ELSE v END), p, us
+  FROM (SELECT t, k, us, list_min(list_transform(list_filter(range(1, len(us) + 1), lambda j: k[j] * 1000 // us[j] <= t + 1),
+                                lambda j: ((k[j] + 1) * 1000 + us[j] - 1) // us[j] * 100000 + j)) % 100000 AS p
+        FROM sim WHERE t < 999)),
+slots AS (SELECT pick AS i, list(t ORDER BY t) AS slots FROM sim WHERE t >= 0 GROUP BY 1),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0-' || doc_id), doc_id) - 1 AS k FROM documents)
+SELECT doc_id, d.source, k // 16 AS block, (k % 16)::INTEGER AS place, k // 16 // u * 1000 + slots[k // 16 % u + 1] AS slot,
+       k // 16 * 1000 // u AS release, ((k // 16 + 1) * 1000 + u - 1) // u AS deadline
+FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source JOIN slots USING (i)""",
 }
 
 
