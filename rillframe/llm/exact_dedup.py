@@ -132,3 +132,14 @@ def exact_dedup(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that own their text, one of repeated rows, with all columns.
+
+    Decisions attach by identifier: an identifier that stands on rows of several texts
+    keeps them all if it owns one of them.  Rows without an identifier stay only where
+    no row of their group has one.
+    """
+    own = exact_dedup(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("rf_keep_id")).distinct()
+    return docs.join(own, docs[id_col].eqNullSafe(own["rf_keep_id"]), "left_semi").dropDuplicates([id_col, text_col])

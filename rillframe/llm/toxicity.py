@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import texts_of
+from rillframe.llm.common import small_batches, texts_of
 
 #: Labelled documents that a fit reads at most, chosen by a hash of doc_id.
 MAX_ROWS = 12_000
@@ -197,6 +197,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     """Whether crc32 of the id as text falls in the fold; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
