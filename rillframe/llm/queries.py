@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillframe.llm import mixing
 from rillframe.llm.bpe import bpe_encode
+from rillframe.llm.chat import conversation_digests, format_conversations
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
 from rillframe.llm.simhash import simhash_components
@@ -39,6 +40,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_conversations(turns.unionByName(extra), typed=False))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), radius=2, width=3)
 
@@ -48,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
 }
 
@@ -58,6 +67,15 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents) WINDOW w AS (PARTITION BY body)""",
+    "op7_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (SELECT *, length(regexp_replace(text, '(\\*)(###|</turn>|<\|)', '\1\1_\2', 'g')) AS escaped_chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(role) + 2 + escaped_chars + 9)::BIGINT AS formatted_chars, 0::BIGINT AS attached_tokens
+FROM e GROUP BY conv_id""",
     # the schedule is simulated slot by slot: the earliest deadline among the released blocks takes the slot
     "op5_mixing": """
 WITH RECURSIVE c AS (SELECT source, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS w FROM documents GROUP BY 1),
