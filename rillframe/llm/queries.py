@@ -11,6 +11,7 @@ from rillframe.llm.bpe import bpe_encode
 from rillframe.llm.chat import conversation_digests, format_conversations
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
+from rillframe.llm.pii import pseudonymise
 from rillframe.llm.simhash import simhash_components
 from rillframe.llm.toxicity import classify
 
@@ -28,6 +29,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+#: The key of the registered query; a production run passes its own secret.
+PII_KEY = "rillframe example key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="high")
 
@@ -53,6 +62,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
