@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillframe.llm import mixing
 from rillframe.llm.ann import nearest
@@ -12,6 +13,7 @@ from rillframe.llm.bpe import bpe_encode
 from rillframe.llm.chat import conversation_digests, format_conversations
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
+from rillframe.llm.hpylm import language_scores
 from rillframe.llm.pii import pseudonymise
 from rillframe.llm.simhash import simhash_components
 from rillframe.llm.toxicity import classify
@@ -65,6 +67,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), radius=2, width=3)
 
 
+def op10_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(read_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
+    "op10_hpylm": op10_hpylm,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
