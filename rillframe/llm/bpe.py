@@ -10,18 +10,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import row_binaries, texts_of
+from rillframe.llm.common import Workspace, texts_of
 
 #: Words of the lexicon at most: bounds the driver's work and the broadcast file (about 3 MB).
 LEXICON_WORDS = 50_000
-#: Cached words of a task, dropped together when full.
+#: Cached words of a worker process, dropped together when full (about 80 MB).
 CACHE_WORDS = 400_000
 
 #: Fixed value: the pre-tokenizer's pattern; White_Space is spelt out because \s means more to Python.
@@ -185,10 +184,14 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         self.cache: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache but for the special strings; the pattern cuts those up, so no word is one."""
+        self.cache.clear()
+        self.cache.update({s: int(i).to_bytes(4, "little") for s, i in self.vocab.special.items()})
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         names = list(words)
         raw = [w.encode() for w in names]
         ranks = self.lexicon.find(raw).tolist()
@@ -213,57 +216,84 @@ class Encoder:
 
     def _run(self, texts: list[str]) -> Iterator[bytes]:
         pieces = [self._pieces(t) for t in texts]
-        new = set()
+        new: set[str] = set()
         for words in pieces:
-            new.update(w for w in words if type(w) is str)
+            new.update(words)
         unknown = new - self.cache.keys()
+        if unknown and len(self.cache) + len(unknown) > CACHE_WORDS:
+            self._forget()
+            unknown = new - self.cache.keys()
         if unknown:
-            if len(self.cache) + len(unknown) > CACHE_WORDS:
-                unknown = new
             self.learn(unknown)
         get = self.cache.__getitem__
         for words in pieces:
-            yield b"".join([w if type(w) is bytes else get(w) for w in words]) if self._mixed else b"".join(map(get, words))
-
-    _mixed = False
+            yield b"".join(map(get, words))
 
-    def _pieces(self, text: str) -> list:
-        special = self.specials
-        if special is None or not any(s in text for s in self.vocab.special):
+    def _pieces(self, text: str) -> list[str]:
+        if self.specials is None or not any(s in text for s in self.vocab.special):
             return self.split(text)
-        self._mixed = True
-        out: list = []
-        for part in special.split(text):
-            if part in self.vocab.special:
-                out.append(int(self.vocab.special[part]).to_bytes(4, "little"))
-            else:
-                out += self.split(part)
+        out: list[str] = []
+        for part in self.specials.split(text):
+            out += [part] if part in self.vocab.special else self.split(part)
         return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, lexicon: bytes) -> Encoder:
+    """The process's encoder for this vocabulary and lexicon: its cache outlives a task."""
+    key = (path, hashlib.sha256(lexicon).digest())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, lexicon)
+    return _encoders[key]
+
+
+#: Bytes of text that are counted together.
+COUNT_BYTES = 12 << 20
+
+
 def _count(batches) -> Iterator:
-    """Words of letters only, as they stand between spaces, with counts: one row a task and word."""
+    """Words of letters only, as they stand after a space, with counts: one row a word and run of texts."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def rows(counts: Counter):
-        keep = [(w, n) for w, n in counts.items() if w.isalpha()]
-        return pa.record_batch([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
+    def rows(texts: list):
+        words = pc.split_pattern(pa.chunked_array(texts, pa.string()).combine_chunks(), " ")
+        words = pc.list_slice(words, 1).flatten()
+        counts = pc.value_counts(words.filter(pc.utf8_is_alpha(words)))
+        return pa.record_batch([counts.field(0), counts.field(1)], names=["word", "n"])
 
-    counts: Counter = Counter()
+    held, size = [], 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                counts.update(text.split(" ")[1:])
-        if len(counts) > CACHE_WORDS:
-            yield rows(counts)
-            counts.clear()
-    yield rows(counts)
+        held.append(batch.column(0).drop_null())
+        size += held[-1].nbytes
+        if size > COUNT_BYTES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The corpus's most frequent space-led words, counted over every text; ties by code point."""
-    counted = docs.select("text").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The corpus's most frequent space-led words, counted over every text; ties by code point.
+
+    A histogram of the logarithms of the counts finds the level from which about
+    ``most`` words are left, so no task sends its own list of candidates.
+    """
+    ws = Workspace(docs.sparkSession, "lexicon")
+    counted = ws.keep(docs.select("text").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    at, left = 0, most
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1,024 levels
+        at, left = r["level"], left - r["count"]
+        if left <= 0:
+            break
+    if left <= -most:  # a level with very many words of one rare count: the rarest words gain nothing
+        at += 1
+    rows = counted.where(level >= at).collect()
+    return [w for _, w in sorted((-r["n"], r["word"]) for r in rows)][:most]
 
 
 def build_lexicon(words: list[str], path: str) -> bytes:
@@ -278,7 +308,7 @@ def _tasks(path: str, lexicon, digests: bool):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(path, lexicon.value)
+        encoder = encoder_of(path, lexicon.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             ids = list(encoder.encode([t or "" for t in batch.column(1).to_pylist()]))
