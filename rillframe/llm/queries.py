@@ -14,6 +14,7 @@ from rillframe.llm.chat import conversation_digests, format_conversations
 from rillframe.llm.common import read_table
 from rillframe.llm.exact_dedup import exact_dedup
 from rillframe.llm.hpylm import language_scores
+from rillframe.llm.line_dedup import line_dedup
 from rillframe.llm.pii import pseudonymise
 from rillframe.llm.simhash import simhash_components
 from rillframe.llm.toxicity import classify
@@ -67,6 +68,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), radius=2, width=3)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(read_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_hpylm": op10_hpylm,
 }
 
