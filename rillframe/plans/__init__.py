@@ -1,5 +1,5 @@
 """Query plans over the star-schema tables, one module per operator family."""
 
-from rillframe.plans import coverage
+from rillframe.plans import coverage, registry
 
-MODULES = (coverage,)
+MODULES = (coverage, registry)
