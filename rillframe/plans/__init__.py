@@ -1,5 +1,5 @@
 """Query plans over the star-schema tables, one module per operator family."""
 
-from rillframe.plans import coverage, registry
+from rillframe.plans import coverage, grid, registry, spatial
 
-MODULES = (coverage, registry)
+MODULES = (coverage, registry, spatial, grid)
