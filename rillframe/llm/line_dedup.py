@@ -14,7 +14,9 @@ separate tasks.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,31 +58,40 @@ def windows(n: int, other: int, tau: int = TAU) -> Iterator[tuple[int, int, int,
             yield i, size, low, high
 
 
-def _key(n: int, i: int, piece: str) -> int:
+def _seed(n: int, i: int) -> int:
+    return n * 16 + i
+
+
+@lru_cache(maxsize=1 << 14)
+def _pieces(n: int, tau: int) -> tuple[tuple[tuple[int, int, int], ...], ...]:
+    """(seed, first, stop) of the index pieces and of the probe pieces of a line of n characters."""
+    index = tuple((_seed(n, i), at, at + size) for i, (at, size) in enumerate(segments(n, tau + 1)))
+    probe = tuple((_seed(other, i), at, at + size) for other in range(max(n - tau, tau + 1), n + 1)
+                  for i, size, low, high in windows(n, other, tau) for at in range(low, high + 1))
+    return index, probe
+
+
+def _key(seed: int, piece: bytes) -> int:
     from xxhash import xxh64_intdigest
 
-    x = xxh64_intdigest(piece, seed=n * 16 + i)
-    return x - (1 << 64) if x >> 63 else x
+    return xxh64_intdigest(piece, seed)
 
 
-def keys_of(line: str, tau: int = TAU) -> tuple[set[int], set[int]]:
-    """Index keys and probe keys of a line."""
-    n = len(line)
-    index = {_key(n, i, line[at:at + size]) for i, (at, size) in enumerate(segments(n, tau + 1))}
-    probe = set()
-    for other in range(max(n - tau, tau + 1), n + 1):
-        for i, size, low, high in windows(n, other, tau):
-            probe.update([_key(other, i, line[at:at + size]) for at in range(low, high + 1)])
-    return index, probe
+def keys_of(line: str, tau: int = TAU) -> tuple[list[int], list[int]]:
+    """Index keys and probe keys of a line, unsigned."""
+    if line.isascii():
+        view = memoryview(line.encode())
+        return tuple([_key(seed, view[a:b]) for seed, a, b in part] for part in _pieces(len(line), tau))
+    return tuple([_key(seed, line[a:b].encode()) for seed, a, b in part] for part in _pieces(len(line), tau))
 
 
 def first_key(indexed: str, probing: str, tau: int = TAU) -> int | None:
-    """The first key under which the probing line finds the indexed one."""
+    """The first key under which the probing line finds the indexed one, unsigned."""
     cut = segments(len(indexed), tau + 1)
     for i, size, low, high in windows(len(probing), len(indexed), tau):
         piece = indexed[cut[i][0]:cut[i][0] + size]
         if any(probing.startswith(piece, at) for at in range(low, high + 1)):
-            return _key(len(indexed), i, piece)
+            return _key(_seed(len(indexed), i), piece.encode())
     return None
 
 
@@ -150,11 +161,55 @@ def _banded(a: str, b: str, most: int) -> bool:
 
 # --- tasks ------------------------------------------------------------------
 
+def digest_of(line: str) -> bytes:
+    """Sixteen bytes that stand for a line."""
+    return hashlib.blake2b(line.encode(), digest_size=16).digest()
+
+
+def _short(digest: bytes) -> int:
+    """62 bits of a digest.  Two lines of one value only cost a comparison: links are decided on texts."""
+    return int.from_bytes(digest[:8], "little") >> 2
+
+
+def _blank(line: str) -> bool:
+    return not line.strip()
+
+
+def _new_lines(batches, least: int) -> Iterator[tuple[bytes, str]]:
+    """Lines of at least that many characters, each once a task as far as a bounded memory reaches."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            for line in (text or "").split("\n"):
+                if len(line) < least or _blank(line):
+                    continue
+                digest = digest_of(line)
+                if digest not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(digest)
+                    yield digest, line
+
+
+def _occurrences(batches) -> Iterator:
+    """(doc_id, pos, digest) of every line; blank lines have no digest."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, pos, digests = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = (text or "").split("\n")
+            ids += [doc_id] * len(lines)
+            pos += range(len(lines))
+            digests += [None if _blank(x) else digest_of(x) for x in lines]
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "pos", "digest"])
+
+
 ENTRIES = "bucket bigint, keys binary, lines binary"
 
 
 def _entries(tau: int, buckets: int):
-    """(lid, line) to index and probe entries, a row a bucket; ``lines`` holds lid * 2 + (1 for a probe).
+    """Texts to index and probe entries, a row a bucket; ``lines`` holds 62 bits of the line and 1 for a probe.
 
     Of a key that a task sees very often the first index and probe entries go to the
     bucket and the rest are named at once, in bucket -1, so that no bucket has to hold
@@ -164,7 +219,7 @@ def _entries(tau: int, buckets: int):
     def flush(keys: list, lines: list):
         import pyarrow as pa
 
-        k, v = np.array(keys, np.int64), np.array(lines, np.int64)
+        k, v = np.array(keys, np.uint64).view(np.int64), np.array(lines, np.int64)
         order = np.lexsort((v, v & 1, k))
         k, v = k[order], v[order]
         new = np.append(True, (k[1:] != k[:-1]) | ((v[1:] ^ v[:-1]) & 1 > 0))[: len(k)]
@@ -181,14 +236,14 @@ def _entries(tau: int, buckets: int):
     def run(batches) -> Iterator:
         keys: list[int] = []
         lines: list[int] = []
-        for batch in batches:
-            for lid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                index, probe = keys_of(line, tau)
-                keys += index
-                lines += [lid * 2] * len(index)
-                keys += probe
-                lines += [lid * 2 + 1] * len(probe)
-            if len(keys) > 1_500_000:
+        for digest, line in _new_lines(batches, PER_EDIT):
+            index, probe = keys_of(line, tau)
+            short = _short(digest) * 2
+            keys += index
+            lines += [short] * len(index)
+            keys += probe
+            lines += [short + 1] * len(probe)
+            if len(keys) > 1_000_000:
                 yield flush(keys, lines)
                 keys, lines = [], []
         if keys:
@@ -204,7 +259,7 @@ def _meetings(batches) -> Iterator:
     held: dict[int, tuple[list, list]] = {}
 
     def rows(k, v):
-        return pa.record_batch([pa.array(k), pa.array(v >> 1), pa.array((v & 1).astype(bool))], names=["key", "lid", "probe"])
+        return pa.record_batch([pa.array(k), pa.array(v >> 1), pa.array((v & 1).astype(bool))], names=["key", "short", "probe"])
 
     for batch in batches:
         raw = [row_binaries(batch.column(i)) for i in (1, 2)]
@@ -221,7 +276,9 @@ def _meetings(batches) -> Iterator:
         k, v = np.concatenate(ks), np.concatenate(vs)
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
-        start = np.nonzero(np.diff(k, prepend=k[:1] - 1))[0]
+        new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))  # a line comes from every task that has it
+        k, v = k[new], v[new]
+        start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
         size = np.diff(np.append(start, len(k)))
         probes = np.add.reduceat(v & 1, start)
         # a line always meets itself: two lines at least are needed, one of them indexed and another probing
@@ -233,6 +290,60 @@ def _meetings(batches) -> Iterator:
             yield rows(k[keep], v[keep])
 
 
+def _bits(short: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a value in a filter of ``size`` bits, a power of two."""
+    return short & (size - 1), (short >> 31) & (size - 1)
+
+
+def _mark(size: int):
+    """Short values to one filter a task."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False), size):
+                bits[at] = True
+        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+#: Bits of the filter at most (8 MB); beyond it more texts travel, the result is the same.
+FILTER_BITS = 1 << 26
+
+
+def _fetch(filter_bits):
+    """(digest, short, line) of the lines that pass the filter."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        marks = filter_bits.value
+        size = len(marks) * 8
+        held: list[tuple] = []
+        grown = 0
+
+        def rows():
+            kinds = (pa.binary(), pa.int64(), pa.string())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["digest", "short", "line"])
+
+        for digest, line in _new_lines(batches, PER_EDIT):
+            short = _short(digest)
+            a, b = short & (size - 1), (short >> 31) & (size - 1)
+            if marks[a >> 3] >> (a & 7) & 1 and marks[b >> 3] >> (b & 7) & 1:
+                held.append((digest, short, line))
+                grown += len(line) + 64
+                if grown > 4 << 20:
+                    yield rows()
+                    held, grown = [], 0
+        if held:
+            yield rows()
+
+    return run
+
+
 PARITY = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
 
 
@@ -241,6 +352,7 @@ def _parity(line: str) -> int:
     return int(np.bitwise_xor.reduce(PARITY[np.frombuffer(line.encode("utf-32-le"), "<u4") & 63])) if line else 0
 
 
+MASK = (1 << 64) - 1
 BLOCKS = "key bigint, block bigint, rows array<struct<lid:bigint,probe:boolean,line:string>>"
 FOUND = "a bigint, b bigint, n bigint"
 
@@ -279,7 +391,7 @@ def _compare(tau: int):
                     if half:
                         good &= side[asks] != side[i]
                     for j in asks[good].tolist():
-                        if first_key(lines[i], lines[j], tau) == key and within(lines[i], lines[j], allowed(len(lines[i]), tau)):
+                        if first_key(lines[i], lines[j], tau) == key & MASK and within(lines[i], lines[j], allowed(len(lines[i]), tau)):
                             links[lids[i]] = links.get(lids[i], 0) + 1
                             links[lids[j]] = links.get(lids[j], 0) + 1
                             if forest.join(spot[i], spot[j]):
@@ -293,37 +405,38 @@ def _compare(tau: int):
 # --- operator ---------------------------------------------------------------
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, line) of every line of every text; a null text is one empty line."""
-    rows = texts_of(docs, id_col, text_col)
-    return rows.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-
-
 def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, blank, owner_doc, owner_pos, n_links) of every line.
 
     Lines are in one class when they are equal or joined by links of at most ``tau``
     edits (fewer for short lines: one for each ``PER_EDIT`` characters of the shorter).
     The owner is the class's first occurrence by (doc_id, pos), null ids last; n_links
-    counts the different lines that link to this one.  Blank lines are in no class.
+    counts the different lines that link to this one.  Blank lines are in no class.  A
+    null text is one empty line.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
-    lines = occurrences(docs, id_col, text_col)
-    blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
-    digest = F.unhex(F.left(F.sha2("line", 256), F.lit(32)))
+    texts = texts_of(docs, id_col, text_col)
+    lines = ws.keep(texts.mapInArrow(_occurrences, "doc_id bigint, pos int, digest binary"), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "pos")
-    different = ws.keep(
-        lines.where(~blank).groupBy(digest.alias("digest")).agg(F.min(place).alias("owner"), F.first("line").alias("line"))
-        .select(F.monotonically_increasing_id().alias("lid"), "digest", "owner", "line"), "different")
-    fuzzy = different.where(F.char_length("line") >= PER_EDIT).select("lid", "line")
-    buckets = max(8, fuzzy.count() * 15 // BUCKET)
-    entries = fuzzy.mapInArrow(_entries(tau, buckets), ENTRIES)
-    # which entries meet, still without texts; then the texts of those alone
-    live = ws.keep(entries.repartition("bucket").mapInArrow(_meetings, "key bigint, lid bigint, probe boolean").distinct(), "live")
+    owners = lines.where("digest is not null").groupBy("digest").agg(F.min(place).alias("owner"))
+
+    # which lines meet under a key, without texts; then the texts of those alone
+    buckets = max(8, lines.count() * 15 // BUCKET)
+    live = ws.keep(texts.mapInArrow(_entries(tau, buckets), ENTRIES).repartition("bucket").mapInArrow(_meetings, "key bigint, short bigint, probe boolean").distinct(), "live")
+    size = 1 << 14
+    while size < min(FILTER_BITS, 8 * live.count()):
+        size *= 2
+    marks = np.zeros(size // 8, np.uint8)
+    for r in live.select("short").distinct().mapInArrow(_mark(size), "bits binary").toLocalIterator():
+        marks |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    fetched = texts.mapInArrow(_fetch(spark.sparkContext.broadcast(marks.tobytes())), "digest binary, short bigint, line string")
+    some = ws.keep(fetched.join(live.select("short").distinct(), "short", "left_semi").dropDuplicates(["digest"])
+                   .select(F.monotonically_increasing_id().alias("lid"), "digest", "short", "line"), "some")
+
     cuts = live.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cut"))
     blocks = ws.keep(
-        live.join(cuts, "key").join(fuzzy, "lid").groupBy("key", F.pmod(F.xxhash64("lid"), "cut").alias("block"), "cut")
+        live.join(cuts, "key").join(some.select("lid", "short", "line"), "short").groupBy("key", F.pmod(F.xxhash64("lid"), "cut").alias("block"), "cut")
         .agg(F.sort_array(F.collect_list(F.struct("lid", "probe", "line"))).alias("rows")), "blocks")
     none = F.lit(None).cast("array<struct<lid:bigint,probe:boolean,line:string>>")
     cut_up = blocks.where("cut > 1").select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2"))
@@ -331,17 +444,14 @@ def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
         blocks.where("cut > 1").join(cut_up, "key").where("block < block2").select("key", "rows", "rows2"))
     found = ws.keep(pairs.mapInArrow(_compare(tau), FOUND), "found")
     comp = connected_components(found.where("b is not null").select("a", "b"), ws)
-    counted = found.where("n is not null").groupBy(F.col("a").alias("lid")).agg(F.sum("n").alias("n_links"))
-    owned = comp.join(different.select(F.col("lid").alias("node"), "owner"), "node").groupBy("component").agg(F.min("owner").alias("first"))
-    near = comp.join(owned, "component").select(F.col("node").alias("lid"), "first").join(counted, "lid", "left")
-    classes = different.select("lid", "digest", "owner").join(near, "lid", "left").select(
-        "digest", F.coalesce("first", "owner").alias("owner"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    marked = lines.select("doc_id", "pos", blank.alias("blank"), F.when(~blank, digest).alias("digest"))
-    full = marked.where(~F.col("blank")).join(classes, "digest").select(
-        "doc_id", "pos", "blank", F.col("owner.doc_id").alias("owner_doc"), F.col("owner.pos").alias("owner_pos"), "n_links")
-    empty = marked.where("blank").select("doc_id", "pos", "blank", F.lit(None).cast("bigint").alias("owner_doc"), F.lit(None).cast("int").alias("owner_pos"),
-                                         F.lit(0).cast("bigint").alias("n_links"))
-    return full.unionByName(empty)
+    counted = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    members = comp.join(some.select(F.col("lid").alias("node"), "digest"), "node").join(owners, "digest")
+    firsts = members.groupBy("component").agg(F.min("owner").alias("first"))
+    near = members.select("node", "digest", "component").join(firsts, "component").join(counted, "node", "left").select("digest", "first", "n_links")
+    classes = owners.join(near, "digest", "left").select("digest", F.coalesce("first", "owner").alias("owner"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return lines.join(classes, "digest", "left").select(
+        "doc_id", "pos", F.col("digest").isNull().alias("blank"), F.col("owner.doc_id").alias("owner_doc"), F.col("owner.pos").alias("owner_pos"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _kept():
