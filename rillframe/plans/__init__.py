@@ -1,5 +1,5 @@
 """Query plans over the star-schema tables, one module per operator family."""
 
-from rillframe.plans import coverage, grid, registry, spatial
+from rillframe.plans import coverage, grid, kernel, registry, spatial
 
-MODULES = (coverage, registry, spatial, grid)
+MODULES = (coverage, registry, spatial, grid, kernel)
