@@ -180,7 +180,7 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, strength: float, discount: float, stirling: np.ndarray,
-                  rng: np.random.Generator, groups: int = 4) -> np.ndarray:
+                  rng: np.random.Generator, groups: int = 2) -> np.ndarray:
     """One Gibbs sweep over a restaurant's dishes: new table counts given customers ``c`` and parent ``base``.
 
     Dishes are updated in ``groups`` turns; within a turn the other dishes of the group
@@ -193,26 +193,46 @@ def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, strength: floa
         small, large = own[c[own] <= EXACT], own[c[own] > EXACT]
         if len(small):
             rest = (t.sum() - t[small]).astype(float)
-            tables = np.arange(EXACT)
-            opened = np.cumsum(np.log(strength + discount * (rest[:, None] + tables)), axis=1)
-            logit = stirling[c[small]][:, 1:] + opened + (tables + 1) * np.log(base[small])[:, None]
-            t[small] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
+            for some, wide in _by_width(c[small]):
+                tables = np.arange(wide)
+                opened = np.cumsum(np.log(strength + discount * (rest[some, None] + tables)), axis=1)
+                logit = stirling[c[small[some]]][:, 1:wide + 1] + opened + (tables + 1) * np.log(base[small[some]])[:, None]
+                t[small[some]] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
         if len(large):
             t[large] = _reseat(c[large], base[large], t.sum() - t[large].sum(), strength, discount, rng)
     return t
 
 
+def _by_width(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Places of counts up to EXACT with the number of columns they need: most dishes have few customers."""
+    low, wide = 1, 2
+    while low < EXACT:
+        some = np.nonzero((c > low) & (c <= wide))[0]
+        if len(some):
+            yield some, wide
+        low, wide = wide, wide * 2
+
+
 def _reseat(c: np.ndarray, base: np.ndarray, others: float, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Seat the customers of large dishes again: one by one at first, then in blocks of a twentieth."""
+    """Seat the customers of large dishes again: one by one at first, then in blocks of an eighth of those seated."""
+    order = np.argsort(-c, kind="stable")
+    most, p = c[order].astype(float), base[order]
     t, seated = np.ones(len(c)), np.ones(len(c))
+    left = len(c)
     while True:
-        block = np.minimum(np.maximum(1, seated // 20), c - seated)
-        if not block.any():
-            return t.astype(np.int64)
-        new = (strength + discount * (others + t.sum())) * base
-        chance = new / (new + np.maximum(seated - discount * t, 1e-12))
-        t += rng.binomial(block.astype(np.int64), np.clip(chance, 0, 1))
-        seated += block
+        # dishes are sorted by size: those that still have customers waiting come first
+        left = int(np.searchsorted(-(most[:left] - seated[:left] > 0).astype(int), 0))
+        if not left:
+            break
+        x, k = seated[:left], t[:left]
+        block = np.minimum(np.maximum(1.0, x // 8), most[:left] - x)
+        new = (strength + discount * (others + t.sum())) * p[:left]
+        chance = new / (new + np.maximum(x - discount * k, 1e-12))
+        k += rng.binomial(block.astype(np.int64), np.minimum(chance, 1.0))
+        x += block
+    out = np.empty(len(c), np.int64)
+    out[order] = t
+    return out
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -495,8 +515,8 @@ def language_scores(docs: DataFrame, held_out: Column, menu_words: int = MENU, s
     chosen = spark.createDataFrame([(int(x),) for x in menu.hashes], "h bigint")  # menu_words rows
     rare = words.join(F.broadcast(chosen), "h", "left_anti")
     kinds = rare.groupBy("cls", F.col("c").alias("n")).agg(F.count("*").alias("words"))
-    inner = ws.keep(kinds.repartition("cls").sortWithinPartitions("cls", "n").mapInArrow(
-        _classes(discount_of(all_["once"], all_["twice"]), 17, burn + 2 * samples), RARE), "classes")
+    inner = ws.keep(kinds.repartition(64, "cls").sortWithinPartitions("cls", "n").mapInArrow(
+        _classes(discount_of(all_["once"], all_["twice"]), 17, burn + samples), RARE), "classes")
     unseen = {r["cls"]: r["logp"] for r in inner.where("n = 0").collect()}  # a row a class
     priced = ws.keep(rare.join(inner.select("cls", F.col("n").alias("c"), "logp"), ["cls", "c"]).unionByName(
         words.join(F.broadcast(chosen), "h", "left_semi").withColumn("logp", F.lit(0.0))).unionByName(
