@@ -212,7 +212,7 @@ def _entries(tau: int, buckets: int):
     """Texts to index and probe entries, a row a bucket; ``lines`` holds 62 bits of the line and 1 for a probe.
 
     Of a key that a task sees very often the first index and probe entries go to the
-    bucket and the rest are named at once, in bucket -1, so that no bucket has to hold
+    bucket and the rest are named at once, in a bucket below 0, so that no bucket has to hold
     them.  A line probes its own segments too, so those first entries already meet.
     """
 
@@ -230,7 +230,8 @@ def _entries(tau: int, buckets: int):
         bucket, k, v = bucket[order], k[order], v[order]
         cut = np.nonzero(np.diff(bucket, prepend=-2))[0]
         ends = np.append(cut[1:], len(k))
-        return pa.record_batch([pa.array(bucket[cut]), pa.array([k[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+        names = np.where(bucket[cut] < 0, -1 - (k[cut] & 0xFFFFF), bucket[cut])  # what is named at once goes anywhere
+        return pa.record_batch([pa.array(names), pa.array([k[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
                                 pa.array([v[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["bucket", "keys", "lines"])
 
     def run(batches) -> Iterator:
