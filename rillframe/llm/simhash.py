@@ -251,7 +251,7 @@ def link_items(items: DataFrame, tiling: Tiling, ws: Workspace, floor: float = 0
     # one row a tile that is used: bounded by the number of count vectors, not by the documents
     tiles = placed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cut"))
     blocks = ws.keep(
-        placed.join(tiles, "tile")
+        placed.join(F.broadcast(tiles), "tile")  # 17 ** segments rows at most (83,521), or count steps x size buckets
         .groupBy("tile", F.pmod(F.xxhash64("fp"), "cut").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("item", "fp", "sketch"))).alias("rows"))
         .mapInArrow(_pack, BLOCK_SCHEMA), "blocks")
