@@ -24,6 +24,8 @@ from rillframe.llm.common import small_batches, texts_of
 MAX_ROWS = 12_000
 #: Features of the model at most, and documents that must hold one.
 MAX_FEATURES, MIN_DOCS = 3_000, 4
+#: How far a feature's toxic documents must lie from chance: (seen - expected)^2 / expected.
+MIN_CHI = 25.0
 PREFIXES = (4, 5, 6)
 MARKS = " .,!?;:|\"'()[]{}<>#*&%$-_/\\+=~`^«»„“”’…¿¡"
 
@@ -101,11 +103,11 @@ class Rows:
 
 
 def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int,
-                penalty: float = 4.0, ridge: float = 2e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on class-balanced log loss + penalty * mean squared score change of the pairs."""
+                penalty: float = 4.0, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on log loss, weighted half-way to balanced classes, + penalty * mean squared score change of the pairs."""
     x, y = Rows(rows, width), labels.astype(float)
     share = y.mean()
-    each = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    each = np.sqrt(np.where(y > 0, 0.5 / share, 0.5 / (1 - share))) / len(y)
     a, b = Rows([p for p, _ in pairs], width), Rows([q for _, q in pairs], width)
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     seen = F.col("n0") + F.col("n1")
     hoped = seen * F.lit(n1 / (n0 + n1))
     chosen = stats.where((F.col("feature") != "") & (seen >= MIN_DOCS)).select(
-        "feature", (F.pow(F.col("n1") - hoped, 2) / hoped).alias("chi")).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES)
+        "feature", (F.pow(F.col("n1") - hoped, 2) / hoped).alias("chi")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES)
     names = list(dict.fromkeys([r["feature"] for r in chosen.collect()] + terms))
     index = {f: i for i, f in enumerate(names)}
     data = rows.mapInArrow(_matrix(index), "y int, x array<int>, swapped array<array<int>>").collect()
