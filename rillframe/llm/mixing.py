@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Slots of a period: the resolution of the weights and the most sources there can be.
 UNITS = 1000
 #: Documents of a block, and documents of one numbered range at most on average.
-BLOCK, RANGE = 16, 1024
+BLOCK, RANGE = 16, 256
 
 
 def _shares(counts: DataFrame, weights: Mapping[str, float] | None, units: int) -> DataFrame:
