@@ -29,7 +29,7 @@ from rillframe.llm.simhash import Forest
 #: Edits of near lines; characters a line needs for each edit it may take.
 TAU, PER_EDIT = 2, 10
 #: Lines of a block; entries of a bucket on average; entries of one key that a task sends to its bucket.
-BLOCK, BUCKET, LOCAL = 512, 400_000, 256
+BLOCK, BUCKET, LOCAL = 512, 150_000, 256
 
 
 def allowed(n: int, tau: int = TAU) -> int:
@@ -449,7 +449,9 @@ def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
     members = comp.join(some.select(F.col("lid").alias("node"), "digest"), "node").join(owners, "digest")
     firsts = members.groupBy("component").agg(F.min("owner").alias("first"))
     near = members.select("node", "digest", "component").join(firsts, "component").join(counted, "node", "left").select("digest", "first", "n_links")
-    classes = owners.join(near, "digest", "left").select("digest", F.coalesce("first", "owner").alias("owner"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # written, so that both sides of the last join are plain exchanges and AQE can split a line that is everywhere
+    classes = ws.keep(owners.join(near, "digest", "left").select(
+        "digest", F.coalesce("first", "owner").alias("owner"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return lines.join(classes, "digest", "left").select(
         "doc_id", "pos", F.col("digest").isNull().alias("blank"), F.col("owner.doc_id").alias("owner_doc"), F.col("owner.pos").alias("owner_pos"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
