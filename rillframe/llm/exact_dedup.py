@@ -48,7 +48,6 @@ def _digests(batches) -> Iterator:
 
 
 def _part_rows(trie: PatriciaTrie) -> Iterator:
-    import pyarrow as pa
     import xxhash
 
     rows: list[tuple] = []
@@ -141,5 +140,11 @@ def drop_copies(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text
     keeps them all if it owns one of them.  Rows without an identifier stay only where
     no row of their group has one.
     """
-    own = exact_dedup(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("rf_keep_id")).distinct()
-    return docs.join(own, docs[id_col].eqNullSafe(own["rf_keep_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("null")).alias(key)
+    own = exact_dedup(docs, keep, id_col, text_col).where("kept").select(named(F.col("doc_id"))).distinct()
+    # one exchange of the texts, by key: it serves the join and the removal of repeated rows
+    rows = docs.select("*", named(F.col(id_col))).join(own, key, "left_semi")
+    return rows.dropDuplicates([key, text_col]).select(*docs.columns)

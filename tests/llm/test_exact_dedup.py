@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from rillframe.llm.exact_dedup import exact_dedup
+from rillframe.llm.exact_dedup import drop_copies, exact_dedup
 from rillframe.llm.patricia import PatriciaTrie
 
 
@@ -51,3 +51,11 @@ def test_empty_table(spark):
     assert exact_dedup(df).count() == 0
     with pytest.raises(ValueError):
         exact_dedup(df, keep="any")
+
+
+def test_drop_copies_keeps_owners_and_one_of_repeated_rows(spark):
+    rows = [(1, "a", "x"), (2, "A", "y"), (2, "A", "y"), (3, None, "z"), (4, "", "w"), (None, "b", "q"), (None, "B", "r"), (5, "c", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(3)
+    got = sorted(map(tuple, drop_copies(df, keep="high").collect()), key=repr)
+    assert got == sorted([(2, "A", "y"), (4, "", "w"), (None, "b", "q"), (None, "B", "r"), (5, "c", "s")], key=repr)
+    assert drop_copies(df, keep="high").columns == df.columns
