@@ -313,6 +313,8 @@ def _mark(size: int):
 
 #: Bits of the filter at most (8 MB); beyond it more texts travel, the result is the same.
 FILTER_BITS = 1 << 26
+#: Tasks that mark the filter: the driver joins as many partial filters, one at a time.
+MARKERS = 16
 
 
 def _fetch(filter_bits):
@@ -429,7 +431,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
     while size < min(FILTER_BITS, 8 * live.count()):
         size *= 2
     marks = np.zeros(size // 8, np.uint8)
-    for r in live.select("short").distinct().mapInArrow(_mark(size), "bits binary").toLocalIterator():
+    for r in live.select("short").distinct().repartition(MARKERS).mapInArrow(_mark(size), "bits binary").toLocalIterator():
         marks |= np.frombuffer(bytes(r["bits"]), np.uint8)
     fetched = texts.mapInArrow(_fetch(spark.sparkContext.broadcast(marks.tobytes())), "digest binary, short bigint, line string")
     some = ws.keep(fetched.join(live.select("short").distinct(), "short", "left_semi").dropDuplicates(["digest"])
