@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import small_batches, texts_of
+from rillframe.llm.common import Workspace, small_batches, texts_of
 
 #: Labelled documents that a fit reads at most, chosen by a hash of doc_id.
 MAX_ROWS = 12_000
@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     """
     sample = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = texts_of(docs).join(F.broadcast(sample), "doc_id").select("text", "y")  # max_rows rows of 12 bytes
+    # max_rows rows of 12 bytes; the sampled texts are read again and again, the corpus once
+    rows = Workspace(docs.sparkSession, "toxicity").keep(texts_of(docs).join(F.broadcast(sample), "doc_id").select("text", "y"), "sample")
     stats = rows.mapInArrow(_tally, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     terms = list(swaps())
     total = stats.where("feature = ''").first()
