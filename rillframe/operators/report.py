@@ -46,3 +46,13 @@ def tile_counts(tiles: DataFrame, by: str = "dam_id") -> DataFrame:
 def method_of(rows: DataFrame, by: str, method: str) -> DataFrame:
     """The one method of a group, or mixed."""
     return rows.groupBy(by).agg(F.sort_array(F.collect_set(method)).alias("m")).select(by, F.when(F.size("m") == 1, F.col("m")[0]).when(F.size("m") > 1, "mixed").alias(method))
+
+
+def markdown(df: DataFrame, most: int = 200) -> str:
+    """A small result as a Markdown table; more than ``most`` rows are an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    show = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"

@@ -87,3 +87,16 @@ def test_scalar_functions(spark):
     m = one(geo.haversine_m(F.lit(36.0), F.lit(137.0), F.lit(36.0), F.lit(138.0)))
     assert abs(m - 89957) < 50 and one(geo.allowance_m(F.lit(1000.0))) == 900.0
     assert abs(one(geo.local_m(F.lit(36.0), F.lit(137.0), F.lit(36.001), F.lit(137.0))) - 111.32) < 1e-6
+
+
+def test_markdown_and_pictures(spark, tmp_path):
+    from rillframe.sources import images
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, s string").orderBy("k")
+    assert report.markdown(df) == "| k | s |\n|-|-|\n| 1 | a\\|b |\n| 2 |  |\n"
+    with pytest.raises(ValueError):
+        report.markdown(df, 1)
+    for n in ("a-1.png", "a-1.jpg.webp", "zz.jpeg", "note.txt"):
+        (tmp_path / n).write_bytes(b"x")
+    known, unknown = images.register(images.list_images(spark, str(tmp_path)), spark.createDataFrame([("a-1",)], "dam_id string"))
+    assert [tuple(r) for r in known.collect()] == [("a-1", "a-1.jpg.webp")] and [r.file for r in unknown.collect()] == ["zz.jpeg"]
