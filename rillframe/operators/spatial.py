@@ -7,6 +7,8 @@ broadcast and no cross product is built.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +57,31 @@ def within_km(left: DataFrame, right: DataFrame, km: float, left_key: str, right
     return a.join(b, ["ci", "cj"]).withColumn("km", d).where(F.col("km") <= km).select(left_key, right_key, "km")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """The nearest right row of every left row, ties to the smaller key.
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radii_km: tuple[float, ...] = (5.0, 40.0), lat_most: float = 60.0,
+            digits: int = 3) -> DataFrame:
+    """(left_key, right_key, metres): the nearest right row of every left row, ties (to ``digits`` decimals) to the smaller key.
 
-    For a dimension of places on the right: the plan is a nested-loop join whose build
-    side Catalyst picks by size, with a partial aggregate before any shuffle.
+    Places meet in cells that are wide enough for a radius up to ``lat_most``; a nearest
+    place within the radius is final, the others try the next radius, and what is left
+    (remote places, or nearer to a pole) is compared with all of the right side.
     """
     a = left.select(left_key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = right.select(right_key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    d = geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    best = F.min(F.struct(d.alias("m"), F.col(right_key).alias("k")))
-    return a.crossJoin(b).groupBy(left_key).agg(best.alias("b")).select(left_key, F.col("b.k").alias(right_key), F.col("b.m").alias("metres"))
+    metres = F.round(geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), digits)
+    pick = lambda pairs: pairs.groupBy(left_key).agg(F.min(F.struct(metres.alias("m"), F.col(right_key).alias("k"))).alias("b")).select(
+        left_key, F.col("b.k").alias(right_key), F.col("b.m").alias("metres"))
+    around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    out, rest = None, a
+    for km in radii_km:
+        tall = 1.02 * km / (geo.EARTH_M / 1000 * math.pi / 180)
+        wide = tall / math.cos(math.radians(lat_most))
+        spread = rest.where(F.abs("lat1") < lat_most - tall).select("*", F.explode(around).alias("d")).select(
+            left_key, "lat1", "lon1", (F.floor(F.col("lat1") / tall) + F.col("d.di")).alias("ci"), (F.floor(F.col("lon1") / wide) + F.col("d.dj")).alias("cj"))
+        cells = b.select("*", F.floor(F.col("lat2") / tall).alias("ci"), F.floor(F.col("lon2") / wide).alias("cj"))
+        found = pick(spread.join(cells, ["ci", "cj"])).where(F.col("metres") <= km * 1000)
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select(left_key), left_key, "left_anti")
+    return out.unionByName(pick(rest.crossJoin(b)))
 
 
 def self_intersections(edges: DataFrame, ring: str) -> DataFrame:

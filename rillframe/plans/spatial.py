@@ -49,11 +49,8 @@ _FLAT = "sqrt(pow((s.lat - c.lat) * 111.0::DOUBLE, 2) + pow((s.lon - c.lon) * 91
 SELECT c_custkey, s_suppkey, floor(round(m, 3))::BIGINT AS metres FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(m, 3), s_suppkey) AS rn FROM d) WHERE rn = 1""")
 def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest station of every dam; distances within a millimetre are a tie."""
-    a, b = _points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey")
-    both = a.select("c_custkey", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).crossJoin(b)  # every dam against the places of a dimension
-    m = geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
-    best = F.min(F.struct(F.round(m, 3).alias("m"), "s_suppkey"))
-    return both.groupBy("c_custkey").agg(best.alias("b")).select("c_custkey", F.col("b.s_suppkey").alias("s_suppkey"), F.floor("b.m").cast("bigint").alias("metres"))
+    out = spatial.nearest(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"), "c_custkey", "s_suppkey")
+    return out.select("c_custkey", "s_suppkey", F.floor("metres").cast("bigint").alias("metres"))
 
 
 @query(f"""WITH {_CUST_SQL}, {_SUPP_SQL}, d AS (SELECT c_custkey, s_suppkey, {_FLAT} AS km FROM c, s WHERE {_FLAT} <= 5)

@@ -100,3 +100,23 @@ def test_markdown_and_pictures(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     known, unknown = images.register(images.list_images(spark, str(tmp_path)), spark.createDataFrame([("a-1",)], "dam_id string"))
     assert [tuple(r) for r in known.collect()] == [("a-1", "a-1.jpg.webp")] and [r.file for r in unknown.collect()] == ["zz.jpeg"]
+
+
+def test_nearest_equals_all_pairs_near_and_far(spark):
+    import math
+    import random
+
+    from rillframe.operators import spatial
+
+    rng = random.Random(4)
+    place = lambda i: (i, 36 + rng.random() * (0.2 if i % 3 else 9), 137 + rng.random() * (0.2 if i % 3 else 9))
+    a, b = [place(i) for i in range(90)] + [(200, 75.0, 10.0)], [place(i) for i in range(60)] + [(300, 80.0, 11.0), (301, 36.0, -170.0)]
+
+    def metres(p, q):
+        la, lb = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    df = lambda rows, k: spark.createDataFrame(rows, f"{k} int, lat double, lon double")
+    got = {r.x: r.y for r in spatial.nearest(df(a, "x"), df(b, "y"), "x", "y").collect()}
+    assert got == {p[0]: min((round(metres(p, q), 3), q[0]) for q in b)[1] for p in a}
