@@ -6,7 +6,9 @@ that near copies don't leave (a similarity of 0.8 means 9.7 differing bits on av
 with a deviation of 2.9); a sketch of one byte a bin, compared in the same task, stands
 in for the similarity there, so that each pair of blocks sends a spanning forest of its
 most similar pairs and not all pairs of a group.  Every pair of the forest is then
-checked on the full shingle sets.
+checked on the full shingle sets.  Candidates that the checked links leave in different
+groups are compared once more: the full sets of their items meet in one task for each
+pair of blocks, so no candidate stays unverified behind a pair that failed.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rillframe.llm.common import Workspace, row_binaries, texts_of
 from rillframe.llm.components import connected_components
-from rillframe.llm.simhash import Tiling, fingerprint, link_items, shingle_hashes, sketch, words_of
+from rillframe.llm.simhash import Tiling, fingerprint, link_items, open_items, shingle_hashes, sketch, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Differing bits of a candidate, and how far below the similarity its sketch may lie (3 deviations of 128 bins).
@@ -79,6 +81,64 @@ def _verify(least: float):
     return run
 
 
+#: Shingles of one set that are looked up at once.
+PIECE = 2048
+
+
+def exact_links(ids, groups, sets, ids2, groups2, sets2, least: float) -> list[tuple[int, int]]:
+    """Links (Jaccard of at least ``least``) from the first items to the second that join groups: a spanning forest of all such links."""
+    _, label = np.unique(np.append(groups, groups2), return_inverse=True)
+    la, lb = label[:len(ids)].copy(), label[len(ids):].copy()
+    sizes = np.array([len(s) for s in sets2])
+    hot, out = np.bincount(label).argmax(), []
+    # pairs inside the largest group need no look
+    for rows, cols in ((la == hot, lb != hot), (la != hot, np.ones(len(lb), bool))):
+        at, cols = np.nonzero(rows)[0], np.nonzero(cols)[0]
+        if not len(at) or not len(cols):
+            continue
+        flat, owner = np.concatenate([sets2[j] for j in cols]), np.repeat(cols, sizes[cols])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i in at.tolist():
+            if (lb[cols] == la[i]).all():
+                continue
+            both = np.zeros(len(lb), np.int64)
+            for k in range(0, len(sets[i]), PIECE):
+                some = sets[i][k:k + PIECE]
+                low = np.searchsorted(flat, some, "left")
+                n = np.searchsorted(flat, some, "right") - low
+                both += np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(lb))
+            good = (both >= least * (len(sets[i]) + sizes - both) - 1e-9) & (both > 0)
+            for j in np.nonzero(good & (lb != la[i]))[0].tolist():
+                old, new = lb[j], la[i]
+                if old != new:
+                    out.append((int(ids[i]), int(ids2[j])))
+                    la[la == old] = new
+                    lb[lb == old] = new
+    return out
+
+
+def _side(rows) -> tuple:
+    """(ids, groups, sets) of an Arrow list of (item, grp, own)."""
+    ids, groups = (rows.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("item", "grp"))
+    return ids, groups, [np.frombuffer(v, np.uint64) for v in row_binaries(rows.field("own"))]
+
+
+def _exact(least: float):
+    """Rows (left, right) of arrays of (item, grp, own) to the links that join groups."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                out += exact_links(*_side(batch.column(0)[r].values), *_side(batch.column(1)[r].values), least)
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id) of the documents whose group has more than one id.
 
@@ -103,5 +163,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
                .select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a bigint, b bigint"))
     copies = described.join(items.select("digest", "size", "item"), ["digest", "size"]).where("doc_id <> item").select(
         F.col("doc_id").alias("a"), F.col("item").alias("b"))
-    comp = connected_components(checked.unionByName(copies), ws)
+    sure = ws.keep(connected_components(checked.unionByName(copies), ws), "sure")
+    grouped = ws.keep(single.join(sure.withColumnRenamed("node", "item"), "item", "left").withColumn("grp", F.coalesce("component", "item")).drop("component"), "grouped")
+    left_over = ws.keep(open_items(grouped, tiling, ws, max(0.05, similarity - MARGIN)), "left-over")
+    full = rows.join(left_over.select(F.col("item").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+        _sets(width), "item bigint, own binary")
+    entry = F.struct("item", "grp", "own")
+    meet = left_over.join(full, "item").groupBy("pair").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col("side") == k, entry))).alias(n) for k, n in enumerate(("left", "right"))))
+    late = meet.select("left", "right").mapInArrow(_exact(similarity), "a bigint, b bigint")
+    comp = connected_components(late.unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), ws, "all")
     return comp.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -160,6 +160,44 @@ def _pairs(fa, fb, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.nda
             yield i, j
 
 
+def _estimates(sa, sb, i, j) -> np.ndarray:
+    """Estimated similarity of the sketches of each pair."""
+    score = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        x, y = sa[i[at:at + (1 << 16)]], sb[j[at:at + (1 << 16)]]
+        used = (x | y) > 0
+        score[at:at + (1 << 16)] = ((x == y) & used).sum(1) / np.maximum(1, used.sum(1))
+    return score
+
+
+def _open(radius: int, floor: float) -> Callable:
+    """Rows of two blocks whose sketches end with the group -> the items of candidates in two groups."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            raw = {n: row_binaries(cols[n]) for n in ("ids", "fps", "sketches", "ids2", "fps2", "sketches2")}
+            for r, (same, pair) in enumerate(zip(cols["same"].to_pylist(), cols["pair"].to_pylist())):
+                ia, ib = (np.frombuffer(raw[n][r], np.int64) for n in ("ids", "ids2"))
+                fa, fb = (np.frombuffer(raw[n][r], np.uint64) for n in ("fps", "fps2"))
+                wa, wb = (np.frombuffer(raw[n][r], np.uint8).reshape(-1, BINS + 8) for n in ("sketches", "sketches2"))
+                (sa, ga), (sb, gb) = ((w[:, :BINS], np.ascontiguousarray(w[:, BINS:]).view(">i8").ravel().astype(np.int64)) for w in (wa, wb))
+                left, right = np.zeros(len(ia), bool), np.zeros(len(ib), bool)
+                for i, j in _pairs(fa, fb, radius, same):
+                    apart = ga[i] != gb[j]
+                    i, j = i[apart], j[apart]
+                    good = _estimates(sa, sb, i, j) >= floor
+                    left[i[good]] = right[j[good]] = True
+                n, m = int(left.sum()), int(right.sum())
+                yield pa.record_batch([
+                    pa.array([pair] * (n + m), pa.int64()), pa.array([0] * n + [1] * m, pa.int32()),
+                    pa.array(np.append(ia[left], ib[right])), pa.array(np.append(ga[left], gb[right]))], names=["pair", "side", "item", "grp"])
+
+    return run
+
+
 def _compare(radius: int, floor: float) -> Callable:
     """Rows of two blocks -> (a, b) item pairs of a spanning forest, strongest pairs first."""
 
@@ -180,11 +218,7 @@ def _compare(radius: int, floor: float) -> Callable:
                     sa, sb = (np.frombuffer(raw[n][r], np.uint8).reshape(-1, BINS) for n in ("sketches", "sketches2"))
                 for i, j in _pairs(fa, fb, radius, same):
                     if floor:
-                        score = np.empty(len(i))
-                        for at in range(0, len(i), 1 << 16):
-                            x, y = sa[i[at:at + (1 << 16)]], sb[j[at:at + (1 << 16)]]
-                            used = (x | y) > 0
-                            score[at:at + (1 << 16)] = ((x == y) & used).sum(1) / np.maximum(1, used.sum(1))
+                        score = _estimates(sa, sb, i, j)
                         good = np.nonzero(score >= floor)[0]
                         good = good[np.argsort(-score[good], kind="stable")]
                         found.append((score[good], i[good], j[good]))
@@ -209,6 +243,7 @@ def _grow(forest: Forest, i, j, shift: int, ia, ib, out_a: list, out_b: list) ->
 TILE_SCHEMA = "item bigint, fp bigint, sketch binary, tile bigint"
 BLOCK_SCHEMA = "tile bigint, block bigint, ids binary, fps binary, sketches binary"
 VISIT_SCHEMA = BLOCK_SCHEMA + ", home bigint"
+OPEN_SCHEMA = "pair bigint, side int, item bigint, grp bigint"
 
 
 def _place(tiling: Tiling) -> Callable:
@@ -240,28 +275,42 @@ def _visits(offsets: list[int]) -> Callable:
     return run
 
 
-def link_items(items: DataFrame, tiling: Tiling, ws: Workspace, floor: float = 0.0) -> DataFrame:
-    """Edges (a, b) between items (item, fp, sketch, size) whose fingerprints lie within the radius.
-
-    Per pair of blocks a spanning forest of the links comes back, so components
-    are those of all links.  With ``floor`` a pair must also reach that estimated
-    similarity of the sketches, and the forest takes the strongest pairs first.
-    """
-    placed = ws.keep(items.select("item", "fp", "sketch", "size").mapInArrow(_place(tiling), TILE_SCHEMA), "placed")
+def block_pairs(items: DataFrame, tiling: Tiling, ws: Workspace, label: str = "") -> DataFrame:
+    """Pairs of blocks of items (item, fp, sketch, size) that may hold partners, each pair once."""
+    placed = ws.keep(items.select("item", "fp", "sketch", "size").mapInArrow(_place(tiling), TILE_SCHEMA), f"{label}placed")
     # one row a tile that is used: bounded by the number of count vectors, not by the documents
     tiles = placed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cut"))
     blocks = ws.keep(
         placed.join(F.broadcast(tiles), "tile")  # 17 ** segments rows at most (83,521), or count steps x size buckets
         .groupBy("tile", F.pmod(F.xxhash64("fp"), "cut").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("item", "fp", "sketch"))).alias("rows"))
-        .mapInArrow(_pack, BLOCK_SCHEMA), "blocks")
+        .mapInArrow(_pack, BLOCK_SCHEMA), f"{label}blocks")
     visits = blocks.mapInArrow(_visits(tiling.neighbours()), VISIT_SCHEMA)
     home = blocks.select(F.col("tile").alias("home"), F.col("block").alias("block2"), F.col("ids").alias("ids2"),
                          F.col("fps").alias("fps2"), F.col("sketches").alias("sketches2"))
     pairs = visits.join(home, "home").where((F.col("tile") != F.col("home")) | (F.col("block") <= F.col("block2")))
     same = (F.col("tile") == F.col("home")) & (F.col("block") == F.col("block2"))
-    return pairs.select("ids", "fps", "sketches", "ids2", "fps2", "sketches2", same.alias("same")).mapInArrow(
-        _compare(tiling.radius, floor), "a bigint, b bigint").distinct()
+    return pairs.select("ids", "fps", "sketches", "ids2", "fps2", "sketches2", same.alias("same"), F.xxhash64("tile", "block", "home", "block2").alias("pair"))
+
+
+def link_items(items: DataFrame, tiling: Tiling, ws: Workspace, floor: float = 0.0) -> DataFrame:
+    """Edges (a, b) between items (item, fp, sketch, size) whose fingerprints lie within the radius.
+
+    Per pair of blocks a spanning forest of the links comes back, so components
+    are those of all links.  With ``floor`` a pair must also reach that estimated
+    similarity of the sketches, and the forest takes the strongest pairs first:
+    if such pairs are still to be verified, ``open_items`` finds those left over.
+    """
+    return block_pairs(items, tiling, ws).drop("pair").mapInArrow(_compare(tiling.radius, floor), "a bigint, b bigint").distinct()
+
+
+def open_items(items: DataFrame, tiling: Tiling, ws: Workspace, floor: float) -> DataFrame:
+    """(pair, side, item, grp): the items of each pair of blocks with a candidate in another group.
+
+    ``items`` has grp besides; a candidate lies within the radius and reaches the floor.
+    """
+    carried = items.withColumn("sketch", F.concat("sketch", F.unhex(F.lpad(F.hex("grp"), 16, "0"))))
+    return block_pairs(carried, tiling, ws, "open-").mapInArrow(_open(tiling.radius, floor), OPEN_SCHEMA)
 
 
 def _pack(batches) -> Iterator:

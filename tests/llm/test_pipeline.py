@@ -58,6 +58,21 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_behind_pairs_that_fail_are_found(spark):
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(300)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(300), 4):
+            words[at] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = groups(rows)
+    assert {d: got.get(d, d) for d in want} == want and len(set(want.values())) < 30
+
+
 def test_stages_equal_brute_force(spark, tmp_path):
     rng = random.Random(8)
     rows = corpus(200, 9)
