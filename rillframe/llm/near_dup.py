@@ -9,10 +9,15 @@ most similar pairs and not all pairs of a group.  Every pair of the forest is th
 checked on the full shingle sets.  Candidates that the checked links leave in different
 groups are compared once more: the full sets of their items meet in one task for each
 pair of blocks, so no candidate stays unverified behind a pair that failed.
+
+Fingerprints are taken over distinct shingles, as the similarity is.  Of two short sets
+few bits are settled by a clear majority, so sets of up to SHORT shingles and their
+partners take an exact second route: similar sets share a shingle among the first few.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +31,10 @@ from rillframe.llm.simhash import Tiling, fingerprint, link_items, open_items, s
 WIDTH, SIMILARITY = 5, 0.8
 #: Differing bits of a candidate, and how far below the similarity its sketch may lie (3 deviations of 128 bins).
 RADIUS, MARGIN = 18, 0.11
+#: Distinct shingles of a set whose links are found without fingerprints; items that meet in one task.
+SHORT, MEET = 40, 2048
 
-ITEM_SCHEMA = "doc_id bigint, digest bigint, fp bigint, sketch binary, size bigint"
+ITEM_SCHEMA = "doc_id bigint, digest bigint, fp bigint, sketch binary, size bigint, short binary"
 
 
 def signed(x: int) -> int:
@@ -35,7 +42,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _describe(width: int):
+def _describe(width: int, short: float):
     def run(batches) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
@@ -43,13 +50,12 @@ def _describe(width: int):
         for batch in batches:
             rows = []
             for view in row_binaries(batch.column(1)):
-                h = shingle_hashes(words_of(view), width)
-                own = np.unique(h)
-                rows.append((signed(xxh64_intdigest(own.tobytes())), signed(fingerprint(h)), sketch(own), len(own)))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            cols = zip(*rows) if rows else ([], [], [], [])
+                own = np.unique(shingle_hashes(words_of(view), width))
+                rows.append((signed(xxh64_intdigest(own.tobytes())), signed(fingerprint(own)), sketch(own), len(own), own.tobytes() if len(own) <= short else None))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            cols = zip(*rows) if rows else ([], [], [], [], [])
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                  names=["doc_id", "digest", "fp", "sketch", "size"])
+                                  names=["doc_id", "digest", "fp", "sketch", "size", "short"])
 
     return run
 
@@ -139,6 +145,32 @@ def _exact(least: float):
     return run
 
 
+def _prefixes(least: float):
+    """(item, grp, own) to a row for each of the smallest shingles, one of which every partner shares."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.frombuffer(v, np.uint64) for v in row_binaries(batch.column(2))]
+            firsts = [s[:len(s) - math.ceil(least * len(s) - 1e-9) + 1] if len(s) else s for s in sets]
+            at = np.repeat(np.arange(len(sets)), [len(f) for f in firsts])
+            tile = np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64)
+            yield pa.record_batch([pa.array(tile), *batch.take(pa.array(at, pa.int64())).columns], names=["tile", "item", "grp", "own"])
+
+    return run
+
+
+def short_links(items: DataFrame, least: float, ws: Workspace) -> DataFrame:
+    """Links (a, b) between groups of all items (item, grp, own) whose similarity reaches ``least``: prefix filter, exact check."""
+    placed = ws.keep(items.mapInArrow(_prefixes(least), "tile bigint, item bigint, grp bigint, own binary"), "short-placed")
+    tiles = placed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(MEET)).alias("cut"), F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2")
+    blocks = ws.keep(placed.join(tiles.select("tile", "cut"), "tile").groupBy("tile", F.pmod(F.xxhash64("item"), "cut").alias("block"))
+                     .agg(F.sort_array(F.collect_list(F.struct("item", "grp", "own"))).alias("left")), "short-blocks")
+    pairs = blocks.join(blocks.select("tile", F.col("block").alias("block2"), F.col("left").alias("right")), "tile").where("block <= block2")
+    return pairs.select("left", "right").mapInArrow(_exact(least), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id) of the documents whose group has more than one id.
 
@@ -150,10 +182,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     """
     ws = Workspace(docs.sparkSession, "near")
     rows = texts_of(docs).where("doc_id is not null")
-    described = ws.keep(rows.mapInArrow(_describe(width), ITEM_SCHEMA), "described")
-    items = ws.keep(described.groupBy("digest", "size").agg(F.min("doc_id").alias("item"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "items")
+    described = ws.keep(rows.mapInArrow(_describe(width, SHORT / similarity + 1e-9), ITEM_SCHEMA), "described")
+    items = ws.keep(described.groupBy("digest", "size").agg(F.min("doc_id").alias("item"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"),
+                                                                F.min("short").alias("short")), "items")
     # one id may be the smallest of two sets: it stands for both, and one of the two is compared
-    single = items.groupBy("item").agg(F.min(F.struct("size", "fp", "sketch")).alias("s")).select("item", "s.fp", "s.sketch", "s.size")
+    single = items.groupBy("item").agg(F.min(F.struct("size", "fp", "sketch", "short")).alias("s")).select("item", "s.fp", "s.sketch", "s.size", "s.short")
     tiling = Tiling(radius, segments=1, step=max(1, radius // 2), size_ratio=similarity)
     found = ws.keep(link_items(single, tiling, ws, floor=max(0.05, similarity - MARGIN)), "found")
     ends = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
@@ -172,5 +205,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     meet = left_over.join(full, "item").groupBy("pair").agg(
         *(F.sort_array(F.collect_list(F.when(F.col("side") == k, entry))).alias(n) for k, n in enumerate(("left", "right"))))
     late = meet.select("left", "right").mapInArrow(_exact(similarity), "a bigint, b bigint")
-    comp = connected_components(late.unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), ws, "all")
+    few = short_links(grouped.where("short is not null").select("item", "grp", F.col("short").alias("own")), similarity, ws)
+    comp = connected_components(late.unionByName(few).unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), ws, "all")
     return comp.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -73,6 +73,22 @@ def test_links_behind_pairs_that_fail_are_found(spark):
     assert {d: got.get(d, d) for d in want} == want and len(set(want.values())) < 30
 
 
+def test_repeated_passages_and_short_texts_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        shared, passage = ([f"{c}{k}w{rng.randrange(10**6)}" for _ in range(n)] for c, n in (("s", 212), ("p", 12)))
+        rows += [(len(rows), " ".join(shared + passage)), (len(rows) + 1, " ".join(shared + passage * 40))]
+    for k in range(400):  # eight words have four shingles, nine have five
+        words = [f"q{k}w{i}" for i in range(9)]
+        rows += [(len(rows), " ".join(words[:8])), (len(rows) + 1, " ".join(words))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    # each text has one partner: its words are its own
+    assert got == {d: d - d % 2 for d, _ in rows}
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+
+
 def test_stages_equal_brute_force(spark, tmp_path):
     rng = random.Random(8)
     rows = corpus(200, 9)
