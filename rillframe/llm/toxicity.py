@@ -72,6 +72,11 @@ def counterfactual(found: set[str], table: dict[str, list[str]], turn: int) -> s
     return out
 
 
+def turns(found: set[str], table: dict[str, list[str]]) -> int:
+    """Turns after which every term named has been swapped for each other term of its row."""
+    return max((len(table[t]) for t in table if t in found), default=0)
+
+
 @dataclass
 class Model:
     """Weights by feature; the score is the logistic of their sum plus the bias."""
@@ -151,7 +156,7 @@ def _matrix(index: dict[str, int]):
             for text in batch.column(0).to_pylist():
                 found = features(text)
                 rows.append(pick(found))
-                others.append([pick(c) for turn in range(3) if (c := counterfactual(found, table, turn)) is not None])
+                others.append([pick(c) for turn in range(turns(found, table)) if (c := counterfactual(found, table, turn)) is not None])
             yield pa.record_batch([batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32())))],
                                   names=["y", "x", "swapped"])
 

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from rillframe.llm.toxicity import Model, classify, counterfactual, features, fit, fit_weights, swaps
+from rillframe.llm.toxicity import Model, _matrix, classify, counterfactual, features, fit, fit_weights, swaps
 
 
 def corpus(n=900, seed=1):
@@ -54,6 +55,15 @@ def test_counterfactual_swaps_only_identity_terms():
     assert "woman" not in got and "man" in got and {"the", "sings", "^sing"} <= got
 
 
+def test_every_other_term_of_a_row_is_a_target():
+    table = swaps()
+    for term, others in table.items():
+        index = {f: i for i, f in enumerate(table)}
+        batch = pa.record_batch([pa.array([f"the {term} sings"]), pa.array([0], pa.int32())], names=["text", "y"])
+        (out,) = _matrix(index)([batch])
+        assert {c for s in out.column(2).to_pylist()[0] for c in s} == {index[o] for o in others}
+
+
 def test_one_label_only_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
