@@ -4,11 +4,12 @@ The dishes are a menu of bounded size: the most frequent words of the corpus, th
 a text, and a class for each ending of the other words.  A restaurant for every context
 (the dish before) serves dishes; all of them share one parent, the root restaurant, whose
 parent is uniform.  Within a class of rare words a restaurant of its own says which word
-it was.  Nothing is capped: every word of every training text is a customer.
+it was.  Every word of every training text is a customer, but the menu is capped: a rare
+word is known as a context, and after a context, only by its class.
 
 Seating is sampled by Gibbs: for each dish of a restaurant the number of its tables given
-all others (the seating within the dish summed out by generalised Stirling numbers; a
-dish of very many customers is reseated customer by customer, later in blocks).  The
+all others (the seating within the dish summed out by generalised Stirling numbers, for a
+dish of many customers by their saddle point).  The
 context restaurants of a sweep run as tasks, their new tables are the root's customers.
 After the burn-in the predictive probabilities of several samples are averaged.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,10 @@ ENDING = 3
 BURN, SAMPLES, STRENGTH, ROOT_DISCOUNT = 4, 4, 1.0, 0.5
 #: Customers up to which a dish's tables are drawn from their exact conditional.
 EXACT = 32
+#: Words of a class that are drawn at once.
+SEATED = 65_536
+#: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
+TABLED, PLACES = 2048, 257
 RUN_BYTES = 12 << 20
 LN10 = float(np.log(10.0))
 
@@ -180,7 +186,7 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, strength: float, discount: float, stirling: np.ndarray,
-                  rng: np.random.Generator, groups: int = 2) -> np.ndarray:
+                  rng: np.random.Generator, groups: int = 4) -> np.ndarray:
     """One Gibbs sweep over a restaurant's dishes: new table counts given customers ``c`` and parent ``base``.
 
     Dishes are updated in ``groups`` turns; within a turn the other dishes of the group
@@ -199,7 +205,7 @@ def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, strength: floa
                 logit = stirling[c[small[some]]][:, 1:wide + 1] + opened + (tables + 1) * np.log(base[small[some]])[:, None]
                 t[small[some]] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
         if len(large):
-            t[large] = _reseat(c[large], base[large], t.sum() - t[large].sum(), strength, discount, rng)
+            t[large] = _draw_large(c[large], base[large], t.sum() - t[large], strength, discount, numbers_of(discount), rng)
     return t
 
 
@@ -213,25 +219,108 @@ def _by_width(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         low, wide = wide, wide * 2
 
 
-def _reseat(c: np.ndarray, base: np.ndarray, others: float, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Seat the customers of large dishes again: one by one at first, then in blocks of an eighth of those seated."""
-    order = np.argsort(-c, kind="stable")
-    most, p = c[order].astype(float), base[order]
-    t, seated = np.ones(len(c)), np.ones(len(c))
-    left = len(c)
-    while True:
-        # dishes are sorted by size: those that still have customers waiting come first
-        left = int(np.searchsorted(-(most[:left] - seated[:left] > 0).astype(int), 0))
-        if not left:
-            break
-        x, k = seated[:left], t[:left]
-        block = np.minimum(np.maximum(1.0, x // 8), most[:left] - x)
-        new = (strength + discount * (others + t.sum())) * p[:left]
-        chance = new / (new + np.maximum(x - discount * k, 1e-12))
-        k += rng.binomial(block.astype(np.int64), np.minimum(chance, 1.0))
-        x += block
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers: Stirling's series eight places further on."""
+    y = x + 8.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - sum(np.log(x + i) for i in range(8))
+
+
+@dataclass
+class Stirling:
+    """Generalised Stirling numbers of any size by saddle point: c! / t! [z^c] ((1 - (1 - z)^d) / d)^t.
+
+    The saddle depends on c / t alone, so it's tabulated once; an error in it is of
+    second order in the value.  With a large discount one table may hold most customers,
+    which the saddle point misses: its error against the recursion is tabulated by log c
+    and log t / log c up to TABLED customers, and carried on in a line beyond.
+    """
+
+    discount: float
+
+    def __post_init__(self) -> None:
+        self.way = np.exp(np.linspace(np.log(1e-9), np.log(900.0), 1 << 15))  # -log(1 - z)
+        with np.errstate(over="ignore"):
+            self.ratio = np.log(self._at(self.way)[2])
+        rows, places = [], np.linspace(0, 1, PLACES)
+        exact = np.zeros(1)  # log S[1, 1 ..]
+        for n in range(2, TABLED + 1):
+            t = np.arange(1, n)
+            stay = exact + np.log(n - 1 - self.discount * t)
+            exact = np.append(np.append(stay[:1], np.logaddexp(stay[1:], exact[:-1])), 0.0)
+            if n >= EXACT and n & (n - 1) == 0:
+                t = np.arange(1, n + 1)
+                error = exact - self._saddle(np.full(n, float(n)), t.astype(float))
+                error[-1] = error[-2]
+                rows.append(np.interp(places * np.log(n), np.log(t), error))
+        self.error = np.array(rows)
+
+    def _at(self, way):
+        """log g, log z, h = z g' / g and dh / dlog z at z = 1 - exp(-way)."""
+        d, z = self.discount, -np.expm1(-way)
+        g = -np.expm1(-d * way) / d
+        h = z * np.exp((1 - d) * way) / g
+        return np.log(g), np.log(z), h, h * (1 + (1 - d) * np.expm1(way) - h)
+
+    def _saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            g, z, _, v = self._at(np.exp(np.interp(np.log(c / t), self.ratio, np.log(self.way))))
+            return log_gamma(c + 1) - log_gamma(t + 1) + t * g - c * z - 0.5 * np.log(2 * np.pi * t * v)
+
+    def log(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log S[c, t] for c above EXACT."""
+        c, t = np.broadcast_arrays(np.asarray(c, float), np.asarray(t, float))
+        row, place = np.log2(c / EXACT), np.log(t) / np.log(c) * (PLACES - 1)
+        i, j = (np.clip(np.floor(x).astype(int), 0, m) for x, m in ((row, len(self.error) - 2), (place, PLACES - 2)))
+        e, y = self.error, place - j
+        low, high = (e[k, j] * (1 - y) + e[k, j + 1] * y for k in (i, i + 1))
+        out = self._saddle(c, t) + low + (high - low) * (row - i)
+        out = np.where(t == 1, log_gamma(c - self.discount) - log_gamma(np.array(1 - self.discount)), out)
+        return np.where(t == c, 0.0, out)
+
+
+@lru_cache(maxsize=8)
+def numbers_of(discount: float) -> Stirling:
+    return Stirling(discount)
+
+
+#: Points at which the distribution of a large dish's tables is evaluated, and standard deviations to either side.
+POINTS, REACH = 65, 7.0
+#: Dishes that are drawn at once.
+DRAWN = 16_384
+
+
+def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: float, discount: float, numbers: Stirling, rng: np.random.Generator) -> np.ndarray:
+    """Tables of large dishes given the others' ``rest``: the exact conditional up to the saddle point, around its mode.
+
+    Where the window is wider than POINTS tables, points stand for steps of equal width.
+    """
     out = np.empty(len(c), np.int64)
-    out[order] = t
+    for at in range(0, len(c), DRAWN):
+        own = slice(at, at + DRAWN)
+        n, others = c[own].astype(float)[:, None], rest[own].astype(float)[:, None]
+        price = np.log(base[own] * discount)[:, None]
+
+        def weight(t, n=n, others=others, price=price):
+            return numbers.log(n, t) + t * price + log_gamma(strength / discount + others + t)
+
+        low, high = np.ones_like(n), n.copy()
+        while (low < high).any():  # the weight rises to its mode and falls from there
+            mid = np.floor((low + high) / 2)
+            rises = weight(np.minimum(mid + 1, n)) > weight(mid)
+            low, high = np.where(rises & (low < high), mid + 1, low), np.where(rises | (low >= high), high, mid)
+        mode = low
+        gap = np.maximum(1.0, np.floor(np.sqrt(mode) / 8))
+        a, b = np.maximum(mode - gap, 1), np.minimum(mode + gap, n)
+        drop = np.maximum(weight(mode) - np.minimum(weight(a), weight(b)), 1e-6)
+        spread = np.maximum(gap / np.sqrt(2 * drop), 1.0)
+        step = np.maximum(1.0, np.ceil(2 * REACH * spread / (POINTS - 1)))
+        t = mode + step * (np.arange(POINTS) - POINTS // 2)
+        fits = (t >= 1) & (t <= n)
+        logit = np.where(fits, weight(np.clip(t, 1, n)), -np.inf)
+        t = np.take_along_axis(t, (logit + rng.gumbel(size=logit.shape)).argmax(1)[:, None], 1)
+        t += np.floor(rng.random(t.shape) * step) - np.floor(step / 2)
+        out[own] = np.clip(t, 1, n)[:, 0]
     return out
 
 
@@ -362,25 +451,27 @@ def _classes(discount: float, seed: int, sweeps: int):
         rng, stirling = np.random.default_rng((seed, cls)), log_stirling(discount)
         c, k = np.array(counts, np.int64), np.array(words, np.int64)
         vocab = int(k.sum())
-        # words of one count are alike: a few of them are seated and stand for all
-        shown = np.minimum(k, 64)
-        each, share = np.repeat(c, shown), np.repeat(k / shown, shown)
-        group = np.repeat(np.arange(len(c)), shown)
+        # every word is seated; one of a single customer keeps its table, so those are only counted
+        more = np.nonzero(c > 1)[0]
+        single = int(k[c == 1].sum())
+        each, group = np.repeat(c[more], k[more]), np.repeat(more, k[more])
         t = np.ones(len(each), np.int64)
-        small, large = (each > 1) & (each <= EXACT), each > EXACT
-        tables = np.arange(1, EXACT + 1)
-        mean, kept = np.zeros(len(c)), 0
+        small, large = np.nonzero(each <= EXACT)[0], np.nonzero(each > EXACT)[0]
+        mean, kept = np.where(c == 1, 1.0, 0.0) * (sweeps - sweeps // 2), 0
         for sweep in range(sweeps):
-            all_tables = float((t * share).sum())
-            if small.any():
-                logit = stirling[each[small]][:, 1:] + tables * np.log((STRENGTH + discount * all_tables) / (vocab + 1))
-                t[small] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
-            if large.any():
-                base = np.full(int(large.sum()), 1.0 / (vocab + 1))
-                t[large] = _reseat(each[large], base, all_tables - t[large].sum(), STRENGTH, discount, rng)
+            all_tables = float(single + t.sum())
+            for some, wide in _by_width(each[small]):
+                tables = np.arange(1, wide + 1)
+                for at in range(0, len(some), SEATED):
+                    own = small[some[at:at + SEATED]]
+                    logit = stirling[each[own]][:, 1:wide + 1] + tables * np.log((STRENGTH + discount * all_tables) / (vocab + 1))
+                    t[own] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
+            if len(large):
+                base = np.full(len(large), 1.0 / (vocab + 1))
+                t[large] = _draw_large(each[large], base, single + t.sum() - t[large], STRENGTH, discount, numbers_of(discount), rng)
             if sweep >= sweeps // 2:
                 kept += 1
-                mean += np.bincount(group, t, len(c)) / shown
+                mean += np.bincount(group, t, len(c)) / k
         mean /= kept
         room = (STRENGTH + discount * float((mean * k).sum())) / (vocab + 1)
         p = (np.append(c - discount * mean, 0.0) + room) / (STRENGTH + float((c * k).sum()))
@@ -516,7 +607,7 @@ def language_scores(docs: DataFrame, held_out: Column, menu_words: int = MENU, s
     rare = words.join(F.broadcast(chosen), "h", "left_anti")
     kinds = rare.groupBy("cls", F.col("c").alias("n")).agg(F.count("*").alias("words"))
     inner = ws.keep(kinds.repartition(64, "cls").sortWithinPartitions("cls", "n").mapInArrow(
-        _classes(discount_of(all_["once"], all_["twice"]), 17, burn + samples), RARE), "classes")
+        _classes(discount_of(all_["once"], all_["twice"]), 17, burn + 2 * samples), RARE), "classes")
     unseen = {r["cls"]: r["logp"] for r in inner.where("n = 0").collect()}  # a row a class
     priced = ws.keep(rare.join(inner.select("cls", F.col("n").alias("c"), "logp"), ["cls", "c"]).unionByName(
         words.join(F.broadcast(chosen), "h", "left_semi").withColumn("logp", F.lit(0.0))).unionByName(

@@ -72,6 +72,35 @@ def test_gibbs_draws_the_exact_distribution_of_tables():
     assert all(abs(seen[k] / n - w / z) < 0.03 for k, w in weight.items())
 
 
+def test_production_turns_keep_the_tables_of_large_dishes():
+    """Production turns against the exact conditional of one dish after the other, with dishes above EXACT."""
+    c, base, d, s = np.array([150, 700, 40, 5]), np.array([0.2, 0.5, 0.05, 0.25]), 0.5, 1.0
+    rng, st = np.random.default_rng(3), log_stirling(d)
+    full = log_stirling(d, 700)
+    t, plain, got = np.ones(4, np.int64), np.zeros(4), np.zeros(4)
+    for i in range(3000):  # exact conditional of each dish in turn
+        for m in range(4):
+            k = np.arange(1, c[m] + 1)
+            logit = full[c[m], 1:c[m] + 1] + np.cumsum(np.log(s + d * (t.sum() - t[m] + k - 1))) + k * np.log(base[m])
+            t[m] = 1 + (logit + rng.gumbel(size=len(k))).argmax()
+        plain += t * (i >= 200) / 2800
+    t = np.ones(4, np.int64)
+    for i in range(3000):
+        t = sample_tables(c, t, base, s, d, st, rng)
+        got += t * (i >= 200) / 2800
+    assert np.allclose(got, plain, rtol=0.1), (got, plain)
+
+
+def test_all_words_of_a_class_are_seated(monkeypatch):
+    seated = []
+    draw = hpylm._draw_large
+    monkeypatch.setattr(hpylm, "_draw_large", lambda c, *a: seated.append(len(c)) or draw(c, *a))
+    rows = pa.record_batch([pa.array([4, 4, 4], pa.int32()), pa.array([1, 20, 90]), pa.array([500, 300, 200])], names=["cls", "n", "words"])
+    out = [r for b in hpylm._classes(0.6, 1, 12)([rows]) for r in b.to_pylist()]
+    assert seated == [200] * 12 and len(out) == 4
+    assert abs(sum(10 ** r["logp"] * max(r["words"], r["n"] == 0) for r in out) - 1) < 1e-9
+
+
 def test_tokens_and_contexts():
     run = tokens_of(pa.array(["A b", None, " a\x0b\x1cb  ", ""]))
     words = ["A b", "", " a\x0b\x1cb  ", ""]
