@@ -64,14 +64,17 @@ def delineate(dams: DataFrame, tiles: DataFrame) -> DataFrame:
     return keyed.groupBy("dam_id").applyInPandas(_kernel, PRODUCT)
 
 
-def delineate_growing(dams: DataFrame, tiles: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def delineate_growing(dams: DataFrame, tiles: DataFrame | Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Windows grow by half (one tile at least) for the dams whose catchment touches the edge: four jobs at most.
 
+    ``tiles`` may be a function that makes the tiles of the (zoom, x, y) an attempt asks for.
+
     A dam that would need more than MOST_TILES keeps its last product, marked touches_edge.
     """
     todo, done = plan_windows(dams), None
     for attempt in range(ATTEMPTS):
-        out = cut(delineate(todo, tiles))
+        have = tiles(tile_keys(todo).select("zoom", "x", "y").distinct()) if callable(tiles) else tiles
+        out = cut(delineate(todo, have))
         wider = F.col("pad") + F.greatest(F.lit(1), F.expr("pad div 2"))
         again = F.col("touches_edge") & (F.pow(2 * wider + 1, F.lit(2)) <= MOST_TILES) & F.lit(attempt < ATTEMPTS - 1)
         good = out.where(~again)

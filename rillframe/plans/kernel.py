@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillframe.operators import catchments
 from rillframe.plans.tables import table
+from rillframe.storage import lineage_cut
 
 
 def _valleys(batches) -> Iterator:
@@ -33,12 +34,13 @@ def dams(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("sizing_km2"), F.when(k % 2 == 0, (k + 1).cast("double") / 10).alias("official_km2"))
 
 
+def _made(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col("zoom").alias("z"), "x", "y").mapInPandas(_valleys, "z int, x int, y int, cells binary")
+
+
 def q_kernel_delineate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlet, area and ring size of every catchment (first attempt of the window)."""
-    planned = catchments.plan_windows(dams(spark, sf_dir)).where("length(dam_id) <= 3")
-    keys = catchments.tile_keys(planned).select(F.col("zoom").alias("z"), "x", "y").distinct()
-    tiles = keys.mapInPandas(_valleys, "z int, x int, y int, cells binary")
-    out = catchments.delineate(planned, tiles)
+    """Outlet, area and ring size of every catchment, from windows that grow while it touches the edge."""
+    out = catchments.delineate_growing(dams(spark, sf_dir), _made, lineage_cut(spark, "kernel"))
     return out.select("dam_id", "zoom", "pad", "method", "radius_m", F.round("area_km2", 6).alias("area_km2"), "lake_cells", "touches_edge", "tiles_ok", "tiles_missing",
                       F.size("ring").alias("vertices"))
 

@@ -50,6 +50,25 @@ def test_dataframe_program_equals_the_kernel(spark):
     assert sorted(r.dam_id for r in grown) == ["a", "b"]
 
 
+def test_kernel_query_grows_windows_for_every_nation(spark, tmp_path, monkeypatch):
+    """All 25 nations go to the growing delineation; touching ones come back with wider windows."""
+    from rillframe.plans import kernel
+
+    spark.range(25).select(F.col("id").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    asked = []
+
+    def planned(dams, tiles):
+        asked.append(dams.count())
+        empty = [x.split()[0] for x in catchments.PRODUCT.split(", ") if x.split()[0] not in ("dam_id", "zoom", "pad", "touches_edge")]
+        rows = dams.select("dam_id", "zoom", "pad", (F.col("dam_id").isin("n-3", "n-17") & (F.col("pad") < 4)).alias("touches_edge"))
+        kinds = {f.name: f.dataType for f in spark.createDataFrame([], catchments.PRODUCT.replace(": ", ":")).schema}
+        return rows.select("*", *[F.lit(None).cast(kinds[n]).alias(n) for n in empty if n in kinds])
+
+    monkeypatch.setattr(catchments, "delineate", planned)
+    got = {r.dam_id: r.pad for r in kernel.q_kernel_delineate(spark, str(tmp_path)).collect()}
+    assert asked == [25, 2, 2] and got == {f"n-{i}": 4 if i in (3, 17) else 2 for i in range(25)}
+
+
 def test_minimax_equals_the_kernel_without_rise(spark, monkeypatch):
     monkeypatch.setattr(terrain, "RISE", 0.0)
     z = np.random.default_rng(2).integers(0, 30, (9, 8)).astype(float)
