@@ -34,13 +34,24 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix."""
-    return mixing.interleave(docs)
+    return mixing.interleave(docs, spread=SMALL)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.bpe_encode(docs, tokenizer_path(), digests=True)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, source, and slot and place of the mix.
 
+    A table that is read in parallel loses the order of its files, so every token row
+    carries its place: the mix of the same rows is the same again.  The encoded rows are
+    written first, because the mix reads its rows more than once.
+    """
+    carried = {f"c_{c}": F.col(c) for c in SMALL}
+    rows = Workspace(spark, "tokens").keep(bpe.bpe_encode(docs, tokenizer_path(), digests=True, carry=carried), "encoded")
+    mixed, names = mixing.mix(rows, source_col="c_source", spread=list(carried))
+    return mixed.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("c_source").alias("source"), names["slot"], names["place"])
+
+
+#: Columns of documents, without the text, that place a row of a null or repeated id in the mix.
+SMALL = ["doc_id", "lang", "source", "n_chars"]
 
 STAGES = [
     ("toxicity", toxicity_stage),

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillframe.llm.common import Workspace, texts_of
 
@@ -305,6 +306,8 @@ def build_lexicon(words: list[str], path: str) -> bytes:
 
 
 def _tasks(path: str, lexicon, digests: bool):
+    """(doc_id, text, carried columns) to the encoded rows, the carried columns last."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -315,18 +318,18 @@ def _tasks(path: str, lexicon, digests: bool):
             counts = pa.array([len(b) // 4 for b in ids], pa.int64())
             if digests:
                 decoded = [sha(encoder.vocab.decode(np.frombuffer(b, "<u4")).encode()) for b in ids]
-                yield pa.record_batch([batch.column(0), counts, pa.array(map(sha, ids), pa.string()), pa.array(decoded, pa.string())],
-                                      names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": pa.array(map(sha, ids), pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             else:
-                yield pa.record_batch([batch.column(0), counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                out = {"doc_id": batch.column(0), "n_tokens": counts, "ids": pa.array(ids, pa.binary())}
+            yield pa.record_batch([*out.values(), *batch.columns[2:]], names=[*out, *batch.schema.names[2:]])
 
     return run
 
 
 def bpe_encode(docs: DataFrame, path: str, most: int = LEXICON_WORDS, digests: bool = False,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", carry: Mapping[str, Column] | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit), or with ``digests`` the SHA-256 of
-    the ids and of the text decoded from them.
+    the ids and of the text decoded from them; then the columns ``carry`` names, as they are.
 
     A null text is encoded as empty (no ids).  The vocabulary's special strings in a
     text become their ids.  Repeated rows all come back; an empty table gives no rows;
@@ -335,7 +338,14 @@ def bpe_encode(docs: DataFrame, path: str, most: int = LEXICON_WORDS, digests: b
     rows = texts_of(docs, id_col, text_col)
     spark = docs.sparkSession
     lexicon = spark.sparkContext.broadcast(build_lexicon(frequent_words(rows, most), path))
-    return rows.mapInArrow(_tasks(path, lexicon, digests), DIGESTS if digests else ENCODED)
+    schema = StructType.fromDDL(DIGESTS if digests else ENCODED)
+    if carry:
+        if set(carry) & set(schema.names):
+            raise ValueError(f"carried columns need other names than {', '.join(schema.names)}")
+        also = docs.select(*[c.alias(n) for n, c in carry.items()])
+        rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for n, c in carry.items()])
+        schema = StructType([*schema.fields, *also.schema.fields])
+    return rows.mapInArrow(_tasks(path, lexicon, digests), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from rillframe.llm.common import row_binaries, texts_of
+from rillframe.llm.common import row_binaries, small_batches, texts_of
 from rillframe.llm.patricia import PatriciaTrie
 
 #: Bytes of edges that a task's trie holds before it spills a subtree (reducer) or sends its rows on (combiner).
@@ -133,18 +134,105 @@ def exact_dedup(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text
     )
 
 
-def drop_copies(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that own their text, one of repeated rows, with all columns.
+KEPT_PARTS = PART_SCHEMA + ", payload binary"
+
+
+def _whole_rows(batch, others: list[int]) -> Iterator[tuple[bytes, int | None, bytes]]:
+    """(normalised text, id, payload) of every row; the payload holds its text, where lower-casing changes it, and its other values."""
+    import pickle
+
+    texts = batch.column(1).to_pylist()
+    values = zip(*(batch.column(i).to_pylist() for i in others)) if others else [()] * batch.num_rows
+    for doc_id, view, text, rest in zip(batch.column(0).to_pylist(), row_binaries(_normalised(batch)), texts, values):
+        body = bytes(view)
+        yield body, doc_id, pickle.dumps((None if text is not None and text.encode() == body else (text,), rest), 5)
+
+
+def _combine_rows(others: list[int], last: bool):
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        def send(trie):
+            for batch, payloads in _owner_batches(trie):
+                yield pa.record_batch([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"])
+
+        trie = PatriciaTrie(1 << 62, last=last)
+        for batch in batches:
+            for body, doc_id, payload in _whole_rows(batch, others):
+                trie.insert(body, doc_id, doc_id, 1, payload)
+            if trie.held > TRIE_BYTES:
+                yield from send(trie)
+                trie = PatriciaTrie(1 << 62, last=last)
+        yield from send(trie)
+
+    return run
+
+
+def _owner_batches(trie: PatriciaTrie) -> Iterator[tuple]:
+    import xxhash
+
+    rows, payloads, size = [], [], 0
+    for body, o in trie.owners():
+        rows.append((len(body), xxhash.xxh64_intdigest(body) - (1 << 63), body, o.low, o.high, o.count))
+        payloads.append(o.payload)
+        size += len(body) + len(o.payload) + 64
+        if size > BATCH_BYTES:
+            yield _table(rows), payloads
+            rows, payloads, size = [], [], 0
+    if rows:
+        yield _table(rows), payloads
+
+
+def _own_rows(schema, at: int, last: bool):
+    """Reduce side: the owning row of every distinct string; ``schema`` is Arrow's of the table, ``at`` the text's place."""
+
+    def run(batches) -> Iterator:
+        import pickle
+
+        import pyarrow as pa
 
-    Decisions attach by identifier: an identifier that stands on rows of several texts
-    keeps them all if it owns one of them.  Rows without an identifier stay only where
-    no row of their group has one.
+        trie = PatriciaTrie(TRIE_BYTES, last=last)
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in (3, 4, 5, 6)]
+            for view, low, high, n, payload in zip(row_binaries(batch.column(2)), *cols):
+                trie.insert(bytes(view), low, high, n, payload)
+        rows, size = [], 0
+        for body, o in trie.owners():
+            text, rest = pickle.loads(o.payload)
+            rows.append((*rest[:at], body.decode() if text is None else text[0], *rest[at:]))
+            size += len(body) + 200
+            if size > BATCH_BYTES:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def drop_copies(docs: DataFrame, keep: str = "low", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that own their text, with all columns: one row a distinct text.
+
+    Texts are equal and owners chosen as in :func:`exact_dedup`; a row without an
+    identifier owns its text only where no row of it has one.  Of rows with one
+    identifier and equal texts one stays, the same whatever their order.  Decisions are by text, not
+    by identifier, so ids that are null or stand on several texts lose nothing.  Whole rows
+    go through the tries, so texts are exchanged once and nothing is joined; a column
+    may have any name and type that Arrow knows.  An empty table gives an empty result.
     """
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("null")).alias(key)
-    own = exact_dedup(docs, keep, id_col, text_col).where("kept").select(named(F.col("doc_id"))).distinct()
-    # one exchange of the texts, by key: it serves the join and the removal of repeated rows
-    rows = docs.select("*", named(F.col(id_col))).join(own, key, "left_semi")
-    return rows.dropDuplicates([key, text_col]).select(*docs.columns)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if keep not in ("low", "high"):
+        raise ValueError(f"keep must be low or high, not {keep!r}")
+    small_batches(docs.sparkSession)
+    fields, places = docs.schema, range(len(docs.columns))
+    # by place: two added columns in front never clash with the table's names
+    plain = docs.toDF(*[f"c{i}" for i in places])
+    at = fields.names.index(text_col)
+    rows = plain.select(F.col(f"c{fields.names.index(id_col)}").cast("bigint").alias("key"), F.col(f"c{at}").cast("string").alias("body"),
+                        *[f"c{i}" for i in places if i != at])
+    others = list(range(2, len(fields) + 1))
+    kinds = StructType([StructField(f"c{i}", StringType() if i == at else f.dataType) for i, f in enumerate(fields)])
+    parts = rows.mapInArrow(_combine_rows(others, keep == "high"), KEPT_PARTS)
+    kept = parts.repartition("n_bytes", "part").mapInArrow(_own_rows(to_arrow_schema(kinds), at, keep == "high"), kinds)
+    return kept.toDF(*fields.names)

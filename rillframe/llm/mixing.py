@@ -1,66 +1,99 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Time is counted in slots of one block.  A source with ``u`` of the ``units`` slots of
-a period has block k released at floor(k * units / u) and due at
-ceil((k + 1) * units / u); the earliest deadline among the released blocks takes each
-slot.  With one block a slot every deadline is met, so after any number of slots a
-source is less than one block from its share.  The schedule of a period is a constant
-of ``units`` entries; the documents only look their slot up.
-
-Everything is DataFrame and SQL functions.  A source's documents are numbered without
-a window over the source: md5 prefixes cut it into small ranges, whose counts are
+Time is counted in slots of one block.  A source whose share of all weights is w / W has
+block k released at floor(k * W / w) and due at ceil((k + 1) * W / w); the earliest
+deadline among the released blocks takes each slot.  The shares fill every slot, so all
+deadlines are met and after any number of slots a source is less than one block from
+its target, whatever the number of sources.
+
+The weights are integers, so the schedule repeats after W slots.  Only the table of
+sources is scheduled in sequence, on the driver (a row a source, at most SLOTS slots);
+the documents look their slot up.  Weights too fine for such a period are scheduled once
+through, in blocks that are doubled until they are few enough.
+
+Everything on the rows is DataFrame and SQL functions.  A source's documents are numbered
+without a window over the source: md5 prefixes cut it into small ranges, whose counts are
 summed in two levels, so a source with a third of all rows is spread like any other.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period: the resolution of the weights and the most sources there can be.
-UNITS = 1000
+#: Slots that the driver schedules at most.
+SLOTS = 1 << 21
 #: Documents of a block, and documents of one numbered range at most on average.
 BLOCK, RANGE = 16, 256
+#: Denominators of given weights at most.
+FINEST = 10**6
 
 
-def _shares(counts: DataFrame, weights: Mapping[str, float] | None, units: int) -> DataFrame:
-    """(skey, source, u): integer slots that sum to ``units``, one at least, the rest by largest remainder."""
+def whole_weights(counts: list[tuple[str | None, int]], weights: Mapping[str, float] | None) -> list[int]:
+    """Integer weights of the sources, without a common factor: the given ones, or the square root of the size, rounded up.
+
+    A source that ``weights`` lacks takes the least of the given ones.
+    """
     if weights is None:
-        weight = F.ceil(F.sqrt("n")).cast("bigint")
+        out = [math.isqrt(n - 1) + 1 for _, n in counts]
+    else:
+        parts = {k: Fraction(str(w)).limit_denominator(FINEST) for k, w in weights.items()}
+        if any(p <= 0 for p in parts.values()):
+            raise ValueError("weights must be positive, at least one millionth")
+        least = min(parts.values(), default=Fraction(1))
+        given = [parts.get(s, least) for s, _ in counts]
+        common = math.lcm(*(p.denominator for p in given))
+        out = [int(p * common) for p in given]
+    factor = math.gcd(*out) or 1
+    return [w // factor for w in out]
+
+
+def earliest_deadlines(weights: list[int], blocks: list[int] | None = None) -> list[list[int]]:
+    """Slots of each source's blocks: one period of sum(weights) slots, or only ``blocks`` blocks a source."""
+    total = sum(weights)
+    wanted = weights if blocks is None else blocks
+    later = [(0, i, 0) for i, n in enumerate(wanted) if n]  # (release, source, block)
+    heapq.heapify(later)
+    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
+    slots: list[list[int]] = [[] for _ in weights]
+    t = 0
+    while later or ready:
+        if not ready and later[0][0] > t:
+            t = later[0][0]  # sources that have run out leave their slots empty
+        while later and later[0][0] <= t:
+            _, i, k = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
+        _, i, k = heapq.heappop(ready)
+        slots[i].append(t)
+        t += 1
+        if k + 1 < wanted[i]:
+            heapq.heappush(later, ((k + 1) * total // weights[i], i, k + 1))
+    return slots
+
+
+def _schedule(spark, counts: list, weights: Mapping[str, float] | None, block: int):
+    """(block size, table of skey, w, all_w, period, slots): the slots of a period, or all slots with a period of null."""
+    import pyarrow as pa
+
+    sizes = [r["n"] for r in counts]
+    w = whole_weights([(r["source"], r["n"]) for r in counts], weights) if counts else []
+    period = sum(w)
+    if period <= SLOTS:
+        slots = earliest_deadlines(w)
     else:
-        table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, int(round(w * 1_000_000)))])
-        weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0)).cast("bigint")
-    everything = Window.partitionBy(F.lit(1))  # one row a source, at most ``units``
-    rows = counts.withColumn("w", weight).withColumn("all_w", F.greatest(F.sum("w").over(everything), F.lit(1)))
-    rows = rows.withColumn("spare", F.lit(units) - F.count("*").over(everything))
-    rows = rows.withColumn("part", F.expr("spare * w div all_w")).withColumn("rest", F.expr("spare * w % all_w"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), "skey")
-    left = F.col("spare") - F.sum("part").over(everything)
-    # without any weight the spare slots go round the sources
-    even = F.expr("left_over div n_all + case when place <= left_over % n_all then 1 else 0 end")
-    rows = rows.withColumn("left_over", left).withColumn("place", F.row_number().over(order)).withColumn("n_all", F.count("*").over(everything))
-    return rows.select("skey", "source", (F.lit(1) + F.col("part") + even).cast("int").alias("u"))
-
-
-def _schedule(shares: DataFrame, units: int) -> DataFrame:
-    """(skey, u, slots): earliest-deadline-first over one period, as a fold over its slots."""
-    one = shares.agg(F.sort_array(F.collect_list(F.struct("skey", "u"))).alias("s"))  # one row of at most ``units`` entries
-    # the pick is needed twice: the inner lambda binds it through a one-element array
-    step = f"""element_at(transform(array(array_min(filter(
-            transform(s, (x, i) -> named_struct(
-                'due', ((acc.k[i] + 1) * {units} + x.u - 1) div x.u, 'i', i,
-                'release', (acc.k[i] * {units}) div x.u)),
-            e -> e.release <= t)).i),
-            p -> named_struct('k', transform(acc.k, (v, i) -> if(i = p, v + 1, v)), 'picks', concat(acc.picks, array(p)))), 1)"""
-    picked = one.select("s", F.expr(f"""aggregate(sequence(0, {units - 1}),
-        named_struct('k', transform(s, x -> 0), 'picks', cast(array() as array<int>)),
-        (acc, t) -> {step}, acc -> acc.picks)""").alias("picks"))
-    slots = picked.select("s", F.posexplode("picks").alias("slot", "i"))
-    return slots.groupBy(F.expr("s[i].skey").alias("skey"), F.expr("s[i].u").alias("u")).agg(
-        F.sort_array(F.collect_list("slot")).alias("slots"))
+        while sum(-(-n // block) for n in sizes) > max(SLOTS, len(sizes)):
+            block *= 2
+        slots = earliest_deadlines(w, [-(-n // block) for n in sizes])
+    n = len(counts)
+    table = pa.table({
+        "skey": pa.array([r["skey"] for r in counts], pa.string()), "w": pa.array(w, pa.int64()), "all_w": pa.array([period] * n, pa.int64()),
+        "period": pa.array([period if period <= SLOTS else None] * n, pa.int64()), "slots": pa.array(slots, pa.list_(pa.int64()))})
+    return block, spark.createDataFrame(table)
 
 
 def _free(name: str, taken: list[str]) -> str:
@@ -69,33 +102,32 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, units: int = UNITS, seed: str = "0",
-        id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, dict[str, str]]:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, seed: str = "0",
+        id_col: str = "doc_id", source_col: str = "source", spread: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Every row of ``docs`` with its place in the mix; also the names of the added columns.
 
     Added (a trailing _ is put on a name that ``docs`` has): block (number within the
     source), place (within the block), slot (order by slot, then place), release and
-    deadline of the block, in slots.  ``weights`` maps sources to positive numbers, or
-    is None for the square root of the source's size; a source it lacks gets the
-    least share, one slot a period.  No row is dropped or repeated: once a source has
-    no blocks left its slots stay empty and the others keep their order.  A null source
-    is a source of its own, null ids are ordered together, repeated rows take
-    neighbouring places, an empty table gives an empty result.  More sources than
-    ``units`` are refused.
+    deadline of the block, in slots.  ``weights`` maps sources to positive numbers (taken
+    to a millionth), or is None for the square root of the source's size; a source it
+    lacks takes the least of them.  No row is dropped or repeated: once a source has no
+    blocks left its slots stay empty and the others keep their order.  A null source is
+    a source of its own.  Rows without an id are spread, and rows of one id are ordered,
+    by a hash of the columns ``spread`` (all of them unless named); rows that are equal
+    there take neighbouring places in any order.  An empty table gives an empty result.
     """
     taken = docs.columns
     names = {n: _free(n, taken) for n in ("block", "place", "slot", "release", "deadline")}
-    inner = {n: _free(f"mix_{n}", taken) for n in ("skey", "hash", "fine", "coarse", "from", "u", "slots")}
+    inner = {n: _free(f"mix_{n}", taken) for n in ("skey", "hash", "tie", "fine", "coarse", "from", "w", "all_w", "period", "slots")}
     skey = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("n"))
-    counts = docs.groupBy(skey.alias("skey"), F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
-    seen = counts.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
-    if seen["sources"] > units:
-        raise ValueError(f"{seen['sources']} sources need more than {units} units")
-    digits = max(1, math.ceil(math.log(max(1, (seen["most"] or 1) / RANGE), 16)))
-    schedule = _schedule(_shares(counts, weights, units), units)
-
-    h = F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.withColumn(inner["skey"], skey).withColumn(inner["hash"], h).withColumn(inner["fine"], F.substring(inner["hash"], 1, digits))
+    # a row a source: the only rows that the driver sees
+    counts = docs.groupBy(skey.alias("skey"), F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")).orderBy("skey").collect()
+    digits = max(1, math.ceil(math.log(max(1, max((r["n"] for r in counts), default=1) / RANGE), 16)))
+    block, schedule = _schedule(docs.sparkSession, counts, weights, block)
+
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in (taken if spread is None else spread)])
+    h = F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), tie.cast("string")))))
+    rows = docs.withColumn(inner["tie"], tie).withColumn(inner["skey"], skey).withColumn(inner["hash"], h).withColumn(inner["fine"], F.substring(inner["hash"], 1, digits))
     ranges = rows.groupBy(F.col(inner["skey"]).alias("skey"), F.col(inner["fine"]).alias("fine"),
                           F.substring(inner["fine"], 1, digits // 2).alias("coarse")).agg(F.count("*").alias("n"))
     above = Window.partitionBy("skey").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,32 +135,40 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     coarse = ranges.groupBy("skey", "coarse").agg(F.sum("n").alias("n")).select("skey", "coarse", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
     starts = ranges.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(coarse, ["skey", "coarse"]).select(
         F.col("skey").alias(inner["skey"]), F.col("fine").alias(inner["fine"]), (F.col("base") + F.col("inside")).alias(inner["from"]))
-    order = Window.partitionBy(inner["skey"], inner["fine"]).orderBy(inner["hash"], F.col(id_col))
+    order = Window.partitionBy(inner["skey"], inner["fine"]).orderBy(inner["hash"], F.col(id_col), inner["tie"])
     k = F.col(inner["from"]) + F.row_number().over(order) - 1
-    table = F.broadcast(schedule.select(F.col("skey").alias(inner["skey"]), F.col("u").alias(inner["u"]), F.col("slots").alias(inner["slots"])))  # ``units`` integers in all
-    u, b = F.col(inner["u"]).cast("bigint"), F.col(names["block"])
-    div = lambda x, y: F.floor(x / y)  # noqa: E731  exact below 2**53
+    # SLOTS integers in all, or a few rows a source
+    table = F.broadcast(schedule.select(*[F.col(n).alias(inner[n]) for n in ("skey", "w", "all_w", "period", "slots")]))
+    w, all_w, b = f"`{inner['w']}`", f"`{inner['all_w']}`", f"`{names['block']}`"
+    slot = f"""if(`{inner['period']}` is null, get(`{inner['slots']}`, cast({b} as int)),
+        {b} div {w} * `{inner['period']}` + get(`{inner['slots']}`, cast({b} % {w} as int)))"""
+    # products beyond 64 bits are wide decimals: the windows stay exact
+    wide = lambda x, y: f"cast({x} as decimal(20, 0)) * cast({y} as decimal(18, 0))"
     out = (
         rows.join(starts, [inner["skey"], inner["fine"]])
         .withColumn(names["place"], k)
         .join(table, inner["skey"])
-        .withColumn(names["block"], div(F.col(names["place"]), F.lit(block)))
+        .withColumn(names["block"], F.expr(f"`{names['place']}` div {block}"))
         .withColumn(names["place"], (F.col(names["place"]) % block).cast("int"))
-        .withColumn(names["slot"], div(b, u) * units + F.get(F.col(inner["slots"]), (b % u).cast("int")))
-        .withColumn(names["release"], div(b * units, u))
-        .withColumn(names["deadline"], div((b + 1) * units + u - 1, u))
+        .withColumn(names["slot"], F.expr(slot))
+        .withColumn(names["release"], F.expr(f"cast({wide(b, all_w)} div {w} as bigint)"))
+        .withColumn(names["deadline"], F.expr(f"cast(({wide(f'({b} + 1)', all_w)} + {w} - 1) div {w} as bigint)"))
     )
-    return out.select(*taken, *names.values()), names
+    return out.select(*[F.col(f"`{c}`") for c in taken], *names.values()), names
 
 
 def plan(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source and the place of every document."""
-    rows, names = mix(docs.select("doc_id", "source"), **options)
-    return rows.select("doc_id", "source", *names)
+    """doc_id, source and the place of every document; ``docs`` is read without its texts."""
+    rows, names = mix(docs.drop("text"), **options)
+    return rows.select("doc_id", "source", *names.values())
 
 
 def interleave(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in mix order: ordered partitions, ordered rows, no added column."""
+    """The rows of ``docs`` in mix order: ordered partitions, ordered rows, no added column.
+
+    A table written from it has the order in its files; who reads them in parallel takes
+    slot and place from :func:`mix` again, which is the same for the same rows.
+    """
     rows, names = mix(docs, **options)
     keys = [names["slot"], names["place"]]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[F.col(f"`{c}`") for c in docs.columns])

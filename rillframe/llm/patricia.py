@@ -8,16 +8,29 @@ import tempfile
 from collections.abc import Iterator
 from os.path import commonprefix
 
+from xxhash import xxh64_intdigest
+
 
 class Owner:
-    """What a terminal node stores: smallest and largest identifier and the number of rows."""
+    """What a terminal node stores: smallest and largest identifier, the number of rows, and a payload.
+
+    The payload is that of the owning row: of the largest identifier if ``last``, else of the
+    smallest; a row with an identifier before one without, and the smaller payload of equals.
+    """
 
-    __slots__ = ("low", "high", "count")
+    __slots__ = ("low", "high", "count", "payload")
 
-    def __init__(self, low, high, count):
-        self.low, self.high, self.count = low, high, count
+    def __init__(self, low, high, count, payload=None):
+        self.low, self.high, self.count, self.payload = low, high, count, payload
 
-    def add(self, low, high, count) -> None:
+    def add(self, low, high, count, payload=None, last: bool = False) -> None:
+        if payload is not None:
+            mine, other = (self.high, high) if last else (self.low, low)
+            if mine == other:
+                if payload < self.payload:
+                    self.payload = payload
+            elif mine is None or (other is not None and (other > mine if last else other < mine)):
+                self.payload = payload
         if low is not None and (self.low is None or low < self.low):
             self.low = low
         if high is not None and (self.high is None or high > self.high):
@@ -44,35 +57,39 @@ class PatriciaTrie:
 
     When the stored edges exceed ``limit_bytes`` the largest subtree of the root
     is written to an unlinked temporary file, string by string, and later strings
-    for it go straight to that file.  ``owners()`` reads each spilled subtree
-    back into a trie of its own, so memory stays near the limit.
+    for it go straight to that file.  ``owners()`` deals each spilled subtree by the
+    hash of its strings into files of about the limit and reads them back into tries of
+    their own, one at a time, so memory stays near the limit.  The files are a task's
+    scratch: a task that is run again writes its own.
     """
 
-    def __init__(self, limit_bytes: int = 96 << 20, depth: int = 0) -> None:
-        self.root, self.limit, self.held, self.depth = Node(b""), limit_bytes, 0, depth
+    def __init__(self, limit_bytes: int = 96 << 20, depth: int = 0, last: bool = False) -> None:
+        self.root, self.limit, self.held, self.depth, self.last = Node(b""), limit_bytes, 0, depth, last
         self.by_kid: dict[int, int] = {}
         self.owed = 0
 
-    def insert(self, key: bytes, low, high, count: int) -> None:
+    def insert(self, key: bytes, low, high, count: int, payload: bytes | None = None) -> None:
         node, at, n = self.root, 0, len(key)
+        extra = len(payload) if payload is not None else 0
         while True:
             if node.spilled is not None:
-                _put(node.spilled, key, low, high, count)
+                _put(node.spilled, key, low, high, count, payload)
                 return
             if at == n:
                 if node.owner is None:
-                    node.owner = Owner(low, high, count)
+                    node.owner = Owner(low, high, count, payload)
+                    self.owed += extra
                 else:
-                    node.owner.add(low, high, count)
+                    node.owner.add(low, high, count, payload, self.last)
                 return
             kid = node.kids.get(key[at]) if node.kids else None
             if kid is None:
                 kid = Node(key[at:])
-                kid.owner = Owner(low, high, count)
+                kid.owner = Owner(low, high, count, payload)
                 if node.kids is None:
                     node.kids = {}
                 node.kids[key[at]] = kid
-                self._grew(key[0], n - at + 300)
+                self._grew(key[0], n - at + 300 + extra)
                 return
             same = _shared(key, at, kid.edge)
             if same < len(kid.edge):  # split the edge
@@ -97,7 +114,7 @@ class PatriciaTrie:
         kid = self.root.kids[first]
         out = tempfile.TemporaryFile(prefix="subtree-")  # unlinked: it goes with the process
         for key, owner in _walk(kid, b""):
-            _put(out, key, owner.low, owner.high, owner.count)
+            _put(out, key, owner.low, owner.high, owner.count, owner.payload)
         kid.kids, kid.owner, kid.edge, kid.spilled = None, None, bytes([first]), out
         self.held -= self.by_kid.pop(first)
 
@@ -108,31 +125,27 @@ class PatriciaTrie:
             yield key, owner
         self.root = Node(b"")
         for out in late:
-            # the strings of one subtree share their first byte: the next level splits on the bytes after it
+            # the strings of one subtree share their first byte: the next level deals them by the hash of the whole string
+            size = out.seek(0, os.SEEK_END)
             out.seek(0)
-            parts: dict[int, object] = {}
-            size = os.fstat(out.fileno()).st_size
-            fan = 1 if size <= self.limit or self.depth > 6 else 2 + size // self.limit
-            if fan == 1:
-                trie = PatriciaTrie(1 << 62, self.depth + 1)
+            fan = 1 + size // max(1, self.limit // 8)  # a short string costs several times its bytes as a node
+            parts = {0: out}
+            if fan > 1:
+                parts = {}
                 for row in _get(out):
+                    part = xxh64_intdigest(row[0], self.depth) % fan
+                    if part not in parts:
+                        parts[part] = tempfile.TemporaryFile(prefix="subtree-")
+                    _put(parts[part], *row)
+                out.close()
+            for part in parts.values():
+                part.seek(0)
+                # rows of one string are one entry, so only a few very long strings can be over the limit here
+                trie = PatriciaTrie(1 << 62, self.depth + 1, self.last)
+                for row in _get(part):
                     trie.insert(*row)
+                part.close()
                 yield from trie.owners()
-            else:
-                for row in _get(out):
-                    key = row[0]
-                    tail = hash(key[: 64 << self.depth]) % fan
-                    if tail not in parts:
-                        parts[tail] = tempfile.TemporaryFile(prefix="subtree-")
-                    _put(parts[tail], *row)
-                for part in parts.values():
-                    part.seek(0)
-                    trie = PatriciaTrie(self.limit, self.depth + 1)
-                    for row in _get(part):
-                        trie.insert(*row)
-                    part.close()
-                    yield from trie.owners()
-            out.close()
 
 
 def _walk(node: Node, prefix: bytes, late: list | None = None) -> Iterator[tuple[bytes, Owner]]:
@@ -149,15 +162,16 @@ def _walk(node: Node, prefix: bytes, late: list | None = None) -> Iterator[tuple
             stack += [(k, prefix) for k in node.kids.values()]
 
 
-_HEAD = struct.Struct("<IBqqq")
+_HEAD = struct.Struct("<IBqqqi")
 
 
-def _put(out, key: bytes, low, high, count) -> None:
-    out.write(_HEAD.pack(len(key), low is not None, low or 0, high or 0, count))
+def _put(out, key: bytes, low, high, count, payload=None) -> None:
+    out.write(_HEAD.pack(len(key), low is not None, low or 0, high or 0, count, -1 if payload is None else len(payload)))
     out.write(key)
+    out.write(payload or b"")
 
 
 def _get(src) -> Iterator[tuple]:
     while head := src.read(_HEAD.size):
-        n, known, low, high, count = _HEAD.unpack(head)
-        yield src.read(n), (low if known else None), (high if known else None), count
+        n, known, low, high, count, m = _HEAD.unpack(head)
+        yield src.read(n), (low if known else None), (high if known else None), count, (src.read(m) if m >= 0 else None)

@@ -116,24 +116,20 @@ FROM e GROUP BY conv_id""",
     # the schedule is simulated slot by slot: the earliest deadline among the released blocks takes the slot
     "op5_mixing": """
 WITH RECURSIVE c AS (SELECT source, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS w FROM documents GROUP BY 1),
-p AS (SELECT *, (1000 - count(*) OVER ()) AS spare, (sum(w) OVER ())::BIGINT AS all_w FROM c),
-q AS (SELECT *, spare * w // all_w AS part, spare * w % all_w AS rest FROM p),
-r AS (SELECT *, (spare - sum(part) OVER ())::BIGINT AS left_over, count(*) OVER () AS n_all,
-             row_number() OVER (ORDER BY rest DESC, source) AS place FROM q),
-src AS (SELECT source, 1 + part + left_over // n_all + CASE WHEN place <= left_over % n_all THEN 1 ELSE 0 END AS u,
-               row_number() OVER (ORDER BY source) AS i FROM r),
-us AS (SELECT list(u ORDER BY i) AS us FROM src),
+g AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g FROM c),
+src AS (SELECT source, w // g.g AS w, sum(w // g.g) OVER ()::BIGINT AS all_w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c, g),
+ws AS (SELECT list(w ORDER BY i) AS ws, any_value(all_w) AS n FROM src),
 sim AS (
-  SELECT -1 AS t, list_transform(us, lambda x: 0::BIGINT) AS k, 0::BIGINT AS pick, us FROM us
+  SELECT -1::BIGINT AS t, list_transform(ws, lambda x: 0::BIGINT) AS k, 0::BIGINT AS pick, ws, n FROM ws
   UNION ALL
-  SELECT t + 1, list_transform(k, lambda v, j: CASE WHEN j = p THEN v + 1 ELSE v END), p, us
-  FROM (SELECT t, k, us, list_min(list_transform(list_filter(range(1, len(us) + 1), lambda j: k[j] * 1000 // us[j] <= t + 1),
-                                lambda j: ((k[j] + 1) * 1000 + us[j] - 1) // us[j] * 100000 + j)) % 100000 AS p
-        FROM sim WHERE t < 999)),
+  SELECT t + 1, list_transform(k, lambda v, j: CASE WHEN j = p THEN v + 1 ELSE v END), p, ws, n
+  FROM (SELECT t, k, ws, n, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda j: k[j] * n // ws[j] <= t + 1),
+                                lambda j: ((k[j] + 1) * n + ws[j] - 1) // ws[j] * 100000 + j)) % 100000 AS p
+        FROM sim WHERE t < n - 1)),
 slots AS (SELECT pick AS i, list(t ORDER BY t) AS slots FROM sim WHERE t >= 0 GROUP BY 1),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0-' || doc_id), doc_id) - 1 AS k FROM documents)
-SELECT doc_id, d.source, k // 16 AS block, (k % 16)::INTEGER AS place, k // 16 // u * 1000 + slots[k // 16 % u + 1] AS slot,
-       k // 16 * 1000 // u AS release, ((k // 16 + 1) * 1000 + u - 1) // u AS deadline
+SELECT doc_id, d.source, k // 16 AS block, (k % 16)::INTEGER AS place, k // 16 // w * all_w + slots[k // 16 % w + 1] AS slot,
+       k // 16 * all_w // w AS release, ((k // 16 + 1) * all_w + w - 1) // w AS deadline
 FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source JOIN slots USING (i)""",
 }
 

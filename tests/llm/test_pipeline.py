@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from rillframe.llm import mixing
 from rillframe.llm.near_dup import near_duplicates
 from rillframe.llm.simhash import shingle_hashes, words_of
 from rillframe.llm.toxicity import fit, held_out
@@ -116,3 +117,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for i, t in left:
         assert got[i].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids)
     assert np.unique([r.ids_sha256 for r in got.values()]).size > 10
+    # the place in the mix stands on every row, whatever the order in which files are read
+    whole = {i: (s, n) for i, _, _, s, n in docs}
+    placed = {r.doc_id: (r.slot, r.place) for r in mixing.plan(spark.createDataFrame([(i, whole[i][0]) for i, _ in left], "doc_id long, source string")).collect()}
+    assert {i: (r.slot, r.place) for i, r in got.items()} == placed
+    assert all(got[i].source == whole[i][0] for i in got)
