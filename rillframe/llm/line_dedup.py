@@ -253,32 +253,29 @@ def _entries(tau: int, buckets: int):
     return run
 
 
+#: Entries of a bucket that are held before they are sorted and thinned.
+HELD = 1 << 20
+
+
 def _meetings(batches) -> Iterator:
-    """Entries whose key has an index entry and a probe entry of two different lines: (key, lid, probe)."""
-    import pyarrow as pa
+    """Rows sorted by bucket to the entries whose key has an index and a probe entry of two different lines: (key, short, probe).
 
-    held: dict[int, tuple[list, list]] = {}
+    One bucket is held at a time, and of its entries each distinct one once.
+    """
+    import pyarrow as pa
 
     def rows(k, v):
         return pa.record_batch([pa.array(k), pa.array(v >> 1), pa.array((v & 1).astype(bool))], names=["key", "short", "probe"])
 
-    for batch in batches:
-        raw = [row_binaries(batch.column(i)) for i in (1, 2)]
-        for bucket, k, v in zip(batch.column(0).to_pylist(), *raw):
-            k, v = np.frombuffer(k, np.int64).copy(), np.frombuffer(v, np.int64).copy()
-            if bucket < 0:
-                yield rows(k, v)
-            else:
-                held.setdefault(bucket, ([], []))
-                held[bucket][0].append(k)
-                held[bucket][1].append(v)
-    for bucket in list(held):
-        ks, vs = held.pop(bucket)
+    def distinct(ks, vs):
         k, v = np.concatenate(ks), np.concatenate(vs)
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))  # a line comes from every task that has it
-        k, v = k[new], v[new]
+        return k[new], v[new]
+
+    def close(ks, vs):
+        k, v = distinct(ks, vs)
         start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
         size = np.diff(np.append(start, len(k)))
         probes = np.add.reduceat(v & 1, start)
@@ -290,6 +287,28 @@ def _meetings(batches) -> Iterator:
         if keep.any():
             yield rows(k[keep], v[keep])
 
+    now, ks, vs, held, limit = None, [], [], 0, HELD
+    for batch in batches:
+        raw = [row_binaries(batch.column(i)) for i in (1, 2)]
+        for bucket, k, v in zip(batch.column(0).to_pylist(), *raw):
+            if bucket != now:
+                if ks:
+                    yield from close(ks, vs)
+                now, ks, vs, held, limit = bucket, [], [], 0, HELD
+            k, v = np.frombuffer(k, np.int64).copy(), np.frombuffer(v, np.int64).copy()
+            if bucket < 0:
+                yield rows(k, v)
+                continue
+            ks.append(k)
+            vs.append(v)
+            held += len(k)
+            if held > limit:
+                k, v = distinct(ks, vs)
+                ks, vs, held = [k], [v], len(k)
+                limit = max(HELD, 2 * held)
+    if ks:
+        yield from close(ks, vs)
+
 
 def _bits(short: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of a value in a filter of ``size`` bits, a power of two."""
@@ -409,7 +428,7 @@ def _compare(tau: int):
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, blank, owner_doc, owner_pos, n_links) of every line.
+    """(doc_id, pos, digest, blank, owner_doc, owner_pos, n_links) of every line.
 
     Lines are in one class when they are equal or joined by links of at most ``tau``
     edits (fewer for short lines: one for each ``PER_EDIT`` characters of the shorter).
@@ -426,7 +445,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
 
     # which lines meet under a key, without texts; then the texts of those alone
     buckets = max(8, lines.count() * 15 // BUCKET)
-    live = ws.keep(texts.mapInArrow(_entries(tau, buckets), ENTRIES).repartition("bucket").mapInArrow(_meetings, "key bigint, short bigint, probe boolean").distinct(), "live")
+    live = ws.keep(texts.mapInArrow(_entries(tau, buckets), ENTRIES).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings, "key bigint, short bigint, probe boolean").distinct(), "live")
     size = 1 << 14
     while size < min(FILTER_BITS, 8 * live.count()):
         size *= 2
@@ -455,7 +474,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
     classes = ws.keep(owners.join(near, "digest", "left").select(
         "digest", F.coalesce("first", "owner").alias("owner"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return lines.join(classes, "digest", "left").select(
-        "doc_id", "pos", F.col("digest").isNull().alias("blank"), F.col("owner.doc_id").alias("owner_doc"), F.col("owner.pos").alias("owner_pos"),
+        "doc_id", "pos", "digest", F.col("digest").isNull().alias("blank"), F.col("owner.doc_id").alias("owner_doc"), F.col("owner.pos").alias("owner_pos"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -477,9 +496,41 @@ def line_dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     ).withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """(doc_id, text) without the lines that another occurrence owns; ids have to be unique and not null."""
-    kept = line_classes(docs, tau).where(_kept()).groupBy("doc_id").agg(F.collect_set("pos").alias("stay"))  # a document's own lines
-    rows = texts_of(docs).join(kept, "doc_id", "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return rows.select("doc_id", F.array_join(F.filter(parts, lambda x, i: F.array_contains(F.coalesce("stay", F.array().cast("array<int>")), i)), "\n").alias("text"))
+def _row_lines(batches) -> Iterator:
+    """(row, doc_id, text) to (row, doc_id, pos, digest) of the lines that aren't blank."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = [(row, doc_id, pos, digest_of(x)) for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns))
+               for pos, x in enumerate((text or "").split("\n")) if not _blank(x)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["row", "doc_id", "pos", "digest"])
+
+
+def _without(batches) -> Iterator:
+    """(doc_id, text, gone) to the text without the lines at the places ``gone``."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            places = set(gone or ())
+            out.append("\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in places))
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+
+def drop_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of every row without the lines that another occurrence owns.
+
+    Rows of one id (or of none) are one document, as in :func:`line_dedup`: the line that
+    owns its class stays in each of them that has it at the owner's place.  A text all of
+    whose lines go is empty, a null text is the empty text, an empty table gives no rows;
+    other columns are ignored.
+    """
+    ws = Workspace(docs.sparkSession, "kept")
+    rows = ws.keep(texts_of(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    gone = line_classes(rows, tau).where(~_kept()).select("doc_id", "pos", "digest").distinct()
+    each = rows.mapInArrow(_row_lines, "row bigint, doc_id bigint, pos int, digest binary").alias("e")
+    same = F.col("e.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("e.pos") == F.col("g.pos")) & (F.col("e.digest") == F.col("g.digest"))
+    places = each.join(gone.alias("g"), same, "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))  # a row's own lines
+    return rows.join(places, "row", "left").select("doc_id", "text", "gone").mapInArrow(_without, "doc_id bigint, text string")

@@ -242,7 +242,6 @@ def _grow(forest: Forest, i, j, shift: int, ia, ib, out_a: list, out_b: list) ->
 
 TILE_SCHEMA = "item bigint, fp bigint, sketch binary, tile bigint"
 BLOCK_SCHEMA = "tile bigint, block bigint, ids binary, fps binary, sketches binary"
-VISIT_SCHEMA = BLOCK_SCHEMA + ", home bigint"
 OPEN_SCHEMA = "pair bigint, side int, item bigint, grp bigint"
 
 
@@ -258,39 +257,33 @@ def _place(tiling: Tiling) -> Callable:
     return run
 
 
-def _visits(offsets: list[int]) -> Callable:
-    """A block goes to its own tile and to the neighbours whose key is larger: each pair of tiles meets once."""
-    ahead = [d for d in offsets if d >= 0]
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            tiles = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).take(pa.array([0] * len(ahead)))
-                yield pa.record_batch([*row.columns, pa.array([int(tiles[at]) + d for d in ahead], pa.int64())],
-                                      names=[*batch.schema.names, "home"])
-
-    return run
-
-
 def block_pairs(items: DataFrame, tiling: Tiling, ws: Workspace, label: str = "") -> DataFrame:
-    """Pairs of blocks of items (item, fp, sketch, size) that may hold partners, each pair once."""
+    """Pairs of blocks of items (item, fp, sketch, size) that may hold partners, each pair once.
+
+    The keys of the blocks are paired first: a row a block, joined with the neighbour
+    tiles that exist.  The payloads are fetched for these pairs alone, by (tile, block), so
+    the pairs of the fullest tile are spread over its blocks.
+    """
     placed = ws.keep(items.select("item", "fp", "sketch", "size").mapInArrow(_place(tiling), TILE_SCHEMA), f"{label}placed")
-    # one row a tile that is used: bounded by the number of count vectors, not by the documents
+    # one row a tile that is used, which may be as many as the documents: Spark chooses the join by its size
     tiles = placed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cut"))
     blocks = ws.keep(
-        placed.join(F.broadcast(tiles), "tile")  # 17 ** segments rows at most (83,521), or count steps x size buckets
+        placed.join(tiles, "tile")
         .groupBy("tile", F.pmod(F.xxhash64("fp"), "cut").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("item", "fp", "sketch"))).alias("rows"))
         .mapInArrow(_pack, BLOCK_SCHEMA), f"{label}blocks")
-    visits = blocks.mapInArrow(_visits(tiling.neighbours()), VISIT_SCHEMA)
-    home = blocks.select(F.col("tile").alias("home"), F.col("block").alias("block2"), F.col("ids").alias("ids2"),
-                         F.col("fps").alias("fps2"), F.col("sketches").alias("sketches2"))
-    pairs = visits.join(home, "home").where((F.col("tile") != F.col("home")) | (F.col("block") <= F.col("block2")))
+    keys = blocks.select("tile", "block")
+    # a pair of tiles meets at the smaller key only
+    ahead = F.array(*[F.lit(d).cast("bigint") for d in tiling.neighbours() if d >= 0])
+    visits = keys.select("tile", "block", F.explode(ahead).alias("offset")).select("tile", "block", (F.col("tile") + F.col("offset")).alias("home"))
+    pairs = ws.keep(visits.join(keys.select(F.col("tile").alias("home"), F.col("block").alias("block2")), "home")
+                    .where((F.col("tile") != F.col("home")) | (F.col("block") <= F.col("block2"))), f"{label}pairs")
+    payload = ("ids", "fps", "sketches")
+    left = blocks.select("tile", "block", *payload)
+    right = blocks.select(F.col("tile").alias("home"), F.col("block").alias("block2"), *[F.col(n).alias(n + "2") for n in payload])
     same = (F.col("tile") == F.col("home")) & (F.col("block") == F.col("block2"))
-    return pairs.select("ids", "fps", "sketches", "ids2", "fps2", "sketches2", same.alias("same"), F.xxhash64("tile", "block", "home", "block2").alias("pair"))
+    return pairs.join(left, ["tile", "block"]).join(right, ["home", "block2"]).select(
+        *payload, *[n + "2" for n in payload], same.alias("same"), F.xxhash64("tile", "block", "home", "block2").alias("pair"))
 
 
 def link_items(items: DataFrame, tiling: Tiling, ws: Workspace, floor: float = 0.0) -> DataFrame:

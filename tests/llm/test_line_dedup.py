@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillframe.llm import line_dedup as ld
@@ -121,6 +123,37 @@ def test_texts_without_repeated_lines_and_empty_table(spark):
     assert ld.line_dedup(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_drop_lines_with_null_ids_repeats_clashes_and_long_texts(spark):
+    line, other = "a line that is long enough", "another line of some length"
+    rows = [(None, f"{line}\nonly here and nowhere else"), (None, None), (None, f"{line}\nmore"), (4, f"{line}\n{other}"), (4, f"{line}\n{other}"), (9, other),
+            (10, ""), (11, "\n".join([line] * 20_000 + ["the end of it"]))]
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, row int, gone int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ld.drop_lines(df).collect()), key=repr)
+    # ids come before none: document 4 owns both lines, in both of its rows
+    want = [(None, "only here and nowhere else"), (None, ""), (None, "more"), (4, f"{line}\n{other}"), (4, f"{line}\n{other}"), (9, ""), (10, ""), (11, "the end of it")]
+    assert got == sorted(want, key=repr)
+    assert ld.drop_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_buckets_are_streamed_one_at_a_time(monkeypatch, held):
+    rng, rows, want = np.random.default_rng(5), [], set()
+    seen = {}
+    for bucket in range(6):
+        for _ in range(5):
+            k, v = rng.integers(0, 30, 40) * 10 + bucket, rng.integers(0, 12, 40)
+            rows.append((bucket, k.tobytes(), v.tobytes()))
+            for a, b in zip(k.tolist(), v.tolist()):
+                seen.setdefault(a, set()).add(b)
+    for k, vs in seen.items():
+        if len({v >> 1 for v in vs}) > 1 and any(v & 1 for v in vs) and any(not v & 1 for v in vs):
+            want |= {(k, v >> 1, bool(v & 1)) for v in vs}
+    monkeypatch.setattr(ld, "HELD", held)
+    batch = pa.record_batch([pa.array([r[i] for r in rows]) for i in range(3)], names=["bucket", "keys", "lines"])
+    got = [tuple(r.values()) for b in ld._meetings([batch.slice(0, 11), batch.slice(11)]) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_very_long_lines():
     a = "xy" * 60_000
     assert ld.within(a, a[:50_000] + "z" + a[50_001:], 2) and not ld.within(a, "zzz" + a[3:], 2)
