@@ -5,7 +5,11 @@ calendar dates; address octets; social security ranges; phone and mail forms).
 value becomes a list of units with radices, and a keyed Feistel network adds a hash of
 one half to the other half, unit by unit and modulo its radix: a permutation of the
 format's values.  Equal values get equal pseudonyms in every document, different
-values different ones, and the pseudonym passes the same validation.
+values different ones, and the pseudonym passes the same validation.  A phone number is
+its digits after the country code, so one number has one pseudonym in all its writings.
+A day whose writing could be read either way is taken day first; those that can only
+be month first are permuted among themselves, so the two never meet.  The domain of a
+mail address stays as it is.
 
 Everything is Spark SQL expressions over single rows: no Python, no shuffle.
 """
@@ -22,7 +26,10 @@ ROUNDS = 10
 # The forms, in Java's syntax.  Every quantifier is bounded or possessive, so a pass is linear in the text.
 _WORD = r"[\p{L}\p{N}_]"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-_PHONE = rf"(?<!{_WORD}|\+)\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{2,4}}){{2,4}}(?!{_WORD})"
+# with a country code (ten digits after +1), and ten digits in the national forms that belong to +1
+_PHONE = (rf"(?<!{_WORD}|\+)\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!{_WORD})"
+          rf"|(?<!{_WORD}|\+)\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,4}}){{2,5}}(?!{_WORD})"
+          rf"|(?<!{_WORD}|[/.-])(?:\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{_WORD}|-\d)")
 _DATE = rf"(?<!{_WORD}|[/.-])(?:\d{{4}}-\d\d-\d\d|\d\d/\d\d/\d{{4}}|\d\d\.\d\d\.\d{{4}})(?!{_WORD}|[/-]\d)"
 _SSN = rf"(?<!{_WORD}|-)\d{{3}}-\d\d-\d{{4}}(?!{_WORD}|-\d)"
 _IP = rf"(?<!{_WORD}|\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!{_WORD}|\.\d)"
@@ -34,9 +41,14 @@ PATTERN = "|".join((_MAIL, _PHONE, _DATE, _SSN, _IP, _CARD))
 _ISSUERS = (r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}"
             r"|3(?:0[0-5]|[68]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}|(?:6011|65\d\d|64[4-9]\d)\d{12}|62\d{14,17})$")
 
+#: Country calling codes of one and two digits; all others have three.
+_CALLING = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: First day and number of days of the dates that are permuted: 400 Gregorian years, 189 x 773 days.
 EPOCH, YEARS = "1800-01-01", (1800, 2199)
 _RADIX_DATE = (189, 773)
+#: Days after the twelfth of their month among them, 9 x 9833: what only reads as a date with the month first.
+_RADIX_LATE = (9, 9833)
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 _CHARS = "transform(sequence(1, length(x.m)), i -> substring(x.m, i, 1))"
@@ -63,6 +75,7 @@ def _kind() -> str:
     return rf"""case
         when contains(x.m, '@') then 'mail'
         when startswith(x.m, '+') then if(length({_DIGITS}) between 8 and 15, 'phone', null)
+        when x.m rlike r'^(?:\(\d{{3}}\) ?|\d{{3}}-)\d{{3}}-\d{{4}}$' then 'phone'
         when x.m rlike r'^\d{{3}}-\d\d-\d{{4}}$' then if({ssn}, 'ssn', null)
         when x.m rlike r'^(?:\d{{4}}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{{4}})$' then concat('date', {_date_order()})
         when x.m rlike r'^\d{{1,3}}\.' then if(forall(split(x.m, r'\.'), o -> cast(o as int) <= 255), 'ip', null)
@@ -74,7 +87,8 @@ def _at() -> str:
     chars = "sequence(1, length(x.m))"
     return rf"""case x.kind
         when 'mail' then filter({chars}, i -> i < instr(x.m, '@') and substring(x.m, i, 1) rlike '[A-Za-z0-9]')
-        when 'phone' then filter({chars}, i -> i > length(regexp_extract(x.m, r'^\+(?:\d{{1,3}}(?=\D)|\d\d)', 0)) and substring(x.m, i, 1) rlike '[0-9]')
+        when 'phone' then filter({chars}, i -> substring(x.m, i, 1) rlike '[0-9]' and length(regexp_replace(left(x.m, i), '[^0-9]', ''))
+            > if(startswith(x.m, '+'), length(regexp_extract({_DIGITS}, r'{_CALLING}', 0)), 0))
         when 'card' then filter({chars}, i -> substring(x.m, i, 1) rlike '[0-9]'
             and length(regexp_replace(left(x.m, i), '[^0-9]', '')) between 7 and length({_DIGITS}) - 1)
         else cast(array() as array<int>) end"""
@@ -84,7 +98,10 @@ def _units() -> str:
     day = f"datediff(to_date(case x.kind when 'datey' then x.m when 'dated' then concat(right(x.m, 4), '-', substring(x.m, 4, 2), '-', left(x.m, 2)) "\
           f"else concat(right(x.m, 4), '-', left(x.m, 2), '-', substring(x.m, 4, 2)) end, 'yyyy-MM-dd'), date'{EPOCH}')"
     area = "cast(left(x.m, 3) as int)"
+    # twelve days of every month, this one included, come before and are left out
+    late = f"({day} - 12 * ((cast(right(x.m, 4) as int) - {YEARS[0]}) * 12 + cast(left(x.m, 2) as int)))"
     return rf"""case
+        when x.kind = 'datem' then array(cast({late} div {_RADIX_LATE[1]} as int), {late} % {_RADIX_LATE[1]})
         when x.kind = 'ip' then transform(split(x.m, r'\.'), o -> cast(o as int))
         when startswith(x.kind, 'date') then array(cast(({day}) div {_RADIX_DATE[1]} as int), ({day}) % {_RADIX_DATE[1]})
         when x.kind = 'ssn' then array({area} - if({area} > 666, 2, 1), cast(substring(x.m, 5, 2) as int) - 1, cast(right(x.m, 4) as int) - 1)
@@ -93,6 +110,7 @@ def _units() -> str:
 
 def _radices() -> str:
     return f"""case
+        when x.kind = 'datem' then array({_RADIX_LATE[0]}, {_RADIX_LATE[1]})
         when x.kind = 'ip' then array(256, 256, 256, 256)
         when startswith(x.kind, 'date') then array({_RADIX_DATE[0]}, {_RADIX_DATE[1]})
         when x.kind = 'ssn' then array(898, 99, 9999)
@@ -123,6 +141,11 @@ def _written() -> str:
     text = f"array_join(transform(sequence(1, length(x.m)), i -> {char}), '')"
     payload = f"left(regexp_replace({text}, '[^0-9]', ''), length({_DIGITS}) - 1)"
     day = f"date_add(date'{EPOCH}', x.new[0] * {_RADIX_DATE[1]} + x.new[1])"
+    rank = f"(x.new[0] * {_RADIX_LATE[1]} + x.new[1])"
+    first = f"(datediff(add_months(date'{EPOCH}', mo), date'{EPOCH}') - 12 * mo)"  # late days before the month
+    # months have 16 to 19 late days, 18.4369 on average: two months to either side are enough
+    month = f"array_max(filter(sequence(greatest(0, cast({rank} / 18.4369 as int) - 2), cast({rank} / 18.4369 as int) + 2), mo -> {first} <= {rank}))"
+    late = f"element_at(transform(array({month}), mo -> date_add(add_months(date'{EPOCH}', mo), {rank} - {first} + 12)), 1)"
     area = "(x.new[0] + if(x.new[0] >= 665, 2, 1))"
     return f"""case
         when x.kind is null then x.m
@@ -130,7 +153,7 @@ def _written() -> str:
         when x.kind = 'ip' then array_join(x.new, '.')
         when x.kind = 'datey' then date_format({day}, 'yyyy-MM-dd')
         when x.kind = 'dated' then date_format({day}, concat('dd', substring(x.m, 3, 1), 'MM', substring(x.m, 6, 1), 'yyyy'))
-        when x.kind = 'datem' then date_format({day}, concat('MM', substring(x.m, 3, 1), 'dd', substring(x.m, 6, 1), 'yyyy'))
+        when x.kind = 'datem' then date_format({late}, concat('MM', substring(x.m, 3, 1), 'dd', substring(x.m, 6, 1), 'yyyy'))
         when x.kind = 'ssn' then concat(lpad({area}, 3, '0'), '-', lpad(x.new[1] + 1, 2, '0'), '-', lpad(x.new[2] + 1, 4, '0'))
         else {text} end"""
 

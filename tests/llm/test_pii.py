@@ -1,9 +1,12 @@
 import datetime
+import hashlib
 import random
 import re
 
 import pytest
+import regex
 
+from rillframe.llm import pii
 from rillframe.llm.pii import pseudonymise
 
 
@@ -90,3 +93,115 @@ def test_plan_has_no_python_and_no_shuffle(spark):
 def test_edge_dates_stay_dates(spark, day):
     ((text, n, kinds),) = run(spark, [day])
     assert n == 1 and kinds == ["datey"] and 1800 <= datetime.date.fromisoformat(text).year <= 2199
+
+
+# --- a second implementation in plain Python ---------------------------------
+
+EPOCH = datetime.date(1800, 1, 1)
+DAYS = [EPOCH + datetime.timedelta(n) for n in range(146_097)]
+LATE = [d for d in DAYS if d.day > 12]
+TWO = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+
+
+def day_of(y, m, d):
+    try:
+        return datetime.date(int(y), int(m), int(d)) if 1800 <= int(y) <= 2199 else None
+    except ValueError:
+        return None
+
+
+def network(kind, units, radices, key):
+    secret = hashlib.sha256(key.encode()).hexdigest()
+    half = len(units) // 2
+    parts = [units[:half], units[half:]]
+    sizes = [radices[:half], radices[half:]]
+    for r in range(10):
+        own, other = r % 2, ",".join(map(str, parts[1 - r % 2]))
+        parts[own] = [(v + int(hashlib.sha256("|".join([secret, kind[:4], str(r), str(j), other]).encode()).hexdigest()[:12], 16)) % sizes[own][j]
+                      for j, v in enumerate(parts[own])]
+    return parts[0] + parts[1]
+
+
+def spread(kind, m, places, key):
+    """The characters at ``places`` permuted, letters within their case."""
+    units = [int(m[i]) if m[i].isdigit() else ord(m[i].lower()) - 97 for i in places]
+    new = network(kind, units, [10 if m[i].isdigit() else 26 for i in places], key)
+    out = list(m)
+    for i, v in zip(places, new):
+        out[i] = str(v) if m[i].isdigit() else chr(v + (97 if m[i].islower() else 65))
+    return "".join(out)
+
+
+def plain(m, key):
+    """The pseudonym of a candidate and its kind; None where it doesn't validate."""
+    digits = re.sub(r"\D", "", m)
+    if "@" in m:
+        return spread("mail", m, [i for i in range(m.index("@")) if re.match("[A-Za-z0-9]", m[i])], key), "mail"
+    if m[0] == "+" or re.fullmatch(r"(\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}", m):
+        if m[0] == "+" and not 8 <= len(digits) <= 15:
+            return m, None
+        skip = 0 if m[0] != "+" else 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO else 3
+        return spread("phone", m, [i for i, c in enumerate(m) if c.isdigit()][skip:], key), "phone"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        a, b, c = map(int, m.split("-"))
+        if a in (0, 666) or a >= 900 or not b or not c:
+            return m, None
+        areas = [x for x in range(1, 900) if x != 666]
+        x, y, z = network("ssn", [areas.index(a), b - 1, c - 1], [898, 99, 9999], key)
+        return f"{areas[x]:03d}-{y + 1:02d}-{z + 1:04d}", "ssn"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4}", m):
+        a, b, c = re.split("[-/.]", m)
+        if len(a) == 4:
+            kind, day = "datey", day_of(a, b, c)
+        else:
+            kind, day = ("dated", day_of(c, b, a)) if day_of(c, b, a) else ("datem", day_of(c, a, b))
+        if day is None:
+            return m, None
+        of, radix = (LATE, (9, 9833)) if kind == "datem" else (DAYS, (189, 773))
+        x, y = network(kind, list(divmod(of.index(day), radix[1])), list(radix), key)
+        new = of[x * radix[1] + y]
+        form = {"datey": "{y}-{m}-{d}", "dated": "{d}{s}{m}{t}{y}", "datem": "{m}{s}{d}{t}{y}"}[kind]
+        return form.format(y=f"{new.year:04d}", m=f"{new.month:02d}", d=f"{new.day:02d}", s=m[2], t=m[5]), kind
+    if re.match(r"\d{1,3}\.", m):
+        octets = list(map(int, m.split(".")))
+        return (".".join(map(str, network("ip", octets, [256] * 4, key))), "ip") if max(octets) <= 255 else (m, None)
+    if re.match(pii._ISSUERS, digits) and luhn(digits):
+        at = [i for i, c in enumerate(m) if c.isdigit()]
+        new = spread("card", m, at[6:-1], key)[:-1]
+        return next(new + c for c in "0123456789" if luhn(re.sub(r"\D", "", new + c))), "card"
+    return m, None
+
+
+def both(spark, texts, key="k"):
+    got = run(spark, texts, key)
+    for text, (new, n, kinds) in zip(texts, got):
+        found = [plain(m[0], key) for m in regex.finditer(pii.PATTERN, text)]
+        made = iter(found)
+        assert (new, n, kinds) == (regex.sub(pii.PATTERN, lambda m: next(made)[0], text), sum(k is not None for _, k in found), sorted(k for _, k in found if k)), text
+    return got
+
+
+def test_a_year_of_both_date_orders_is_one_to_one(spark):
+    year = [datetime.date(1999, 1, 1) + datetime.timedelta(n) for n in range(365 * 3)]
+    texts = sorted({f"{d:%d/%m/%Y}" for d in year} | {f"{d:%m/%d/%Y}" for d in year})
+    new = [t for t, *_ in both(spark, texts)]
+    assert len(set(new)) == len(texts) and all(n == 1 for _, n, _ in run(spark, new))
+
+
+def test_one_phone_number_in_all_writings_is_one_pseudonym(spark):
+    forms = ["+1 (555) 123-4567", "+1 555 123 4567", "+15551234567", "+1-555-123-4567", "(555) 123-4567", "555-123-4567"]
+    got = [re.sub(r"\D", "", t)[-10:] for t, *_ in both(spark, forms)]
+    assert len(set(got)) == 1 and got[0] != "5551234567"
+    other = ["+353 1 234 5678", "+35312345678", "+44 20 7946 0958", "+442079460958", "+7 (495) 123-45-67"]
+    new = [re.sub(r"\D", "", t) for t, *_ in both(spark, other)]
+    assert new[0] == new[1] and new[2] == new[3] and [n[:3] for n in new[::2]] == ["353", "442"[:2] + new[2][2], "7" + new[4][1:3]]
+
+
+def test_whole_texts_equal_the_plain_implementation(spark):
+    rng = random.Random(11)
+    piece = [lambda: card(rng), lambda: card(rng, "34", 15), lambda: f"+{rng.randrange(1, 999)} {rng.randrange(10, 9999)} {rng.randrange(10, 9999)}-{rng.randrange(1000)}",
+             lambda: f"{rng.choice('abC')}{rng.randrange(99)}.x@m{rng.randrange(9)}.example.org", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+             lambda: f"{rng.randrange(1000):03d}-{rng.randrange(100):02d}-{rng.randrange(10000):04d}", lambda: f"{rng.randrange(1, 14):02d}/{rng.randrange(1, 32):02d}/{rng.randrange(1790, 2210)}",
+             lambda: f"{rng.randrange(1, 32):02d}.{rng.randrange(1, 13):02d}.{rng.randrange(1900, 2100)}", lambda: f"({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d}",
+             lambda: rng.choice(["word", "12", "é", "2021-02-30", "1.2.3.4.5", "x@y", "\n"])]
+    both(spark, [" ".join(rng.choice(piece)() for _ in range(rng.randrange(1, 12))) for _ in range(300)], "another key")
