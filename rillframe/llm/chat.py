@@ -53,9 +53,10 @@ def unescape(text: str) -> str:
 
 @dataclass
 class Attachment:
-    """What a placeholder stands for."""
+    """What a placeholder stands for: its order within the turn, and the label that stands in the text."""
 
     number: int
+    label: str
     kind: str
     reference: str
     tokens: int
@@ -69,18 +70,32 @@ class Flat:
     attachments: list[Attachment] = field(default_factory=list)
 
 
+#: Sizes beyond this are taken as unknown.
+MOST = 1 << 31
+
+
+def _size(value) -> float:
+    """A positive number, also written as text; anything else counts as one."""
+    try:
+        x = float(value)
+    except (TypeError, ValueError):
+        return 1.0
+    return x if not isinstance(value, bool) and 0 < x < MOST else 1.0
+
+
 class PartVisitor:
     """Flattens typed parts in order; one method a kind.
 
     An image costs one token a tile of ``tile`` pixels a side and one for the whole,
-    audio ``audio_rate`` tokens a second begun, a document ``page_tokens`` a page.  An
-    unknown size counts as one tile, second or page.  An unknown kind is an error; a
-    null part or text is empty.
+    audio ``audio_rate`` tokens a second begun, a document ``page_tokens`` a page begun.  A
+    size that is unknown, no positive number or beyond MOST counts as one pixel, second or
+    page.  A part of an unknown kind is kept as an attachment of kind ``other`` without tokens;
+    a null part or text is empty.  ``prefix`` leads the number in a placeholder.
     """
 
-    def __init__(self, tile: int = 512, audio_rate: int = 25, page_tokens: int = 800, first: int = 1) -> None:
-        self.tile, self.audio_rate, self.page_tokens = tile, audio_rate, page_tokens
-        self.next, self.found = first, []
+    def __init__(self, tile: int = 512, audio_rate: int = 25, page_tokens: int = 800, prefix: str = "") -> None:
+        self.tile, self.audio_rate, self.page_tokens, self.prefix = tile, audio_rate, page_tokens, prefix
+        self.found: list[Attachment] = []
 
     def visit(self, content: str | list | None) -> Flat:
         parts = content if isinstance(content, list) else [{"type": "text", "text": content}]
@@ -92,30 +107,33 @@ class PartVisitor:
                 continue
             kind = part.get("type", "text")
             if kind == "text":
-                held += part.get("text") or ""
+                text = part.get("text")
+                held += text if isinstance(text, str) else "" if text is None else json.dumps(text, ensure_ascii=False)
                 continue
-            handler = getattr(self, f"visit_{kind}", None)
-            if handler is None:
-                raise ValueError(f"unknown content part {kind!r}")
-            out += [escape(held, before_placeholder=True), self._attach(kind, part, handler(part))]
+            if kind not in ("image", "audio", "document"):
+                kind = "other"
+            out += [escape(held, before_placeholder=True), self._attach(kind, part, getattr(self, f"visit_{kind}")(part))]
             held = ""
         return Flat("".join([*out, escape(held)]), self.found)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> str:
         reference = str(part.get("url") or part.get("id") or part.get("name") or "")
-        self.found.append(Attachment(self.next, kind, reference, tokens))
-        self.next += 1
-        return f"{PLACE}{kind} {self.next - 1}|>"
+        number = len(self.found) + 1
+        self.found.append(Attachment(number, f"{self.prefix}{number}", kind, reference, tokens))
+        return f"{PLACE}{kind} {self.prefix}{number}|>"
 
     def visit_image(self, part: dict) -> int:
-        wide, high = (max(1, math.ceil((part.get(k) or 1) / self.tile)) for k in ("width", "height"))
+        wide, high = (math.ceil(_size(part.get(k)) / self.tile) for k in ("width", "height"))
         return wide * high + 1
 
     def visit_audio(self, part: dict) -> int:
-        return max(1, math.ceil(part.get("seconds") or 1)) * self.audio_rate
+        return math.ceil(_size(part.get("seconds"))) * self.audio_rate
 
     def visit_document(self, part: dict) -> int:
-        return max(1, int(part.get("pages") or 1)) * self.page_tokens
+        return math.ceil(_size(part.get("pages"))) * self.page_tokens
+
+    def visit_other(self, part: dict) -> int:
+        return 0
 
 
 def write_role(role: str | None) -> str:
@@ -146,7 +164,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 
 PIECES = ("conv_id bigint, run bigint, piece int, formatted string, n_turns int, loss array<struct<start:int,stop:int>>, "
-          "attachments array<struct<turn:bigint,number:int,kind:string,reference:string,tokens:int>>, attached_tokens bigint")
+          "attachments array<struct<turn:bigint,number:int,label:string,kind:string,reference:string,tokens:bigint>>, attached_tokens bigint")
 
 
 def _format(typed: bool, trained: frozenset[str]):
@@ -156,9 +174,10 @@ def _format(typed: bool, trained: frozenset[str]):
         schema = pa.schema([
             ("conv_id", pa.int64()), ("run", pa.int64()), ("piece", pa.int32()), ("formatted", pa.string()), ("n_turns", pa.int32()),
             ("loss", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-            ("attachments", pa.list_(pa.struct([("turn", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("reference", pa.string()), ("tokens", pa.int32())]))),
+            ("attachments", pa.list_(pa.struct([("turn", pa.int64()), ("number", pa.int32()), ("label", pa.string()), ("kind", pa.string()), ("reference", pa.string()),
+                                                ("tokens", pa.int64())]))),
             ("attached_tokens", pa.int64())])
-        key, piece, out, held = None, 0, [], []
+        key, piece, out, held, ordinal = None, 0, [], [], 0
         size = n = 0
         loss, files = [], []
 
@@ -179,9 +198,9 @@ def _format(typed: bool, trained: frozenset[str]):
             for conv, at, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (conv, at) != key:
                     close()
-                    key, piece = (conv, at), 0
-                visitor = PartVisitor(first=len(files) + 1)
-                flat = visitor.visit(content_of(text, typed))
+                    key, piece, ordinal = (conv, at), 0, 0
+                flat = PartVisitor(prefix=f"{'n' if at is None else at}.{ordinal}.").visit(content_of(text, typed))
+                ordinal += 1
                 marked, start, stop = format_turn(role, flat.text)
                 out.append(marked)
                 if role in trained:
@@ -220,7 +239,9 @@ def format_conversations(turns: DataFrame, typed: bool = True, trained: tuple[st
     ``turns`` has conv_id, turn, role, text; other columns are ignored.  Null texts are
     empty, a null role is the empty role, null turns come first, rows with one turn
     number are ordered by role and text and all kept, null conversations are one
-    conversation.  Attachments are numbered within a piece.  An empty table gives no rows.
+    conversation.  A placeholder's label is run, place of the row in the run and number in
+    the turn (``0.3.1``; a null turn's run is ``n``), so it's unique in the conversation and
+    doesn't depend on the pieces.  An empty table gives no rows.
     """
     small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("bigint"), F.expr(f"cast(turn as bigint) div {RUN}").alias("run"), F.col("turn").cast("bigint"),
@@ -229,7 +250,8 @@ def format_conversations(turns: DataFrame, typed: bool = True, trained: tuple[st
         _format(typed, frozenset(trained)), PIECES)
 
 
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, attached_tokens bigint"
+DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, attached_tokens bigint, "
+DIGESTS += "n_attachments bigint, attachments_sha256 string"
 
 
 def _digest(batches) -> Iterator:
@@ -237,22 +259,22 @@ def _digest(batches) -> Iterator:
     import pyarrow as pa
 
     names = [x.split()[0] for x in DIGESTS.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     rows: list[tuple] = []
     some, key = False, None
-    turns = loss = None
-    n = chars = loss_chars = tokens = 0
+    turns = loss = files = None
+    n = chars = loss_chars = tokens = attached = 0
 
     def close():
         if some:
-            rows.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens))
+            rows.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens, attached, files.hexdigest()))
 
     for batch in batches:
-        for conv, formatted, spans, own in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss", "attached_tokens"))):
+        for conv, formatted, spans, own, parts in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss", "attached_tokens", "attachments"))):
             if not some or conv != key:
                 close()
-                some, key, turns, loss = True, conv, hashlib.sha256(), hashlib.sha256()
-                n = chars = loss_chars = tokens = 0
+                some, key, turns, loss, files = True, conv, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+                n = chars = loss_chars = tokens = attached = 0
             for role, text in read_turns(formatted):
                 turns.update(f"{role}\n{text}\n".encode())
                 n += 1
@@ -262,6 +284,9 @@ def _digest(batches) -> Iterator:
                 loss_chars += len(part)
             chars += len(formatted)
             tokens += own
+            attached += len(parts)
+            for x in parts:
+                files.update(f"{x['label']} {x['kind']} {x['reference']} {x['tokens']}\n".encode())
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
             rows = []
@@ -271,6 +296,10 @@ def _digest(batches) -> Iterator:
 
 
 def conversation_digests(pieces: DataFrame) -> DataFrame:
-    """One row a conversation: turns and loss text as read back from the formatted pieces."""
-    return pieces.select("conv_id", "run", "piece", "formatted", "loss", "attached_tokens").repartition("conv_id").sortWithinPartitions(
+    """One row a conversation: turns and loss text as read back from the formatted pieces, and a digest of its attachments.
+
+    The digests run over a conversation in order, so one task streams it, however long it
+    is; it holds one piece at a time.
+    """
+    return pieces.select("conv_id", "run", "piece", "formatted", "loss", "attached_tokens", "attachments").repartition("conv_id").sortWithinPartitions(
         "conv_id", "run", "piece").mapInArrow(_digest, DIGESTS)

@@ -64,6 +64,21 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns.unionByName(extra), typed=False))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as typed parts: its text, an image, and for some sound, a document and a kind that isn't known."""
+    turns = read_table(spark, sf_dir, "conversations")
+    text = lambda c: F.col(c).cast("string")
+    part = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in fields.items()]))
+    parts = F.array_compact(F.array(
+        part("text", text=F.col("text")),
+        part("image", url=F.concat_ws("/", F.lit("img"), text("conv_id"), text("turn")), width=300 + 200 * F.col("turn"), height=100 * (F.col("conv_id") % 20)),
+        F.when(F.col("turn") % 2 == 1, part("audio", id=F.concat(F.lit("a"), text("turn")), seconds=F.col("turn") + 0.5)),
+        F.when(F.col("conv_id") % 3 == 0, part("document", name=F.concat(F.lit("d"), text("conv_id")), pages=F.coalesce(F.length("text"), F.lit(0)) % 7)),
+        F.when(F.col("conv_id") % 5 == 0, part("video", id=F.lit("v")))))
+    typed = turns.select("conv_id", "turn", "role", F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("text"))
+    return conversation_digests(format_conversations(typed)).select("conv_id", "n_turns", "attached_tokens", "n_attachments", "attachments_sha256")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), radius=2, width=3)
 
@@ -84,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
+    "chat_typed_parts": chat_typed_parts,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_hpylm": op10_hpylm,
@@ -111,8 +127,21 @@ e AS (SELECT *, length(regexp_replace(text, '(\\*)(###|</turn>|<\|)', '\1\1_\2',
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(4 + length(role) + 2 + escaped_chars + 9)::BIGINT AS formatted_chars, 0::BIGINT AS attached_tokens
+       sum(4 + length(role) + 2 + escaped_chars + 9)::BIGINT AS formatted_chars, 0::BIGINT AS attached_tokens,
+       0::BIGINT AS n_attachments, sha256('') AS attachments_sha256
 FROM e GROUP BY conv_id""",
+    # the parts as their columns say, without any JSON: label, kind, reference and tokens in order
+    "chat_typed_parts": """
+WITH t AS (SELECT conv_id, turn, (turn // 64) || '.' || (row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn, role, text) - 1) || '.' AS lead_,
+                  turn % 2 = 1 AS sound, conv_id % 3 = 0 AS paper, conv_id % 5 = 0 AS film, coalesce(length(text), 0) % 7 AS pages FROM conversations),
+p AS (SELECT conv_id, turn, lead_ || '1' AS label, 1 AS k, 'image' AS kind, 'img/' || conv_id || '/' || turn AS ref,
+             ceil((300 + 200 * turn) / 512)::BIGINT * greatest(1, ceil(100 * (conv_id % 20) / 512))::BIGINT + 1 AS tokens FROM t
+      UNION ALL SELECT conv_id, turn, lead_ || '2', 2, 'audio', 'a' || turn, (turn + 1) * 25 FROM t WHERE sound
+      UNION ALL SELECT conv_id, turn, lead_ || (2 + sound::INT), 3, 'document', 'd' || conv_id, greatest(1, pages) * 800 FROM t WHERE paper
+      UNION ALL SELECT conv_id, turn, lead_ || (2 + sound::INT + paper::INT), 4, 'other', 'v', 0 FROM t WHERE film)
+SELECT conv_id, (SELECT count(*) FROM t u WHERE u.conv_id = p.conv_id) AS n_turns, sum(tokens)::BIGINT AS attached_tokens, count(*) AS n_attachments,
+       sha256(string_agg(label || ' ' || kind || ' ' || ref || ' ' || tokens || chr(10), '' ORDER BY turn, k)) AS attachments_sha256
+FROM p GROUP BY conv_id""",
     # the schedule is simulated slot by slot: the earliest deadline among the released blocks takes the slot
     "op5_mixing": """
 WITH RECURSIVE c AS (SELECT source, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS w FROM documents GROUP BY 1),

@@ -22,12 +22,15 @@ def test_escape_reads_back_and_hides_markup():
 
 def test_visitor_orders_parts_and_counts_tokens():
     parts = [{"type": "text", "text": "see \\"}, {"type": "image", "url": "u1", "width": 1025, "height": 10}, None, {"type": "text", "text": "<"},
-             {"type": "text", "text": "|x"}, {"type": "audio", "id": "a", "seconds": 2.5}, {"type": "document", "name": "d", "pages": 3}, {"type": "text"}]
+             {"type": "text", "text": "|x"}, {"type": "audio", "id": "a", "seconds": 2.5}, {"type": "document", "name": "d", "pages": 3}, {"type": "text"},
+             {"type": "video", "id": "v"}, {"type": "image", "width": "wide", "height": 1e300}, {"type": "audio", "seconds": "2.5"}, {"type": "document", "pages": True}]
     flat = PartVisitor().visit(parts)
-    assert flat.text == "see \\\\<|image 1|>\\<|x<|audio 2|><|document 3|>"
-    assert unescape(flat.text) == "see \\<|image 1|><|x<|audio 2|><|document 3|>"
+    rest = "<|other 4|><|image 5|><|audio 6|><|document 7|>"
+    assert flat.text == "see \\\\<|image 1|>\\<|x<|audio 2|><|document 3|>" + rest
+    assert unescape(flat.text) == "see \\<|image 1|><|x<|audio 2|><|document 3|>" + rest
     assert [(a.number, a.kind, a.reference, a.tokens) for a in flat.attachments] == [
-        (1, "image", "u1", 4), (2, "audio", "a", 75), (3, "document", "d", 2400)]
+        (1, "image", "u1", 4), (2, "audio", "a", 75), (3, "document", "d", 2400),
+        (4, "other", "v", 0), (5, "image", "", 2), (6, "audio", "", 75), (7, "document", "", 800)]
 
 
 def test_conversations_equal_plain_digests(spark):
@@ -55,6 +58,15 @@ def test_typed_parts_in_a_table_and_an_empty_table(spark):
     schema = "conv_id long, turn long, role string, text string"
     parts = json.dumps([{"type": "text", "text": "look "}, {"type": "image", "url": "u", "width": 10, "height": 10}])
     row = format_conversations(spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", "[not json")], schema)).first()
-    assert row.formatted == "### user: look <|image 1|> </turn>\n### assistant: [not json </turn>\n"
+    assert row.formatted == "### user: look <|image 0.0.1|> </turn>\n### assistant: [not json </turn>\n"
     assert row.attached_tokens == 2 and row.attachments[0].reference == "u" and row.attachments[0].turn == 0
     assert conversation_digests(format_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_labels_are_unique_in_a_conversation_and_rows_without_turn_take_part(spark):
+    parts = json.dumps([{"type": "image", "url": "u"}, {"type": "audio"}])
+    rows = [(1, t, "user", parts) for t in [*range(150), 7, None, None]]
+    out = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    labels = [a.label for r in out for a in r.attachments]
+    assert len(labels) == len(set(labels)) == 306 and "0.0.1" in labels and "n.1.2" in labels
+    assert all(f"<|{a.kind} {a.label}|>" in r.formatted for r in out for a in r.attachments)
