@@ -29,6 +29,8 @@ from rillframe.llm.common import Workspace, row_binaries, small_batches
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 4, 8192
 #: Vectors and queries of a block.
 VECTORS, QUERIES = 2048, 256
+#: Groups of vector blocks that queries are dealt to, and query blocks whose lists a task holds before it sends them on.
+GROUPS, LISTS = 64, 32
 
 
 @dataclass
@@ -184,46 +186,67 @@ def _nearest(order_ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((order_ids, dist))[:k]
 
 
-def _search(books: Codebooks, k: int):
-    """Rows of a query block and a vector block -> the k nearest of each query among the task's blocks."""
-    count = len(books.words)
+@dataclass
+class Lists:
+    """The nearest found so far of a block of queries."""
 
-    def run(batches) -> Iterator:
+    qids: np.ndarray
+    ids: list[np.ndarray]
+    dist: list[np.ndarray]
+
+    def batch(self):
         import pyarrow as pa
 
-        best: dict[tuple, tuple] = {}
+        return pa.record_batch([pa.array(np.repeat(self.qids, [len(x) for x in self.ids])), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.dist))],
+                               names=["query_id", "vec_id", "score"])
+
+
+def _take(lists: Lists, qx: np.ndarray, ids, x, codes, norms, missed, books: Codebooks, k: int) -> int:
+    """A block of vectors for a block of queries; how many candidates were measured exactly."""
+    place = codes.astype(np.int64) + WORDS * np.arange(len(books.words))
+    tables = qx @ books.flat.T  # inner products of every query with every codeword
+    measured = 0
+    for i, (qid, q) in enumerate(zip(lists.qids, qx)):
+        inner = tables[i][place].sum(1)
+        rough = np.sqrt(np.maximum(0.0, (q**2).sum() - 2 * inner + norms))
+        slack = missed + 1e-9 * (1 + rough)  # the sums above are rounded
+        upper = np.where(ids == qid, np.inf, rough + slack)
+        limit = lists.dist[i][-1] if len(lists.dist[i]) == k else np.inf
+        if len(upper) >= k:
+            limit = min(limit, np.partition(upper, k - 1)[k - 1])
+        some = np.nonzero((rough - slack <= limit) & (ids != qid))[0]
+        measured += len(some)
+        # summed in order of the dimensions: any engine's loop gives the same double
+        exact = np.sqrt(np.cumsum((x[some] - q) ** 2, axis=1)[:, -1])
+        both_ids, both = np.concatenate([lists.ids[i], ids[some]]), np.concatenate([lists.dist[i], exact])
+        pick = _nearest(both_ids, both, k)
+        lists.ids[i], lists.dist[i] = both_ids[pick], both[pick]
+    return measured
+
+
+def _search(books: Codebooks, k: int):
+    """Rows of a query block and a vector block -> the k nearest of each query among blocks of the task.
+
+    The lists of LISTS query blocks are held, so a block's bound serves the next; beyond
+    that the oldest are sent on and met again in the ranking.
+    """
+
+    def run(batches) -> Iterator:
+        held: dict[int, Lists] = {}
         names = ("q", "ids", "vectors", "codes", "norms", "missed", "qids", "qvectors", "dim")
         for batch in batches:
             raw = {n: row_binaries(batch.column(i)) for i, n in enumerate(names) if n not in ("q", "dim")}
             for r, (q, dim) in enumerate(zip(batch.column(0).to_pylist(), batch.column(8).to_pylist())):
                 ids, norms, missed = (np.frombuffer(raw[n][r], t) for n, t in (("ids", np.int64), ("norms", float), ("missed", float)))
-                x, codes = np.frombuffer(raw["vectors"][r], float).reshape(-1, dim), np.frombuffer(raw["codes"][r], np.uint8).reshape(-1, count)
-                qids, qx = np.frombuffer(raw["qids"][r], np.int64), np.frombuffer(raw["qvectors"][r], float).reshape(-1, dim)
-                old_ids, old_dist = best.get((q, dim), (None, None)) if (q, dim) in best else ([np.empty(0, np.int64)] * len(qids), [np.empty(0)] * len(qids))
-                new_ids, new_dist = [], []
-                place = codes.astype(np.int64) + WORDS * np.arange(count)
-                tables = qx @ books.of(dim).flat.T  # inner products of every query with every codeword
-                for i in range(len(qids)):
-                    inner = tables[i][place].sum(1)
-                    rough = np.sqrt(np.maximum(0.0, (qx[i] ** 2).sum() - 2 * inner + norms))
-                    slack = missed + 1e-9 * (1 + rough)  # the sums above are rounded
-                    upper = np.where(ids == qids[i], np.inf, rough + slack)
-                    limit = old_dist[i][-1] if len(old_dist[i]) == k else np.inf
-                    if len(upper) >= k:
-                        limit = min(limit, np.partition(upper, k - 1)[k - 1])
-                    some = np.nonzero((rough - slack <= limit) & (ids != qids[i]))[0]
-                    # summed in order of the dimensions: any engine's loop gives the same double
-                    exact = np.sqrt(np.cumsum((x[some] - qx[i]) ** 2, axis=1)[:, -1])
-                    both_ids, both = np.concatenate([old_ids[i], ids[some]]), np.concatenate([old_dist[i], exact])
-                    pick = _nearest(both_ids, both, k)
-                    new_ids.append(both_ids[pick])
-                    new_dist.append(both[pick])
-                best[q, dim] = (new_ids, new_dist)
-                best[q, dim, "ids"] = qids.copy()
-        for key, (found, dist) in ((key, v) for key, v in best.items() if len(key) == 2):
-            qids = best[(*key, "ids")]
-            yield pa.record_batch([pa.array(np.repeat(qids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(dist))],
-                                  names=["query_id", "vec_id", "score"])
+                x, codes = np.frombuffer(raw["vectors"][r], float).reshape(-1, dim), np.frombuffer(raw["codes"][r], np.uint8).reshape(len(ids), -1)
+                qids, qx = np.frombuffer(raw["qids"][r], np.int64).copy(), np.frombuffer(raw["qvectors"][r], float).reshape(-1, dim)
+                if q not in held:
+                    if len(held) >= LISTS:
+                        yield held.pop(next(iter(held))).batch()
+                    held[q] = Lists(qids, [np.empty(0, np.int64)] * len(qids), [np.empty(0)] * len(qids))
+                _take(held[q], qx, ids, x, codes, norms, missed, books.of(dim), k)
+        for lists in held.values():
+            yield lists.batch()
 
     return run
 
@@ -248,13 +271,16 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, i
     dims = [r[0] for r in clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()]
     if not dims:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = clean.where(F.size("v") == dims[0]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    books = fit_codebooks(np.array([r["v"] for r in rows]))
+    rows = clean.where(F.size("v") == dims[0]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()  # ``sample`` rows
+    books = fit_codebooks(rows.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims[0]))
     index = ws.keep(clean.mapInArrow(_blocks(books, VECTORS), BLOCKS), "index")
     ask = ws.keep(asked.mapInArrow(_blocks(None, QUERIES), BLOCKS).select(
         F.monotonically_increasing_id().alias("q"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("dim").alias("qdim")), "queries")
-    # the query set against all rows, block by block
-    pairs = index.crossJoin(ask).where("dim = qdim").select("q", "ids", "vectors", "codes", "norms", "missed", "qids", "qvectors", "dim")
+    # the query set against all rows, block by block: every query block goes once to each group of vector blocks
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
+    asking = ask.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GROUPS - 1).cast("bigint"))).alias("part"))
+    pairs = dealt.join(asking, (dealt["part"] == asking["part"]) & (dealt["dim"] == asking["qdim"])).select(
+        "q", "ids", "vectors", "codes", "norms", "missed", "qids", "qvectors", "dim")
     merged = pairs.mapInArrow(_search(books, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

@@ -1,5 +1,6 @@
 import numpy as np
 
+from rillframe.llm import ann
 from rillframe.llm.ann import Codebooks, fit_codebooks, nearest
 
 
@@ -37,3 +38,30 @@ def test_codes_beat_one_book_and_beams_beat_greedy():
     error = lambda b, beam: ((x - b.decode(b.encode(x, beam))) ** 2).sum()
     one = Codebooks(books.words[:1])
     assert error(books, 8) <= error(books, 1) < error(one, 1)
+
+
+def test_lists_that_are_sent_on_early_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LISTS", 1)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "VECTORS", 16)
+    monkeypatch.setattr(ann, "GROUPS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=300).tolist()) for i in range(120)]  # more dimensions than a codeword's number has bits
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nearest(df, every=10, k=5).collect())
+    assert got == plain(rows, set(range(0, 120, 10)), 5)
+
+
+def test_codes_spare_exact_distances():
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 32)) * 3
+    x = centre[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.3
+    books = fit_codebooks(x[:2000])
+    codes = books.encode(x)
+    back = books.decode(codes)
+    lists = ann.Lists(np.arange(20), [np.empty(0, np.int64)] * 20, [np.empty(0)] * 20)
+    measured = sum(ann._take(lists, x[:20], np.arange(at, at + 500), x[at:at + 500], codes[at:at + 500], (back[at:at + 500] ** 2).sum(1),
+                             np.sqrt(((x - back)[at:at + 500] ** 2).sum(1)), books, 10) for at in range(0, 4000, 500))
+    want = [sorted((np.sqrt(((x - q) ** 2).sum(1))).tolist())[1:11] for q in x[:20]]
+    assert np.allclose([d.tolist() for d in lists.dist], want)
+    assert measured < 0.25 * 20 * 4000
