@@ -1,48 +1,58 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The dishes are a menu of bounded size: the most frequent words of the corpus, the end of
-a text, and a class for each ending of the other words.  A restaurant for every context
-(the dish before) serves dishes; all of them share one parent, the root restaurant, whose
-parent is uniform.  Within a class of rare words a restaurant of its own says which word
-it was.  Every word of every training text is a customer, but the menu is capped: a rare
-word is known as a context, and after a context, only by its class.
+Every word of every training text, and the end of the text, is a customer.  A restaurant
+stands for each pair of words (the two before), and its tables are customers of the
+restaurant of the nearer word alone; the tables of those are customers of the root, whose
+parent is uniform over the vocabulary and one unseen word.  All words are dishes and all
+contexts have restaurants: what is gathered grows with the corpus.
 
 Seating is sampled by Gibbs: for each dish of a restaurant the number of its tables given
 all others (the seating within the dish summed out by generalised Stirling numbers, for a
-dish of many customers by their saddle point).  The
-context restaurants of a sweep run as tasks, their new tables are the root's customers.
-After the burn-in the predictive probabilities of several samples are averaged.
-
-Word counts and rare words live in tables that grow with the corpus and are joined;
-what is sent to every task is bounded by parameters.
+dish of many customers by their saddle point).  After the burn-in the predictive
+probabilities of several samples are averaged.
+
+Plan: tokens meet by the word before, so the restaurant of a word and those of all pairs
+that end in it are in one task, with parent and children side by side; a task handles one
+shard of about SHARD tokens at a time.  A first pass seats the shards under a unigram
+parent and sends the tables of each word to the root; the root's probability of a word
+depends on its number of customers alone, so the root is sampled over the distinct numbers.
+A second pass seats the shards again under the root's probabilities and scores every token.
+Words travel as ranks of a bounded table of frequent words, rarer ones as hashes, packed by
+run of texts and shard.
+
+A word of very many occurrences has several restaurants, one for each class of the word
+before it, so it is dealt to several shards; the start of a text has one for each
+class of texts.  How many depends on the word's count alone.
 """
 
 from __future__ import annotations
 
+import struct
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillframe.llm.common import Workspace, row_binaries, texts_of
 
-#: Frequent words of the menu, classes of the others, and words whose counts are sent to every task.
-MENU, CLASSES, SENT = 2048, 255, 262_144
-#: Bytes of the ending that makes a rare word's class.
-ENDING = 3
+#: Frequent words that are sent to every task, with counts (a bounded table: the others travel as hashes).
+SENT = 262_144
+#: Tokens of a shard on average, and occurrences of a word for each of its restaurants.
+SHARD, PART = 1 << 19, 1 << 18
 #: Sweeps before the first sample, samples, strength, and discount of the root.
 BURN, SAMPLES, STRENGTH, ROOT_DISCOUNT = 4, 4, 1.0, 0.5
 #: Customers up to which a dish's tables are drawn from their exact conditional.
 EXACT = 32
-#: Words of a class that are drawn at once.
+#: Dishes whose tables are drawn at once.
 SEATED = 65_536
 #: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
 TABLED, PLACES = 2048, 257
-RUN_BYTES = 12 << 20
-LN10 = float(np.log(10.0))
+#: Bytes of text of a run; bytes of a shard's packed tokens that stay in memory.
+RUN_BYTES, SPOOL_BYTES = 12 << 20, 16 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -55,25 +65,23 @@ def _hash(word: bytes | memoryview) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: No word holds a line feed, so this can't be one's hash.
-END = _hash(b"\n")
+#: No word holds a line feed, so these can't be one's hash.
+END, START = _hash(b"\n"), _hash(b"\n\n")
 
 
 @dataclass
 class Run:
-    """Tokens of several texts: places in ``hashes`` and ``classes``; every text ends with place 0, the end."""
+    """Tokens of several texts: places in ``hashes``; every text ends with place 0, the end."""
 
     place: np.ndarray
     text: np.ndarray
     hashes: np.ndarray
-    classes: np.ndarray
 
 
 def tokens_of(column) -> Run:
     """Words between ASCII white space, A-Z lower-cased, then the end; a null text is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    from xxhash import xxh64_intdigest
 
     parts = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
     coded = parts.flatten().dictionary_encode()
@@ -87,13 +95,11 @@ def tokens_of(column) -> Run:
         place, text = place[real], text[real]
     ends = np.searchsorted(text, np.arange(len(lens)), side="right")
     place, text = np.insert(place, ends, 0), np.insert(text, ends, np.arange(len(lens)))
-    hashes = np.array([END, *map(_hash, words)], np.int64)
-    classes = np.array([CLASSES, *(xxh64_intdigest(w[-ENDING:]) % CLASSES for w in words)], np.int64)
-    return Run(place, text, hashes, classes)
+    return Run(place, text, np.array([END, *map(_hash, words)], np.int64))
 
 
 def _runs(batches) -> Iterator:
-    """(doc_id, text, training) batches joined to runs of a few megabytes."""
+    """(doc_id, text, held_out) batches joined to runs of a few megabytes."""
     import pyarrow as pa
 
     held, size = [], 0
@@ -116,60 +122,198 @@ def _tally(batches) -> Iterator:
         t = tokens_of(run.column(1))
         n = np.bincount(t.place, minlength=len(t.hashes))
         used = n > 0
-        yield pa.record_batch([pa.array(t.hashes[used]), pa.array(t.classes[used].astype(np.int32)), pa.array(n[used])], names=["h", "cls", "n"])
+        yield pa.record_batch([pa.array(t.hashes[used]), pa.array(n[used])], names=["h", "n"])
 
 
-# --- menu -------------------------------------------------------------------
+# --- shards of tokens -------------------------------------------------------
 
 
 @dataclass
-class Menu:
-    """Dishes 0 .. words-1 are frequent words, then the classes, then the end; contexts add the start."""
+class Frequent:
+    """The words that are sent: hashes by rank (the most frequent first), their counts, and the first probabilities."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    rare: float
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank of each hash, -1 for a word that isn't sent."""
+        if not len(self.sorted):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+
+
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+
 
-    hashes: np.ndarray  # sorted
-    dish: np.ndarray
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two: order counts."""
+    z = (x.astype(np.int64).view(np.uint64) * _A + y.astype(np.int64).view(np.uint64)) * _B
+    z ^= z >> _C
+    z *= _A
+    return (z ^ (z >> _C)).view(np.int64)
 
-    @property
-    def words(self) -> int:
-        return len(self.hashes)
 
-    @property
-    def size(self) -> int:
-        return self.words + CLASSES + 1
+def _restaurant(a: np.ndarray, b: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Key of the restaurant of the word ``b`` after ``a``: a word of ``count`` occurrences has one for each PART of them."""
+    parts = (count // PART + 1).astype(np.uint64)
+    return mixed(b, (mixed(a, b).view(np.uint64) % parts).astype(np.int64))
 
-    def dishes(self, run: Run) -> np.ndarray:
-        """Dish of every entry of the run's dictionary."""
-        out = self.words + run.classes
-        if self.words:
-            at = np.minimum(np.searchsorted(self.hashes, run.hashes), self.words - 1)
-            out = np.where(self.hashes[at] == run.hashes, self.dish[at], out)
-        out[0] = self.words + CLASSES
-        return out
 
+#: A blob: tokens, rare words, and the run; then text, rank of the two words before and of the word, and hashes of rare words.
+HEAD, HEAD_BYTES = "<iiq", 16
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack(run: int, doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> bytes:
+    """Tokens in order of their texts; ``words`` is (3, n) of places in ``hashes``, ``doc`` holds 2 * text + 1 for a held-out one."""
+    import zstandard
+
+    used, at = np.unique(words, return_inverse=True)
+    code = ranks[used].copy()
+    rare = code < 0
+    code[rare] = SENT + np.arange(int(rare.sum()))
+    code = code[at.reshape(words.shape)]
+    body = _planes(np.diff(doc, prepend=0)) + b"".join(map(_planes, code)) + hashes[used[rare]].astype("<i8").tobytes()
+    return struct.pack(HEAD, len(doc), int(rare.sum()), run) + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+@dataclass
+class Tokens:
+    """Unpacked tokens: run, text, whether held out, and hashes of the two words before and of the word."""
+
+    run: int
+    text: np.ndarray
+    held: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    w: np.ndarray
 
-def pair_codes(dish: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
-    """context * size + dish of every token; the context of a text's first token is ``size``."""
-    context = np.empty_like(dish)
-    context[1:] = dish[:-1]
-    first = np.ones(len(dish), bool)
-    first[1:] = text[1:] != text[:-1]
-    context[first] = size
-    return context * size + dish
 
+def unpack(blob: bytes, known: Frequent) -> Tokens:
+    import zstandard
+
+    n, rare, run = struct.unpack_from(HEAD, blob)
+    body = zstandard.ZstdDecompressor().decompress(blob[HEAD_BYTES:], max_output_size=16 * n + 8 * rare)
+    doc, *codes = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<i4").ravel().astype(np.int64) for k in range(4))
+    rare_names = np.append(np.frombuffer(body, "<i8", rare, 16 * n), 0)
+    frequent = np.append(known.hashes, 0)
+    name = lambda c: np.where(c < SENT, frequent[np.minimum(c, len(frequent) - 1)], rare_names[np.maximum(c - SENT, 0)])
+    doc = np.cumsum(doc)
+    return Tokens(run, doc >> 1, (doc & 1).astype(bool), *map(name, codes))
+
+
+def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(3, n) places of the two words before and the word, the hashes, and the restaurant of each token.
+
+    Behind the words stand the start and a hash of each text's id: what comes before the start.
+    """
+    start = len(t.hashes)
+    hashes = np.concatenate([t.hashes, [START], mixed(ids, np.full(len(ids), START))])
+    first = np.ones(len(t.place), bool)
+    first[1:] = t.text[1:] != t.text[:-1]
+    b = np.append(start, t.place[:-1])
+    b[first] = start
+    a = np.append(start, b[:-1])
+    a[first] = start + 1 + t.text[first]
+    return np.stack([a, b, t.place]), hashes, _restaurant(hashes[a], hashes[b], _counts_of(known, hashes, starts)[b])
+
+
+def _counts_of(known: Frequent, hashes: np.ndarray, starts: int) -> np.ndarray:
+    rank = known.ranks(hashes)
+    count = np.where(rank >= 0, known.counts[rank] if len(known.counts) else 0, 0)
+    return np.where(hashes == START, starts, count)
+
+
+DEALT = "shard int, kind int, w bigint, p double, c bigint, payload binary"
+
+
+def _deal(sent, shards: int, starts: int, with_texts: bool):
+    """Texts to packed tokens (kind 1) by shard; ``with_texts`` adds a row a run with its ids (kind 2)."""
 
-def _pairs(menu: Menu):
     def run(batches) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        run_id = (context.partitionId() if context else 0) << 33
+        known = sent.value
         for block in _runs(batches):
             t = tokens_of(block.column(1))
-            codes, n = np.unique(pair_codes(menu.dishes(t)[t.place], t.text, menu.size), return_counts=True)
-            yield pa.record_batch([pa.array((codes // menu.size).astype(np.int32)), pa.array((codes % menu.size).astype(np.int32)), pa.array(n)],
-                                  names=["u", "m", "n"])
+            held = block.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = block.column(0)
+            words, hashes, key = contexts(t, ids.fill_null(0).to_numpy(), known, starts)
+            ranks = known.ranks(hashes)
+            shard = (key.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.nonzero(np.diff(shard[order], prepend=-1))[0]
+            doc = 2 * t.text + held[t.text]
+            out = [(int(shard[order[i]]), 1, pack(run_id, doc[order[i:j]], words[:, order[i:j]], hashes, ranks))
+                   for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)])]
+            if with_texts:
+                info = struct.pack(HEAD, block.num_rows, 0, run_id) + ids.fill_null(0).to_numpy().astype("<i8").tobytes()
+                info += np.asarray(ids.is_valid()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes()
+                out.append((run_id % shards, 2, info))
+            none = lambda kind: pa.nulls(len(out), kind)
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), none(pa.int64()), none(pa.float64()),
+                                   none(pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["shard", "kind", "w", "p", "c", "payload"])
+            run_id += 1
 
     return run
 
 
+class Spool:
+    """Packed tokens of a shard: in memory, beyond SPOOL_BYTES in a scratch file that a task run again writes anew."""
+
+    def __init__(self) -> None:
+        self.file, self.sizes = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES), []
+
+    def add(self, blob: bytes) -> None:
+        self.file.write(blob)
+        self.sizes.append(len(blob))
+
+    def __iter__(self) -> Iterator[bytes]:
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n)
+
+
+def _shards(batches) -> Iterator[tuple[int, tuple, Spool, list[bytes]]]:
+    """Rows sorted by shard and kind to (shard, (w, p, c) of its words, packed tokens, infos of runs), one shard at a time."""
+    now, words, spool, infos = None, [], Spool(), []
+    for batch in batches:
+        ids, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(ids):
+            continue
+        cut = np.nonzero(np.append(True, (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])))[0].tolist()
+        payloads = row_binaries(batch.column(5))
+        for i, j in zip(cut, [*cut[1:], len(ids)]):
+            if ids[i] != now:
+                if now is not None:
+                    yield now, _columns(words), spool, infos
+                now, words, spool, infos = int(ids[i]), [], Spool(), []
+            if kinds[i] == 0:
+                words.append([batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+            else:
+                for blob in payloads[i:j]:
+                    spool.add(bytes(blob)) if kinds[i] == 1 else infos.append(bytes(blob))
+    if now is not None:
+        yield now, _columns(words), spool, infos
+
+
+def _columns(words: list) -> tuple:
+    return tuple(np.concatenate(c) for c in zip(*words)) if words else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+
+
 # --- seating ----------------------------------------------------------------
 
 
@@ -185,27 +329,33 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     return s
 
 
-def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, strength: float, discount: float, stirling: np.ndarray,
+def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float, discount: float, stirling: np.ndarray,
                   rng: np.random.Generator, groups: int = 4) -> np.ndarray:
-    """One Gibbs sweep over a restaurant's dishes: new table counts given customers ``c`` and parent ``base``.
+    """One Gibbs sweep over the dishes of many restaurants: new table counts given customers ``c`` and parent ``base``; ``u`` numbers the restaurants.
 
     Dishes are updated in ``groups`` turns; within a turn the other dishes of the group
     count with their tables from before it.
     """
     t = t.copy()
-    turn = rng.integers(0, groups, len(c))
+    turn = np.where(c > 1, rng.integers(0, groups, len(c)), -1)
     for g in range(groups):
-        own = np.nonzero((turn == g) & (c > 1))[0]
-        small, large = own[c[own] <= EXACT], own[c[own] > EXACT]
-        if len(small):
-            rest = (t.sum() - t[small]).astype(float)
-            for some, wide in _by_width(c[small]):
-                tables = np.arange(wide)
-                opened = np.cumsum(np.log(strength + discount * (rest[some, None] + tables)), axis=1)
-                logit = stirling[c[small[some]]][:, 1:wide + 1] + opened + (tables + 1) * np.log(base[small[some]])[:, None]
-                t[small[some]] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
+        own = np.nonzero(turn == g)[0]
+        if not len(own):
+            continue
+        rest = (np.bincount(u, t)[u[own]] - t[own]).astype(np.int64)
+        few = c[own] <= EXACT
+        small, others = own[few], rest[few].astype(float)
+        for some, wide in _by_width(c[small]):
+            tables = np.arange(wide)
+            for at in range(0, len(some), SEATED):
+                part = some[at:at + SEATED]
+                dish = small[part]
+                opened = np.cumsum(np.log(strength + discount * (others[part, None] + tables)), axis=1)
+                logit = stirling[c[dish]][:, 1:wide + 1] + opened + (tables + 1) * np.log(base[dish])[:, None]
+                t[dish] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
+        large = own[~few]
         if len(large):
-            t[large] = _draw_large(c[large], base[large], t.sum() - t[large], strength, discount, numbers_of(discount), rng)
+            t[large] = _draw_large(c[large], base[large], rest[~few], strength, discount, numbers_of(discount), rng)
     return t
 
 
@@ -279,7 +429,7 @@ class Stirling:
         return np.where(t == c, 0.0, out)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=32)
 def numbers_of(discount: float) -> Stirling:
     return Stirling(discount)
 
@@ -324,243 +474,263 @@ def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: flo
     return out
 
 
-def discount_of(once: int, twice: int) -> float:
+def discount_of(c: np.ndarray) -> float:
     """The usual estimate from the numbers of things counted once and twice."""
-    return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.05, 0.95))
-
-
-def predictive(c, t, base, strength, discount) -> np.ndarray:
-    return (c - discount * t + (strength + discount * t.sum()) * base) / (strength + c.sum())
-
-
-SEATS = "u int, dishes binary, customers binary, tables binary"
-
-
-def _restaurants(batches) -> Iterator:
-    """(u, rows) to flat arrays, every dish at one table at first."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for r in range(batch.num_rows):
-            rows = batch.column(1)[r].values
-            m = rows.field("m").to_numpy(zero_copy_only=False).astype(np.int64)
-            n = rows.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.record_batch([batch.column(0).slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (m, n, np.ones_like(n)))],
-                                  names=["u", "dishes", "customers", "tables"])
+    once, twice = int((c == 1).sum()), int((c == 2).sum())
+    return float(np.round(np.clip(once / (once + 2 * twice) if once else 0.5, 0.05, 0.95), 2))
 
 
-def _sweep(base: np.ndarray, discount: float, seed: int):
-    def run(batches) -> Iterator:
-        import pyarrow as pa
+#: Distinct trigrams that are held before they are folded again.
+FOLD = 1 << 19
 
-        stirling = log_stirling(discount)
-        for batch in batches:
-            out = []
-            for u, *raw in zip(batch.column(0).to_pylist(), *(row_binaries(batch.column(i)) for i in (1, 2, 3))):
-                m, c, t = (np.frombuffer(x, np.int64) for x in raw)
-                out.append(sample_tables(c, t, base[m], STRENGTH, discount, stirling, np.random.default_rng((seed, u))).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["u", "dishes", "customers", "tables"])
 
-    return run
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """(6, n) of trigram, customers, pair, bigram, restaurant and word: equal trigrams become one, sorted."""
+    order = np.argsort(rows[0], kind="stable")
+    rows = rows[:, order]
+    start = np.nonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))[0] if rows.shape[1] else np.empty(0, np.int64)
+    out = rows[:, start]
+    if len(start):
+        out[1] = np.add.reduceat(rows[1], start)
+    return out
 
 
-def _served(size: int):
-    """Tables by dish, one row a task: the root's customers."""
+class Shard:
+    """The restaurants of some words and of all pairs that end in them, seated from packed tokens."""
+
+    def __init__(self, spool, known: Frequent, starts: int) -> None:
+        self.spool, self.known, self.starts = spool, known, starts
+        held, size, words = [np.empty((6, 0), np.int64)], 0, [np.empty(0, np.int64)]
+        for blob in spool:
+            tokens = unpack(blob, known)
+            pair, bigram, key, tri = self.keys(tokens)
+            words.append(np.unique(tokens.w))
+            seen = ~tokens.held
+            held.append(_folded(np.stack([x[seen] for x in (tri, np.ones(len(tri), np.int64), pair, bigram, key, tokens.w)])))
+            size += held[-1].shape[1]
+            if size > FOLD + 2 * held[0].shape[1]:
+                held, words = [_folded(np.concatenate(held, 1))], [np.unique(np.concatenate(words))]
+                size = held[0].shape[1]
+        self.tri, self.c2, pair, bigram, key, w = _folded(np.concatenate(held, 1))
+        self.words = np.unique(np.concatenate(words))  # held-out texts' words too
+        self.pair, self.u2 = np.unique(pair, return_inverse=True)
+        self.bigram, at, self.up = np.unique(bigram, return_index=True, return_inverse=True)
+        self.key, self.u1 = np.unique(key[at], return_inverse=True)
+        self.w1 = np.searchsorted(self.words, w[at])
+        self.t2, self.t1 = np.ones_like(self.c2), np.ones(len(self.bigram), np.int64)
+        self.d2, self.d1 = discount_of(self.c2), discount_of(np.bincount(self.up, minlength=len(self.bigram)))
+
+    def keys(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the pair before, of the bigram, of the word before's restaurant and of the trigram."""
+        key = _restaurant(tokens.a, tokens.b, _counts_of(self.known, tokens.b, self.starts))
+        pair = mixed(np.where(tokens.b == START, START, tokens.a), key)
+        return pair, mixed(key, tokens.w), key, mixed(pair, tokens.w)
+
+    def first(self) -> np.ndarray:
+        """The parent's probabilities of the shard's words before the root is known: unigrams."""
+        rank = self.known.ranks(self.words)
+        return np.where(rank >= 0, self.known.first[rank] if len(self.known.first) else 0.0, self.known.rare)
+
+    def parent(self, p0: np.ndarray) -> np.ndarray:
+        """Probability of each bigram's word after its first."""
+        room = (STRENGTH + self.d1 * np.bincount(self.u1, self.t1)) / (STRENGTH + np.bincount(self.u1, self.c1()))
+        return self.own1() + room[self.u1] * p0[self.w1]
+
+    def c1(self) -> np.ndarray:
+        return np.bincount(self.up, self.t2, len(self.bigram)).astype(np.int64)
+
+    def own1(self) -> np.ndarray:
+        c1 = self.c1()
+        return (c1 - self.d1 * self.t1) / (STRENGTH + np.bincount(self.u1, c1)[self.u1])
+
+    def sweep(self, p0: np.ndarray, rng: np.random.Generator) -> None:
+        """Pairs under their words, then words under ``p0`` (by place in ``words``)."""
+        if not len(self.tri):
+            return
+        self.t2 = sample_tables(self.c2, self.t2, self.parent(p0)[self.up], self.u2, STRENGTH, self.d2, log_stirling_of(self.d2), rng)
+        c1 = self.c1()
+        self.t1 = sample_tables(c1, np.clip(self.t1, 1, c1), p0[self.w1], self.u1, STRENGTH, self.d1, log_stirling_of(self.d1), rng)
+
+    def served(self) -> np.ndarray:
+        """Tables of each of ``words`` over all restaurants: the root's customers."""
+        return np.bincount(self.w1, self.t1, len(self.words)).astype(np.int64)
+
+    def sample(self) -> tuple:
+        """What a sample adds to a prediction: own share of trigrams, room of pairs, own share of bigrams, room of words."""
+        if not len(self.tri):
+            return (np.empty(0),) * 4
+        n2, n1 = np.bincount(self.u2, self.c2), np.bincount(self.u1, self.c1())
+        return ((self.c2 - self.d2 * self.t2) / (STRENGTH + n2[self.u2]), (STRENGTH + self.d2 * np.bincount(self.u2, self.t2)) / (STRENGTH + n2),
+                self.own1(), (STRENGTH + self.d1 * np.bincount(self.u1, self.t1)) / (STRENGTH + n1))
+
+    def predict(self, tokens: Tokens, samples: list[tuple], p0: np.ndarray) -> np.ndarray:
+        """Probability of every token, averaged over the samples."""
+        pair, bigram, key, tri = self.keys(tokens)
+        base = p0[np.searchsorted(self.words, tokens.w)]
+        places = [_find(x, y) for x, y in ((self.tri, tri), (self.pair, pair), (self.bigram, bigram), (self.key, key))]
+        out = np.zeros(len(tri))
+        for own2, room2, own1, room1 in samples:
+            # a context without customers leaves all to its parent
+            get = lambda values, at, none: np.append(values, none)[at]
+            below = get(own1, places[2], 0.0) + get(room1, places[3], 1.0) * base
+            out += get(own2, places[0], 0.0) + get(room2, places[1], 1.0) * below
+        return out / len(samples)
+
+
+def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted among the sorted names; -1 for none."""
+    if not len(names):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, at, -1)
+
+
+@lru_cache(maxsize=128)
+def log_stirling_of(discount: float) -> np.ndarray:
+    return log_stirling(discount)
+
+
+TABLES = "shard int, w bigint, t bigint, c bigint"
+
+
+def _seat(sent, starts: int, burn: int, seed: int):
+    """First pass: tables of every word of a shard, the words of held-out texts with none."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for m, t in zip(row_binaries(batch.column(0)), row_binaries(batch.column(1))):
-                total[np.frombuffer(m, np.int64)] += np.frombuffer(t, np.int64)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        for number, _, spool, _ in _shards(batches):
+            shard, rng = Shard(spool, sent.value, starts), np.random.default_rng((seed, number))
+            p0 = shard.first()
+            for _ in range(burn):
+                shard.sweep(p0, rng)
+            n = len(shard.words)
+            yield pa.record_batch([pa.array(np.full(n, number, np.int32)), pa.array(shard.words), pa.array(shard.served()), pa.nulls(n, pa.int64())],
+                                  names=["shard", "w", "t", "c"])
 
     return run
 
 
-def _own_part(discount: float):
-    """What a context keeps for its own dishes, (c - d t) / (s + C), and its weight of the parent."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep, weight = [], []
-            for c, t in zip(row_binaries(batch.column(2)), row_binaries(batch.column(3))):
-                c, t = np.frombuffer(c, np.int64), np.frombuffer(t, np.int64)
-                keep.append(((c - discount * t) / (STRENGTH + c.sum())).tobytes())
-                weight.append(float((STRENGTH + discount * t.sum()) / (STRENGTH + c.sum())))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keep, pa.binary()), pa.array(weight)], names=["u", "dishes", "own", "weight"])
+def seat_root(customers: np.ndarray, words: np.ndarray, vocab: int, rng: np.random.Generator, sweeps: int) -> np.ndarray:
+    """Probability of a word by its number of customers; ``words`` says how many words have each number.  The first entry is an unseen word's.
 
-    return run
+    Words of one number are alike to the root: their tables are drawn together, each word's
+    given all the other tables from before.
+    """
+    c, k = np.append(0, customers), np.append(0, words)
+    d, base, stirling = ROOT_DISCOUNT, 1.0 / (vocab + 1), log_stirling_of(ROOT_DISCOUNT)
+    tables = k.copy()  # in all, of the words of each number
+    mean, kept, large = np.zeros(len(c)), 0, np.nonzero(c > EXACT)[0]
+    for sweep in range(sweeps):
+        total = float(tables.sum())
+        for i in np.nonzero((c > 1) & (c <= EXACT))[0].tolist():
+            n, t = int(c[i]), np.arange(1, int(c[i]) + 1)
+            rest = total - tables[i] / k[i]
+            logit = stirling[n, 1:n + 1] + np.cumsum(np.log(STRENGTH + d * (rest + t - 1))) + t * np.log(base)
+            p = np.exp(logit - logit.max())
+            tables[i] = int((rng.multinomial(int(k[i]), p / p.sum()) * t).sum())
+        if len(large):
+            others = np.repeat((total - tables[large] / k[large]).astype(np.int64), k[large])
+            drawn = _draw_large(np.repeat(c[large], k[large]), np.full(len(others), base), others, STRENGTH, d, numbers_of(d), rng)
+            tables[large] = np.bincount(np.repeat(np.arange(len(large)), k[large]), drawn, len(large)).astype(np.int64)
+        if sweep >= sweeps // 2:
+            mean, kept = mean + tables, kept + 1
+    mean /= max(1, kept)
+    room = (STRENGTH + d * mean.sum()) * base
+    return (c - d * mean / np.maximum(k, 1) + room) / (STRENGTH + float((c * k).sum()))
 
 
-@dataclass
-class Tables:
-    """Averaged predictive probabilities: own[u, m] + mean over samples of weight[s, u] * root[s, m]."""
-
-    menu: Menu
-    own: np.ndarray
-    weight: np.ndarray
-    root: np.ndarray
-
-    def log10(self) -> np.ndarray:
-        """The whole (contexts, dishes) table, as 32-bit floats."""
-        p = self.own + (self.weight.T @ self.root) / len(self.root)
-        return np.log10(p).astype(np.float32)
-
-
-def fit_contexts(pairs: DataFrame, menu: Menu, ws: Workspace, burn: int = BURN, samples: int = SAMPLES, seed: int = 11) -> Tables:
-    """Gibbs over the context restaurants of (u, m, n) and the root; everything sized by the menu."""
-    size = menu.size
-    base = np.full(size, 1.0 / size)
-    of = pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    discount = discount_of(of["once"], of["twice"])
-    state = ws.keep(pairs.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("m", "n"))).alias("rows")).mapInArrow(_restaurants, SEATS), "seats-0")
-    own, weight, root = np.zeros((size + 1, size)), np.ones((samples, size + 1)), np.zeros((samples, size))
-    rng, top = np.random.default_rng(seed), np.zeros(size, np.int64)
-    root_stirling = log_stirling(ROOT_DISCOUNT)
-    for sweep in range(burn + samples):
-        customers = np.zeros(size, np.int64)
-        for r in state.select("dishes", "tables").mapInArrow(_served(size), "total binary").collect():
-            customers += np.frombuffer(bytes(r["total"]), np.int64)
-        top = np.where(customers > 0, np.clip(top, 1, np.maximum(customers, 1)), 0)
-        some = customers > 0
-        top[some] = sample_tables(customers[some], top[some], base[some], STRENGTH, ROOT_DISCOUNT, root_stirling, rng)
-        parent = predictive(customers, top, base, STRENGTH, ROOT_DISCOUNT)
-        then = ws.keep(state.mapInArrow(_sweep(parent, discount, seed * 1000 + sweep), SEATS), f"seats-{sweep + 1}")
-        ws.drop(f"seats-{sweep}")
-        state = then
-        if sweep >= burn:
-            s = sweep - burn
-            root[s] = parent
-            for r in state.mapInArrow(_own_part(discount), "u int, dishes binary, own binary, weight double").toLocalIterator():
-                own[r["u"], np.frombuffer(bytes(r["dishes"]), np.int64)] += np.frombuffer(bytes(r["own"])) / samples
-                weight[s, r["u"]] = r["weight"]
-    return Tables(menu, own, weight, root)
-
-
-RARE = "cls int, n bigint, logp double, words bigint"
-
-
-def _classes(discount: float, seed: int, sweeps: int):
-    """Rows of one class (cls, n, words), in order, to each count's log10 probability; n = 0 is any unseen word."""
-
-    def one(cls: int, counts: list[int], words: list[int]) -> list[tuple]:
-        rng, stirling = np.random.default_rng((seed, cls)), log_stirling(discount)
-        c, k = np.array(counts, np.int64), np.array(words, np.int64)
-        vocab = int(k.sum())
-        # every word is seated; one of a single customer keeps its table, so those are only counted
-        more = np.nonzero(c > 1)[0]
-        single = int(k[c == 1].sum())
-        each, group = np.repeat(c[more], k[more]), np.repeat(more, k[more])
-        t = np.ones(len(each), np.int64)
-        small, large = np.nonzero(each <= EXACT)[0], np.nonzero(each > EXACT)[0]
-        mean, kept = np.where(c == 1, 1.0, 0.0) * (sweeps - sweeps // 2), 0
-        for sweep in range(sweeps):
-            all_tables = float(single + t.sum())
-            for some, wide in _by_width(each[small]):
-                tables = np.arange(1, wide + 1)
-                for at in range(0, len(some), SEATED):
-                    own = small[some[at:at + SEATED]]
-                    logit = stirling[each[own]][:, 1:wide + 1] + tables * np.log((STRENGTH + discount * all_tables) / (vocab + 1))
-                    t[own] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
-            if len(large):
-                base = np.full(len(large), 1.0 / (vocab + 1))
-                t[large] = _draw_large(each[large], base, single + t.sum() - t[large], STRENGTH, discount, numbers_of(discount), rng)
-            if sweep >= sweeps // 2:
-                kept += 1
-                mean += np.bincount(group, t, len(c)) / k
-        mean /= kept
-        room = (STRENGTH + discount * float((mean * k).sum())) / (vocab + 1)
-        p = (np.append(c - discount * mean, 0.0) + room) / (STRENGTH + float((c * k).sum()))
-        return [(cls, int(n), float(x), int(w)) for n, x, w in zip([*counts, 0], np.log10(p), [*words, 0])]
+def _root(vocab: int, sweeps: int, seed: int):
+    """(n, words), a row a number of customers, to (n, p); n = 0 is an unseen word."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        now, counts, words = None, [], []
-
-        def table(rows):
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["cls", "n", "logp", "words"])
-
-        for batch in batches:
-            for cls, n, k in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if cls != now and counts:
-                    yield table(one(now, counts, words))
-                    counts, words = [], []
-                now = cls
-                counts.append(n)
-                words.append(k)
-        if counts:
-            yield table(one(now, counts, words))
+        rows = [b for b in batches if b.num_rows]
+        n, k = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) if rows else np.empty(0, np.int64) for i in (0, 1))
+        n, k = n[n > 0], k[n > 0]  # a row of zeros stands for the table without training texts
+        order = np.argsort(n)
+        p = seat_root(n[order], k[order], vocab, np.random.default_rng(seed), sweeps)
+        yield pa.record_batch([pa.array(np.append(0, n[order])), pa.array(p)], names=["n", "p"])
 
     return run
 
 
 # --- scoring ----------------------------------------------------------------
 
-PARTS = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, h bigint, cls int, n bigint"
-
-
-@dataclass
-class Sent:
-    """Counts and in-class probabilities of the words that are sent to every task, sorted by hash."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    logp: np.ndarray
+SUMS = "run bigint, texts binary, n binary, known binary, base binary, score binary, info binary"
 
 
-def _score(menu: Menu, tables, sent, total: int, vocab: int):
-    """Texts to their sums over known words, and a row for every word whose count has to be joined."""
+def _score(sent, starts: int, total: int, vocab: int, burn: int, samples: int, seed: int):
+    """Second pass: sums of each text over the tokens of a shard; the infos of runs go on as they are."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        context = TaskContext.get()
-        rid = (context.partitionId() if context else 0) << 33
-        known, table = sent.value, tables.value
-        per = np.log10(1.0 / (total + vocab + 1))
-        for block in _runs(batches):
-            t = tokens_of(block.column(1))
-            docs = block.num_rows
-            dish = menu.dishes(t)
-            codes = pair_codes(dish[t.place], t.text, menu.size)
-            score = np.bincount(t.text, table.ravel()[codes], docs).astype(float)
-            at = np.minimum(np.searchsorted(known.hashes, t.hashes), max(0, len(known.hashes) - 1))
-            hit = known.hashes[at] == t.hashes if len(known.hashes) else np.zeros(len(t.hashes), bool)
-            count = np.where(hit, known.counts[at] if len(known.counts) else 0, 0)
-            inner = np.where(hit & (dish >= menu.words) & (dish < menu.size - 1), known.logp[at] if len(known.logp) else 0.0, 0.0)
-            base = np.log10(count + 1.0) + per
-            base[~hit] = 0.0
-            n = np.bincount(t.text, minlength=docs)
-            sums = [np.bincount(t.text, x[t.place], docs) for x in (hit.astype(float), base, inner)]
-            open_ = np.nonzero(~hit[t.place])[0]
-            pair, times = np.unique(t.text[open_] * len(t.hashes) + t.place[open_], return_counts=True)
-            doc, word = np.divmod(pair, len(t.hashes))
-            ids = rid + np.arange(docs)
-            rid += docs
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.record_batch([
-                pa.array(ids), block.column(0), block.column(2), pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(score + sums[2]),
-                none(docs, pa.int64()), none(docs, pa.int32()), none(docs, pa.int64())], schema=_arrow_parts())
-            yield pa.record_batch([
-                pa.array(ids[doc]), none(len(doc), pa.int64()), none(len(doc), pa.bool_()), none(len(doc), pa.int64()), none(len(doc), pa.int64()),
-                none(len(doc), pa.float64()), none(len(doc), pa.float64()), pa.array(t.hashes[word]), pa.array(t.classes[word].astype(np.int32)), pa.array(times)],
-                schema=_arrow_parts())
+        names = [x.split()[0] for x in SUMS.split(", ")]
+
+        def row(*values):
+            return pa.record_batch([pa.array([values[0]], pa.int64()), *(pa.array([v], pa.binary()) for v in values[1:])], names=names)
+
+        for number, (w, p, c), spool, infos in _shards(batches):
+            for info in infos:
+                yield row(struct.unpack_from(HEAD, info)[2], None, None, None, None, None, info)
+            if not spool.sizes:
+                continue
+            shard, rng = Shard(spool, sent.value, starts), np.random.default_rng((seed, number))
+            order = np.argsort(w)
+            if not np.array_equal(w[order], shard.words):
+                raise RuntimeError("the texts changed between the passes")
+            p0, count, drawn = p[order], c[order], []
+            for sweep in range(burn + samples):
+                shard.sweep(p0, rng)
+                if sweep >= burn:
+                    drawn.append(shard.sample())
+            base = np.log10((count + 1.0) / (total + vocab + 1))
+            for blob in spool:
+                tokens = unpack(blob, sent.value)
+                texts, at = np.unique(tokens.text, return_inverse=True)
+                word = np.searchsorted(shard.words, tokens.w)
+                score = np.log10(shard.predict(tokens, drawn, p0))
+                sums = [np.bincount(at, x, len(texts)) for x in (np.ones(len(at)), count[word] > 0, base[word], score)]
+                yield row(tokens.run, texts.astype("<i4").tobytes(), sums[0].astype("<i4").tobytes(), sums[1].astype("<i4").tobytes(),
+                          sums[2].astype("<f8").tobytes(), sums[3].astype("<f8").tobytes(), None)
 
     return run
 
 
-def _arrow_parts():
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _total(batches) -> Iterator:
+    """Sums sorted by run to one row a text."""
     import pyarrow as pa
 
-    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
-    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in PARTS.split(", ")])
+    now, info, parts = None, None, []
+
+    def close():
+        n = struct.unpack_from(HEAD, info)[0]
+        ids = np.frombuffer(info, "<i8", n, HEAD_BYTES)
+        good, held = (np.frombuffer(info, np.uint8, n, HEAD_BYTES + 8 * n + n * k).astype(bool) for k in (0, 1))
+        sums = [np.zeros(n) for _ in range(4)]
+        for texts, *values in parts:
+            for to, x in zip(sums, values):
+                to[texts] += x
+        return pa.record_batch([pa.array(ids.astype(np.int64), mask=~good), pa.array(held), *(pa.array(x.astype(np.int64)) for x in sums[:2]),
+                                *map(pa.array, sums[2:])], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    for batch in batches:
+        for run, *raw in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 7))):
+            if run != now:
+                if now is not None:
+                    yield close()
+                now, info, parts = run, None, []
+            if raw[5] is not None:
+                info = raw[5]
+            else:
+                parts.append([np.frombuffer(x, kind) for x, kind in zip(raw, ("<i4", "<i4", "<i4", "<f8", "<f8"))])
+    if now is not None:
+        yield close()
 
 
 def _most_frequent(counts: DataFrame, most: int):
@@ -576,7 +746,7 @@ def _most_frequent(counts: DataFrame, most: int):
     return counts.where(level >= at).toArrow()
 
 
-def language_scores(docs: DataFrame, held_out: Column, menu_words: int = MENU, sent_words: int = SENT, burn: int = BURN, samples: int = SAMPLES,
+def language_scores(docs: DataFrame, held_out: Column, sent_words: int = SENT, shard_tokens: int = SHARD, burn: int = BURN, samples: int = SAMPLES,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -584,47 +754,36 @@ def language_scores(docs: DataFrame, held_out: Column, menu_words: int = MENU, s
     the training words, ``score`` the model's log10 probability of the text, its end
     included.  A null or empty text is its end alone; a null id counts as training if
     ``held_out`` says so; repeated rows are scored and counted each.  Without training
-    texts every word is unseen.  An empty table gives no rows.
+    texts every word is unseen.  An empty table gives no rows.  The rows are
+    read three times, in any order.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "hpylm")
     rows = texts_of(docs, id_col, text_col).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = ws.keep(train.mapInArrow(_tally, "h bigint, cls int, n bigint").groupBy("h", "cls").agg(F.sum("n").alias("c")), "counts")
-    all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("vocab"),
-                      F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    words = counts.where(F.col("h") != END)
-
-    top = _most_frequent(words, menu_words)
+    counts = ws.keep(rows.where(~F.col("held_out")).mapInArrow(_tally, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("vocab"), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0)).alias("texts")).first()
+    total, vocab, starts = all_["total"], all_["vocab"], all_["texts"]
+    top = _most_frequent(counts, sent_words)
     h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
-    order = np.lexsort((h, -c))[:menu_words]
-    rank = np.argsort(h[order])
-    menu = Menu(h[order][rank], rank.astype(np.int64))
-    pairs = ws.keep(train.mapInArrow(_pairs(menu), "u int, m int, n bigint").groupBy("u", "m").agg(F.sum("n").alias("n")), "pairs")
-    tables = spark.sparkContext.broadcast(fit_contexts(pairs, menu, ws, burn, samples).log10())
-
-    chosen = spark.createDataFrame([(int(x),) for x in menu.hashes], "h bigint")  # menu_words rows
-    rare = words.join(F.broadcast(chosen), "h", "left_anti")
-    kinds = rare.groupBy("cls", F.col("c").alias("n")).agg(F.count("*").alias("words"))
-    inner = ws.keep(kinds.repartition(64, "cls").sortWithinPartitions("cls", "n").mapInArrow(
-        _classes(discount_of(all_["once"], all_["twice"]), 17, burn + 2 * samples), RARE), "classes")
-    unseen = {r["cls"]: r["logp"] for r in inner.where("n = 0").collect()}  # a row a class
-    priced = ws.keep(rare.join(inner.select("cls", F.col("n").alias("c"), "logp"), ["cls", "c"]).unionByName(
-        words.join(F.broadcast(chosen), "h", "left_semi").withColumn("logp", F.lit(0.0))).unionByName(
-        counts.where(F.col("h") == END).withColumn("logp", F.lit(0.0))).select("h", "c", "logp"), "priced")
-    some = _most_frequent(priced, sent_words)
-    by = np.argsort(some.column("h").to_numpy())
-    sent = spark.sparkContext.broadcast(Sent(*(some.column(n).to_numpy()[by] for n in ("h", "c", "logp"))))
-
-    parts = ws.keep(rows.mapInArrow(_score(menu, tables, sent, all_["total"], all_["vocab"]), PARTS), "parts")
-    fallback = F.create_map(*[F.lit(x) for k in range(CLASSES) for x in (k, float(unseen.get(k, 0.0)))])
-    per = float(np.log10(1.0 / (all_["total"] + all_["vocab"] + 1)))
-    joined = parts.where("h is not null").select("rid", "h", "cls", "n").join(priced, "h", "left").select(
-        "rid", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("bigint").alias("n_tokens"),
-        F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"),
-        (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) + per)).alias("base_score"),
-        (F.col("n") * F.coalesce("logp", F.when(F.col("cls") == CLASSES, 0.0).otherwise(F.try_element_at(fallback, F.col("cls"))))).alias("score"))
-    whole = parts.where("h is null").drop("h", "cls", "n").unionByName(joined)
-    return whole.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score"))
-    ).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_["total"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    order = np.lexsort((h, -c))[:min(sent_words, SENT)]
+    h, c = h[order], c[order]
+    rare = max(1.0, total - c.sum()) / max(1, vocab - len(c))
+    sent = spark.sparkContext.broadcast(Frequent(h, c, (c + 1.0) / (total + vocab + 1), float(min(1.0, rare / (total + vocab + 1)))))
+
+    shards = max(1, -(-total // shard_tokens))
+    by_shard = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    seats = ws.keep(by_shard(rows.mapInArrow(_deal(sent, shards, starts, False), DEALT)).mapInArrow(_seat(sent, starts, burn, 5), TABLES), "tables")
+    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the first pass before the second writes its own
+    # customers of the root and corpus count of each word, wherever it is asked for: a word has a row a shard
+    word = Window.partitionBy("w")
+    known = seats.unionByName(counts.select(F.lit(None).cast("int").alias("shard"), F.col("h").alias("w"), F.lit(0).cast("bigint").alias("t"), "c"))
+    asked = ws.keep(known.select("shard", "w", F.sum("t").over(word).alias("n"), F.coalesce(F.max("c").over(word), F.lit(0)).alias("c")), "words")
+    numbers = asked.where("shard is null and n > 0").groupBy("n").agg(F.count("*").alias("words"))  # a training word once
+    numbers = numbers.unionByName(spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("words")))
+    root = ws.keep(numbers.repartition(1).mapInArrow(_root(vocab, burn + samples, 13), "n bigint, p double"), "root")
+    words = asked.where("shard is not null").join(root, "n").select(
+        "shard", F.lit(0).alias("kind"), "w", "p", "c", F.lit(None).cast("binary").alias("payload"))
+    dealt = rows.mapInArrow(_deal(sent, shards, starts, True), DEALT).unionByName(words)
+    sums = by_shard(dealt).mapInArrow(_score(sent, starts, total, vocab, burn, samples, 7), SUMS)
+    scored = sums.repartition("run").sortWithinPartitions("run").mapInArrow(_total, SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillframe.llm import hpylm
-from rillframe.llm.hpylm import Menu, fit_contexts, language_scores, log_stirling, pair_codes, sample_tables, tokens_of
+from rillframe.llm.hpylm import END, START, Frequent, Shard, Spool, language_scores, log_stirling, sample_tables, seat_root, tokens_of
 
 
 def held(i):
@@ -17,13 +17,15 @@ def held(i):
 
 
 def corpus(n, seed=4):
-    """Two tongues: the word before tells which, and rare words end alike."""
+    """Two tongues: the words before tell which word comes, and rare words are many."""
     rng = random.Random(seed)
-    tongues = [[f"a{i}" for i in range(40)], [f"z{i}" for i in range(40)]]
     rows = []
     for i in range(n):
-        t = rng.randrange(2)
-        rows.append((i, " ".join(rng.choice(tongues[t]) if rng.random() < 0.8 else f"{rng.randrange(400)}{'xyz'[t]}en" for _ in range(rng.randrange(0, 60)))))
+        t, words, at = rng.randrange(2), [], rng.randrange(40)
+        for _ in range(rng.randrange(0, 60)):
+            at = (at * 3 + 1 + rng.randrange(3)) % 40
+            words.append(f"{'az'[t]}{at}" if rng.random() < 0.8 else f"{rng.randrange(400)}{'xyz'[t]}en")
+        rows.append((i, " ".join(words)))
     return rows
 
 
@@ -34,34 +36,150 @@ def plain(rows):
     return [(i, held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in rows]
 
 
-@pytest.mark.parametrize("sizes", [(20, 30), (2000, 200_000), (5, 1)])
-def test_counts_and_base_equal_brute_force_and_model_wins(spark, sizes):
-    rows = corpus(400) + [(900, None), (901, ""), (902, "\t A0 a0\x0b a0  "), (903, "never seen \x1c words é"), (904, "a1 " * 30_000), (None, "a1 a2"), (5, "a3"), (5, "a3")]
-    df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, h int, rid string").repartition(3)
-    got = language_scores(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, *sizes, burn=2, samples=2).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(plain(rows), key=repr)
-    out = [r for r in got if r.held_out and r.doc_id < 400]
-    assert all(r.score < 0 for r in got) and sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
+def is_held():
+    return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
-def test_probabilities_sum_to_one(spark):
-    menu = Menu(np.array([3, 8], np.int64), np.array([1, 0]))
-    rows = [(u, m, (u * 7 + m * 3) % 50 + 1) for u in (0, 1, menu.size) for m in (0, 1, 5, menu.size - 1)]
-    tables = fit_contexts(spark.createDataFrame(rows, "u int, m int, n long"), menu, hpylm.Workspace(spark, "t"), 2, 3)
-    assert np.allclose((10.0 ** tables.log10().astype(float)).sum(1), 1, atol=1e-4)
-    out = list(hpylm._classes(0.6, 1, 8)([pa.record_batch([pa.array([4, 4, 4], pa.int32()), pa.array([1, 2, 90]), pa.array([500, 40, 2])], names=["cls", "n", "words"])]))
-    rows = [r for b in out for r in b.to_pylist()]
-    assert abs(sum(10 ** r["logp"] * max(r["words"], r["n"] == 0) for r in rows) - 1) < 1e-9
+@pytest.mark.parametrize(("sent", "shard", "part"), [(262_144, 1 << 19, 1 << 18), (30, 900, 200), (0, 300, 1 << 18)])
+def test_counts_and_base_equal_brute_force_and_model_wins(spark, monkeypatch, sent, shard, part):
+    monkeypatch.setattr(hpylm, "PART", part)
+    rows = corpus(400) + [(900, None), (901, ""), (902, "\t A0 a0\x0b a0  "), (903, "never seen \x1c words é"), (904, "a1 " * 30_000), (None, "a1 a2"), (5, "a3"), (5, "a3")]
+    df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, shard int, run string").repartition(3)
+    got = language_scores(df, is_held(), sent, shard, burn=2, samples=2).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(plain(rows), key=repr)
+    out = [r for r in got if r.held_out and (r.doc_id or 0) < 400]
+    assert all(r.score < 0 for r in got) and sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
+
+
+# --- the model against plain Python -----------------------------------------
+
+
+def shard_of(texts, monkeypatch=None):
+    """A shard of whole texts, word -> place, and its tokens."""
+    names = sorted({w for t in texts for w in t.split()})
+    count = Counter(w for t in texts for w in t.split())
+    known = Frequent(np.array([hpylm._hash(n.encode()) for n in names] + [END], np.int64), np.array([count[n] for n in names] + [len(texts)]), np.zeros(len(names) + 1), 0.1)
+    out = []
+
+    class Sent:
+        value = known
+
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([False] * len(texts))], names=["doc_id", "text", "held_out"])
+    for b in hpylm._deal(Sent, 1, len(texts), False)([batch]):
+        out += b.column(5).to_pylist()
+    spool = Spool()
+    for blob in out:
+        spool.add(blob)
+    return Shard(spool, known, len(texts)), known, names
+
+
+def probe(shard, a, b, words):
+    """Tokens that ask for every word after a and b."""
+    h = lambda w: START if w == "<" else END if w == "\n" else hpylm._hash(w.encode())
+    n = len(words)
+    return hpylm.Tokens(0, np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, h(a)), np.full(n, h(b)), np.array([h(w) for w in words]))
+
+
+TEXTS = ["a b a b c", "a b a b c c", "b a b", "c c c a b", "a b a", "b b a b a b", "", "c a b a b a b c"]
+
+
+def mean_prediction(shard, tokens, p0, sweeps, burn=50, seed=3):
+    rng, drawn = np.random.default_rng(seed), []
+    for i in range(sweeps):
+        shard.sweep(p0, rng)
+        if i >= burn:
+            drawn.append(shard.sample())
+    return shard.predict(tokens, drawn, p0)
+
+
+class Crp:
+    """A restaurant seated one customer at a time: dish -> sizes of its tables."""
+
+    def __init__(self, parent, discount):
+        self.parent, self.d, self.at = parent, discount, defaultdict(list)
+
+    def p(self, w):
+        tables = sum(map(len, self.at.values()))
+        customers = sum(map(sum, self.at.values()))
+        up = self.parent.p(w) if isinstance(self.parent, Crp) else self.parent[w]
+        return (sum(self.at[w]) - self.d * len(self.at[w]) + (1 + self.d * tables) * up) / (1 + customers)
+
+    def add(self, w, rng):
+        up = self.parent.p(w) if isinstance(self.parent, Crp) else self.parent[w]
+        tables = sum(map(len, self.at.values()))
+        weights = [n - self.d for n in self.at[w]] + [(1 + self.d * tables) * up]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(self.at[w]):
+            self.at[w].append(1)
+            if isinstance(self.parent, Crp):
+                self.parent.add(w, rng)
+        else:
+            self.at[w][k] += 1
+
+    def remove(self, w, rng):
+        k = rng.choices(range(len(self.at[w])), self.at[w])[0]
+        self.at[w][k] -= 1
+        if not self.at[w][k]:
+            self.at[w].pop(k)
+            if isinstance(self.parent, Crp):
+                self.parent.remove(w, rng)
+
+
+def test_predictions_equal_seating_one_customer_at_a_time():
+    shard, known, names = shard_of(TEXTS)
+    words = [*names, "\n", "new"]
+    p0 = {w: x for w, x in zip(words, (0.3, 0.25, 0.2, 0.15, 0.1))}
+    by_hash = {hpylm._hash(w.encode()) if w != "\n" else END: p for w, p in p0.items()}
+    base = np.array([by_hash[int(x)] for x in shard.words])
+
+    rng, low, high, customers = random.Random(1), {}, {}, []
+    for t in TEXTS:
+        seq = ["<", "<", *t.split(), "\n"]
+        customers += [(tuple(seq[i - 2:i]), seq[i]) for i in range(2, len(seq))]
+    for (a, b), w in customers:
+        low.setdefault(b, Crp(p0, shard.d1))
+        high.setdefault((a, b), Crp(low[b], shard.d2)).add(w, rng)
+    asked = [("a", "b"), ("b", "a"), ("c", "c"), ("<", "<"), ("<", "a"), ("c", "b")]
+    want = {q: np.zeros(4) for q in asked}
+    rounds = 1500
+    for i in range(rounds + 100):
+        for c, w in customers:
+            high[c].remove(w, rng)
+            high[c].add(w, rng)
+        if i >= 100:
+            for a, b in asked:
+                r = high.get((a, b), low[b])
+                want[a, b] += [r.p(w) / rounds for w in words[:4]]
+    for a, b in asked:
+        got = mean_prediction(shard, probe(shard, a, b, words[:4]), base, 1200)
+        assert np.allclose(got, want[a, b], atol=0.03), (a, b, got, want[a, b])
+
+
+def test_predictions_sum_to_one_in_known_and_unknown_contexts():
+    shard, known, names = shard_of(TEXTS)
+    n = np.array([3, 5])  # two numbers of customers at the root
+    p = seat_root(n, np.array([3, 1]), 4, np.random.default_rng(0), 8)
+    assert abs(3 * p[1] + p[2] + p[0] - 1) < 1e-12 and p[2] > p[1] > p[0] > 0
+    p0 = np.where(shard.words == END, p[2], p[1])
+    for a, b in (("a", "b"), ("c", "c"), ("a", "nowhere"), ("nowhere", "a"), ("<", "<")):
+        tokens = probe(shard, a, b, [*names, "\n"])
+        unseen = mean_prediction(shard, tokens, p0, 60)
+        drawn = [shard.sample()]
+        known_part = shard.predict(tokens, drawn, p0).sum()
+        nothing = shard.predict(tokens, drawn, p0 * 0).sum()
+        # what is left for an unseen word is the root's share of it
+        assert abs(known_part + (1 - nothing) / 1.0 * p[0] - 1) < 1e-9 and (unseen > 0).all()
 
 
 def test_gibbs_draws_the_exact_distribution_of_tables():
-    c, base, d, s = np.array([3, 4]), np.array([0.3, 0.7]), 0.5, 1.0
-    st, rng, t = log_stirling(d), np.random.default_rng(1), np.array([1, 1])
-    seen = Counter()
+    c, base, d, s = np.array([3, 4, 2]), np.array([0.3, 0.7, 0.5]), 0.5, 1.0
+    st, rng, t, u = log_stirling(d), np.random.default_rng(1), np.array([1, 1, 1]), np.array([0, 0, 1])
+    seen, other = Counter(), Counter()
     for i in range(12_000):
-        t = sample_tables(c, t, base, s, d, st, rng, groups=8)
+        t = sample_tables(c, t, base, u, s, d, st, rng, groups=8)
         if i > 100:
-            seen[tuple(t)] += 1
+            seen[tuple(t[:2])] += 1
+            other[int(t[2])] += 1
     weight = {}
     for a in range(1, 4):
         for b in range(1, 5):
@@ -70,6 +188,8 @@ def test_gibbs_draws_the_exact_distribution_of_tables():
     z, n = sum(weight.values()), sum(seen.values())
     # both dishes may be updated in one turn now and then, each from the other's tables before it
     assert all(abs(seen[k] / n - w / z) < 0.03 for k, w in weight.items())
+    two = math.exp(st[2, 2]) * s * (s + d) * 0.25, math.exp(st[2, 1]) * s * 0.5
+    assert abs(other[2] / n - two[0] / sum(two)) < 0.02  # another restaurant knows nothing of the first
 
 
 def test_production_turns_keep_the_tables_of_large_dishes():
@@ -86,31 +206,40 @@ def test_production_turns_keep_the_tables_of_large_dishes():
         plain += t * (i >= 200) / 2800
     t = np.ones(4, np.int64)
     for i in range(3000):
-        t = sample_tables(c, t, base, s, d, st, rng)
+        t = sample_tables(c, t, base, np.zeros(4, np.int64), s, d, st, rng)
         got += t * (i >= 200) / 2800
     assert np.allclose(got, plain, rtol=0.1), (got, plain)
 
 
-def test_all_words_of_a_class_are_seated(monkeypatch):
-    seated = []
-    draw = hpylm._draw_large
-    monkeypatch.setattr(hpylm, "_draw_large", lambda c, *a: seated.append(len(c)) or draw(c, *a))
-    rows = pa.record_batch([pa.array([4, 4, 4], pa.int32()), pa.array([1, 20, 90]), pa.array([500, 300, 200])], names=["cls", "n", "words"])
-    out = [r for b in hpylm._classes(0.6, 1, 12)([rows]) for r in b.to_pylist()]
-    assert seated == [200] * 12 and len(out) == 4
-    assert abs(sum(10 ** r["logp"] * max(r["words"], r["n"] == 0) for r in out) - 1) < 1e-9
-
-
-def test_tokens_and_contexts():
-    run = tokens_of(pa.array(["A b", None, " a\x0b\x1cb  ", ""]))
-    words = ["A b", "", " a\x0b\x1cb  ", ""]
-    want = [h for w in words for h in [*(hpylm._hash(x) for x in w.encode().lower().split()), hpylm.END]]
-    assert run.hashes[run.place].tolist() == want
-    assert pair_codes(np.array([1, 2, 0, 2]), np.array([0, 0, 1, 1]), 3).tolist() == [3 * 3 + 1, 1 * 3 + 2, 3 * 3 + 0, 0 * 3 + 2]
+def test_tokens_contexts_and_packing():
+    texts = ["A b", None, " a\x0b\x1cb  ", "", "b a b a c"]
+    run = tokens_of(pa.array(texts))
+    want = [[*(hpylm._hash(x) for x in (w or "").encode().lower().split()), END] for w in texts]
+    assert run.hashes[run.place].tolist() == sum(want, [])
+    known = Frequent(np.array([hpylm._hash(b"b"), END], np.int64), np.array([9, 5]), np.zeros(2), 0.1)
+    words, hashes, key = hpylm.contexts(run, np.arange(5), known, 5)
+    doc = 2 * run.text + (run.text == 2)
+    some = np.arange(len(doc)) % 3 != 1
+    t = hpylm.unpack(hpylm.pack(77, doc[some], words[:, some], hashes, known.ranks(hashes)), known)
+    flat = [(i, x) for i, own in enumerate(want) for x in own]
+    before = [(own[k - 1] if k else START, own[k - 2] if k > 1 else START) for own in want for k in range(len(own))]
+    assert t.run == 77 and t.text.tolist() == [i for (i, _), k in zip(flat, some) if k] and t.w.tolist() == [x for (_, x), k in zip(flat, some) if k]
+    assert t.held.tolist() == [i == 2 for (i, _), k in zip(flat, some) if k]
+    assert t.b.tolist() == [x for (x, _), k in zip(before, some) if k]
+    assert [a for a, b in zip(t.a.tolist(), t.b.tolist()) if b != START] == [a for (b, a), k in zip(before, some) if k and b != START]
+
+
+def test_spooled_and_folded_shards_are_the_same(monkeypatch):
+    whole, *_ = shard_of(TEXTS * 20)
+    monkeypatch.setattr(hpylm, "FOLD", 3)
+    monkeypatch.setattr(hpylm, "SPOOL_BYTES", 10)
+    monkeypatch.setattr(hpylm, "RUN_BYTES", 50)
+    small, *_ = shard_of(TEXTS * 20)
+    assert np.array_equal(whole.tri, small.tri) and np.array_equal(whole.c2, small.c2) and np.array_equal(whole.words, small.words)
 
 
 def test_empty_table_and_no_training_texts(spark):
     schema = "doc_id long, text string"
     assert language_scores(spark.createDataFrame([], schema), F.lit(False), burn=1, samples=1).count() == 0
     (r,) = language_scores(spark.createDataFrame([(1, "a b")], schema), F.lit(True), burn=1, samples=1).collect()
-    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
