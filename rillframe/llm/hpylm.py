@@ -16,13 +16,14 @@ that end in it are in one task, with parent and children side by side; a task ha
 shard of about SHARD tokens at a time.  A first pass seats the shards under a unigram
 parent and sends the tables of each word to the root; the root's probability of a word
 depends on its number of customers alone, so the root is sampled over the distinct numbers.
-A second pass seats the shards again under the root's probabilities and scores every token.
-Words travel as ranks of a bounded table of frequent words, rarer ones as hashes, packed by
-run of texts and shard.
+A second pass seats the shards again under the root's probabilities and scores every token;
+both read one exchange.  Words travel as ranks of a bounded table of frequent words, rarer
+ones as hashes, packed by run of texts and shard.
 
 A word of very many occurrences has several restaurants, one for each class of the word
-before it, so it is dealt to several shards; the start of a text has one for each
-class of texts.  How many depends on the word's count alone.
+before it, so it is dealt to several shards; where both are very frequent the class is
+also one of texts, so that no pair of words is more than one task holds.  How many classes
+there are depends on the words' counts alone.
 """
 
 from __future__ import annotations
@@ -42,17 +43,19 @@ from rillframe.llm.common import Workspace, row_binaries, texts_of
 #: Frequent words that are sent to every task, with counts (a bounded table: the others travel as hashes).
 SENT = 262_144
 #: Tokens of a shard on average, and occurrences of a word for each of its restaurants.
-SHARD, PART = 1 << 19, 1 << 18
+SHARD, PART = 1 << 20, 1 << 18
+#: Occurrences of both words of a pair for each class of texts it's divided into.
+PAIR = 1 << 22
 #: Sweeps before the first sample, samples, strength, and discount of the root.
 BURN, SAMPLES, STRENGTH, ROOT_DISCOUNT = 4, 4, 1.0, 0.5
 #: Customers up to which a dish's tables are drawn from their exact conditional.
-EXACT = 32
-#: Dishes whose tables are drawn at once.
-SEATED = 65_536
+EXACT = 128
+#: Dishes, times numbers of tables, that are drawn at once.
+SEATED = 1 << 18
 #: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
 TABLED, PLACES = 2048, 257
 #: Bytes of text of a run; bytes of a shard's packed tokens that stay in memory.
-RUN_BYTES, SPOOL_BYTES = 12 << 20, 16 << 20
+RUN_BYTES, SPOOL_BYTES = 4 << 20, 16 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -160,13 +163,14 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z ^ (z >> _C)).view(np.int64)
 
 
-def _restaurant(a: np.ndarray, b: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Key of the restaurant of the word ``b`` after ``a``: a word of ``count`` occurrences has one for each PART of them."""
-    parts = (count // PART + 1).astype(np.uint64)
-    return mixed(b, (mixed(a, b).view(np.uint64) % parts).astype(np.int64))
+def _group(a: np.ndarray, ids: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
+    """Number of the restaurant of a word of ``count_b`` occurrences after the word ``a``, in the text of the id."""
+    parts = (count_b // PART + 1).astype(np.uint64)
+    texts = (np.minimum(count_a, count_b) // PAIR + 1).astype(np.uint64)
+    return (mixed(a, (mixed(ids, ids).view(np.uint64) % texts).astype(np.int64)).view(np.uint64) % parts).astype(np.int64)
 
 
-#: A blob: tokens, rare words, and the run; then text, rank of the two words before and of the word, and hashes of rare words.
+#: A blob: tokens, rare words, and the run; then text, rank of the two words before and of the word, group, and hashes of rare words.
 HEAD, HEAD_BYTES = "<iiq", 16
 
 
@@ -174,7 +178,7 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def pack(run: int, doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> bytes:
+def pack(run: int, doc: np.ndarray, words: np.ndarray, group: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> bytes:
     """Tokens in order of their texts; ``words`` is (3, n) of places in ``hashes``, ``doc`` holds 2 * text + 1 for a held-out one."""
     import zstandard
 
@@ -183,62 +187,62 @@ def pack(run: int, doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, ranks
     rare = code < 0
     code[rare] = SENT + np.arange(int(rare.sum()))
     code = code[at.reshape(words.shape)]
-    body = _planes(np.diff(doc, prepend=0)) + b"".join(map(_planes, code)) + hashes[used[rare]].astype("<i8").tobytes()
-    return struct.pack(HEAD, len(doc), int(rare.sum()), run) + zstandard.ZstdCompressor(level=1).compress(body)
+    body = b"".join([_planes(np.diff(doc, prepend=0)), *map(_planes, code), _planes(group), hashes[used[rare]].astype("<i8").tobytes()])
+    return struct.pack(HEAD, len(doc), int(rare.sum()), run) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 @dataclass
 class Tokens:
-    """Unpacked tokens: run, text, whether held out, and hashes of the two words before and of the word."""
+    """Unpacked tokens: run, text, whether held out, hashes of the word two before and of the word, key of the restaurant of the one before."""
 
     run: int
     text: np.ndarray
     held: np.ndarray
     a: np.ndarray
-    b: np.ndarray
+    key: np.ndarray
     w: np.ndarray
 
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the pair before, of the bigram and of the trigram."""
+        pair = mixed(self.a, self.key)
+        return pair, mixed(self.key, self.w), mixed(pair, self.w)
+
 
 def unpack(blob: bytes, known: Frequent) -> Tokens:
     import zstandard
 
     n, rare, run = struct.unpack_from(HEAD, blob)
-    body = zstandard.ZstdDecompressor().decompress(blob[HEAD_BYTES:], max_output_size=16 * n + 8 * rare)
-    doc, *codes = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<i4").ravel().astype(np.int64) for k in range(4))
-    rare_names = np.append(np.frombuffer(body, "<i8", rare, 16 * n), 0)
+    body = zstandard.ZstdDecompressor().decompress(blob[HEAD_BYTES:], max_output_size=20 * n + 8 * rare)
+    doc, a, b, w, group = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<i4").ravel() for k in range(5))
+    rare_names = np.append(np.frombuffer(body, "<i8", rare, 20 * n), 0)
     frequent = np.append(known.hashes, 0)
     name = lambda c: np.where(c < SENT, frequent[np.minimum(c, len(frequent) - 1)], rare_names[np.maximum(c - SENT, 0)])
-    doc = np.cumsum(doc)
-    return Tokens(run, doc >> 1, (doc & 1).astype(bool), *map(name, codes))
+    doc = np.cumsum(doc, dtype=np.int64)
+    return Tokens(run, doc >> 1, (doc & 1).astype(bool), name(a), mixed(name(b), group.astype(np.int64)), name(w))
 
 
 def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(3, n) places of the two words before and the word, the hashes, and the restaurant of each token.
-
-    Behind the words stand the start and a hash of each text's id: what comes before the start.
-    """
+    """(3, n) places of the two words before and the word, the group of the restaurant of each token, and the hashes, the start's last."""
     start = len(t.hashes)
-    hashes = np.concatenate([t.hashes, [START], mixed(ids, np.full(len(ids), START))])
+    hashes = np.append(t.hashes, START)
+    rank = known.ranks(hashes)
+    count = np.where(rank >= 0, np.append(known.counts, 0)[rank], 0)
+    count[start] = starts
+    words = np.empty((3, len(t.place)), np.int32)
     first = np.ones(len(t.place), bool)
     first[1:] = t.text[1:] != t.text[:-1]
-    b = np.append(start, t.place[:-1])
-    b[first] = start
-    a = np.append(start, b[:-1])
-    a[first] = start + 1 + t.text[first]
-    return np.stack([a, b, t.place]), hashes, _restaurant(hashes[a], hashes[b], _counts_of(known, hashes, starts)[b])
+    words[2] = t.place
+    for k in (1, 0):
+        words[k, :1], words[k, 1:] = start, words[k + 1, :-1]
+        words[k, first] = start
+    return words, _group(hashes[words[0]], ids[t.text], count[words[0]], count[words[1]]), hashes
 
 
-def _counts_of(known: Frequent, hashes: np.ndarray, starts: int) -> np.ndarray:
-    rank = known.ranks(hashes)
-    count = np.where(rank >= 0, known.counts[rank] if len(known.counts) else 0, 0)
-    return np.where(hashes == START, starts, count)
-
+DEALT = "shard int, kind int, payload binary"
 
-DEALT = "shard int, kind int, w bigint, p double, c bigint, payload binary"
 
-
-def _deal(sent, shards: int, starts: int, with_texts: bool):
-    """Texts to packed tokens (kind 1) by shard; ``with_texts`` adds a row a run with its ids (kind 2)."""
+def _deal(sent, shards: int, starts: int):
+    """Texts to packed tokens (kind 1) by shard, and a row a run with its ids (kind 2)."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -249,23 +253,20 @@ def _deal(sent, shards: int, starts: int, with_texts: bool):
         known = sent.value
         for block in _runs(batches):
             t = tokens_of(block.column(1))
-            held = block.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = block.column(0)
-            words, hashes, key = contexts(t, ids.fill_null(0).to_numpy(), known, starts)
+            ids, held = block.column(0), block.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            words, group, hashes = contexts(t, ids.fill_null(0).to_numpy(), known, starts)
             ranks = known.ranks(hashes)
-            shard = (key.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+            shard = (mixed(hashes[words[1]], group).view(np.uint64) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cut = np.nonzero(np.diff(shard[order], prepend=-1))[0]
             doc = 2 * t.text + held[t.text]
-            out = [(int(shard[order[i]]), 1, pack(run_id, doc[order[i:j]], words[:, order[i:j]], hashes, ranks))
+            out = [(int(shard[order[i]]), 1, pack(run_id, doc[order[i:j]], words[:, order[i:j]], group[order[i:j]], hashes, ranks))
                    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)])]
-            if with_texts:
-                info = struct.pack(HEAD, block.num_rows, 0, run_id) + ids.fill_null(0).to_numpy().astype("<i8").tobytes()
-                info += np.asarray(ids.is_valid()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes()
-                out.append((run_id % shards, 2, info))
-            none = lambda kind: pa.nulls(len(out), kind)
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), none(pa.int64()), none(pa.float64()),
-                                   none(pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["shard", "kind", "w", "p", "c", "payload"])
+            info = struct.pack(HEAD, block.num_rows, 0, run_id) + ids.fill_null(0).to_numpy().astype("<i8").tobytes()
+            info += np.asarray(ids.is_valid()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes()
+            out.append((run_id % shards, 2, info))
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())],
+                                  names=["shard", "kind", "payload"])
             run_id += 1
 
     return run
@@ -287,31 +288,19 @@ class Spool:
             yield self.file.read(n)
 
 
-def _shards(batches) -> Iterator[tuple[int, tuple, Spool, list[bytes]]]:
-    """Rows sorted by shard and kind to (shard, (w, p, c) of its words, packed tokens, infos of runs), one shard at a time."""
-    now, words, spool, infos = None, [], Spool(), []
+def _shards(batches) -> Iterator[tuple[int, Spool]]:
+    """Rows (shard, kind, payload) sorted by shard to the packed tokens of one shard at a time."""
+    now, spool = None, Spool()
     for batch in batches:
-        ids, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(ids):
-            continue
-        cut = np.nonzero(np.append(True, (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])))[0].tolist()
-        payloads = row_binaries(batch.column(5))
-        for i, j in zip(cut, [*cut[1:], len(ids)]):
-            if ids[i] != now:
-                if now is not None:
-                    yield now, _columns(words), spool, infos
-                now, words, spool, infos = int(ids[i]), [], Spool(), []
-            if kinds[i] == 0:
-                words.append([batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
-            else:
-                for blob in payloads[i:j]:
-                    spool.add(bytes(blob)) if kinds[i] == 1 else infos.append(bytes(blob))
-    if now is not None:
-        yield now, _columns(words), spool, infos
-
-
-def _columns(words: list) -> tuple:
-    return tuple(np.concatenate(c) for c in zip(*words)) if words else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        for number, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), row_binaries(batch.column(2))):
+            if number != now:
+                if spool.sizes:
+                    yield now, spool
+                now, spool = number, Spool()
+            if kind == 1:
+                spool.add(bytes(blob))
+    if spool.sizes:
+        yield now, spool
 
 
 # --- seating ----------------------------------------------------------------
@@ -330,9 +319,10 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float, discount: float, stirling: np.ndarray,
-                  rng: np.random.Generator, groups: int = 4) -> np.ndarray:
-    """One Gibbs sweep over the dishes of many restaurants: new table counts given customers ``c`` and parent ``base``; ``u`` numbers the restaurants.
+                  rng: np.random.Generator, groups: int = 4, others: np.ndarray | int = 0) -> np.ndarray:
+    """One Gibbs sweep over the dishes of many restaurants: new table counts given customers ``c`` and parent ``base``.
 
+    ``u`` numbers the restaurants; ``others`` are tables of theirs that never change.
     Dishes are updated in ``groups`` turns; within a turn the other dishes of the group
     count with their tables from before it.
     """
@@ -342,26 +332,31 @@ def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, u: np.ndarray,
         own = np.nonzero(turn == g)[0]
         if not len(own):
             continue
-        rest = (np.bincount(u, t)[u[own]] - t[own]).astype(np.int64)
-        few = c[own] <= EXACT
-        small, others = own[few], rest[few].astype(float)
-        for some, wide in _by_width(c[small]):
+        rest = ((np.bincount(u, t) + others)[u[own]] - t[own]).astype(np.int64)
+        customers = c[own]
+        two = customers == 2  # one table or two: a single draw decides
+        dish = own[two]
+        odds = np.exp(stirling[2, 2] - stirling[2, 1]) * (strength + discount * (rest[two] + 1)) * base[dish]
+        t[dish] = 1 + (rng.random(len(dish)) * (1 + odds) < odds)
+        some = np.nonzero((customers > 2) & (customers <= EXACT))[0]
+        for part, wide in _by_width(customers[some]):
             tables = np.arange(wide)
-            for at in range(0, len(some), SEATED):
-                part = some[at:at + SEATED]
-                dish = small[part]
-                opened = np.cumsum(np.log(strength + discount * (others[part, None] + tables)), axis=1)
-                logit = stirling[c[dish]][:, 1:wide + 1] + opened + (tables + 1) * np.log(base[dish])[:, None]
+            for at in range(0, len(part), SEATED // wide):
+                i = some[part[at:at + SEATED // wide]]
+                dish = own[i]
+                opened = np.cumsum(np.log(strength + discount * (rest[i, None] + tables)), axis=1)
+                logit = stirling[customers[i], 1:wide + 1] + opened + (tables + 1) * np.log(base[dish])[:, None]
                 t[dish] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
-        large = own[~few]
+        large = np.nonzero(customers > EXACT)[0]
         if len(large):
-            t[large] = _draw_large(c[large], base[large], rest[~few], strength, discount, numbers_of(discount), rng)
+            dish = own[large]
+            t[dish] = _draw_large(c[dish], base[dish], rest[large], strength, discount, numbers_of(discount), rng, t[dish])
     return t
 
 
 def _by_width(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Places of counts up to EXACT with the number of columns they need: most dishes have few customers."""
-    low, wide = 1, 2
+    """Places of counts from 3 to EXACT with the number of columns they need: most dishes have few customers."""
+    low, wide = 2, 4
     while low < EXACT:
         some = np.nonzero((c > low) & (c <= wide))[0]
         if len(some):
@@ -440,9 +435,12 @@ POINTS, REACH = 65, 7.0
 DRAWN = 16_384
 
 
-def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: float, discount: float, numbers: Stirling, rng: np.random.Generator) -> np.ndarray:
+def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: float, discount: float, numbers: Stirling, rng: np.random.Generator,
+                near: np.ndarray | None = None) -> np.ndarray:
     """Tables of large dishes given the others' ``rest``: the exact conditional up to the saddle point, around its mode.
 
+    ``near`` is where the search for the mode begins; the draw doesn't depend on it.
+
     Where the window is wider than POINTS tables, points stand for steps of equal width.
     """
     out = np.empty(len(c), np.int64)
@@ -455,6 +453,12 @@ def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: flo
             return numbers.log(n, t) + t * price + log_gamma(strength / discount + others + t)
 
         low, high = np.ones_like(n), n.copy()
+        if near is not None:  # brackets the mode from both sides
+            t = near[own].astype(float)[:, None]
+            left, right = np.floor(t * 0.75), np.minimum(np.ceil(t * 1.25) + 2, n)
+            low = np.where((left > 1) & (weight(np.maximum(left, 1)) > weight(np.maximum(left - 1, 1))), left, low)
+            high = np.where(weight(np.minimum(right + 1, n)) <= weight(right), right, high)
+            low = np.minimum(low, high)
         while (low < high).any():  # the weight rises to its mode and falls from there
             mid = np.floor((low + high) / 2)
             rises = weight(np.minimum(mid + 1, n)) > weight(mid)
@@ -495,79 +499,100 @@ def _folded(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+class Level:
+    """Dishes of a level of restaurants; ``most`` are the customers that each can have.
+
+    A dish of one customer has one table for good, so only the others (``at``) are sampled;
+    ``alone`` counts the dishes of one customer of each restaurant that has others (``names``).
+    """
+
+    def __init__(self, most: np.ndarray, u: np.ndarray) -> None:
+        self.size, self.at = len(u), np.nonzero(most > 1)[0]
+        self.names, self.u = np.unique(u[self.at], return_inverse=True)
+        self.alone = np.bincount(u, minlength=int(u.max(initial=-1)) + 1)[self.names] - np.bincount(self.u, minlength=len(self.names))
+        self.t = np.ones(len(self.at), np.int64)
+
+    def whole(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(self.size, np.int64)
+        out[self.at] = values
+        return out
+
+    def sweep(self, c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        self.t = sample_tables(c, np.clip(self.t, 1, c), base, self.u, STRENGTH, discount, log_stirling_of(discount), rng, others=self.alone)
+
+
 class Shard:
     """The restaurants of some words and of all pairs that end in them, seated from packed tokens."""
 
-    def __init__(self, spool, known: Frequent, starts: int) -> None:
-        self.spool, self.known, self.starts = spool, known, starts
+    def __init__(self, spool, known: Frequent) -> None:
+        self.known = known
         held, size, words = [np.empty((6, 0), np.int64)], 0, [np.empty(0, np.int64)]
         for blob in spool:
             tokens = unpack(blob, known)
-            pair, bigram, key, tri = self.keys(tokens)
+            pair, bigram, tri = tokens.names()
             words.append(np.unique(tokens.w))
             seen = ~tokens.held
-            held.append(_folded(np.stack([x[seen] for x in (tri, np.ones(len(tri), np.int64), pair, bigram, key, tokens.w)])))
+            held.append(np.stack([x[seen] for x in (tri, np.ones(len(tri), np.int64), pair, bigram, tokens.key, tokens.w)]))
             size += held[-1].shape[1]
             if size > FOLD + 2 * held[0].shape[1]:
                 held, words = [_folded(np.concatenate(held, 1))], [np.unique(np.concatenate(words))]
                 size = held[0].shape[1]
         self.tri, self.c2, pair, bigram, key, w = _folded(np.concatenate(held, 1))
+        del held
         self.words = np.unique(np.concatenate(words))  # held-out texts' words too
         self.pair, self.u2 = np.unique(pair, return_inverse=True)
         self.bigram, at, self.up = np.unique(bigram, return_index=True, return_inverse=True)
         self.key, self.u1 = np.unique(key[at], return_inverse=True)
         self.w1 = np.searchsorted(self.words, w[at])
-        self.t2, self.t1 = np.ones_like(self.c2), np.ones(len(self.bigram), np.int64)
-        self.d2, self.d1 = discount_of(self.c2), discount_of(np.bincount(self.up, minlength=len(self.bigram)))
-
-    def keys(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the pair before, of the bigram, of the word before's restaurant and of the trigram."""
-        key = _restaurant(tokens.a, tokens.b, _counts_of(self.known, tokens.b, self.starts))
-        pair = mixed(np.where(tokens.b == START, START, tokens.a), key)
-        return pair, mixed(key, tokens.w), key, mixed(pair, tokens.w)
+        children = np.bincount(self.up, minlength=len(self.bigram))
+        self.d2, self.d1 = discount_of(self.c2), discount_of(children)
+        self.two = Level(self.c2, self.u2)
+        self.one = Level(np.bincount(self.up, self.c2, len(self.bigram)), self.u1)
+        # of the bigrams that are sampled: customers from trigrams of one customer, and their places by trigram
+        place = np.full(len(self.bigram), -1)
+        place[self.one.at] = np.arange(len(self.one.at))
+        self.under = place[self.up[self.two.at]]
+        self.fixed = children[self.one.at] - np.bincount(self.under, minlength=len(self.one.at))
 
     def first(self) -> np.ndarray:
         """The parent's probabilities of the shard's words before the root is known: unigrams."""
         rank = self.known.ranks(self.words)
-        return np.where(rank >= 0, self.known.first[rank] if len(self.known.first) else 0.0, self.known.rare)
-
-    def parent(self, p0: np.ndarray) -> np.ndarray:
-        """Probability of each bigram's word after its first."""
-        room = (STRENGTH + self.d1 * np.bincount(self.u1, self.t1)) / (STRENGTH + np.bincount(self.u1, self.c1()))
-        return self.own1() + room[self.u1] * p0[self.w1]
+        return np.where(rank >= 0, np.append(self.known.first, 0.0)[rank], self.known.rare)
 
-    def c1(self) -> np.ndarray:
-        return np.bincount(self.up, self.t2, len(self.bigram)).astype(np.int64)
-
-    def own1(self) -> np.ndarray:
-        c1 = self.c1()
-        return (c1 - self.d1 * self.t1) / (STRENGTH + np.bincount(self.u1, c1)[self.u1])
+    def customers(self) -> np.ndarray:
+        """Of the bigrams that are sampled: the tables of their trigrams."""
+        return self.fixed + np.bincount(self.under, self.two.t, len(self.fixed)).astype(np.int64)
 
     def sweep(self, p0: np.ndarray, rng: np.random.Generator) -> None:
         """Pairs under their words, then words under ``p0`` (by place in ``words``)."""
-        if not len(self.tri):
+        one, two, base = self.one, self.two, p0[self.w1[self.one.at]]
+        if not len(one.at):
             return
-        self.t2 = sample_tables(self.c2, self.t2, self.parent(p0)[self.up], self.u2, STRENGTH, self.d2, log_stirling_of(self.d2), rng)
-        c1 = self.c1()
-        self.t1 = sample_tables(c1, np.clip(self.t1, 1, c1), p0[self.w1], self.u1, STRENGTH, self.d1, log_stirling_of(self.d1), rng)
+        c1 = self.customers()
+        n = STRENGTH + one.alone + np.bincount(one.u, c1)
+        room = (STRENGTH + self.d1 * (one.alone + np.bincount(one.u, one.t))) / n
+        parent = (c1 - self.d1 * np.minimum(one.t, c1)) / n[one.u] + room[one.u] * base
+        two.sweep(self.c2[two.at], parent[self.under], self.d2, rng)
+        one.sweep(self.customers(), base, self.d1, rng)
 
     def served(self) -> np.ndarray:
         """Tables of each of ``words`` over all restaurants: the root's customers."""
-        return np.bincount(self.w1, self.t1, len(self.words)).astype(np.int64)
+        return np.bincount(self.w1, self.one.whole(self.one.t), len(self.words)).astype(np.int64)
 
     def sample(self) -> tuple:
         """What a sample adds to a prediction: own share of trigrams, room of pairs, own share of bigrams, room of words."""
         if not len(self.tri):
             return (np.empty(0),) * 4
-        n2, n1 = np.bincount(self.u2, self.c2), np.bincount(self.u1, self.c1())
-        return ((self.c2 - self.d2 * self.t2) / (STRENGTH + n2[self.u2]), (STRENGTH + self.d2 * np.bincount(self.u2, self.t2)) / (STRENGTH + n2),
-                self.own1(), (STRENGTH + self.d1 * np.bincount(self.u1, self.t1)) / (STRENGTH + n1))
+        t2, t1, c1 = self.two.whole(self.two.t), self.one.whole(self.one.t), self.one.whole(self.customers())
+        n2, n1 = np.bincount(self.u2, self.c2), np.bincount(self.u1, c1)
+        return ((self.c2 - self.d2 * t2) / (STRENGTH + n2[self.u2]), (STRENGTH + self.d2 * np.bincount(self.u2, t2)) / (STRENGTH + n2),
+                (c1 - self.d1 * t1) / (STRENGTH + n1[self.u1]), (STRENGTH + self.d1 * np.bincount(self.u1, t1)) / (STRENGTH + n1))
 
     def predict(self, tokens: Tokens, samples: list[tuple], p0: np.ndarray) -> np.ndarray:
         """Probability of every token, averaged over the samples."""
-        pair, bigram, key, tri = self.keys(tokens)
+        pair, bigram, tri = tokens.names()
         base = p0[np.searchsorted(self.words, tokens.w)]
-        places = [_find(x, y) for x, y in ((self.tri, tri), (self.pair, pair), (self.bigram, bigram), (self.key, key))]
+        places = [_find(x, y) for x, y in ((self.tri, tri), (self.pair, pair), (self.bigram, bigram), (self.key, tokens.key))]
         out = np.zeros(len(tri))
         for own2, room2, own1, room1 in samples:
             # a context without customers leaves all to its parent
@@ -590,23 +615,22 @@ def log_stirling_of(discount: float) -> np.ndarray:
     return log_stirling(discount)
 
 
-TABLES = "shard int, w bigint, t bigint, c bigint"
+TABLES = "shard int, w bigint, t bigint"
 
 
-def _seat(sent, starts: int, burn: int, seed: int):
+def _seat(sent, burn: int, seed: int):
     """First pass: tables of every word of a shard, the words of held-out texts with none."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for number, _, spool, _ in _shards(batches):
-            shard, rng = Shard(spool, sent.value, starts), np.random.default_rng((seed, number))
+        for number, spool in _shards(batches):
+            shard, rng = Shard(spool, sent.value), np.random.default_rng((seed, number))
             p0 = shard.first()
             for _ in range(burn):
                 shard.sweep(p0, rng)
             n = len(shard.words)
-            yield pa.record_batch([pa.array(np.full(n, number, np.int32)), pa.array(shard.words), pa.array(shard.served()), pa.nulls(n, pa.int64())],
-                                  names=["shard", "w", "t", "c"])
+            yield pa.record_batch([pa.array(np.full(n, number, np.int32)), pa.array(shard.words), pa.array(shard.served())], names=["shard", "w", "t"])
 
     return run
 
@@ -661,26 +685,29 @@ def _root(vocab: int, sweeps: int, seed: int):
 SUMS = "run bigint, texts binary, n binary, known binary, base binary, score binary, info binary"
 
 
-def _score(sent, starts: int, total: int, vocab: int, burn: int, samples: int, seed: int):
-    """Second pass: sums of each text over the tokens of a shard; the infos of runs go on as they are."""
+def _score(sent, total: int, vocab: int, burn: int, samples: int, seed: int):
+    """Second pass, a shard with its words (w, p, c): sums of each text over the tokens; the infos of runs go on as they are.
 
-    def run(batches) -> Iterator:
+    A shard holds about SHARD tokens, or a restaurant of up to PAIR, packed.
+    """
+
+    def run(dealt, words):
         import pyarrow as pa
 
         names = [x.split()[0] for x in SUMS.split(", ")]
-
-        def row(*values):
-            return pa.record_batch([pa.array([values[0]], pa.int64()), *(pa.array([v], pa.binary()) for v in values[1:])], names=names)
-
-        for number, (w, p, c), spool, infos in _shards(batches):
-            for info in infos:
-                yield row(struct.unpack_from(HEAD, info)[2], None, None, None, None, None, info)
-            if not spool.sizes:
-                continue
-            shard, rng = Shard(spool, sent.value, starts), np.random.default_rng((seed, number))
+        spool, rows, number = Spool(), [], None
+        for batch in dealt.to_batches():
+            for number, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if kind == 1:
+                    spool.add(blob)
+                else:
+                    rows.append((struct.unpack_from(HEAD, blob)[2], None, None, None, None, None, blob))
+        if spool.sizes:
+            shard, rng = Shard(spool, sent.value), np.random.default_rng((seed, number))
+            w, p, c = (words.column(n).to_numpy() for n in ("w", "p", "c"))
             order = np.argsort(w)
             if not np.array_equal(w[order], shard.words):
-                raise RuntimeError("the texts changed between the passes")
+                raise RuntimeError("a shard's words are not those of its tokens")
             p0, count, drawn = p[order], c[order], []
             for sweep in range(burn + samples):
                 shard.sweep(p0, rng)
@@ -693,8 +720,10 @@ def _score(sent, starts: int, total: int, vocab: int, burn: int, samples: int, s
                 word = np.searchsorted(shard.words, tokens.w)
                 score = np.log10(shard.predict(tokens, drawn, p0))
                 sums = [np.bincount(at, x, len(texts)) for x in (np.ones(len(at)), count[word] > 0, base[word], score)]
-                yield row(tokens.run, texts.astype("<i4").tobytes(), sums[0].astype("<i4").tobytes(), sums[1].astype("<i4").tobytes(),
-                          sums[2].astype("<f8").tobytes(), sums[3].astype("<f8").tobytes(), None)
+                rows.append((tokens.run, texts.astype("<i4").tobytes(), sums[0].astype("<i4").tobytes(), sums[1].astype("<i4").tobytes(),
+                             sums[2].astype("<f8").tobytes(), sums[3].astype("<f8").tobytes(), None))
+        kinds = (pa.int64(), *[pa.binary()] * 6)
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return run
 
@@ -771,19 +800,17 @@ def language_scores(docs: DataFrame, held_out: Column, sent_words: int = SENT, s
     sent = spark.sparkContext.broadcast(Frequent(h, c, (c + 1.0) / (total + vocab + 1), float(min(1.0, rare / (total + vocab + 1)))))
 
     shards = max(1, -(-total // shard_tokens))
-    by_shard = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    seats = ws.keep(by_shard(rows.mapInArrow(_deal(sent, shards, starts, False), DEALT)).mapInArrow(_seat(sent, starts, burn, 5), TABLES), "tables")
-    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the first pass before the second writes its own
+    # both passes read this one exchange
+    dealt = rows.mapInArrow(_deal(sent, shards, starts), DEALT).repartition(shards, "shard")
+    seats = dealt.sortWithinPartitions("shard").mapInArrow(_seat(sent, burn, 5), TABLES)
     # customers of the root and corpus count of each word, wherever it is asked for: a word has a row a shard
     word = Window.partitionBy("w")
-    known = seats.unionByName(counts.select(F.lit(None).cast("int").alias("shard"), F.col("h").alias("w"), F.lit(0).cast("bigint").alias("t"), "c"))
-    asked = ws.keep(known.select("shard", "w", F.sum("t").over(word).alias("n"), F.coalesce(F.max("c").over(word), F.lit(0)).alias("c")), "words")
+    both = seats.withColumn("c", F.lit(0).cast("bigint")).unionByName(counts.select(F.lit(None).cast("int").alias("shard"), F.col("h").alias("w"), F.lit(0).cast("bigint").alias("t"), "c"))
+    asked = both.select("shard", "w", F.sum("t").over(word).alias("n"), F.max("c").over(word).alias("c"))
     numbers = asked.where("shard is null and n > 0").groupBy("n").agg(F.count("*").alias("words"))  # a training word once
     numbers = numbers.unionByName(spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("words")))
-    root = ws.keep(numbers.repartition(1).mapInArrow(_root(vocab, burn + samples, 13), "n bigint, p double"), "root")
-    words = asked.where("shard is not null").join(root, "n").select(
-        "shard", F.lit(0).alias("kind"), "w", "p", "c", F.lit(None).cast("binary").alias("payload"))
-    dealt = rows.mapInArrow(_deal(sent, shards, starts, True), DEALT).unionByName(words)
-    sums = by_shard(dealt).mapInArrow(_score(sent, starts, total, vocab, burn, samples, 7), SUMS)
+    root = numbers.repartition(1).mapInArrow(_root(vocab, burn + samples, 13), "n bigint, p double")
+    words = asked.where("shard is not null").join(root, "n").select("shard", "w", "p", "c")
+    sums = dealt.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_score(sent, total, vocab, burn, samples, 7), SUMS)
     scored = sums.repartition("run").sortWithinPartitions("run").mapInArrow(_total, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

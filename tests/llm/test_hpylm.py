@@ -40,7 +40,7 @@ def is_held():
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
-@pytest.mark.parametrize(("sent", "shard", "part"), [(262_144, 1 << 19, 1 << 18), (30, 900, 200), (0, 300, 1 << 18)])
+@pytest.mark.parametrize(("sent", "shard", "part"), [(262_144, 1 << 20, 1 << 18), (30, 900, 200), (0, 9000, 1 << 18)])
 def test_counts_and_base_equal_brute_force_and_model_wins(spark, monkeypatch, sent, shard, part):
     monkeypatch.setattr(hpylm, "PART", part)
     rows = corpus(400) + [(900, None), (901, ""), (902, "\t A0 a0\x0b a0  "), (903, "never seen \x1c words é"), (904, "a1 " * 30_000), (None, "a1 a2"), (5, "a3"), (5, "a3")]
@@ -65,19 +65,20 @@ def shard_of(texts, monkeypatch=None):
         value = known
 
     batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([False] * len(texts))], names=["doc_id", "text", "held_out"])
-    for b in hpylm._deal(Sent, 1, len(texts), False)([batch]):
-        out += b.column(5).to_pylist()
+    for b in hpylm._deal(Sent, 1, len(texts))([batch]):
+        out += [x for x, kind in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) if kind == 1]
     spool = Spool()
     for blob in out:
         spool.add(blob)
-    return Shard(spool, known, len(texts)), known, names
+    return Shard(spool, known), known, names
 
 
 def probe(shard, a, b, words):
     """Tokens that ask for every word after a and b."""
     h = lambda w: START if w == "<" else END if w == "\n" else hpylm._hash(w.encode())
     n = len(words)
-    return hpylm.Tokens(0, np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, h(a)), np.full(n, h(b)), np.array([h(w) for w in words]))
+    key = hpylm.mixed(np.full(n, h(b)), np.zeros(n, np.int64))
+    return hpylm.Tokens(0, np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, h(a)), key, np.array([h(w) for w in words]))
 
 
 TEXTS = ["a b a b c", "a b a b c c", "b a b", "c c c a b", "a b a", "b b a b a b", "", "c a b a b a b c"]
@@ -217,16 +218,28 @@ def test_tokens_contexts_and_packing():
     want = [[*(hpylm._hash(x) for x in (w or "").encode().lower().split()), END] for w in texts]
     assert run.hashes[run.place].tolist() == sum(want, [])
     known = Frequent(np.array([hpylm._hash(b"b"), END], np.int64), np.array([9, 5]), np.zeros(2), 0.1)
-    words, hashes, key = hpylm.contexts(run, np.arange(5), known, 5)
-    doc = 2 * run.text + (run.text == 2)
+    words, group, hashes = hpylm.contexts(run, np.arange(5), known, 5)
+    assert not group.any()
+    doc, group = 2 * run.text + (run.text == 2), np.arange(len(group)) % 4
     some = np.arange(len(doc)) % 3 != 1
-    t = hpylm.unpack(hpylm.pack(77, doc[some], words[:, some], hashes, known.ranks(hashes)), known)
-    flat = [(i, x) for i, own in enumerate(want) for x in own]
+    t = hpylm.unpack(hpylm.pack(77, doc[some], words[:, some], group[some], hashes, known.ranks(hashes)), known)
     before = [(own[k - 1] if k else START, own[k - 2] if k > 1 else START) for own in want for k in range(len(own))]
-    assert t.run == 77 and t.text.tolist() == [i for (i, _), k in zip(flat, some) if k] and t.w.tolist() == [x for (_, x), k in zip(flat, some) if k]
-    assert t.held.tolist() == [i == 2 for (i, _), k in zip(flat, some) if k]
-    assert t.b.tolist() == [x for (x, _), k in zip(before, some) if k]
-    assert [a for a, b in zip(t.a.tolist(), t.b.tolist()) if b != START] == [a for (b, a), k in zip(before, some) if k and b != START]
+    flat = [(i, *x) for i, x in zip([i for i, own in enumerate(want) for _ in own], zip(sum(want, []), before))]
+    flat = [x for x, k in zip(flat, some) if k]
+    assert t.run == 77 and t.text.tolist() == [x[0] for x in flat] and t.w.tolist() == [x[1] for x in flat] and t.held.tolist() == [x[0] == 2 for x in flat]
+    assert t.a.tolist() == [x[2][1] for x in flat] and t.key.tolist() == hpylm.mixed(np.array([x[2][0] for x in flat]), group[some]).tolist()
+
+
+def test_frequent_words_have_restaurants_by_class(monkeypatch):
+    monkeypatch.setattr(hpylm, "PART", 10)
+    monkeypatch.setattr(hpylm, "PAIR", 40)
+    a, ids = np.repeat(np.arange(200), 5), np.tile(np.arange(5), 200)
+    few = hpylm._group(a, ids, np.full(1000, 9), np.full(1000, 9))
+    many = hpylm._group(a, ids, np.full(1000, 30), np.full(1000, 95))
+    both = hpylm._group(a, ids, np.full(1000, 95), np.full(1000, 95))
+    assert not few.any() and set(many) == set(range(10)) and set(both) == set(range(10))
+    assert (many.reshape(200, 5) == many.reshape(200, 5)[:, :1]).all()  # a class of the word before
+    assert (both.reshape(200, 5) != both.reshape(200, 5)[:, :1]).any()  # and of texts where both are very frequent
 
 
 def test_spooled_and_folded_shards_are_the_same(monkeypatch):
