@@ -807,7 +807,7 @@ def language_scores(docs: DataFrame, held_out: Column, sent_words: int = SENT, s
     word = Window.partitionBy("w")
     both = seats.withColumn("c", F.lit(0).cast("bigint")).unionByName(counts.select(F.lit(None).cast("int").alias("shard"), F.col("h").alias("w"), F.lit(0).cast("bigint").alias("t"), "c"))
     asked = both.select("shard", "w", F.sum("t").over(word).alias("n"), F.max("c").over(word).alias("c"))
-    numbers = asked.where("shard is null and n > 0").groupBy("n").agg(F.count("*").alias("words"))  # a training word once
+    numbers = asked.where("shard is null and n > 0 and c > 0").groupBy("n").agg(F.count("*").alias("words"))  # a training word once; c keeps the exchange that both sides read
     numbers = numbers.unionByName(spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("words")))
     root = numbers.repartition(1).mapInArrow(_root(vocab, burn + samples, 13), "n bigint, p double")
     words = asked.where("shard is not null").join(root, "n").select("shard", "w", "p", "c")
