@@ -29,7 +29,6 @@ there are depends on the words' counts alone.
 from __future__ import annotations
 
 import struct
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -43,7 +42,7 @@ from rillframe.llm.common import Workspace, row_binaries, texts_of
 #: Frequent words that are sent to every task, with counts (a bounded table: the others travel as hashes).
 SENT = 262_144
 #: Tokens of a shard on average, and occurrences of a word for each of its restaurants.
-SHARD, PART = 1 << 20, 1 << 18
+SHARD, PART = 1 << 21, 1 << 18
 #: Occurrences of both words of a pair for each class of texts it's divided into.
 PAIR = 1 << 22
 #: Sweeps before the first sample, samples, strength, and discount of the root.
@@ -54,8 +53,8 @@ EXACT = 128
 SEATED = 1 << 18
 #: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
 TABLED, PLACES = 2048, 257
-#: Bytes of text of a run; bytes of a shard's packed tokens that stay in memory.
-RUN_BYTES, SPOOL_BYTES = 4 << 20, 16 << 20
+#: Bytes of text of a run.
+RUN_BYTES = 6 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -202,11 +201,6 @@ class Tokens:
     key: np.ndarray
     w: np.ndarray
 
-    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the pair before, of the bigram and of the trigram."""
-        pair = mixed(self.a, self.key)
-        return pair, mixed(self.key, self.w), mixed(pair, self.w)
-
 
 def unpack(blob: bytes, known: Frequent) -> Tokens:
     import zstandard
@@ -272,35 +266,19 @@ def _deal(sent, shards: int, starts: int):
     return run
 
 
-class Spool:
-    """Packed tokens of a shard: in memory, beyond SPOOL_BYTES in a scratch file that a task run again writes anew."""
-
-    def __init__(self) -> None:
-        self.file, self.sizes = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES), []
-
-    def add(self, blob: bytes) -> None:
-        self.file.write(blob)
-        self.sizes.append(len(blob))
-
-    def __iter__(self) -> Iterator[bytes]:
-        self.file.seek(0)
-        for n in self.sizes:
-            yield self.file.read(n)
-
-
-def _shards(batches) -> Iterator[tuple[int, Spool]]:
+def _shards(batches) -> Iterator[tuple[int, list[bytes]]]:
     """Rows (shard, kind, payload) sorted by shard to the packed tokens of one shard at a time."""
-    now, spool = None, Spool()
+    now, blobs = None, []
     for batch in batches:
         for number, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), row_binaries(batch.column(2))):
             if number != now:
-                if spool.sizes:
-                    yield now, spool
-                now, spool = number, Spool()
+                if blobs:
+                    yield now, blobs
+                now, blobs = number, []
             if kind == 1:
-                spool.add(bytes(blob))
-    if spool.sizes:
-        yield now, spool
+                blobs.append(bytes(blob))
+    if blobs:
+        yield now, blobs
 
 
 # --- seating ----------------------------------------------------------------
@@ -484,36 +462,21 @@ def discount_of(c: np.ndarray) -> float:
     return float(np.round(np.clip(once / (once + 2 * twice) if once else 0.5, 0.05, 0.95), 2))
 
 
-#: Distinct trigrams that are held before they are folded again.
-FOLD = 1 << 19
-
-
-def _folded(rows: np.ndarray) -> np.ndarray:
-    """(6, n) of trigram, customers, pair, bigram, restaurant and word: equal trigrams become one, sorted."""
-    order = np.argsort(rows[0], kind="stable")
-    rows = rows[:, order]
-    start = np.nonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))[0] if rows.shape[1] else np.empty(0, np.int64)
-    out = rows[:, start]
-    if len(start):
-        out[1] = np.add.reduceat(rows[1], start)
-    return out
-
-
 class Level:
-    """Dishes of a level of restaurants; ``most`` are the customers that each can have.
+    """Dishes of a level of restaurants; ``most`` are the customers that each can have, none where only held-out texts ask for it.
 
     A dish of one customer has one table for good, so only the others (``at``) are sampled;
-    ``alone`` counts the dishes of one customer of each restaurant that has others (``names``).
+    ``alone`` counts the dishes of one customer of each restaurant that has others.
     """
 
     def __init__(self, most: np.ndarray, u: np.ndarray) -> None:
-        self.size, self.at = len(u), np.nonzero(most > 1)[0]
-        self.names, self.u = np.unique(u[self.at], return_inverse=True)
-        self.alone = np.bincount(u, minlength=int(u.max(initial=-1)) + 1)[self.names] - np.bincount(self.u, minlength=len(self.names))
+        self.single, self.at = (most == 1).astype(np.int64), np.nonzero(most > 1)[0]
+        names, self.u = np.unique(u[self.at], return_inverse=True)
+        self.alone = np.bincount(u, self.single, int(u.max(initial=-1)) + 1)[names].astype(np.int64)
         self.t = np.ones(len(self.at), np.int64)
 
     def whole(self, values: np.ndarray) -> np.ndarray:
-        out = np.ones(self.size, np.int64)
+        out = self.single.copy()
         out[self.at] = values
         return out
 
@@ -522,34 +485,37 @@ class Level:
 
 
 class Shard:
-    """The restaurants of some words and of all pairs that end in them, seated from packed tokens."""
-
-    def __init__(self, spool, known: Frequent) -> None:
-        self.known = known
-        held, size, words = [np.empty((6, 0), np.int64)], 0, [np.empty(0, np.int64)]
-        for blob in spool:
-            tokens = unpack(blob, known)
-            pair, bigram, tri = tokens.names()
-            words.append(np.unique(tokens.w))
-            seen = ~tokens.held
-            held.append(np.stack([x[seen] for x in (tri, np.ones(len(tri), np.int64), pair, bigram, tokens.key, tokens.w)]))
-            size += held[-1].shape[1]
-            if size > FOLD + 2 * held[0].shape[1]:
-                held, words = [_folded(np.concatenate(held, 1))], [np.unique(np.concatenate(words))]
-                size = held[0].shape[1]
-        self.tri, self.c2, pair, bigram, key, w = _folded(np.concatenate(held, 1))
-        del held
-        self.words = np.unique(np.concatenate(words))  # held-out texts' words too
-        self.pair, self.u2 = np.unique(pair, return_inverse=True)
-        self.bigram, at, self.up = np.unique(bigram, return_index=True, return_inverse=True)
-        self.key, self.u1 = np.unique(key[at], return_inverse=True)
-        self.w1 = np.searchsorted(self.words, w[at])
-        children = np.bincount(self.up, minlength=len(self.bigram))
+    """The restaurants of some words and of all pairs that end in them, seated from packed tokens.
+
+    Dishes are numbered by the tokens of all texts, held-out ones too, so that every token
+    knows its trigram (``of``) and nothing is looked up: a held-out token's has no customers.
+    """
+
+    def __init__(self, blobs: list[bytes], known: Frequent) -> None:
+        tokens = [unpack(x, known) for x in blobs]
+        self.known, self.spans = known, [(t.run, t.text) for t in tokens]
+        held, a, key, w = (np.concatenate([getattr(t, n) for t in tokens]) for n in ("held", "a", "key", "w"))
+        del tokens
+        pair = mixed(a, key)
+        tri = mixed(pair, w)
+        order = np.argsort(tri)
+        new = np.append(True, np.diff(tri[order]) != 0)
+        first = order[new]
+        self.of = np.empty(len(tri), np.int32)
+        self.of[order] = np.cumsum(new) - 1
+        self.c2 = np.bincount(self.of, ~held, len(first)).astype(np.int64)
+        pair, key, w = pair[first], key[first], w[first]
+        del tri, order, new, held, a
+        self.u2 = np.unique(pair, return_inverse=True)[1]
+        _, at, self.up = np.unique(mixed(key, w), return_index=True, return_inverse=True)
+        self.u1 = np.unique(key[at], return_inverse=True)[1]
+        self.words, self.w1 = np.unique(w[at], return_inverse=True)
+        children = np.bincount(self.up, self.c2 > 0, len(at)).astype(np.int64)
         self.d2, self.d1 = discount_of(self.c2), discount_of(children)
         self.two = Level(self.c2, self.u2)
-        self.one = Level(np.bincount(self.up, self.c2, len(self.bigram)), self.u1)
+        self.one = Level(np.bincount(self.up, self.c2, len(at)).astype(np.int64), self.u1)
         # of the bigrams that are sampled: customers from trigrams of one customer, and their places by trigram
-        place = np.full(len(self.bigram), -1)
+        place = np.full(len(at), -1)
         place[self.one.at] = np.arange(len(self.one.at))
         self.under = place[self.up[self.two.at]]
         self.fixed = children[self.one.at] - np.bincount(self.under, minlength=len(self.one.at))
@@ -579,35 +545,34 @@ class Shard:
         """Tables of each of ``words`` over all restaurants: the root's customers."""
         return np.bincount(self.w1, self.one.whole(self.one.t), len(self.words)).astype(np.int64)
 
-    def sample(self) -> tuple:
-        """What a sample adds to a prediction: own share of trigrams, room of pairs, own share of bigrams, room of words."""
-        if not len(self.tri):
-            return (np.empty(0),) * 4
+    def sample(self, p0: np.ndarray) -> np.ndarray:
+        """Probability of every trigram's word in the present seating."""
         t2, t1, c1 = self.two.whole(self.two.t), self.one.whole(self.one.t), self.one.whole(self.customers())
         n2, n1 = np.bincount(self.u2, self.c2), np.bincount(self.u1, c1)
-        return ((self.c2 - self.d2 * t2) / (STRENGTH + n2[self.u2]), (STRENGTH + self.d2 * np.bincount(self.u2, t2)) / (STRENGTH + n2),
-                (c1 - self.d1 * t1) / (STRENGTH + n1[self.u1]), (STRENGTH + self.d1 * np.bincount(self.u1, t1)) / (STRENGTH + n1))
-
-    def predict(self, tokens: Tokens, samples: list[tuple], p0: np.ndarray) -> np.ndarray:
-        """Probability of every token, averaged over the samples."""
-        pair, bigram, tri = tokens.names()
-        base = p0[np.searchsorted(self.words, tokens.w)]
-        places = [_find(x, y) for x, y in ((self.tri, tri), (self.pair, pair), (self.bigram, bigram), (self.key, tokens.key))]
-        out = np.zeros(len(tri))
-        for own2, room2, own1, room1 in samples:
-            # a context without customers leaves all to its parent
-            get = lambda values, at, none: np.append(values, none)[at]
-            below = get(own1, places[2], 0.0) + get(room1, places[3], 1.0) * base
-            out += get(own2, places[0], 0.0) + get(room2, places[1], 1.0) * below
-        return out / len(samples)
-
-
-def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the wanted among the sorted names; -1 for none."""
-    if not len(names):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-    return np.where(names[at] == wanted, at, -1)
+        # a context without customers leaves all to its parent
+        room1 = (STRENGTH + self.d1 * np.bincount(self.u1, t1)) / (STRENGTH + n1)
+        below = (c1 - self.d1 * t1) / (STRENGTH + n1[self.u1]) + room1[self.u1] * p0[self.w1]
+        room2 = (STRENGTH + self.d2 * np.bincount(self.u2, t2)) / (STRENGTH + n2)
+        return (self.c2 - self.d2 * t2) / (STRENGTH + n2[self.u2]) + room2[self.u2] * below[self.up]
+
+    def predict(self, p0: np.ndarray, burn: int, samples: int, rng: np.random.Generator) -> np.ndarray:
+        """The same, averaged over samples after ``burn`` sweeps."""
+        for _ in range(burn):
+            self.sweep(p0, rng)
+        out = np.zeros(len(self.c2))
+        for _ in range(samples):
+            self.sweep(p0, rng)
+            out += self.sample(p0)
+        return out / samples
+
+    def by_text(self, *values: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Run, texts, and the sums of each trigram's ``values`` over the tokens of each text."""
+        at = 0
+        for run, text in self.spans:
+            texts, place = np.unique(text, return_inverse=True)
+            of = self.of[at:at + len(text)]
+            at += len(text)
+            yield run, texts, [np.bincount(place, x[of], len(texts)) for x in values]
 
 
 @lru_cache(maxsize=128)
@@ -624,8 +589,8 @@ def _seat(sent, burn: int, seed: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for number, spool in _shards(batches):
-            shard, rng = Shard(spool, sent.value), np.random.default_rng((seed, number))
+        for number, blobs in _shards(batches):
+            shard, rng = Shard(blobs, sent.value), np.random.default_rng((seed, number))
             p0 = shard.first()
             for _ in range(burn):
                 shard.sweep(p0, rng)
@@ -682,7 +647,7 @@ def _root(vocab: int, sweeps: int, seed: int):
 
 # --- scoring ----------------------------------------------------------------
 
-SUMS = "run bigint, texts binary, n binary, known binary, base binary, score binary, info binary"
+SUMS = "run bigint, sums binary, info binary"
 
 
 def _score(sent, total: int, vocab: int, burn: int, samples: int, seed: int):
@@ -694,40 +659,47 @@ def _score(sent, total: int, vocab: int, burn: int, samples: int, seed: int):
     def run(dealt, words):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in SUMS.split(", ")]
-        spool, rows, number = Spool(), [], None
+        blobs, rows, number = [], [], None
         for batch in dealt.to_batches():
             for number, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if kind == 1:
-                    spool.add(blob)
+                    blobs.append(blob)
                 else:
-                    rows.append((struct.unpack_from(HEAD, blob)[2], None, None, None, None, None, blob))
-        if spool.sizes:
-            shard, rng = Shard(spool, sent.value), np.random.default_rng((seed, number))
+                    rows.append((struct.unpack_from(HEAD, blob)[2], None, blob))
+        if blobs:
+            shard = Shard(blobs, sent.value)
+            del blobs
             w, p, c = (words.column(n).to_numpy() for n in ("w", "p", "c"))
             order = np.argsort(w)
             if not np.array_equal(w[order], shard.words):
                 raise RuntimeError("a shard's words are not those of its tokens")
-            p0, count, drawn = p[order], c[order], []
-            for sweep in range(burn + samples):
-                shard.sweep(p0, rng)
-                if sweep >= burn:
-                    drawn.append(shard.sample())
-            base = np.log10((count + 1.0) / (total + vocab + 1))
-            for blob in spool:
-                tokens = unpack(blob, sent.value)
-                texts, at = np.unique(tokens.text, return_inverse=True)
-                word = np.searchsorted(shard.words, tokens.w)
-                score = np.log10(shard.predict(tokens, drawn, p0))
-                sums = [np.bincount(at, x, len(texts)) for x in (np.ones(len(at)), count[word] > 0, base[word], score)]
-                rows.append((tokens.run, texts.astype("<i4").tobytes(), sums[0].astype("<i4").tobytes(), sums[1].astype("<i4").tobytes(),
-                             sums[2].astype("<f8").tobytes(), sums[3].astype("<f8").tobytes(), None))
-        kinds = (pa.int64(), *[pa.binary()] * 6)
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+            score = np.log10(shard.predict(p[order], burn, samples, np.random.default_rng((seed, number))))
+            of = shard.w1[shard.up]
+            count = c[order][of]
+            for run_id, texts, sums in shard.by_text(np.ones(len(of)), (count > 0).astype(float), np.log10((count + 1.0) / (total + vocab + 1)), score):
+                rows.append((run_id, pack_sums(texts, sums), None))
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["run", "sums", "info"])
 
     return run
 
 
+def pack_sums(texts: np.ndarray, sums: list[np.ndarray]) -> bytes:
+    """Sums over the tokens of some texts: numbers of tokens, of known ones, base score, score."""
+    import zstandard
+
+    body = b"".join(_planes(x) for x in (np.diff(texts, prepend=0), *sums[:2])) + b"".join(x.astype("<f8").tobytes() for x in sums[2:])
+    return struct.pack("<i", len(texts)) + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack_sums(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    import zstandard
+
+    (n,) = struct.unpack_from("<i", blob)
+    body = zstandard.ZstdDecompressor().decompress(blob[4:], max_output_size=28 * n)
+    texts, tokens, known = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<i4").ravel() for k in range(3))
+    return np.cumsum(texts), [tokens, known, *(np.frombuffer(body, "<f8", n, 12 * n + 8 * n * k) for k in (0, 1))]
+
+
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -742,22 +714,22 @@ def _total(batches) -> Iterator:
         ids = np.frombuffer(info, "<i8", n, HEAD_BYTES)
         good, held = (np.frombuffer(info, np.uint8, n, HEAD_BYTES + 8 * n + n * k).astype(bool) for k in (0, 1))
         sums = [np.zeros(n) for _ in range(4)]
-        for texts, *values in parts:
+        for texts, values in map(unpack_sums, parts):
             for to, x in zip(sums, values):
                 to[texts] += x
         return pa.record_batch([pa.array(ids.astype(np.int64), mask=~good), pa.array(held), *(pa.array(x.astype(np.int64)) for x in sums[:2]),
                                 *map(pa.array, sums[2:])], names=[x.split()[0] for x in SCORED.split(", ")])
 
     for batch in batches:
-        for run, *raw in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 7))):
+        for run, own, about in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if run != now:
                 if now is not None:
                     yield close()
                 now, info, parts = run, None, []
-            if raw[5] is not None:
-                info = raw[5]
+            if about is not None:
+                info = about
             else:
-                parts.append([np.frombuffer(x, kind) for x, kind in zip(raw, ("<i4", "<i4", "<i4", "<f8", "<f8"))])
+                parts.append(own)
     if now is not None:
         yield close()
 

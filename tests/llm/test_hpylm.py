@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillframe.llm import hpylm
-from rillframe.llm.hpylm import END, START, Frequent, Shard, Spool, language_scores, log_stirling, sample_tables, seat_root, tokens_of
+from rillframe.llm.hpylm import END, START, Frequent, Shard, language_scores, log_stirling, sample_tables, seat_root, tokens_of
 
 
 def held(i):
@@ -54,45 +54,34 @@ def test_counts_and_base_equal_brute_force_and_model_wins(spark, monkeypatch, se
 # --- the model against plain Python -----------------------------------------
 
 
-def shard_of(texts, monkeypatch=None):
-    """A shard of whole texts, word -> place, and its tokens."""
+def shard_of(texts, probes=()):
+    """A shard of training texts and held-out probes, and the place in it of each probe's last word (or end, for those that end in one)."""
     names = sorted({w for t in texts for w in t.split()})
     count = Counter(w for t in texts for w in t.split())
     known = Frequent(np.array([hpylm._hash(n.encode()) for n in names] + [END], np.int64), np.array([count[n] for n in names] + [len(texts)]), np.zeros(len(names) + 1), 0.1)
-    out = []
+    every = [*texts, *(t for t, _ in probes)]
 
     class Sent:
         value = known
 
-    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([False] * len(texts))], names=["doc_id", "text", "held_out"])
-    for b in hpylm._deal(Sent, 1, len(texts))([batch]):
-        out += [x for x, kind in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) if kind == 1]
-    spool = Spool()
-    for blob in out:
-        spool.add(blob)
-    return Shard(spool, known), known, names
+    batch = pa.record_batch([pa.array(range(len(every)), pa.int64()), pa.array(every), pa.array([i >= len(texts) for i in range(len(every))])],
+                            names=["doc_id", "text", "held_out"])
+    out = [b for b in hpylm._deal(Sent, 1, len(texts))([batch])]
+    shard = Shard([x for b in out for x, kind in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) if kind == 1], known)
+    sizes = [len(t.split()) + 1 for t in every]
+    starts = np.cumsum([0, *sizes])
+    return shard, names, [shard.of[starts[len(texts) + i] + at] for i, (_, at) in enumerate(probes)]
 
 
-def probe(shard, a, b, words):
-    """Tokens that ask for every word after a and b."""
-    h = lambda w: START if w == "<" else END if w == "\n" else hpylm._hash(w.encode())
-    n = len(words)
-    key = hpylm.mixed(np.full(n, h(b)), np.zeros(n, np.int64))
-    return hpylm.Tokens(0, np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, h(a)), key, np.array([h(w) for w in words]))
+def asking(a, b, words):
+    """Held-out texts and places of their tokens that ask for each word after a and b; < is the start."""
+    lead = [x for x in (a, b) if x != "<"]
+    return [(" ".join([*lead, *([] if w == "\n" else [w])]), len(lead)) for w in words]
 
 
 TEXTS = ["a b a b c", "a b a b c c", "b a b", "c c c a b", "a b a", "b b a b a b", "", "c a b a b a b c"]
 
 
-def mean_prediction(shard, tokens, p0, sweeps, burn=50, seed=3):
-    rng, drawn = np.random.default_rng(seed), []
-    for i in range(sweeps):
-        shard.sweep(p0, rng)
-        if i >= burn:
-            drawn.append(shard.sample())
-    return shard.predict(tokens, drawn, p0)
-
-
 class Crp:
     """A restaurant seated one customer at a time: dish -> sizes of its tables."""
 
@@ -127,11 +116,13 @@ class Crp:
 
 
 def test_predictions_equal_seating_one_customer_at_a_time():
-    shard, known, names = shard_of(TEXTS)
+    names, asked = ["a", "b", "c"], [("a", "b"), ("b", "a"), ("c", "c"), ("<", "<"), ("<", "a"), ("c", "b")]
     words = [*names, "\n", "new"]
     p0 = {w: x for w, x in zip(words, (0.3, 0.25, 0.2, 0.15, 0.1))}
+    shard, _, places = shard_of(TEXTS, [p for q in asked for p in asking(*q, words[:4])])
     by_hash = {hpylm._hash(w.encode()) if w != "\n" else END: p for w, p in p0.items()}
     base = np.array([by_hash[int(x)] for x in shard.words])
+    got = shard.predict(base, 50, 1200, np.random.default_rng(3))[places].reshape(len(asked), 4)
 
     rng, low, high, customers = random.Random(1), {}, {}, []
     for t in TEXTS:
@@ -151,25 +142,19 @@ def test_predictions_equal_seating_one_customer_at_a_time():
             for a, b in asked:
                 r = high.get((a, b), low[b])
                 want[a, b] += [r.p(w) / rounds for w in words[:4]]
-    for a, b in asked:
-        got = mean_prediction(shard, probe(shard, a, b, words[:4]), base, 1200)
-        assert np.allclose(got, want[a, b], atol=0.03), (a, b, got, want[a, b])
+    for (a, b), p in zip(asked, got):
+        assert np.allclose(p, want[a, b], atol=0.03), (a, b, p, want[a, b])
 
 
 def test_predictions_sum_to_one_in_known_and_unknown_contexts():
-    shard, known, names = shard_of(TEXTS)
-    n = np.array([3, 5])  # two numbers of customers at the root
-    p = seat_root(n, np.array([3, 1]), 4, np.random.default_rng(0), 8)
+    p = seat_root(np.array([3, 5]), np.array([3, 1]), 4, np.random.default_rng(0), 8)  # two numbers of customers at the root
     assert abs(3 * p[1] + p[2] + p[0] - 1) < 1e-12 and p[2] > p[1] > p[0] > 0
-    p0 = np.where(shard.words == END, p[2], p[1])
-    for a, b in (("a", "b"), ("c", "c"), ("a", "nowhere"), ("nowhere", "a"), ("<", "<")):
-        tokens = probe(shard, a, b, [*names, "\n"])
-        unseen = mean_prediction(shard, tokens, p0, 60)
-        drawn = [shard.sample()]
-        known_part = shard.predict(tokens, drawn, p0).sum()
-        nothing = shard.predict(tokens, drawn, p0 * 0).sum()
-        # what is left for an unseen word is the root's share of it
-        assert abs(known_part + (1 - nothing) / 1.0 * p[0] - 1) < 1e-9 and (unseen > 0).all()
+    asked = [("a", "b"), ("c", "c"), ("a", "nowhere"), ("nowhere", "a"), ("<", "<")]
+    shard, names, places = shard_of(TEXTS, [x for q in asked for x in asking(*q, ["a", "b", "c", "\n", "never"])])
+    of = {hpylm._hash(b"never"): p[0], hpylm._hash(b"nowhere"): p[0], END: p[2]}
+    p0 = np.array([of.get(int(w), p[1]) for w in shard.words])
+    got = shard.predict(p0, 5, 20, np.random.default_rng(1))[places].reshape(len(asked), 5)
+    assert np.allclose(got.sum(1), 1, atol=1e-9) and (got > 0).all()
 
 
 def test_gibbs_draws_the_exact_distribution_of_tables():
@@ -199,16 +184,16 @@ def test_production_turns_keep_the_tables_of_large_dishes():
     rng, st = np.random.default_rng(3), log_stirling(d)
     full = log_stirling(d, 700)
     t, plain, got = np.ones(4, np.int64), np.zeros(4), np.zeros(4)
-    for i in range(3000):  # exact conditional of each dish in turn
+    for i in range(1500):  # exact conditional of each dish in turn
         for m in range(4):
             k = np.arange(1, c[m] + 1)
             logit = full[c[m], 1:c[m] + 1] + np.cumsum(np.log(s + d * (t.sum() - t[m] + k - 1))) + k * np.log(base[m])
             t[m] = 1 + (logit + rng.gumbel(size=len(k))).argmax()
-        plain += t * (i >= 200) / 2800
+        plain += t * (i >= 200) / 1300
     t = np.ones(4, np.int64)
-    for i in range(3000):
+    for i in range(1500):
         t = sample_tables(c, t, base, np.zeros(4, np.int64), s, d, st, rng)
-        got += t * (i >= 200) / 2800
+        got += t * (i >= 200) / 1300
     assert np.allclose(got, plain, rtol=0.1), (got, plain)
 
 
@@ -242,13 +227,14 @@ def test_frequent_words_have_restaurants_by_class(monkeypatch):
     assert (both.reshape(200, 5) != both.reshape(200, 5)[:, :1]).any()  # and of texts where both are very frequent
 
 
-def test_spooled_and_folded_shards_are_the_same(monkeypatch):
+def test_runs_of_any_size_give_one_shard(monkeypatch):
     whole, *_ = shard_of(TEXTS * 20)
-    monkeypatch.setattr(hpylm, "FOLD", 3)
-    monkeypatch.setattr(hpylm, "SPOOL_BYTES", 10)
     monkeypatch.setattr(hpylm, "RUN_BYTES", 50)
     small, *_ = shard_of(TEXTS * 20)
-    assert np.array_equal(whole.tri, small.tri) and np.array_equal(whole.c2, small.c2) and np.array_equal(whole.words, small.words)
+    assert np.array_equal(whole.c2, small.c2) and np.array_equal(whole.words, small.words) and np.array_equal(whole.of, small.of)
+    sums = [np.array([3.0, 0, 70_000]), np.array([1.0, 0, 9]), np.array([-3.5, -0.1, 2.0]), np.array([1e-9, -7.0, 0])]
+    texts, back = hpylm.unpack_sums(hpylm.pack_sums(np.array([2, 5, 900]), sums))
+    assert texts.tolist() == [2, 5, 900] and all(np.array_equal(a, b) for a, b in zip(sums, back))
 
 
 def test_empty_table_and_no_training_texts(spark):
