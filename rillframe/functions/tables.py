@@ -16,21 +16,10 @@ class D8Trace:
     """
 
     def eval(self, d8: bytes, h: int, w: int, i: int, j: int, most: int = 200_000) -> Iterator[tuple]:
-        from rillframe.kernels.terrain import D8, DIAGONAL
+        from rillframe.kernels.terrain import way_down
 
-        if None in (d8, h, w, i, j):
-            return
-        gone = 0.0
-        for pos in range(most + 1):
-            yield pos, i, j, gone
-            at = i * w + j
-            code = d8[at >> 1] & 15 if at & 1 else d8[at >> 1] >> 4
-            if code > 7:
-                return
-            i, j = i + D8[code][0], j + D8[code][1]
-            if not (0 <= i < h and 0 <= j < w):
-                return
-            gone += DIAGONAL if code % 2 else 1.0
+        if None not in (d8, h, w, i, j):
+            yield from way_down(d8, h, w, i, j, most)
 
 
 @udtf(returnType="x int, y int")

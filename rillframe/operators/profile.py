@@ -41,13 +41,13 @@ def _walk(batches) -> Iterator:
     """(dam_id, d8, h, w, i, j, mpp) to an entry each EVERY_M along the way down, one a step at most."""
     import pyarrow as pa
 
-    from rillframe.functions.tables import D8Trace
+    from rillframe.kernels.terrain import way_down
 
     for batch in batches:
         out = []
         for dam, d8, h, w, i, j, mpp in zip(*(c.to_pylist() for c in batch.columns)):
             entries = 0
-            for _, ci, cj, cells in D8Trace().eval(d8, h, w, i, j, h * w):
+            for _, ci, cj, cells in way_down(d8, h, w, i, j, h * w):
                 metres = cells * mpp
                 if metres > WALK_M:
                     break
