@@ -31,6 +31,15 @@ def tile_x(lon: Column, zoom: int) -> Column:
     return (lon + 180.0) / 360.0 * float(2**zoom)
 
 
+def mercator_x(lon: Column, zoom: int, side: int = 512) -> Column:
+    """Pixel column of a map whose tiles have ``side`` pixels."""
+    return (lon + 180.0) / 360.0 * float(side * 2**zoom)
+
+
+def mercator_y(lat: Column, zoom: int, side: int = 512) -> Column:
+    return tile_y(lat, zoom) * float(side)
+
+
 def tile_y(lat: Column, zoom: int) -> Column:
     r = F.radians(lat)
     return (F.lit(1.0) - F.ln(F.tan(r) + F.lit(1.0) / F.cos(r)) / math.pi) / 2.0 * float(2**zoom)

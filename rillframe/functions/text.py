@@ -54,5 +54,91 @@ def html_escape(c: Column) -> Column:
 
 
 def url_quote(c: Column) -> Column:
-    """Percent encoding with %20 for a space."""
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but letters, digits and ``-_.~``."""
+    c = F.url_encode(c)
+    for form, safe in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        c = F.replace(c, F.lit(form), F.lit(safe))
+    return c
+
+
+def slug_id(area: Column, slug: Column, fallback: Column) -> Column:
+    """area-slug; a blank area is ``unknown``, a blank slug gives way to the fallback."""
+    return F.concat_ws("-", F.coalesce(present(area), F.lit("unknown")), F.coalesce(present(slug), fallback.cast("string")))
+
+
+def _decimal(c: Column) -> Column:
+    return c.cast("decimal(24, 6)")
+
+
+def plain_number(c: Column) -> Column:
+    """Thousands grouped, at most six decimals, no trailing zeros; half up on the decimal digits."""
+    return grouped(_decimal(c))
+
+
+def flow_label(m3s: Column) -> Column:
+    return F.concat(plain_number(m3s), F.lit(" m3/s"))
+
+
+def level_label(metres: Column) -> Column:
+    return F.concat(F.lit("EL "), plain_number(metres), F.lit(" m"))
+
+
+def storage_label(thousand_m3: Column) -> Column:
+    """Cubic metres, from ten thousand on in units of ten thousand; the input counts thousands."""
+    d = _decimal(thousand_m3)
+    return F.when(F.abs(d) >= 10, F.concat(grouped(d / 10), F.lit(" x 10,000 m3"))).otherwise(F.concat(grouped(d * 1000), F.lit(" m3")))
+
+
+#: Form of an observation time as it is delivered.
+OBSERVED = "yyyy/MM/dd HH:mm"
+
+
+def date_label(text: Column) -> Column:
+    """The time without leading zeros in month and day; what is no time stays as it is, blank is null."""
+    t = F.try_to_timestamp(text, F.lit(OBSERVED))
+    return F.coalesce(F.date_format(t, "yyyy/M/d HH:mm"), F.nullif(text, F.lit("")))
+
+
+def date_iso(text: Column, offset: str = "+09:00") -> Column:
+    """ISO 8601 with the given offset; null where it is no time."""
+    return F.concat(F.date_format(F.try_to_timestamp(text, F.lit(OBSERVED)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
+
+
+def percent_error(a: Column, b: Column, digits: int = 1) -> Column:
+    """(a / b - 1) * 100; null without both, or where one is zero."""
+    return F.when((a != 0) & (b != 0), F.round((a / b - 1) * 100, digits))
+
+
+def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+
+
+def number(c: Column) -> Column:
+    """A number in a text; blank or unreadable text is null."""
+    return F.trim(c).try_cast("double")
+
+
+#: Short and long wording of a status; the empty key stands for anything else.
+STATUS_WORDS = {
+    "not_provided": ("not provided", "not provided by the present source"),
+    "missing": ("missing", "no reading for this time"),
+    "closed": ("closed", "the station is marked closed"),
+    "no_source": ("no source", "no source is set"),
+    "fetch_failed": ("failed", "the source could not be read"),
+    "": ("no value", "there is no value"),
+}
+
+
+def status_words(status: Column, long: bool = False) -> Column:
+    words = F.create_map(*[F.lit(x) for k, v in STATUS_WORDS.items() if k for x in (k, v[long])])
+    return F.coalesce(F.try_element_at(words, F.coalesce(status, F.lit(""))), F.lit(STATUS_WORDS[""][long]))
+
+
+def asset_version(body: Column, blank: str) -> Column:
+    """Ten digits of the SHA-256 of a text with line feeds alone and without what ``blank`` matches (its own versions)."""
+    return F.substring(F.sha2(F.regexp_replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), blank, ""), 256), 1, 10)
+
+
+def packed(c: Column) -> Column:
+    """Base64 of bytes or of a text in UTF-8, in one line."""
+    return F.regexp_replace(F.base64(c), "[\r\n]", "")

@@ -91,6 +91,8 @@ def components(cells: DataFrame, checkpoint, rounds: int = 64) -> DataFrame:
         labels = then.select("node", "label")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return flat.join(labels, flat["z"] == labels["node"]).select("i", "j", "label")
 
 
@@ -114,3 +116,32 @@ def path_positions(paths: DataFrame, path: str, pos: str, step: str) -> DataFram
     """Distance travelled before each position."""
     w = Window.partitionBy(path).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return paths.withColumn("travelled", F.sum(step).over(w) - F.col(step))
+
+
+def packed(cells: DataFrame, grid: str, place: str, direction: str, inside: str) -> DataFrame:
+    """(grid, d8, mask): directions at four bits a cell, high half first, 15 for none and for the odd last half; a mask at one bit, the first cell highest.
+
+    Cells are packed to bytes by groups first, so that a grid is joined from its bytes.
+    """
+    nibble = F.when(F.col(direction) < 0, 15).otherwise(F.col(direction)).cast("int")
+    eight = F.floor(F.col(place) / 8)
+    byte = cells.groupBy(grid, eight.alias("b")).agg(
+        F.sum(F.when(F.col(inside), F.call_function("shiftleft", F.lit(1), (F.lit(7) - F.col(place) % 8).cast("int"))).otherwise(0)).alias("bits"),
+        F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), nibble.alias("n")))).alias("ns"))  # eight cells
+    halves = F.array_join(F.transform("ns", lambda x: F.hex(x["n"])), "")
+    halves = F.when(F.size("ns") % 2 == 1, F.concat(halves, F.lit("F"))).otherwise(halves)
+    parts = byte.select(grid, F.struct("b", halves.alias("d"), F.lpad(F.hex(F.col("bits")), 2, "0").alias("m")).alias("p"))
+    whole = parts.groupBy(grid).agg(F.array_sort(F.collect_list("p")).alias("ps"))  # the bytes of one grid
+    join = lambda f: F.unhex(F.array_join(F.transform("ps", lambda x: x[f]), ""))
+    return whole.select(grid, join("d").alias("d8"), join("m").alias("mask"))
+
+
+def coarse_factor(side: Column, most: int = 620) -> Column:
+    """The smallest factor that brings a side down to at most ``most`` whole blocks."""
+    return F.greatest(F.lit(1), F.floor(side / F.lit(most + 1)) + 1).cast("int")
+
+
+def dealt(grids: DataFrame, size: str, key: str, lanes: int) -> DataFrame:
+    """Grids with a lane: the largest are dealt first, one to each lane in turn, so no lane ends with a large one."""
+    order = Window.orderBy(F.desc(size), key)  # a row a grid
+    return grids.withColumn("lane", (F.row_number().over(order) - 1) % lanes)

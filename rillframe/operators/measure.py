@@ -72,3 +72,18 @@ def bin_index(value: Column, edges: list[float]) -> Column:
     for i, edge in enumerate(sorted(edges), 1):
         out = F.when(value >= edge, i).otherwise(out)
     return F.when(value.isNotNull(), out)
+
+
+def shown(basis: Column, official: Column, calculated: Column, effective: Column) -> Column:
+    """STRUCT<value, calculated>: by irrigation the official figure, else the calculated one; by any other basis the effective one alone."""
+    irrigation = basis == "irrigation"
+    return F.struct(F.when(irrigation, F.coalesce(official, calculated)).otherwise(effective).alias("value"),
+                    (irrigation & official.isNull() & calculated.isNotNull()).alias("calculated"))
+
+
+def colour(value: Column, bins: list[tuple[float, str]], none: str) -> Column:
+    """Colour of the bin that begins at or below the value; ``none`` without a value or below all bins."""
+    out = F.lit(none)
+    for low, name in sorted(bins):
+        out = F.when(value >= low, name).otherwise(out)
+    return out

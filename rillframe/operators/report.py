@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,12 @@ def method_of(rows: DataFrame, by: str, method: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sort_array(F.collect_set(method)).alias("m")).select(by, F.when(F.size("m") == 1, F.col("m")[0]).when(F.size("m") > 1, "mixed").alias(method))
 
 
+def preview(rows: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of every group in the order of several keys, with their place."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; more than ``most`` rows are an error, not a cut."""
     rows = df.limit(most + 1).collect()

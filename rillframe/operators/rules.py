@@ -24,6 +24,10 @@ LIMITS = {
 INTEGRITY = ("fine_recompute_mismatch", "dem_edge", "dem_nodata_adjacent", "dem_unverified_empty_tile", "dem_missing_tile")
 
 
+#: Reasons that are given once for each tile, and the measure that counts the tiles.
+TILES = {"dem_unverified_empty_tile": "legacy_empty_tiles", "dem_missing_tile": "missing_tiles"}
+
+
 def _over(value: Column, limit: float) -> Column:
     return F.abs(value) > limit
 
@@ -61,7 +65,11 @@ def gate(measures: dict[str, Column]) -> Column:
                               (none if value is None else value.cast("double")).alias("value"), (none if limit is None else F.lit(limit)).alias("limit")))
         for code, severity, when, value, limit in checks(measures)
     ]
-    reasons = F.filter(F.array(*fired), lambda x: x.isNotNull())
+    # a reason for every tile, as each has to be looked at
+    each = [
+        F.array_repeat(f, F.greatest(F.lit(1), F.coalesce(measures[TILES[code]].cast("int"), F.lit(1)))) if code in TILES else F.array(f)
+        for f, (code, *_) in zip(fired, checks(measures))]
+    reasons = F.filter(F.concat(*each), lambda x: x.isNotNull())
     of = lambda kind: F.transform(F.filter(reasons, lambda x: x["severity"] == kind), lambda x: x["code"])
     return F.struct(F.when(F.size(of("block")) > 0, "hold").otherwise("pass").alias("status"), reasons.alias("reasons"),
                     of("block").alias("block_codes"), of("warn").alias("warn_codes"))
@@ -90,6 +98,29 @@ def evidence_group(cls: Column, official: Column, diverted: Column, reference_er
             .when(F.abs(reference_error) <= LIMITS["reference_pct"], "G3").otherwise("G4"))
 
 
+def group_reason(cls: Column, official: Column, reference: Column, reference_error: Column) -> Column:
+    """Why a product is in G4; null elsewhere."""
+    return (F.when(~cls.isin("PASS", "WARN"), "qa_not_passed").when(official.isNotNull(), None)
+            .when(reference.isNull() | reference_error.isNull(), "no_verification_material")
+            .when(F.abs(reference_error) > LIMITS["reference_pct"], "reference_divergent"))
+
+
+def released(tag: Column, status: Column, qa: Column, method: Column, wanted: str) -> Column:
+    """Whether an entry of a public index may be shown: the index's tag, and approved, passed and exact."""
+    return F.coalesce((tag == wanted) & (status == "approved") & (qa == "pass") & (method == "exact"), F.lit(False))
+
+
+def official_area(direct: Column, total: Column) -> Column:
+    """The direct area, else the whole."""
+    return F.coalesce(direct, total)
+
+
+def sizing_area(direct: Column, total: Column, reference: Column) -> Column:
+    """What a window is sized by: the whole, the official or the reference area; zero counts as none."""
+    some = lambda c: F.when(c != 0, c)
+    return F.coalesce(some(total), some(official_area(direct, total)), some(reference))
+
+
 def release_status(held: Column, method: Column, approved_version: Column, version: Column) -> Column:
     """held > not_exact > unapproved > stale > approved."""
     return (F.when(held, "held").when(~method.eqNullSafe("exact"), "not_exact").when(approved_version.isNull(), "unapproved")

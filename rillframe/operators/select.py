@@ -61,11 +61,16 @@ def picture(rows: DataFrame, pictures: DataFrame, embedded: str = "embedded", ke
     return rows.join(by_key, key, "left").join(by_name, name, "left").withColumn("file", F.coalesce("by_key", "by_name", embedded)).drop("by_key", "by_name")
 
 
-def latest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """The newest row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(ts))
+def latest(rows: DataFrame, key: str, ts: str, *ties: str) -> DataFrame:
+    """The newest row of each key; of equal times the one with the largest ``ties``, or failing those the largest values."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(ts), *[F.desc_nulls_last(c) for c in ties or rows.columns])
     return rows.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
 def high_watermark(rows: DataFrame, ts: str) -> DataFrame:
     return rows.agg(F.max(ts).alias("latest"))
+
+
+def slot_path(ts: Column) -> Column:
+    """Path of a slot: YYYYMMDD/HHMM."""
+    return F.date_format(ts, "yyyyMMdd/HHmm")

@@ -57,12 +57,37 @@ def within_km(left: DataFrame, right: DataFrame, km: float, left_key: str, right
     return a.join(b, ["ci", "cj"]).withColumn("km", d).where(F.col("km") <= km).select(left_key, right_key, "km")
 
 
+def nearest_k(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str, radii_km: tuple[float, ...] = (5.0, 15.0, 45.0), digits: int = 6) -> DataFrame:
+    """(left_key, right_key, km, rank): the k nearest right rows below the last radius, ties (to ``digits`` decimals) to the smaller key.
+
+    A row with k partners within a radius is done; only the others look further, so a
+    dense place never meets all that lies within the last radius.
+    """
+    order = Window.partitionBy(left_key).orderBy(F.round("km", digits), right_key)
+    out, rest = None, left
+    for n, km in enumerate(radii_km):
+        near = within_km(rest, right, km, left_key, right_key).where(F.col("km") < km)
+        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if n < len(radii_km) - 1:
+            done = ranked.where(F.col("rank") == k).select(left_key)
+            ranked = ranked.join(done, left_key, "left_semi")
+            rest = rest.join(done, left_key, "left_anti")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+def containing_others(points: DataFrame, edges: DataFrame, areas: DataFrame, key: str, ring: str, px: str, py: str) -> DataFrame:
+    """(key, ring, place): the rings of others that hold a point, by area, then key; a point's own ring is left out."""
+    inside = points_in_rings(points, edges, ring, key, px, py).where(F.col(key) != F.col(ring)).join(areas, ring)
+    return inside.select(key, ring, F.row_number().over(Window.partitionBy(key).orderBy("area", ring)).alias("place"))
+
+
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radii_km: tuple[float, ...] = (5.0, 40.0), lat_most: float = 60.0,
             digits: int = 3) -> DataFrame:
     """(left_key, right_key, metres): the nearest right row of every left row, ties (to ``digits`` decimals) to the smaller key.
 
-    Places meet in cells that are wide enough for a radius up to ``lat_most``; a nearest
-    place within the radius is final, the others try the next radius, and what is left
+    Places meet in cells that are wide enough for a radius up to ``lat_most`` and go round
+    the globe, so places on both sides of the date line are neighbours; a nearest place within the radius is final, the others try the next radius, and what is left
     (remote places, or nearer to a pole) is compared with all of the right side.
     """
     a = left.select(left_key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
@@ -74,10 +99,12 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ra
     out, rest = None, a
     for km in radii_km:
         tall = 1.02 * km / (geo.EARTH_M / 1000 * math.pi / 180)
-        wide = tall / math.cos(math.radians(lat_most))
+        around_globe = int(360 * math.cos(math.radians(lat_most)) / tall)
+        wide = 360 / around_globe
+        column = lambda c: F.floor((F.col(c) + 180.0) / wide)
         spread = rest.where(F.abs("lat1") < lat_most - tall).select("*", F.explode(around).alias("d")).select(
-            left_key, "lat1", "lon1", (F.floor(F.col("lat1") / tall) + F.col("d.di")).alias("ci"), (F.floor(F.col("lon1") / wide) + F.col("d.dj")).alias("cj"))
-        cells = b.select("*", F.floor(F.col("lat2") / tall).alias("ci"), F.floor(F.col("lon2") / wide).alias("cj"))
+            left_key, "lat1", "lon1", (F.floor(F.col("lat1") / tall) + F.col("d.di")).alias("ci"), F.pmod(column("lon1") + F.col("d.dj"), F.lit(around_globe)).alias("cj"))
+        cells = b.select("*", F.floor(F.col("lat2") / tall).alias("ci"), F.pmod(column("lon2"), F.lit(around_globe)).alias("cj"))
         found = pick(spread.join(cells, ["ci", "cj"])).where(F.col("metres") <= km * 1000)
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(left_key), left_key, "left_anti")
@@ -95,3 +122,28 @@ def self_intersections(edges: DataFrame, ring: str) -> DataFrame:
     both = e.join(f, ring).where((F.col("i") + 2 <= F.col("j")) & ~((F.col("i") == 0) & (F.col("j") == F.col("n") - 1)))
     return edges.select(ring).distinct().join(both.where(cross).groupBy(ring).agg(F.count("*").alias("crossings")), ring, "left").select(
         ring, F.coalesce("crossings", F.lit(0)).alias("crossings"))
+
+
+def position_at(points: DataFrame, path: str, pos: str, distance: Column) -> DataFrame:
+    """(path, x, y): the place ``distance`` along each path of points, straight between them, the last one beyond the end.
+
+    ``distance`` may use the path's key.  Only the stretch that holds the distance is kept.
+    """
+    w = Window.partitionBy(path).orderBy(pos)
+    step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = points.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).withColumn("step", step)
+    rows = rows.withColumn("gone", F.coalesce(F.sum("step").over(before), F.lit(0.0))).withColumn("want", distance).where("gone <= want")
+    part = F.when(F.col("nx").isNull() | (F.col("step") == 0), 0.0).otherwise(F.least((F.col("want") - F.col("gone")) / F.col("step"), F.lit(1.0)))
+    at = lambda c: (F.col(c) + (F.coalesce(F.col("n" + c), F.col(c)) - F.col(c)) * part).alias(c)
+    return rows.groupBy(path).agg(F.max_by(F.struct(at("x"), at("y")), pos).alias("p")).select(path, "p.x", "p.y")
+
+
+def spikes(edges: DataFrame, ring: str, cosine: float = 0.87) -> DataFrame:
+    """Edges with whether the corner at their start is so sharp that its cosine reaches ``cosine``; rings close."""
+    w = Window.partitionBy(ring).orderBy("i")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = lambda c: F.coalesce(F.lag(c).over(w), F.last(c).over(whole)) - F.col(c)
+    ux, uy, vx, vy = back("x1"), back("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    cos = F.try_divide(ux * vx + uy * vy, F.hypot(ux, uy) * F.hypot(vx, vy))
+    return edges.withColumn("spike", F.coalesce(cos >= cosine, F.lit(False)))

@@ -45,6 +45,17 @@ def q_kernel_delineate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("ring").alias("vertices"))
 
 
-QUERIES = {"q_kernel_delineate": q_kernel_delineate}
+def q_kernel_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is delivered of every catchment of its first window, its measures and the gate's verdict."""
+    planned = catchments.plan_windows(dams(spark, sf_dir))
+    made = _made(catchments.tile_keys(planned).select("zoom", "x", "y").distinct())
+    facts = dams(spark, sf_dir).select("dam_id", "official_km2", F.lit("unknown").alias("diversion"), F.lit(None).cast("string").alias("hold"),
+                                       F.lit(0).alias("legacy_empty_tiles"), F.lit(0).alias("missing_tiles"))
+    out = catchments.judge(catchments.delineate(planned, made, delivered=True), facts)
+    return out.select("dam_id", "factor", F.round("coarse_km2", 6).alias("coarse_km2"), "drift_pct", F.size("drawn").alias("vertices"), F.col("gate.status").alias("status"),
+                      F.array_join("gate.block_codes", ",").alias("blocks"), *[F.try_element_at("measures", F.lit(n)).alias(n) for n in ("iou", "unreached_pct", "path_outside_pct", "mask_largest_pct")])
+
+
+QUERIES = {"q_kernel_delineate": q_kernel_delineate, "q_kernel_products": q_kernel_products}
 #: The kernel is sequential; tests/test_kernels.py and tests/test_catchments.py check it.
 ORACLES: dict = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillframe.functions import text
-from rillframe.operators import measure, relate, rules, season
+from rillframe.operators import measure, relate, rules, season, select
 from rillframe.plans.coverage import MEASURED_SQL, measured
 from rillframe.plans.tables import table
 
@@ -264,9 +264,9 @@ def q_registry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey, n_name, n_regionkey AS ord FROM nation WHERE split_part(n_name, '_', 1) IN ('A') OR n_nationkey IN (3, 7, 11) OR contains(lower(n_name), '2')""")
 def q_target_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets by prefix, exact key or part of the name; nothing asked for selects nothing."""
-    name = F.col("n_name")
-    wanted = F.split(name, "_")[0].isin("A") | F.col("n_nationkey").isin(3, 7, 11) | F.lower(name).contains("2")
-    return table(spark, sf_dir, "nation").where(wanted).select("n_nationkey", "n_name", F.col("n_regionkey").alias("ord"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.regexp_replace("n_name", "_.*", ""), F.lit("-"), F.col("n_nationkey")).alias("dam_id"),
+                                                 F.lower("n_name").alias("name"), F.col("n_regionkey").alias("ord"))
+    return select.select_targets(rows, prefixes=["A"], ids=["NATION-3", "NATION-7", "NATION-11"], name_part="2").select("n_nationkey", "n_name", "ord")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 4.0::DOUBLE AS area FROM part), z AS (SELECT *, CASE WHEN area < 30 THEN 14 WHEN area < 150 THEN 13 ELSE 12 END AS zoom FROM p)

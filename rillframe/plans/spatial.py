@@ -53,13 +53,12 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "s_suppkey", F.floor("metres").cast("bigint").alias("metres"))
 
 
-@query(f"""WITH {_CUST_SQL}, {_SUPP_SQL}, d AS (SELECT c_custkey, s_suppkey, {_FLAT} AS km FROM c, s WHERE {_FLAT} <= 5)
+@query(f"""WITH {_CUST_SQL}, {_SUPP_SQL}, d AS (SELECT c_custkey, s_suppkey, {_FLAT} AS km FROM c, s WHERE {_FLAT} < 45)
 SELECT c_custkey, s_suppkey, rank FROM (SELECT *, (row_number() OVER (PARTITION BY c_custkey ORDER BY round(km, 6), s_suppkey))::INTEGER AS rank FROM d) WHERE rank <= 3""")
 def q_topk_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest stations within five kilometres."""
-    pairs = spatial.within_km(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"), 5.0, "c_custkey", "s_suppkey")
-    w = Window.partitionBy("c_custkey").orderBy(F.round("km", 6), "s_suppkey")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("c_custkey", "s_suppkey", F.col("rank").cast("int").alias("rank"))
+    """The three nearest stations below 45 kilometres."""
+    near = spatial.nearest_k(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"), 3, "c_custkey", "s_suppkey")
+    return near.select("c_custkey", "s_suppkey", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH {_RING_SQL}, {_CUST_SQL} SELECT c_custkey, ring FROM c JOIN ed ON y1 <> y2 AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
@@ -89,7 +88,7 @@ def q_ring_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_RING_SQL}, {_CUST_SQL}, {_SUPP_SQL}, inside AS (SELECT c_custkey, ring FROM c JOIN ed ON y1 <> y2 AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
 area AS (SELECT ring, max(x) - min(x) AS a FROM pt GROUP BY 1), hit AS (SELECT c_custkey, ring AS target, row_number() OVER (PARTITION BY c_custkey ORDER BY a, ring) AS o FROM inside JOIN area USING (ring)),
-near AS (SELECT c_custkey, s_nationkey AS target, 1000 + row_number() OVER (PARTITION BY c_custkey ORDER BY round({_FLAT}, 6), s.s_suppkey) AS o FROM c JOIN s ON {_FLAT} <= 5 JOIN supplier USING (s_suppkey)),
+near AS (SELECT c_custkey, s_nationkey AS target, 1000 + row_number() OVER (PARTITION BY c_custkey ORDER BY round({_FLAT}, 6), s.s_suppkey) AS o FROM c JOIN s ON {_FLAT} < 45 JOIN supplier USING (s_suppkey)),
 u AS (SELECT c_custkey, target, min(o) AS o FROM (SELECT * FROM hit UNION ALL SELECT * FROM near WHERE o <= 1003) GROUP BY 1, 2)
 SELECT c_custkey, arg_min(target, o) AS target, count(*) AS candidates FROM u GROUP BY 1""")
 def q_tap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +98,7 @@ def q_tap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = spatial.points_in_rings(points, spatial.ring_edges(vertices, "ring", ["o", "v"], "x", "y"), "ring", "c_custkey", "lon", "lat")
     area = vertices.groupBy("ring").agg((F.max("x") - F.min("x")).alias("a"))
     hit = inside.join(area, "ring").select("c_custkey", F.col("ring").alias("target"), F.row_number().over(Window.partitionBy("c_custkey").orderBy("a", "ring")).alias("o"))
-    near = spatial.within_km(points, _points(spark, sf_dir, "supplier", "s_suppkey"), 5.0, "c_custkey", "s_suppkey")
-    near = near.withColumn("o", F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.round("km", 6), "s_suppkey")) + 1000).where("o <= 1003")
+    near = spatial.nearest_k(points, _points(spark, sf_dir, "supplier", "s_suppkey"), 3, "c_custkey", "s_suppkey").withColumn("o", F.col("rank") + 1000)
     near = near.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("target")), "s_suppkey").select("c_custkey", "target", "o")
     ranked = hit.unionByName(near).groupBy("c_custkey", "target").agg(F.min("o").alias("o"))
     return ranked.groupBy("c_custkey").agg(F.min(F.struct("o", "target")).alias("best"), F.count("*").alias("candidates")).select("c_custkey", F.col("best.target").alias("target"), "candidates")
@@ -114,3 +112,57 @@ def q_tile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.sequence(F.lit(-1), F.lit(1))
     rows = points.select("c_custkey", F.floor(geo.tile_x(F.col("lon"), 13)).alias("tx"), F.floor(geo.tile_y(F.col("lat"), 13)).alias("ty"), F.explode(step).alias("dx"))
     return rows.select("c_custkey", (F.col("tx") + F.col("dx")).alias("x"), "ty", F.explode(step).alias("dy")).select("c_custkey", "x", (F.col("ty") + F.col("dy")).alias("y"))
+
+
+@query(f"""WITH {_RING_SQL}, p AS (SELECT n_nationkey, 137.0::DOUBLE + (n_nationkey * 331 % 1000) / 1000.0::DOUBLE AS lon, 36.0::DOUBLE + (n_nationkey * 577 % 1000) / 1000.0::DOUBLE AS lat FROM nation),
+inside AS (SELECT n_nationkey, ring FROM p JOIN ed ON y1 <> y2 AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 WHERE n_nationkey <> ring GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+area AS (SELECT ring, max(x) - min(x) AS a FROM pt GROUP BY 1)
+SELECT n_nationkey, ring, (row_number() OVER (PARTITION BY n_nationkey ORDER BY a, ring))::INTEGER AS place FROM inside JOIN area USING (ring)""")
+def q_containing_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other catchments that hold a dam, the smallest first."""
+    k = F.col("n_nationkey")
+    points = table(spark, sf_dir, "nation").select("n_nationkey", (F.lit(137.0) + (k * 331 % 1000) / 1000.0).alias("lon"), (F.lit(36.0) + (k * 577 % 1000) / 1000.0).alias("lat"))
+    vertices = _rings(spark, sf_dir)
+    areas = vertices.groupBy("ring").agg((F.max("x") - F.min("x")).alias("area"))
+    return spatial.containing_others(points, spatial.ring_edges(vertices, "ring", ["o", "v"], "x", "y"), areas, "n_nationkey", "ring", "lon", "lat")
+
+
+@query(f"""WITH {_CUST_SQL}, m AS (SELECT c_custkey, lat, lon, (lon + 180) / 360 * 8192 AS fx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192 AS fy FROM c)
+SELECT c_custkey, floor(fx)::BIGINT AS x, floor(fy)::BIGINT AS y, floor((fx - floor(fx)) * 256)::BIGINT AS col, floor((fy - floor(fy)) * 256)::BIGINT AS row,
+  round(sqrt(pow((36.5 - lat) * 111320, 2) + pow((137.5 - lon) * 111320 * cos(radians((36.5 + lat) / 2)), 2)), 3) AS metres,
+  600 + least(CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey * 13 % 700)::DOUBLE ELSE 0 END, 300) AS allowed,
+  floor((lon + 180) / 360 * 512 * 256)::BIGINT AS px FROM m""")
+def q_cells_and_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile and cell of a place, its distance from a fixed one, the allowance of a check-in, and its Mercator pixel."""
+    lat, lon, k = F.col("lat"), F.col("lon"), F.col("c_custkey")
+    x, y = geo.tile_x(lon, 13), geo.tile_y(lat, 13)
+    inside = lambda v: F.floor((v - F.floor(v)) * 256)
+    return _points(spark, sf_dir, "customer", "c_custkey").select(
+        "c_custkey", F.floor(x).alias("x"), F.floor(y).alias("y"), inside(x).alias("col"), inside(y).alias("row"),
+        F.round(geo.local_m(lat, lon, F.lit(36.5), F.lit(137.5)), 3).alias("metres"), geo.allowance_m(F.when(k % 4 != 0, (k * 13 % 700).cast("double"))).alias("allowed"),
+        F.floor(geo.mercator_x(lon, 8)).alias("px"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_linenumber AS pos, l_partkey FROM lineitem),
+u AS (SELECT l_orderkey, l_linenumber, min(struct_pack(a := l_partkey, b := x, c := y)) AS m FROM p GROUP BY 1, 2),
+w AS (SELECT l_orderkey, l_linenumber, m.b AS x, m.c AS y, lead(m.b) OVER o AS nx, lead(m.c) OVER o AS ny FROM u WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+s AS (SELECT *, coalesce(sum(sqrt(pow(nx - x, 2) + pow(ny - y, 2))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0,
+  sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS step FROM w),
+e AS (SELECT *, (l_orderkey % 40)::DOUBLE AS d FROM s)
+SELECT l_orderkey, round(arg_max(CASE WHEN nx IS NULL OR step = 0 THEN x ELSE x + (nx - x) * least((d - t0) / step, 1) END, l_linenumber), 6) AS x,
+  round(arg_max(CASE WHEN nx IS NULL OR step = 0 THEN y ELSE y + (ny - y) * least((d - t0) / step, 1) END, l_linenumber), 6) AS y FROM e WHERE t0 <= d GROUP BY 1""")
+def q_position_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a traveller stands after a distance along a path, straight between its points and held at the end."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    points = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "x", "y")).alias("m")).select("l_orderkey", "l_linenumber", "m.x", "m.y")
+    at = spatial.position_at(points, "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 40).cast("double"))
+    return at.select("l_orderkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH {_RING_SQL}, v AS (SELECT ring, i, x1, y1, coalesce(lag(x1) OVER w, last_value(x1) OVER z) AS px, coalesce(lag(y1) OVER w, last_value(y1) OVER z) AS py, x2, y2 FROM ed
+  WINDOW w AS (PARTITION BY ring ORDER BY i), z AS (PARTITION BY ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT *, sqrt(pow(px - x1, 2) + pow(py - y1, 2)) * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM v)
+SELECT ring, i, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(len, 0) >= 0.87, false) AS spike FROM c""")
+def q_ring_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of closed rings whose corner is a spike."""
+    return spatial.spikes(spatial.ring_edges(_rings(spark, sf_dir), "ring", ["o", "v"], "x", "y"), "ring").select("ring", "i", "spike")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillframe.operators import relate, rules
@@ -65,6 +65,58 @@ def table_version(df: DataFrame, key: str) -> str:
     return hashlib.sha256("|".join(str(x) for x in r).encode()).hexdigest()[:12]
 
 
+#: The release states, in the order in which they are listed.
+RELEASES = ("approved", "unapproved", "stale", "held", "not_exact")
+
+
+def release_lists(index: DataFrame, dams: DataFrame) -> DataFrame:
+    """(release_status, n, place, dam_id): the candidates of every state in registry order; a state without any is one row of zero.
+
+    A row a candidate, so that no list has to fit into one.
+    """
+    rows = index.join(dams.select("dam_id", "ord"), "dam_id")
+    place = Window.partitionBy("release_status").orderBy("ord", "dam_id")
+    listed = rows.select("release_status", F.row_number().over(place).alias("place"), "dam_id")
+    counts = rows.groupBy("release_status").agg(F.count("*").alias("n"))
+    states = rows.sparkSession.createDataFrame([(s,) for s in RELEASES], "release_status string")
+    return states.join(counts, "release_status", "left").join(listed, "release_status", "left").select(
+        "release_status", F.coalesce("n", F.lit(0)).alias("n"), "place", "dam_id")
+
+
+def flow_faults(states: DataFrame, flows: DataFrame) -> DataFrame:
+    """(dam_id, fault) of states (dam_id, published_version) and flow records (dam_id, version, content): absent, another version, changed content, orphan.
+
+    Anything here stops a publication; an orphan may be set aside instead.
+    """
+    both = states.where("published_version is not null").join(flows, "dam_id", "full_outer")
+    fault = (F.when(F.col("published_version").isNull(), "orphan").when(F.col("version").isNull(), "absent")
+             .when(F.col("version") != F.col("published_version"), "other_version")
+             .when(F.substring(F.sha2("content", 256), 1, 12) != F.col("version"), "changed"))
+    return both.select("dam_id", fault.alias("fault")).where("fault is not null")
+
+
+def assemble(dams: DataFrame, states: DataFrame, approvals: DataFrame, holds: DataFrame, notes: DataFrame, flows: DataFrame,
+             prune: bool = False) -> dict[str, DataFrame]:
+    """The tables of a publication, nothing written: candidates, public, orphans; a stray entry or a fault is an error.
+
+    ``approvals`` names versions, ``holds`` reasons and ``notes`` texts by dam.  Public are
+    the approved candidates, without a word of why others are held.  Orphans are set
+    aside with ``prune`` and stop the publication without.
+    """
+    wrong = strays(dams, states, approvals, holds.unionByName(notes.select("dam_id"), allowMissingColumns=True)).limit(5).collect()
+    if wrong:
+        raise ValueError("not registered: " + ", ".join(f"{r['list']} {r['dam_id']}" for r in wrong))
+    faults = flow_faults(states, flows)
+    stop = faults if not prune else faults.where("fault <> 'orphan'")
+    bad = stop.orderBy("dam_id").limit(5).collect()
+    if bad:
+        raise ValueError("flow records: " + ", ".join(f"{r['dam_id']} {r['fault']}" for r in bad))
+    index = release_index(states, approvals, holds).join(dams.select("dam_id", "ord"), "dam_id").join(notes.select("dam_id", "note"), "dam_id", "left")
+    candidates = index.join(holds.select("dam_id", F.col("reason").alias("hold_reason")), "dam_id", "left")
+    return {"candidates": candidates, "public": index.where("release_status = 'approved'").drop("release_status"),
+            "orphans": faults.where("fault = 'orphan'").select("dam_id")}
+
+
 def publish(spark: SparkSession, df: DataFrame, root: str, name: str, key: str) -> tuple[str, bool]:
     """Write the table under its version and point to it; (version, whether anything was written).
 
@@ -82,9 +134,11 @@ def publish(spark: SparkSession, df: DataFrame, root: str, name: str, key: str)
     out = fs.create(draft, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(draft, pointer)
+    # one rename that replaces the old pointer: a crash leaves either of the two
+    way = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    replace = spark.sparkContext._gateway.new_array(way, 1)
+    replace[0] = way.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, replace)
     return version, True
 
 

@@ -36,7 +36,9 @@ def validate(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """One visit a dam: the earliest, as a whole record; a tie keeps the current one."""
     cols = ["dam_id", "visited_at", "note"]
-    return relate.earliest_wins(current.select(*cols), incoming.select(*cols).dropDuplicates(), ["dam_id"], "visited_at")
+    # of several incoming visits of one time the first note counts
+    first = incoming.groupBy("dam_id").agg(F.min(F.struct(F.col("visited_at").isNull().alias("late"), "visited_at", "note")).alias("v")).select("dam_id", "v.visited_at", "v.note")
+    return relate.earliest_wins(current.select(*cols), first.select(*cols), ["dam_id"], "visited_at")
 
 
 def export(visits: DataFrame) -> DataFrame:
@@ -44,3 +46,8 @@ def export(visits: DataFrame) -> DataFrame:
     entry = F.struct("dam_id", F.date_format("visited_at", "yyyy-MM-dd'T'HH:mm:ss").alias("visited_at"), "note")
     one = visits.agg(F.array_sort(F.collect_list(entry)).alias("visits"))
     return one.select(F.to_json(F.struct(F.lit(TAG).alias("tag"), F.lit(FORMAT).alias("format"), "visits")).alias("body"))
+
+
+def newest_first(visits: DataFrame) -> DataFrame:
+    """A log for reading: the latest visit first, those without a date last."""
+    return visits.orderBy(F.desc_nulls_last("visited_at"), "dam_id")

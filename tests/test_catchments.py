@@ -46,6 +46,15 @@ def test_dataframe_program_equals_the_kernel(spark):
     assert a.area_km2 == pytest.approx(want.area_km2) and len(a.ring) == len(want.ring) and a.tiles_missing == 1
     assert (terrain.unpack_mask(bytes(a.mask), a.h, a.w) == want.mask).all()
     assert (terrain.unpack_directions(bytes(a.d8), a.h, a.w) == want.directions).all()
+    from rillframe.kernels import products
+
+    mpp = tiles.metres_per_cell(lat, z)
+    made = products.deliver(dem, want, mpp, want.area_km2)
+    facts = dams.select("dam_id", "official_km2", F.lit("none").alias("diversion"), F.lit(None).cast("string").alias("hold"), F.lit(0).alias("legacy_empty_tiles"), F.lit(2).alias("missing_tiles"))
+    row = catchments.judge(catchments.delineate(planned, df, delivered=True), facts).where("dam_id = 'a'").first()
+    assert (row.factor, row.ch, row.cw) == (made.factor, *made.mask.shape) and (terrain.unpack_mask(bytes(row.coarse_mask), row.ch, row.cw) == made.mask).all()
+    assert row.measures == {k: pytest.approx(float(v)) for k, v in products.spatial_measures(made, np.asarray(want.ring, float) / made.factor).items()}
+    assert row.gate.status == "hold" and row.gate.block_codes.count("dem_missing_tile") == 2  # one reason a tile
     grown = catchments.delineate_growing(dams, df, lineage_cut(spark, "grow")).collect()
     assert sorted(r.dam_id for r in grown) == ["a", "b"]
 
