@@ -1,5 +1,5 @@
 """Query plans over the star-schema tables, one module per operator family."""
 
-from rillframe.plans import coverage, fields, grid, kernel, registry, releases, spatial
+from rillframe.plans import coverage, fields, grid, kernel, registry, releases, spatial, upkeep
 
-MODULES = (coverage, fields, grid, kernel, registry, releases, spatial)
+MODULES = (coverage, fields, grid, kernel, registry, releases, spatial, upkeep)
