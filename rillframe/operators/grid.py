@@ -18,31 +18,66 @@ def _steps(items) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(di).alias("di"), F.lit(dj).alias("dj"), F.lit(1.0 if di == 0 or dj == 0 else DIAGONAL).alias("far")) for k, (di, dj) in enumerate(items)])
 
 
-def neighbours(cells: DataFrame, steps=STEPS) -> DataFrame:
-    """Each cell with each present neighbour: i, j, z, k, far, ni, nj, nz."""
-    a = cells.select("i", "j", "z", F.explode(_steps(steps)).alias("s")).select(
-        "i", "j", "z", "s.k", "s.far", (F.col("i") + F.col("s.di")).alias("ni"), (F.col("j") + F.col("s.dj")).alias("nj"))
-    return a.join(cells.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("z").alias("nz")), ["ni", "nj"])
+def neighbours(cells: DataFrame, steps=STEPS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell with each present neighbour: i, j, z, k, far, ni, nj, nz; ``by`` are columns that tell grids apart, here and below."""
+    a = cells.select(*by, "i", "j", "z", F.explode(_steps(steps)).alias("s")).select(
+        *by, "i", "j", "z", "s.k", "s.far", (F.col("i") + F.col("s.di")).alias("ni"), (F.col("j") + F.col("s.dj")).alias("nj"))
+    return a.join(cells.select(*by, F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("z").alias("nz")), [*by, "ni", "nj"])
 
 
-def d8(cells: DataFrame) -> DataFrame:
+def d8(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, d): the steepest falling direction, the first of equals, -1 if nothing falls."""
     drop = (F.col("z") - F.col("nz")) / F.col("far")
-    best = neighbours(cells).where(F.col("nz") < F.col("z")).groupBy("i", "j").agg(F.max(F.struct(drop.alias("drop"), (-F.col("k")).alias("nk"))).alias("b"))
-    return cells.join(best, ["i", "j"], "left").select("i", "j", F.coalesce(-F.col("b.nk"), F.lit(-1)).cast("int").alias("d"))
+    best = neighbours(cells, by=by).where(F.col("nz") < F.col("z")).groupBy(*by, "i", "j").agg(F.max(F.struct(drop.alias("drop"), (-F.col("k")).alias("nk"))).alias("b"))
+    return cells.join(best, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce(-F.col("b.nk"), F.lit(-1)).cast("int").alias("d"))
 
 
-def next_cell(directions: DataFrame) -> DataFrame:
+def next_cell(directions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, ni, nj): where each cell drains to; cells without direction are left out."""
     table = _steps(STEPS)
-    return directions.where("d >= 0").select("i", "j", F.element_at(table, F.col("d") + 1).alias("s")).select(
-        "i", "j", (F.col("i") + F.col("s.di")).alias("ni"), (F.col("j") + F.col("s.dj")).alias("nj"))
+    return directions.where("d >= 0").select(*by, "i", "j", F.element_at(table, F.col("d") + 1).alias("s")).select(
+        *by, "i", "j", (F.col("i") + F.col("s.di")).alias("ni"), (F.col("j") + F.col("s.dj")).alias("nj"))
 
 
-def local_range(cells: DataFrame) -> DataFrame:
+def pointers(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(node, next) of every cell: node is a struct of grid, row and column, next is null where a way ends."""
+    ways = next_cell(d8(cells, by), by)
+    return cells.select(*by, "i", "j").join(ways, [*by, "i", "j"], "left").select(
+        F.struct(*by, "i", "j").alias("node"), F.when(F.col("ni").isNotNull(), F.struct(*by, F.col("ni").alias("i"), F.col("nj").alias("j"))).alias("next"))
+
+
+def _ahead(now: DataFrame) -> DataFrame:
+    return now.select(F.col("node").alias("next"), F.col("next").alias("far"))
+
+
+def accumulate(ways: DataFrame, checkpoint) -> DataFrame:
+    """(node, acc): how many cells drain through each cell of (node, next), itself included.
+
+    After a round a cell counts the cells less than 2**rounds steps above it, and its pointer
+    is as far ahead: a path of length L takes log2 L rounds over as many rows as there are cells.
+    """
+    now = checkpoint(ways.select("node", "next", F.lit(1).cast("bigint").alias("acc")))
+    while now.where("next is not null").limit(1).count():
+        come = now.where("next is not null").groupBy(F.col("next").alias("node")).agg(F.sum("acc").alias("come"))
+        more = now.join(come, "node", "left").select("node", "next", (F.col("acc") + F.coalesce("come", F.lit(0))).alias("acc"))
+        now = checkpoint(more.join(_ahead(now), "next", "left").select("node", F.col("far").alias("next"), "acc"))
+    return now.select("node", "acc")
+
+
+def upstream(ways: DataFrame, seeds: DataFrame, checkpoint) -> DataFrame:
+    """(node): the cells of (node, next) whose way meets a seed, seeds included; in log2 rounds as :func:`accumulate`."""
+    marked = seeds.select("node").distinct().withColumn("meets", F.lit(True))
+    now = checkpoint(ways.join(marked, "node", "left").select("node", "next", F.coalesce("meets", F.lit(False)).alias("meets")))
+    while now.where("next is not null").limit(1).count():
+        ahead = now.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("meets").alias("later"))
+        now = checkpoint(now.join(ahead, "next", "left").select("node", F.col("far").alias("next"), (F.col("meets") | F.coalesce("later", F.lit(False))).alias("meets")))
+    return now.where("meets").select("node")
+
+
+def local_range(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, spread): highest minus lowest of the 3 x 3 cells around; cells at the border are left out."""
-    every = neighbours(cells, (*STEPS, (0, 0)))
-    return every.groupBy("i", "j").agg((F.max("nz") - F.min("nz")).alias("spread"), F.count("*").alias("n")).where("n = 9").drop("n")
+    every = neighbours(cells, (*STEPS, (0, 0)), by)
+    return every.groupBy(*by, "i", "j").agg((F.max("nz") - F.min("nz")).alias("spread"), F.count("*").alias("n")).where("n = 9").drop("n")
 
 
 def block_mean(cells: DataFrame, c: int, height: int, width: int) -> DataFrame:

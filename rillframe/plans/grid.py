@@ -42,21 +42,6 @@ def _keyed(df: DataFrame, i: str, j: str, name: str) -> DataFrame:
     return df.withColumn(name, F.col(i) * N + F.col(j))
 
 
-def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, at): every cell with every cell of its way down, itself included, by doubling the known ways."""
-    cut = lineage_cut(spark, "closure")
-    base = cells(spark, sf_dir)
-    steps = _keyed(_keyed(grid.next_cell(grid.d8(base)), "i", "j", "node"), "ni", "nj", "next").select("node", "next")
-    jump = cut(steps)
-    ways = cut(_keyed(base, "i", "j", "node").select("node", F.col("node").alias("at")))
-    while True:
-        more = ways.join(jump.select(F.col("node").alias("at"), "next"), "at").select("node", F.col("next").alias("at"))
-        ways = cut(ways.unionByName(more))
-        jump = cut(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", F.col("far").alias("next")))
-        if not jump.limit(1).count():
-            return ways
-
-
 @query(f"WITH RECURSIVE {GRID_SQL} SELECT i, j, d FROM d8")
 def q_d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steepest descent of every cell."""
@@ -66,17 +51,16 @@ def q_d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {GRID_SQL} SELECT ti AS i, tj AS j, count(*) AS acc FROM up GROUP BY 1, 2")
 def q_flow_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that drain through each cell, itself included."""
-    acc = _closure(spark, sf_dir).groupBy("at").agg(F.count("*").alias("acc"))
-    return acc.select(F.expr(f"cast(at div {N} as int)").alias("i"), F.expr(f"cast(at % {N} as int)").alias("j"), "acc")
+    return grid.accumulate(grid.pointers(cells(spark, sf_dir)), lineage_cut(spark, "accumulation")).select("node.i", "node.j", "acc")
 
 
 @query(f"WITH RECURSIVE {GRID_SQL}, top AS (SELECT ti, tj FROM up GROUP BY 1, 2 ORDER BY count(*) DESC, ti, tj LIMIT 3) SELECT DISTINCT up.i, up.j FROM up JOIN top USING (ti, tj)")
 def q_upstream_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells above the three largest outlets."""
-    ways = _closure(spark, sf_dir)
-    top = ways.groupBy("at").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "at").limit(3).select("at")
-    found = ways.join(top, "at", "left_semi").select("node").distinct()
-    return found.select(F.expr(f"cast(node div {N} as int)").alias("i"), F.expr(f"cast(node % {N} as int)").alias("j"))
+    cut = lineage_cut(spark, "upstream")
+    ways = cut(grid.pointers(cells(spark, sf_dir)))
+    top = grid.accumulate(ways, cut).orderBy(F.desc("acc"), "node").limit(3)
+    return grid.upstream(ways, top, cut).select("node.i", "node.j")
 
 
 _MASK_SQL = "mk AS (SELECT i, j, z % 5 < 2 AS m FROM g)"
@@ -177,3 +161,18 @@ def q_pack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_median_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact median of each block: the mean of the two middle values where their number is even."""
     return cells(spark, sf_dir).groupBy(F.expr("i div 6").alias("bi"), F.expr("j div 6").alias("bj")).agg(F.median("z").alias("level"))
+
+
+_TWO_SQL = f"""g AS MATERIALIZED (SELECT l_returnflag AS f, (l_orderkey % {N})::INTEGER AS i, (l_partkey % {N})::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS z FROM lineitem GROUP BY 1, 2, 3),
+st(k, di, dj, far) AS (VALUES (0, -1, 0, 1.0::DOUBLE), (1, -1, 1, 1.4142), (2, 0, 1, 1.0), (3, 1, 1, 1.4142), (4, 1, 0, 1.0), (5, 1, -1, 1.4142), (6, 0, -1, 1.0), (7, -1, -1, 1.4142)),
+nx AS MATERIALIZED (SELECT f, i, j, ni, nj FROM (SELECT a.f, a.i, a.j, b.i AS ni, b.j AS nj, row_number() OVER (PARTITION BY a.f, a.i, a.j ORDER BY (a.z - b.z) / far DESC, k) AS rn
+  FROM g a, st, g b WHERE b.f = a.f AND b.i = a.i + di AND b.j = a.j + dj AND b.z < a.z) WHERE rn = 1),
+up AS (SELECT f, i, j, i AS ti, j AS tj FROM g UNION ALL SELECT up.f, up.i, up.j, ni, nj FROM up JOIN nx ON nx.f = up.f AND nx.i = ti AND nx.j = tj)"""
+
+
+@query(f"WITH RECURSIVE {_TWO_SQL} SELECT f, ti AS i, tj AS j, count(*) AS acc FROM up GROUP BY 1, 2, 3")
+def q_flow_accum_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulation on several grids at once, told apart by a key."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f"), (F.col("l_orderkey") % N).cast("int").alias("i"), (F.col("l_partkey") % N).cast("int").alias("j"))
+    base = rows.agg(F.sum(F.col("l_quantity").cast("bigint")).alias("z"))
+    return grid.accumulate(grid.pointers(base, ("f",)), lineage_cut(spark, "accumulation")).select("node.f", "node.i", "node.j", "acc")
