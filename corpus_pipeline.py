@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
-of their input.
+of their input, whatever other columns it has.  An empty table passes through all of
+them; long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -16,24 +17,27 @@ from rillframe.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score of 0.5 or more) go."""
+    """Documents that the classifier rejects (score of 0.5 or more) go; rows without an id or text are judged like any other."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
     return toxicity.reject(docs, toxicity.fit(docs, labels))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (a null one is empty) the row with the largest doc_id stays, one of repeated rows, and one without an id where none has one."""
     return exact_dedup.drop_copies(docs, keep="high")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id stays."""
+    """Of each near-duplicate group the document with the smallest doc_id stays.
+
+    Rows of one id go or stay together; rows without an id take no part and stay.
+    """
     gone = near_dup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, in the order of the mix; rows without an id and repeated ids are ordered by the columns SMALL."""
     return mixing.interleave(docs, spread=SMALL)
 
 

@@ -21,8 +21,8 @@ from rillframe.llm.common import Workspace, texts_of
 
 #: Words of the lexicon at most: bounds the driver's work and the broadcast file (about 3 MB).
 LEXICON_WORDS = 50_000
-#: Cached words of a worker process, dropped together when full (about 80 MB).
-CACHE_WORDS = 400_000
+#: Cached words of a worker process and their characters, dropped together when either is full (about 80 MB).
+CACHE_WORDS, CACHE_CHARS = 400_000, 8 << 20
 
 #: Fixed value: the pre-tokenizer's pattern; White_Space is spelt out because \s means more to Python.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -40,11 +40,20 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary file in the JSON form of the tokenizers library."""
+    """A byte-level BPE vocabulary file in the JSON form of the tokenizers library.
+
+    A file that asks for more than byte-level merges (a normaliser, a leading space, merges
+    left out for whole words, special strings that take in the spaces beside them) is refused.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        plain = plain and not spec["model"].get("ignore_merges") and not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+        if not plain:
+            raise ValueError(f"{path}: only plain byte-level vocabularies are supported")
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -190,6 +199,7 @@ class Encoder:
     def _forget(self) -> None:
         """Empty the cache but for the special strings; the pattern cuts those up, so no word is one."""
         self.cache.clear()
+        self.chars = 0
         self.cache.update({s: int(i).to_bytes(4, "little") for s, i in self.vocab.special.items()})
 
     def learn(self, words: set[str]) -> None:
@@ -221,10 +231,11 @@ class Encoder:
         for words in pieces:
             new.update(words)
         unknown = new - self.cache.keys()
-        if unknown and len(self.cache) + len(unknown) > CACHE_WORDS:
+        if unknown and (len(self.cache) + len(unknown) > CACHE_WORDS or self.chars > CACHE_CHARS):
             self._forget()
             unknown = new - self.cache.keys()
         if unknown:
+            self.chars += sum(map(len, unknown))
             self.learn(unknown)
         get = self.cache.__getitem__
         for words in pieces:

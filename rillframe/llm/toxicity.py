@@ -167,12 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     """Fit on at most ``max_rows`` labelled documents (doc_id, text) x (doc_id, toxic).
 
     Repeated labels of a document count as toxic if one says so; null labels and ids
-    are left out.  Without documents of both labels the model is the smoothed prior.
+    are left out.  Of rows repeated with one id the first text in order counts, so that
+    no more than ``max_rows`` texts are ever fetched.  Without documents of both labels
+    the model is the smoothed prior.
     """
     sample = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     # max_rows rows of 12 bytes; the sampled texts are read again and again, the corpus once
-    rows = Workspace(docs.sparkSession, "toxicity").keep(texts_of(docs).join(F.broadcast(sample), "doc_id").select("text", "y"), "sample")
+    joined = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "y")).alias("r"))
+    rows = Workspace(docs.sparkSession, "toxicity").keep(joined.select("r.text", "r.y"), "sample")
     stats = rows.mapInArrow(_tally, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     terms = list(swaps())
     total = stats.where("feature = ''").first()
@@ -193,7 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; a null text scores as an empty one."""
+    """doc_id and score (0 to 1) of every whole text, however long; a null text scores as an empty one.
+
+    Rows without an id and repeated rows are scored each; other columns are ignored; an
+    empty table gives no rows.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -206,7 +213,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    A decision is a row's own: ids play no part, repeated rows go or stay alike, a null text
+    scores as an empty one, and a column may have any name.  An empty table gives an
+    empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches) -> Iterator:

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from rillframe.llm import bpe
 from rillframe.llm.bpe import Encoder, Vocabulary, bpe_decode, bpe_encode, build_lexicon
 from rillframe.llm.lexicon import Lexicon, compile_lexicon
 
@@ -58,3 +59,29 @@ def test_operator_round_trip_and_cases(spark, library):
                   for i, t in rows for x in [library.encode(t or "", add_special_tokens=False).ids])
     assert sorted((r[0] is None, r[0] or 0, r[1], r[2], r[3]) for r in bpe_encode(df, PATH, 50, digests=True).collect()) == want
     assert bpe_encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_full_cache_is_dropped_and_clashing_names_are_refused(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = bpe.Encoder(path, bpe.build_lexicon(["the"], path))
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 1000)
+    texts = [f"{'ab' * n} the {n}" for n in range(400)]
+    want = [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [x for t in texts for x in encoder.encode([t])] == want and encoder.chars < 4000
+    df = spark.createDataFrame([(1, "a b", "s", 3)], "doc_id long, text string, source string, n_tokens int")
+    row = bpe.bpe_encode(df, path, carry={"c_source": F.col("source")}).first()
+    assert (row.doc_id, row.n_tokens, row.c_source) == (1, 2, "s")
+    with pytest.raises(ValueError):
+        bpe.bpe_encode(df, path, carry={"n_tokens": F.col("n_tokens")})
+
+
+def test_vocabularies_that_need_more_are_refused(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    (tmp_path / "v.json").write_text(json.dumps(spec | {"normalizer": {"type": "NFC"}}))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(tmp_path / "v.json"))

@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -122,3 +124,39 @@ def test_stages_equal_brute_force(spark, tmp_path):
     placed = {r.doc_id: (r.slot, r.place) for r in mixing.plan(spark.createDataFrame([(i, whole[i][0]) for i, _ in left], "doc_id long, source string")).collect()}
     assert {i: (r.slot, r.place) for i, r in got.items()} == placed
     assert all(got[i].source == whole[i][0] for i in got)
+
+
+def test_stages_with_null_ids_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string, block int, digest binary"
+    words = [f"w{i} v{i} u{i} t{i} s{i} r{i} q{i}" for i in range(40)]
+    rows = [(i, w) for i, w in enumerate(words)] + [(None, words[3].upper()), (None, "only here without an id"), (None, "Only here without an id"), (7, words[7]), (50, None), (51, "")]
+    docs = [(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, "x", k, b"d") for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(docs, schema).limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    # one row a text: ids before none, of empty texts the largest id
+    assert sorted((r.doc_id for r in out), key=repr) == sorted([*range(40), None, 51], key=repr)
+    assert len({(r.slot, r.place) for r in out}) == len(out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_the_corpus(spark):
+    """All links of the corpus by an exact join on shared shingles: none may be lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    holders = {}
+    for d, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(d)
+    both = {}
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                both[a, b] = both.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    lost = [p for p in links if got.get(p[0], p[0]) != got.get(p[1], p[1])]
+    assert len(links) > 50 and not lost

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from rillframe.llm.toxicity import Model, _matrix, classify, counterfactual, features, fit, fit_weights, swaps
+from rillframe.llm.toxicity import Model, _matrix, classify, counterfactual, features, fit, fit_weights, reject, score, swaps
 
 
 def corpus(n=900, seed=1):
@@ -72,3 +72,21 @@ def test_one_label_only_and_empty_tables(spark):
     assert [r.predicted for r in classify(d, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")).collect()] == [0, 0]
     w, b = fit_weights([[0], [1]], np.array([1, 0]), [], 2)
     assert w[0] > w[1] and Model({}, b).score(None) < 1
+
+
+def test_reject_decides_by_row(spark):
+    model = Model({"idiot": 9.0}, -3.0)
+    rows = [(1, "a word", 1), (None, "you idiot", 2), (None, None, 3), (1, "idiot", 4), (2, "", 5), (2, "", 5), (3, "x " * 50_000 + "idiot", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int").repartition(3)
+    kept = reject(df, model)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+    assert reject(df.limit(0), model).count() == 0
+    assert sorted(((r.doc_id, r.score > 0.5) for r in score(df, model).collect()), key=repr) == sorted(((i, "idiot" in (t or "")) for i, t, _ in rows), key=repr)
+
+
+def test_an_id_on_very_many_rows_is_fetched_once(spark):
+    docs, labels = corpus()
+    many = docs + [(docs[0][0], f"{docs[0][1]} again {i}") for i in range(300)]
+    la = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once, often = (fit(spark.createDataFrame(d, "doc_id long, text string").repartition(3), la) for d in (docs, many))
+    assert once.bias == often.bias and once.weights == often.weights
