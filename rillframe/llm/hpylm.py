@@ -181,13 +181,12 @@ def pack(run: int, doc: np.ndarray, words: np.ndarray, group: np.ndarray, hashes
     """Tokens in order of their texts; ``words`` is (3, n) of places in ``hashes``, ``doc`` holds 2 * text + 1 for a held-out one."""
     import zstandard
 
-    used, at = np.unique(words, return_inverse=True)
-    code = ranks[used].copy()
+    code = ranks[words]
     rare = code < 0
-    code[rare] = SENT + np.arange(int(rare.sum()))
-    code = code[at.reshape(words.shape)]
-    body = b"".join([_planes(np.diff(doc, prepend=0)), *map(_planes, code), _planes(group), hashes[used[rare]].astype("<i8").tobytes()])
-    return struct.pack(HEAD, len(doc), int(rare.sum()), run) + zstandard.ZstdCompressor(level=3).compress(body)
+    places = np.unique(words[rare])  # of the rare words alone: the others have their rank
+    code[rare] = SENT + np.searchsorted(places, words[rare])
+    body = b"".join([_planes(np.diff(doc, prepend=0)), *map(_planes, code), _planes(group), hashes[places].astype("<i8").tobytes()])
+    return struct.pack(HEAD, len(doc), len(places), run) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 @dataclass
