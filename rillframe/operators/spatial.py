@@ -29,6 +29,23 @@ def crosses(px: Column, py: Column) -> Column:
     return ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
 
 
+def folded(points: DataFrame, key: str, at: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of every key, and the points (key, *at) of the representatives alone.
+
+    Keys whose rows lie at the same places have the same rep, so what depends on places
+    alone is worked out once for all of them.
+    """
+    places = points.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*at))).alias("at_"))
+    reps = places.groupBy("at_").agg(F.min(key).alias("rep"))
+    return places.join(reps, "at_").select(key, "rep"), reps.select(F.col("rep").alias(key), F.explode("at_").alias("p")).select(key, *[f"p.{c}" for c in at])
+
+
+def unfolded(rows: DataFrame, who: DataFrame, key: str) -> DataFrame:
+    """``rows`` of the representatives as rows of every key that each stands for."""
+    rest = [c for c in rows.columns if c != key]
+    return who.join(rows.withColumnRenamed(key, "rep_"), F.col("rep").eqNullSafe(F.col("rep_"))).select(key, *rest)
+
+
 def points_in_rings(points: DataFrame, edges: DataFrame, ring: str, key: str, px: str, py: str, bands: float = 10.0) -> DataFrame:
     """(key, ring) of the points inside each ring.
 
@@ -88,10 +105,11 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ra
 
     Places meet in cells that are wide enough for a radius up to ``lat_most`` and go round
     the globe, so places on both sides of the date line are neighbours; a nearest place within the radius is final, the others try the next radius, and what is left
-    (remote places, or nearer to a pole) is compared with all of the right side.
+    (remote places, or nearer to a pole) is compared with all of the right side.  Left rows
+    at one place look once, and of right rows at one place the smallest key takes part.
     """
-    a = left.select(left_key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = right.select(right_key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    who, a = folded(left.select(left_key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), left_key, ["lat1", "lon1"])
+    b = right.groupBy(F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).agg(F.min(right_key).alias(right_key))
     metres = F.round(geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), digits)
     pick = lambda pairs: pairs.groupBy(left_key).agg(F.min(F.struct(metres.alias("m"), F.col(right_key).alias("k"))).alias("b")).select(
         left_key, F.col("b.k").alias(right_key), F.col("b.m").alias("metres"))
@@ -108,7 +126,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ra
         found = pick(spread.join(cells, ["ci", "cj"])).where(F.col("metres") <= km * 1000)
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(left_key), left_key, "left_anti")
-    return out.unionByName(pick(rest.crossJoin(b)))
+    return unfolded(out.unionByName(pick(rest.crossJoin(b))), who, left_key)
 
 
 def self_intersections(edges: DataFrame, ring: str) -> DataFrame:

@@ -55,3 +55,7 @@ def test_counted_candidates_are_those_of_the_list(spark):
     links = spark.createDataFrame([(1, "a", "S"), (2, "z", "N"), (3, None, "N"), (4, None, "S"), (5, None, "?"), (6, None, None)], "link_id int, dam_id string, name string")
     got = sorted((r.link_id, r.found, r.candidates) for r in select.resolve_counts(links, rows).collect())
     assert got == sorted((r.link_id, r.found, len(r.candidates)) for r in select.resolve(links, rows).collect())
+
+
+def test_nearest_meets_places_not_rows(spark, grown):
+    assert same(spark, grown, "q_nearest") <= 100_000
