@@ -50,13 +50,16 @@ def points_in_rings(points: DataFrame, edges: DataFrame, ring: str, key: str, px
     """(key, ring) of the points inside each ring.
 
     Edges are spread over horizontal bands of 1/bands degrees and meet the points of the
-    band, so only edges that a point's ray can cross are joined.
+    band, so only edges that a point's ray can cross are joined; points at one place meet
+    them once.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     spread = edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(low * bands), F.floor(high * bands))))
-    at = points.withColumn("band", F.floor(F.col(py) * bands))
-    return (at.join(spread, "band").where(crosses(F.col(px), F.col(py))).groupBy(key, ring).agg(F.count("*").alias("hits"))
-            .where("hits % 2 = 1").select(key, ring))
+    who, reps = folded(points, key, [px, py])
+    at = reps.withColumn("band", F.floor(F.col(py) * bands))
+    inside = (at.join(spread, "band").where(crosses(F.col(px), F.col(py))).groupBy(key, ring).agg(F.count("*").alias("hits"))
+              .where("hits % 2 = 1").select(key, ring))
+    return unfolded(inside, who, key)
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, left_key: str, right_key: str) -> DataFrame:

@@ -59,3 +59,9 @@ def test_counted_candidates_are_those_of_the_list(spark):
 
 def test_nearest_meets_places_not_rows(spark, grown):
     assert same(spark, grown, "q_nearest") <= 100_000
+
+
+def test_points_at_one_place_meet_an_edge_once(spark, grown):
+    folder, con = grown
+    edges = con.execute("select count(*) from supplier").fetchall()[0][0]
+    assert same(spark, grown, "q_point_in_ring") <= 1000 * edges / 3  # an edge spans a third of the latitudes
