@@ -81,10 +81,14 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, left_key: str, right_ke
     """(left_key, right_key, km, rank): the k nearest right rows below the last radius, ties (to ``digits`` decimals) to the smaller key.
 
     A row with k partners within a radius is done; only the others look further, so a
-    dense place never meets all that lies within the last radius.
+    dense place never meets all that lies within the last radius.  Left rows at one place
+    look once, and of right rows at one place the first k take part.
     """
     order = Window.partitionBy(left_key).orderBy(F.round("km", digits), right_key)
-    out, rest = None, left
+    here = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(right_key))
+    right = right.select(right_key, "lat", "lon").withColumn("here", here).where(F.col("here") <= k).drop("here")
+    who, rest = folded(left, left_key, ["lat", "lon"])
+    out = None
     for n, km in enumerate(radii_km):
         near = within_km(rest, right, km, left_key, right_key).where(F.col("km") < km)
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -93,7 +97,7 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, left_key: str, right_ke
             ranked = ranked.join(done, left_key, "left_semi")
             rest = rest.join(done, left_key, "left_anti")
         out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return unfolded(out, who, left_key)
 
 
 def containing_others(points: DataFrame, edges: DataFrame, areas: DataFrame, key: str, ring: str, px: str, py: str) -> DataFrame:

@@ -93,7 +93,7 @@ u AS (SELECT c_custkey, target, min(o) AS o FROM (SELECT * FROM hit UNION ALL SE
 SELECT c_custkey, arg_min(target, o) AS target, count(*) AS candidates FROM u GROUP BY 1""")
 def q_tap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containing catchments by size, then the three nearest, without repeats: the first is the answer."""
-    points = _points(spark, sf_dir, "customer", "c_custkey")
+    who, points = spatial.folded(_points(spark, sf_dir, "customer", "c_custkey"), "c_custkey", ["lat", "lon"])
     vertices = _rings(spark, sf_dir)
     inside = spatial.points_in_rings(points, spatial.ring_edges(vertices, "ring", ["o", "v"], "x", "y"), "ring", "c_custkey", "lon", "lat")
     area = vertices.groupBy("ring").agg((F.max("x") - F.min("x")).alias("a"))
@@ -101,7 +101,8 @@ def q_tap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = spatial.nearest_k(points, _points(spark, sf_dir, "supplier", "s_suppkey"), 3, "c_custkey", "s_suppkey").withColumn("o", F.col("rank") + 1000)
     near = near.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("target")), "s_suppkey").select("c_custkey", "target", "o")
     ranked = hit.unionByName(near).groupBy("c_custkey", "target").agg(F.min("o").alias("o"))
-    return ranked.groupBy("c_custkey").agg(F.min(F.struct("o", "target")).alias("best"), F.count("*").alias("candidates")).select("c_custkey", F.col("best.target").alias("target"), "candidates")
+    first = ranked.groupBy("c_custkey").agg(F.min(F.struct("o", "target")).alias("best"), F.count("*").alias("candidates")).select("c_custkey", F.col("best.target").alias("target"), "candidates")
+    return spatial.unfolded(first, who, "c_custkey")
 
 
 @query(f"""WITH {_CUST_SQL} SELECT c_custkey, floor((lon + 180) / 360 * 8192)::BIGINT + dx AS x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192)::BIGINT + dy AS y

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from rillframe import catalogue
-from rillframe.operators import select
+from rillframe.operators import select, spatial
 
 
 def most_joined(df) -> int:
@@ -65,3 +65,20 @@ def test_points_at_one_place_meet_an_edge_once(spark, grown):
     folder, con = grown
     edges = con.execute("select count(*) from supplier").fetchall()[0][0]
     assert same(spark, grown, "q_point_in_ring") <= 1000 * edges / 3  # an edge spans a third of the latitudes
+
+
+def test_ranked_targets_meet_places_not_rows(spark, grown):
+    assert same(spark, grown, "q_tap_rank") <= 2_000_000
+
+
+def test_keys_on_several_rows_and_places_that_are_unknown(spark):
+    """Like SQL over all pairs: a key's rows count together, and a place without coordinates is at no distance."""
+    a = [(1, 36.0, 137.0), (1, 36.0, 137.0), (2, 36.0, 137.0), (3, 36.2, 137.0), (3, 36.0, 137.0), (4, None, 137.0), (None, 36.0, 137.0)]
+    b = [(9, 36.0, 137.001), (8, 36.0, 137.001), (7, 36.2, 137.0), (6, 36.0, 137.002), (5, None, 137.0)]
+    left, right = spark.createDataFrame(a, "x int, lat double, lon double"), spark.createDataFrame(b, "y int, lat double, lon double")
+    assert {(r.x, r.y) for r in spatial.nearest(left, right, "x", "y").collect()} == {(1, 8), (2, 8), (3, 7), (4, 5), (None, 8)}
+    got = sorted((r.x or 0, r.y, r["rank"]) for r in spatial.nearest_k(left, right, 2, "x", "y").collect())
+    assert got == [(0, 8, 1), (0, 9, 2), (1, 8, 1), (1, 8, 2), (2, 8, 1), (2, 9, 2), (3, 7, 1), (3, 8, 2)]
+    edges = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0), (1, 2.0, 2.0, 2.0, 0.0)], "ring int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 3.0, 1.0), (4, None, 1.0), (None, 1.0, 1.0)], "k int, lon double, lat double")
+    assert sorted(str(r.k) for r in spatial.points_in_rings(points, edges, "ring", "k", "lon", "lat").collect()) == ["1", "None"]
