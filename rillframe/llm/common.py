@@ -83,6 +83,18 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Freed memory to the system: a Python worker keeps what its earlier tasks and steps have freed, beside the JVM's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def row_binaries(column) -> list[memoryview]:
     """Zero-copy views of an Arrow binary or string column; a null gives an empty view."""
     import pyarrow as pa

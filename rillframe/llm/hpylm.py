@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Workspace, row_binaries, texts_of
+from rillframe.llm.common import Workspace, give_back, row_binaries, texts_of
 
 #: Frequent words that are sent to every task, with counts (a bounded table: the others travel as hashes).
 SENT = 262_144
@@ -53,6 +53,8 @@ EXACT = 128
 SEATED = 1 << 18
 #: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
 TABLED, PLACES = 2048, 257
+#: Trigrams whose probabilities are worked out at once.
+SAMPLED = 1 << 17
 #: Bytes of text of a run.
 RUN_BYTES = 6 << 20
 
@@ -60,11 +62,14 @@ RUN_BYTES = 6 << 20
 # --- tokens -----------------------------------------------------------------
 
 
-def _hash(word: bytes | memoryview) -> int:
+def _hashes(words: list) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    x = xxh64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _hash(word: bytes | memoryview) -> int:
+    return int(_hashes([word])[0])
 
 
 #: No word holds a line feed, so these can't be one's hash.
@@ -80,6 +85,16 @@ class Run:
     hashes: np.ndarray
 
 
+def _slices(column) -> list[bytes]:
+    """The values of a string column without nulls."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if str(column.type).startswith("large") else np.int32
+    off = np.frombuffer(offsets, wide, len(column) + 1, column.offset * wide().itemsize) if len(column) else np.zeros(1, np.int64)
+    raw = memoryview(data)[int(off[0]):int(off[-1])].tobytes() if data is not None else b""
+    off = (off - off[0]).tolist()
+    return [raw[a:b] for a, b in zip(off, off[1:])]
+
+
 def tokens_of(column) -> Run:
     """Words between ASCII white space, A-Z lower-cased, then the end; a null text is empty."""
     import pyarrow as pa
@@ -88,16 +103,19 @@ def tokens_of(column) -> Run:
     parts = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
     coded = parts.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    words = [bytes(w) for w in row_binaries(coded.dictionary)]
-    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    words = _slices(coded.dictionary)
+    found = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     lens = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(len(lens)), lens)
     if b"" in words:  # white space at an edge
-        real = place != words.index(b"") + 1
-        place, text = place[real], text[real]
-    ends = np.searchsorted(text, np.arange(len(lens)), side="right")
-    place, text = np.insert(place, ends, 0), np.insert(text, ends, np.arange(len(lens)))
-    return Run(place, text, np.array([END, *map(_hash, words)], np.int64))
+        real = found != words.index(b"") + 1
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[real], minlength=len(lens))
+        found = found[real]
+    text = np.repeat(np.arange(len(lens)), lens + 1)
+    is_word = np.ones(len(text), bool)
+    is_word[np.cumsum(lens + 1) - 1] = False
+    place = np.zeros(len(text), np.int64)
+    place[is_word] = found
+    return Run(place, text, np.append(END, _hashes(words)))
 
 
 def _runs(batches) -> Iterator:
@@ -162,6 +180,18 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z ^ (z >> _C)).view(np.int64)
 
 
+#: Highest bits of a hash, by which what is used together lies together.
+NEAR = np.int64(-1 << 52)
+
+
+def mixed_near(x: np.ndarray, y: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The hash of two with the highest bits of ``by``: sorted, all that belongs to one ``by`` is close to each other."""
+    z = mixed(x, y)
+    z &= ~NEAR
+    z |= by & NEAR
+    return z
+
+
 def _group(a: np.ndarray, ids: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
     """Number of the restaurant of a word of ``count_b`` occurrences after the word ``a``, in the text of the id."""
     parts = (count_b // PART + 1).astype(np.uint64)
@@ -210,15 +240,18 @@ def unpack(blob: bytes, known: Frequent) -> Tokens:
     rare_names = np.append(np.frombuffer(body, "<i8", rare, 20 * n), 0)
     frequent = np.append(known.hashes, 0)
     name = lambda c: np.where(c < SENT, frequent[np.minimum(c, len(frequent) - 1)], rare_names[np.maximum(c - SENT, 0)])
-    doc = np.cumsum(doc, dtype=np.int64)
+    doc = np.cumsum(doc, dtype=np.int32)
     return Tokens(run, doc >> 1, (doc & 1).astype(bool), name(a), mixed(name(b), group.astype(np.int64)), name(w))
 
 
-def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(3, n) places of the two words before and the word, the group of the restaurant of each token, and the hashes, the start's last."""
+def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(3, n) places of the two words before and the word, the group of the restaurant of each token, and the hashes, the start's last.
+
+    ``rank`` holds the ranks of those hashes where they are known already.
+    """
     start = len(t.hashes)
     hashes = np.append(t.hashes, START)
-    rank = known.ranks(hashes)
+    rank = known.ranks(hashes) if rank is None else rank
     count = np.where(rank >= 0, np.append(known.counts, 0)[rank], 0)
     count[start] = starts
     words = np.empty((3, len(t.place)), np.int32)
@@ -247,8 +280,8 @@ def _deal(sent, shards: int, starts: int):
         for block in _runs(batches):
             t = tokens_of(block.column(1))
             ids, held = block.column(0), block.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            words, group, hashes = contexts(t, ids.fill_null(0).to_numpy(), known, starts)
-            ranks = known.ranks(hashes)
+            ranks = known.ranks(np.append(t.hashes, START))
+            words, group, hashes = contexts(t, ids.fill_null(0).to_numpy(), known, starts, ranks)
             shard = (mixed(hashes[words[1]], group).view(np.uint64) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cut = np.nonzero(np.diff(shard[order], prepend=-1))[0]
@@ -344,8 +377,13 @@ def _by_width(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """log of the gamma function of positive numbers: Stirling's series eight places further on."""
     y = x + 8.0
-    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return series - sum(np.log(x + i) for i in range(8))
+    one = 1.0 / y
+    two = one * one
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + one * (1 / 12 - two * (1 / 360 - two / 1260))
+    product = x * (x + 1.0)
+    for i in range(2, 8):
+        product *= x + i
+    return series - np.log(product)  # of eight factors: far from overflow for any count of customers
 
 
 @dataclass
@@ -433,12 +471,14 @@ def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: flo
         if near is not None:  # brackets the mode from both sides
             t = near[own].astype(float)[:, None]
             left, right = np.floor(t * 0.75), np.minimum(np.ceil(t * 1.25) + 2, n)
-            low = np.where((left > 1) & (weight(np.maximum(left, 1)) > weight(np.maximum(left - 1, 1))), left, low)
-            high = np.where(weight(np.minimum(right + 1, n)) <= weight(right), right, high)
+            w = weight(np.hstack([np.maximum(left, 1), np.maximum(left - 1, 1), np.minimum(right + 1, n), right]))
+            low = np.where((left > 1) & (w[:, :1] > w[:, 1:2]), left, low)
+            high = np.where(w[:, 2:3] <= w[:, 3:], right, high)
             low = np.minimum(low, high)
         while (low < high).any():  # the weight rises to its mode and falls from there
             mid = np.floor((low + high) / 2)
-            rises = weight(np.minimum(mid + 1, n)) > weight(mid)
+            w = weight(np.hstack([np.minimum(mid + 1, n), mid]))
+            rises = w[:, :1] > w[:, 1:]
             low, high = np.where(rises & (low < high), mid + 1, low), np.where(rises | (low >= high), high, mid)
         mode = low
         gap = np.maximum(1.0, np.floor(np.sqrt(mode) / 8))
@@ -469,7 +509,7 @@ class Level:
     """
 
     def __init__(self, most: np.ndarray, u: np.ndarray) -> None:
-        self.single, self.at = (most == 1).astype(np.int64), np.nonzero(most > 1)[0]
+        self.single, self.at = (most == 1).astype(np.int32), np.nonzero(most > 1)[0]
         names, self.u = np.unique(u[self.at], return_inverse=True)
         self.alone = np.bincount(u, self.single, int(u.max(initial=-1)) + 1)[names].astype(np.int64)
         self.t = np.ones(len(self.at), np.int64)
@@ -493,22 +533,44 @@ class Shard:
     def __init__(self, blobs: list[bytes], known: Frequent) -> None:
         tokens = [unpack(x, known) for x in blobs]
         self.known, self.spans = known, [(t.run, t.text) for t in tokens]
-        held, a, key, w = (np.concatenate([getattr(t, n) for t in tokens]) for n in ("held", "a", "key", "w"))
+
+        def whole(name: str) -> np.ndarray:
+            out = np.concatenate([getattr(t, name) for t in tokens])
+            for t in tokens:  # or all of it would be held twice
+                setattr(t, name, None)
+            return out
+
+        held, a, key, w = map(whole, ("held", "a", "key", "w"))
         del tokens
-        pair = mixed(a, key)
-        tri = mixed(pair, w)
+        # sorted by the word before, so that levels of a restaurant are read from memory that is near
+        pair = mixed_near(a, key, key)
+        del a
+        tri = mixed_near(pair, w, key)
         order = np.argsort(tri)
-        new = np.append(True, np.diff(tri[order]) != 0)
+        tri = tri[order]
+        new = np.append(True, tri[1:] != tri[:-1])
+        del tri
         first = order[new]
-        self.of = np.empty(len(tri), np.int32)
-        self.of[order] = np.cumsum(new) - 1
-        self.c2 = np.bincount(self.of, ~held, len(first)).astype(np.int64)
-        pair, key, w = pair[first], key[first], w[first]
-        del tri, order, new, held, a
-        self.u2 = np.unique(pair, return_inverse=True)[1]
-        _, at, self.up = np.unique(mixed(key, w), return_index=True, return_inverse=True)
-        self.u1 = np.unique(key[at], return_inverse=True)[1]
-        self.words, self.w1 = np.unique(w[at], return_inverse=True)
+        self.of = np.empty(len(order), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        self.c2 = np.bincount(self.of, ~held, len(first)).astype(np.int32)
+        pair = pair[first]
+        key = key[first]
+        w = w[first]
+        del first, held
+        self.u2 = np.unique(pair, return_inverse=True)[1].astype(np.int32)
+        del pair
+        self.n2 = np.bincount(self.u2, self.c2)
+        _, at, up = np.unique(mixed_near(key, w, key), return_index=True, return_inverse=True)
+        key, w = key[at], w[at]
+        self.up = up.astype(np.int32)
+        del up
+        self.u1 = np.unique(key, return_inverse=True)[1].astype(np.int32)
+        del key
+        self.words, w1 = np.unique(w, return_inverse=True)
+        self.w1 = w1.astype(np.int32)
+        del w, w1
         children = np.bincount(self.up, self.c2 > 0, len(at)).astype(np.int64)
         self.d2, self.d1 = discount_of(self.c2), discount_of(children)
         self.two = Level(self.c2, self.u2)
@@ -544,15 +606,22 @@ class Shard:
         """Tables of each of ``words`` over all restaurants: the root's customers."""
         return np.bincount(self.w1, self.one.whole(self.one.t), len(self.words)).astype(np.int64)
 
-    def sample(self, p0: np.ndarray) -> np.ndarray:
-        """Probability of every trigram's word in the present seating."""
+    def sample(self, p0: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Probability of every trigram's word in the present seating, added to ``out``."""
+        out = np.zeros(len(self.c2)) if out is None else out
         t2, t1, c1 = self.two.whole(self.two.t), self.one.whole(self.one.t), self.one.whole(self.customers())
-        n2, n1 = np.bincount(self.u2, self.c2), np.bincount(self.u1, c1)
+        n1 = np.bincount(self.u1, c1)
         # a context without customers leaves all to its parent
         room1 = (STRENGTH + self.d1 * np.bincount(self.u1, t1)) / (STRENGTH + n1)
         below = (c1 - self.d1 * t1) / (STRENGTH + n1[self.u1]) + room1[self.u1] * p0[self.w1]
-        room2 = (STRENGTH + self.d2 * np.bincount(self.u2, t2)) / (STRENGTH + n2)
-        return (self.c2 - self.d2 * t2) / (STRENGTH + n2[self.u2]) + room2[self.u2] * below[self.up]
+        del t1, c1, n1, room1
+        n2 = STRENGTH + self.n2
+        room2 = (STRENGTH + self.d2 * np.bincount(self.u2, t2, len(n2))) / n2
+        for at in range(0, len(out), SAMPLED):  # several arrays as long as the shard would be held at once
+            i = slice(at, at + SAMPLED)
+            u = self.u2[i]
+            out[i] += (self.c2[i] - self.d2 * t2[i]) / n2[u] + room2[u] * below[self.up[i]]
+        return out
 
     def predict(self, p0: np.ndarray, burn: int, samples: int, rng: np.random.Generator) -> np.ndarray:
         """The same, averaged over samples after ``burn`` sweeps."""
@@ -561,8 +630,9 @@ class Shard:
         out = np.zeros(len(self.c2))
         for _ in range(samples):
             self.sweep(p0, rng)
-            out += self.sample(p0)
-        return out / samples
+            self.sample(p0, out)
+        out /= samples
+        return out
 
     def by_text(self, *values: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """Run, texts, and the sums of each trigram's ``values`` over the tokens of each text."""
@@ -589,7 +659,10 @@ def _seat(sent, burn: int, seed: int):
         import pyarrow as pa
 
         for number, blobs in _shards(batches):
+            give_back()
             shard, rng = Shard(blobs, sent.value), np.random.default_rng((seed, number))
+            blobs.clear()
+            give_back()
             p0 = shard.first()
             for _ in range(burn):
                 shard.sweep(p0, rng)
@@ -660,14 +733,16 @@ def _score(sent, total: int, vocab: int, burn: int, samples: int, seed: int):
 
         blobs, rows, number = [], [], None
         for batch in dealt.to_batches():
-            for number, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for number, kind, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), row_binaries(batch.column(2))):
                 if kind == 1:
                     blobs.append(blob)
                 else:
-                    rows.append((struct.unpack_from(HEAD, blob)[2], None, blob))
+                    rows.append((struct.unpack_from(HEAD, blob)[2], None, bytes(blob)))
         if blobs:
+            give_back()
             shard = Shard(blobs, sent.value)
             del blobs
+            give_back()
             w, p, c = (words.column(n).to_numpy() for n in ("w", "p", "c"))
             order = np.argsort(w)
             if not np.array_equal(w[order], shard.words):

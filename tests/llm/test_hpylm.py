@@ -242,3 +242,21 @@ def test_empty_table_and_no_training_texts(spark):
     assert language_scores(spark.createDataFrame([], schema), F.lit(False), burn=1, samples=1).count() == 0
     (r,) = language_scores(spark.createDataFrame([(1, "a b")], schema), F.lit(True), burn=1, samples=1).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
+
+
+def test_a_shard_takes_few_bytes_a_token():
+    """A task has two shards beside the JVM's heap, so building and sampling one are bounded together."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(1), 400_000
+    hashes = rng.integers(-1 << 62, 1 << 62, 200_000)
+    words = (rng.random((3, n)) ** 3 * len(hashes)).astype(np.int32)
+    known = Frequent(hashes[:1000], np.arange(2000, 1000, -1), np.full(1000, 1e-4), 1e-6)
+    blob = hpylm.pack(0, np.arange(n) // 500 * 2, words, np.zeros(n, np.int64), hashes, known.ranks(hashes))
+    tracemalloc.start()
+    try:
+        Shard([blob], known).predict(np.full(len(hashes), 1e-6), 0, 1, rng)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 130 * n
