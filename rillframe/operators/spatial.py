@@ -77,6 +77,17 @@ def within_km(left: DataFrame, right: DataFrame, km: float, left_key: str, right
     return a.join(b, ["ci", "cj"]).withColumn("km", d).where(F.col("km") <= km).select(left_key, right_key, "km")
 
 
+def with_finer(radii_km: tuple[float, ...], places: DataFrame, lat: str, lon: str, most: int = 16) -> tuple[float, ...]:
+    """The radii, after finer ones if a square of the first radius holds more than ``most`` places (counted by a job), each a quarter of the next."""
+    square = lambda c: F.floor(F.col(c) / (radii_km[0] / 111.0))
+    densest = places.groupBy(square(lat).alias("i"), square(lon).alias("j")).count().agg(F.max("count")).first()[0] or 0
+    finer, km = [], radii_km[0]
+    while densest > most:
+        km, densest = km / 4, densest / 16
+        finer.insert(0, km)
+    return (*finer, *radii_km)
+
+
 def nearest_k(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str, radii_km: tuple[float, ...] = (5.0, 15.0, 45.0), digits: int = 6) -> DataFrame:
     """(left_key, right_key, km, rank): the k nearest right rows below the last radius, ties (to ``digits`` decimals) to the smaller key.
 
@@ -88,7 +99,7 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, left_key: str, right_ke
     here = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(right_key))
     right = right.select(right_key, "lat", "lon").withColumn("here", here).where(F.col("here") <= k).drop("here")
     who, rest = folded(left, left_key, ["lat", "lon"])
-    out = None
+    out, radii_km = None, with_finer(radii_km, right, "lat", "lon", 16 * k)
     for n, km in enumerate(radii_km):
         near = within_km(rest, right, km, left_key, right_key).where(F.col("km") < km)
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -122,7 +133,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ra
         left_key, F.col("b.k").alias(right_key), F.col("b.m").alias("metres"))
     around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     out, rest = None, a
-    for km in radii_km:
+    for km in with_finer(radii_km, b, "lat2", "lon2"):
         tall = 1.02 * km / (geo.EARTH_M / 1000 * math.pi / 180)
         around_globe = int(360 * math.cos(math.radians(lat_most)) / tall)
         wide = 360 / around_globe

@@ -82,3 +82,25 @@ def test_keys_on_several_rows_and_places_that_are_unknown(spark):
     edges = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0), (1, 2.0, 2.0, 2.0, 0.0)], "ring int, x1 double, y1 double, x2 double, y2 double")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 3.0, 1.0), (4, None, 1.0), (None, 1.0, 1.0)], "k int, lon double, lat double")
     assert sorted(str(r.k) for r in spatial.points_in_rings(points, edges, "ring", "k", "lon", "lat").collect()) == ["1", "None"]
+
+
+def test_many_different_places_meet_their_neighbours_alone(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = lambda n: [(i, 36 + rng.random() / 20, 137 + rng.random() / 20) for i in range(n)]
+    a, b = rows(1500) + [(9000, 36.3, 137.3)], rows(3000)
+    con = duckdb.connect()
+    for name, own in (("a", a), ("b", b)):
+        con.execute(f"create table {name} (k int, lat double, lon double)")
+        con.executemany(f"insert into {name} values (?, ?, ?)", own)
+    left, right = spark.createDataFrame(a, "x int, lat double, lon double"), spark.createDataFrame(b, "y int, lat double, lon double")
+    metres = "2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
+    got = spatial.nearest(left, right, "x", "y").select("x", "y")
+    assert most_joined(got) < 400_000
+    assert sorted(map(tuple, got.collect())) == con.execute(f"select a.k, arg_min(b.k, round({metres}, 3)) from a, b group by 1 order by 1").fetchall()
+    km = "sqrt(pow((b.lat - a.lat) * 111, 2) + pow((b.lon - a.lon) * 91, 2))"
+    got = spatial.nearest_k(left, right, 3, "x", "y").select("x", "y", "rank")
+    assert most_joined(got) < 2_000_000
+    assert sorted(map(tuple, got.collect())) == con.execute(
+        f"select * from (select a.k, b.k, row_number() over (partition by a.k order by round({km}, 6), b.k) as r from a, b where {km} < 45) where r < 4 order by 1, 2").fetchall()
