@@ -51,8 +51,12 @@ BURN, SAMPLES, STRENGTH, ROOT_DISCOUNT = 4, 4, 1.0, 0.5
 EXACT = 128
 #: Dishes, times numbers of tables, that are drawn at once.
 SEATED = 1 << 18
+#: Customers up to which weights of tables are multiplied, not added as logarithms: no product comes near overflow.
+NARROW = 32
 #: Customers up to which the saddle point is corrected by the recursion, and places between one table and a table each.
 TABLED, PLACES = 2048, 257
+#: Bound of the numbers that columns are joined to.
+MOST = 1 << 62
 #: Trigrams whose probabilities are worked out at once.
 SAMPLED = 1 << 17
 #: Bytes of text of a run.
@@ -104,16 +108,16 @@ def tokens_of(column) -> Run:
     coded = parts.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     words = _slices(coded.dictionary)
-    found = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    found = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1)
     lens = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     if b"" in words:  # white space at an edge
         real = found != words.index(b"") + 1
         lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[real], minlength=len(lens))
         found = found[real]
-    text = np.repeat(np.arange(len(lens)), lens + 1)
+    text = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
     is_word = np.ones(len(text), bool)
     is_word[np.cumsum(lens + 1) - 1] = False
-    place = np.zeros(len(text), np.int64)
+    place = np.zeros(len(text), np.int32)
     place[is_word] = found
     return Run(place, text, np.append(END, _hashes(words)))
 
@@ -164,9 +168,13 @@ class Frequent:
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each hash, -1 for a word that isn't sent."""
         if not len(self.sorted):
-            return np.full(len(hashes), -1)
+            return np.full(len(hashes), -1, np.int32)
+        order = np.argsort(hashes)  # a search for what is near the last one stays in the cache
+        hashes = hashes[order]
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+        out = np.empty(len(hashes), np.int32)
+        out[order] = np.where(self.sorted[at] == hashes, self.order[at], -1)
+        return out
 
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -180,18 +188,6 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z ^ (z >> _C)).view(np.int64)
 
 
-#: Highest bits of a hash, by which what is used together lies together.
-NEAR = np.int64(-1 << 52)
-
-
-def mixed_near(x: np.ndarray, y: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The hash of two with the highest bits of ``by``: sorted, all that belongs to one ``by`` is close to each other."""
-    z = mixed(x, y)
-    z &= ~NEAR
-    z |= by & NEAR
-    return z
-
-
 def _group(a: np.ndarray, ids: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
     """Number of the restaurant of a word of ``count_b`` occurrences after the word ``a``, in the text of the id."""
     parts = (count_b // PART + 1).astype(np.uint64)
@@ -211,11 +207,11 @@ def pack(run: int, doc: np.ndarray, words: np.ndarray, group: np.ndarray, hashes
     """Tokens in order of their texts; ``words`` is (3, n) of places in ``hashes``, ``doc`` holds 2 * text + 1 for a held-out one."""
     import zstandard
 
-    code = ranks[words]
-    rare = code < 0
-    places = np.unique(words[rare])  # of the rare words alone: the others have their rank
-    code[rare] = SENT + np.searchsorted(places, words[rare])
-    body = b"".join([_planes(np.diff(doc, prepend=0)), *map(_planes, code), _planes(group), hashes[places].astype("<i8").tobytes()])
+    code = ranks[words.ravel()]
+    rare = np.nonzero(code < 0)[0]
+    places, of = np.unique(words.ravel()[rare], return_inverse=True)  # of the rare words alone: the others have their rank
+    code[rare] = SENT + of
+    body = b"".join([_planes(np.diff(doc, prepend=0)), *map(_planes, code.reshape(3, -1)), _planes(group), hashes[places].astype("<i8").tobytes()])
     return struct.pack(HEAD, len(doc), len(places), run) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
@@ -231,17 +227,41 @@ class Tokens:
     w: np.ndarray
 
 
-def unpack(blob: bytes, known: Frequent) -> Tokens:
+@dataclass
+class Codes:
+    """The same in codes: a frequent word's rank, or SENT and the place in ``rare``; and the group of the restaurant."""
+
+    run: int
+    text: np.ndarray
+    held: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    w: np.ndarray
+    group: np.ndarray
+    rare: np.ndarray
+
+
+def unpack_codes(blob: bytes) -> Codes:
     import zstandard
 
     n, rare, run = struct.unpack_from(HEAD, blob)
     body = zstandard.ZstdDecompressor().decompress(blob[HEAD_BYTES:], max_output_size=20 * n + 8 * rare)
-    doc, a, b, w, group = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<i4").ravel() for k in range(5))
-    rare_names = np.append(np.frombuffer(body, "<i8", rare, 20 * n), 0)
-    frequent = np.append(known.hashes, 0)
-    name = lambda c: np.where(c < SENT, frequent[np.minimum(c, len(frequent) - 1)], rare_names[np.maximum(c - SENT, 0)])
+    doc, a, b, w, group = (np.array(np.frombuffer(body, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T, order="C").view("<i4").ravel() for k in range(5))
     doc = np.cumsum(doc, dtype=np.int32)
-    return Tokens(run, doc >> 1, (doc & 1).astype(bool), name(a), mixed(name(b), group.astype(np.int64)), name(w))
+    return Codes(run, doc >> 1, (doc & 1).astype(bool), a, b, w, group, np.frombuffer(body, "<i8", rare, 20 * n))
+
+
+def unpack(blob: bytes, known: Frequent) -> Tokens:
+    t = unpack_codes(blob)
+    a, b, w = (_names(x, known, t.rare) for x in (t.a, t.b, t.w))
+    return Tokens(t.run, t.text, t.held, a, mixed(b, t.group), w)
+
+
+def _names(codes: np.ndarray, known: Frequent, rare: np.ndarray) -> np.ndarray:
+    """The hashes that codes stand for."""
+    out, some = np.empty(len(codes), np.int64), codes < SENT
+    out[some], out[~some] = known.hashes[codes[some]], rare[codes[~some] - SENT]
+    return out
 
 
 def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,12 +281,21 @@ def contexts(t: Run, ids: np.ndarray, known: Frequent, starts: int, rank: np.nda
     for k in (1, 0):
         words[k, :1], words[k, 1:] = start, words[k + 1, :-1]
         words[k, first] = start
-    return words, _group(hashes[words[0]], ids[t.text], count[words[0]], count[words[1]]), hashes
+    group = np.zeros(len(t.place), np.int32)
+    some = np.nonzero((count >= PART)[words[1]])[0]  # the others have one restaurant
+    a, b = words[0, some], words[1, some]
+    group[some] = _group(hashes[a], ids[t.text[some]], count[a], count[b])
+    return words, group, hashes
 
 
 DEALT = "shard int, kind int, payload binary"
 
 
+def _dealt(b: np.ndarray, group: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of restaurants, in as few bytes as they need: 16 bits are sorted by their digits."""
+    return (mixed(b, group).view(np.uint64) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int32)
+
+
 def _deal(sent, shards: int, starts: int):
     """Texts to packed tokens (kind 1) by shard, and a row a run with its ids (kind 2)."""
 
@@ -279,15 +308,16 @@ def _deal(sent, shards: int, starts: int):
         known = sent.value
         for block in _runs(batches):
             t = tokens_of(block.column(1))
-            ids, held = block.column(0), block.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, held = block.column(0), block.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
             ranks = known.ranks(np.append(t.hashes, START))
             words, group, hashes = contexts(t, ids.fill_null(0).to_numpy(), known, starts, ranks)
-            shard = (mixed(hashes[words[1]], group).view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            shard = _dealt(hashes, np.zeros(len(hashes), np.int64), shards)[words[1]]
+            some = np.nonzero(group)[0]
+            shard[some] = _dealt(hashes[words[1, some]], group[some], shards)
             order = np.argsort(shard, kind="stable")
-            cut = np.nonzero(np.diff(shard[order], prepend=-1))[0]
-            doc = 2 * t.text + held[t.text]
-            out = [(int(shard[order[i]]), 1, pack(run_id, doc[order[i:j]], words[:, order[i:j]], group[order[i:j]], hashes, ranks))
-                   for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)])]
+            shard, doc, words, group = shard[order], (2 * t.text + held[t.text])[order], words.take(order, 1), group[order]
+            cut = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0].tolist()
+            out = [(int(shard[i]), 1, pack(run_id, doc[i:j], words[:, i:j], group[i:j], hashes, ranks)) for i, j in zip(cut, [*cut[1:], len(order)])]
             info = struct.pack(HEAD, block.num_rows, 0, run_id) + ids.fill_null(0).to_numpy().astype("<i8").tobytes()
             info += np.asarray(ids.is_valid()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes()
             out.append((run_id % shards, 2, info))
@@ -322,9 +352,8 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     s[0, 0] = 0.0
     with np.errstate(divide="ignore"):
         for c in range(1, most + 1):
-            for t in range(1, c + 1):
-                stay = c - 1 - discount * t
-                s[c, t] = np.logaddexp(s[c - 1, t - 1], s[c - 1, t] + np.log(stay) if stay > 0 else -np.inf)
+            stay = c - 1 - discount * np.arange(1, c + 1)
+            s[c, 1:c + 1] = np.logaddexp(s[c - 1, :c], s[c - 1, 1:c + 1] + np.log(np.maximum(stay, 0)))
     return s
 
 
@@ -337,6 +366,8 @@ def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, u: np.ndarray,
     count with their tables from before it.
     """
     t = t.copy()
+    with np.errstate(invalid="ignore"):
+        odds = np.nan_to_num(np.exp(np.diff(stirling[:NARROW + 1, 1:NARROW + 1])))
     turn = np.where(c > 1, rng.integers(0, groups, len(c)), -1)
     for g in range(groups):
         own = np.nonzero(turn == g)[0]
@@ -346,14 +377,20 @@ def sample_tables(c: np.ndarray, t: np.ndarray, base: np.ndarray, u: np.ndarray,
         customers = c[own]
         two = customers == 2  # one table or two: a single draw decides
         dish = own[two]
-        odds = np.exp(stirling[2, 2] - stirling[2, 1]) * (strength + discount * (rest[two] + 1)) * base[dish]
-        t[dish] = 1 + (rng.random(len(dish)) * (1 + odds) < odds)
+        more = odds[2, 0] * (strength + discount * (rest[two] + 1)) * base[dish]
+        t[dish] = 1 + (rng.random(len(dish)) * (1 + more) < more)
         some = np.nonzero((customers > 2) & (customers <= EXACT))[0]
         for part, wide in _by_width(customers[some]):
             tables = np.arange(wide)
             for at in range(0, len(part), SEATED // wide):
                 i = some[part[at:at + SEATED // wide]]
                 dish = own[i]
+                if wide <= NARROW:  # the weight of a table more over the weight before it
+                    more = odds[customers[i], :wide - 1] * (strength + discount * (rest[i, None] + tables[1:])) * base[dish][:, None]
+                    most = 1 + np.cumsum(np.cumprod(more, axis=1), axis=1)
+                    drawn = rng.random(len(i)) * most[:, -1]
+                    t[dish] = np.minimum(1 + (drawn >= 1) + (drawn[:, None] >= most[:, :-1]).sum(1), customers[i])
+                    continue
                 opened = np.cumsum(np.log(strength + discount * (rest[i, None] + tables)), axis=1)
                 logit = stirling[customers[i], 1:wide + 1] + opened + (tables + 1) * np.log(base[dish])[:, None]
                 t[dish] = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
@@ -446,6 +483,8 @@ def numbers_of(discount: float) -> Stirling:
 
 #: Points at which the distribution of a large dish's tables is evaluated, and standard deviations to either side.
 POINTS, REACH = 65, 7.0
+#: Points at which the mode is looked for between two numbers of tables.
+GRID = 17
 #: Dishes that are drawn at once.
 DRAWN = 16_384
 
@@ -475,15 +514,15 @@ def _draw_large(c: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: flo
             low = np.where((left > 1) & (w[:, :1] > w[:, 1:2]), left, low)
             high = np.where(w[:, 2:3] <= w[:, 3:], right, high)
             low = np.minimum(low, high)
-        while (low < high).any():  # the weight rises to its mode and falls from there
-            mid = np.floor((low + high) / 2)
-            w = weight(np.hstack([np.minimum(mid + 1, n), mid]))
-            rises = w[:, :1] > w[:, 1:]
-            low, high = np.where(rises & (low < high), mid + 1, low), np.where(rises | (low >= high), high, mid)
+        while (low < high).any():  # the weight rises to its mode and falls from there, so that's between the neighbours of the best
+            grid = np.floor(low + (high - low) * np.linspace(0, 1, GRID))
+            best = weight(grid).argmax(1)[:, None]
+            low, high = (np.where(high - low < GRID, np.take_along_axis(grid, best, 1), np.take_along_axis(grid, np.clip(best + k, 0, GRID - 1), 1)) for k in (-1, 1))
         mode = low
         gap = np.maximum(1.0, np.floor(np.sqrt(mode) / 8))
         a, b = np.maximum(mode - gap, 1), np.minimum(mode + gap, n)
-        drop = np.maximum(weight(mode) - np.minimum(weight(a), weight(b)), 1e-6)
+        w = weight(np.hstack([mode, a, b]))
+        drop = np.maximum(w[:, :1] - w[:, 1:].min(1, keepdims=True), 1e-6)
         spread = np.maximum(gap / np.sqrt(2 * drop), 1.0)
         step = np.maximum(1.0, np.ceil(2 * REACH * spread / (POINTS - 1)))
         t = mode + step * (np.arange(POINTS) - POINTS // 2)
@@ -523,6 +562,31 @@ class Level:
         self.t = sample_tables(c, np.clip(self.t, 1, c), base, self.u, STRENGTH, discount, log_stirling_of(discount), rng, others=self.alone)
 
 
+def joined(*parts: tuple[np.ndarray, int]) -> np.ndarray:
+    """A number for each row of several columns of numbers (each with its bound), in their order and without clashes."""
+    out, size = parts[0][0].astype(np.int64), parts[0][1]
+    for x, most in parts[1:]:
+        if size * most >= MOST:  # only distinct values count then
+            names, out = np.unique(out, return_inverse=True)
+            size = len(names)
+        out = out * most
+        out += x
+        size *= most
+    return out
+
+
+def _keys(b: np.ndarray, group: np.ndarray, codes: int) -> tuple[np.ndarray, int]:
+    """A number for each restaurant of a word, and their bound; most words have group 0 alone."""
+    used = np.zeros(codes, bool)
+    used[b] = True
+    place = np.cumsum(used, dtype=np.int32) - np.int32(1)
+    key, keys = place[b], int(place[-1]) + 1
+    some = np.nonzero(group)[0]
+    names, of = np.unique(joined((b[some], codes), (group[some], int(group.max(initial=0)) + 1)), return_inverse=True)
+    key[some] = keys + of
+    return key, keys + len(names)
+
+
 class Shard:
     """The restaurants of some words and of all pairs that end in them, seated from packed tokens.
 
@@ -531,8 +595,17 @@ class Shard:
     """
 
     def __init__(self, blobs: list[bytes], known: Frequent) -> None:
-        tokens = [unpack(x, known) for x in blobs]
+        tokens = [unpack_codes(x) for x in blobs]
         self.known, self.spans = known, [(t.run, t.text) for t in tokens]
+        # rare words get codes of the shard
+        names, places = np.unique(np.concatenate([t.rare for t in tokens]), return_inverse=True)
+        places, at = (SENT + places).astype(np.int32), 0
+        for t in tokens:
+            for code in (t.a, t.b, t.w):
+                some = np.nonzero(code >= SENT)[0]
+                code[some] = places[code[some] + (at - SENT)]
+            at += len(t.rare)
+        del places
 
         def whole(name: str) -> np.ndarray:
             out = np.concatenate([getattr(t, name) for t in tokens])
@@ -540,37 +613,42 @@ class Shard:
                 setattr(t, name, None)
             return out
 
-        held, a, key, w = map(whole, ("held", "a", "key", "w"))
+        codes = SENT + len(names)
+        key, keys = _keys(whole("b"), whole("group"), codes)
+        held, a, w = map(whole, ("held", "a", "w"))
         del tokens
-        # sorted by the word before, so that levels of a restaurant are read from memory that is near
-        pair = mixed_near(a, key, key)
-        del a
-        tri = mixed_near(pair, w, key)
+        # sorted by restaurant, word and the word two before: words after a word, and trigrams of those, lie side by side
+        tri = joined((key, keys), (w, codes), (a, codes))
         order = np.argsort(tri)
         tri = tri[order]
         new = np.append(True, tri[1:] != tri[:-1])
         del tri
         first = order[new]
         self.of = np.empty(len(order), np.int32)
-        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         del order, new
         self.c2 = np.bincount(self.of, ~held, len(first)).astype(np.int32)
-        pair = pair[first]
-        key = key[first]
-        w = w[first]
+        key, w, a = key[first], w[first], a[first]
         del first, held
-        self.u2 = np.unique(pair, return_inverse=True)[1].astype(np.int32)
-        del pair
+        self.u2 = np.unique(joined((key, keys), (a, codes)), return_inverse=True)[1].astype(np.int32)
+        del a
         self.n2 = np.bincount(self.u2, self.c2)
-        _, at, up = np.unique(mixed_near(key, w, key), return_index=True, return_inverse=True)
+        new = np.append(True, (key[1:] != key[:-1]) | (w[1:] != w[:-1]))
+        self.up = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        at = np.nonzero(new)[0]
         key, w = key[at], w[at]
-        self.up = up.astype(np.int32)
-        del up
-        self.u1 = np.unique(key, return_inverse=True)[1].astype(np.int32)
-        del key
-        self.words, w1 = np.unique(w, return_inverse=True)
-        self.w1 = w1.astype(np.int32)
-        del w, w1
+        self.u1 = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.int32)
+        del key, new
+        used = np.zeros(codes, bool)
+        used[w] = True
+        used = np.nonzero(used)[0]
+        words = _names(used, known, names)
+        order = np.argsort(words)
+        self.words = words[order]
+        place = np.empty(codes, np.int32)
+        place[used[order]] = np.arange(len(used))
+        self.w1 = place[w]
+        del w, used, words, order, place
         children = np.bincount(self.up, self.c2 > 0, len(at)).astype(np.int64)
         self.d2, self.d1 = discount_of(self.c2), discount_of(children)
         self.two = Level(self.c2, self.u2)
@@ -606,42 +684,51 @@ class Shard:
         """Tables of each of ``words`` over all restaurants: the root's customers."""
         return np.bincount(self.w1, self.one.whole(self.one.t), len(self.words)).astype(np.int64)
 
-    def sample(self, p0: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-        """Probability of every trigram's word in the present seating, added to ``out``."""
-        out = np.zeros(len(self.c2)) if out is None else out
-        t2, t1, c1 = self.two.whole(self.two.t), self.one.whole(self.one.t), self.one.whole(self.customers())
-        n1 = np.bincount(self.u1, c1)
-        # a context without customers leaves all to its parent
-        room1 = (STRENGTH + self.d1 * np.bincount(self.u1, t1)) / (STRENGTH + n1)
-        below = (c1 - self.d1 * t1) / (STRENGTH + n1[self.u1]) + room1[self.u1] * p0[self.w1]
-        del t1, c1, n1, room1
-        n2 = STRENGTH + self.n2
-        room2 = (STRENGTH + self.d2 * np.bincount(self.u2, t2, len(n2))) / n2
-        for at in range(0, len(out), SAMPLED):  # several arrays as long as the shard would be held at once
-            i = slice(at, at + SAMPLED)
-            u = self.u2[i]
-            out[i] += (self.c2[i] - self.d2 * t2[i]) / n2[u] + room2[u] * below[self.up[i]]
-        return out
-
     def predict(self, p0: np.ndarray, burn: int, samples: int, rng: np.random.Generator) -> np.ndarray:
-        """The same, averaged over samples after ``burn`` sweeps."""
+        """Probability of every trigram's word, averaged over the seatings of ``samples`` sweeps after ``burn`` sweeps."""
         for _ in range(burn):
             self.sweep(p0, rng)
-        out = np.zeros(len(self.c2))
+        one, two = self.one, self.two
+        # the same in every seating: tables of dishes of one customer, and customers of pairs
+        alone1, alone2 = np.bincount(self.u1, one.single), np.bincount(self.u2, two.single)
+        u1, u2 = self.u1[one.at], self.u2[two.at]
+        n2, base = STRENGTH + self.n2, p0[self.w1]
+        out, below = np.zeros(len(self.c2)), np.empty(len(base))
         for _ in range(samples):
             self.sweep(p0, rng)
-            self.sample(p0, out)
+            c1 = self.customers()
+            n1 = STRENGTH + alone1 + np.bincount(u1, c1, len(alone1))
+            # a context without customers leaves all to its parent
+            room1 = (STRENGTH + self.d1 * (alone1 + np.bincount(u1, one.t, len(alone1)))) / n1
+            alone = (1 - self.d1) / n1
+            for at in range(0, len(below), SAMPLED):  # several arrays as long as the shard would be held at once
+                i = slice(at, at + SAMPLED)
+                u = self.u1[i]
+                below[i] = room1[u] * base[i] + one.single[i] * alone[u]
+            below[one.at] += (c1 - self.d1 * one.t) / n1[u1]
+            room2 = alone2 + np.bincount(u2, two.t, len(alone2))
+            room2 *= self.d2
+            room2 += STRENGTH
+            room2 /= n2
+            for at in range(0, len(out), SAMPLED):
+                i = slice(at, at + SAMPLED)
+                out[i] += room2[self.u2[i]] * below[self.up[i]]
+            del room2
+            out[two.at] -= self.d2 * two.t / n2[u2]
         out /= samples
+        for at in range(0, len(out), SAMPLED):
+            i = slice(at, at + SAMPLED)
+            out[i] += (self.c2[i] - self.d2 * two.single[i]) / n2[self.u2[i]]
         return out
 
     def by_text(self, *values: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """Run, texts, and the sums of each trigram's ``values`` over the tokens of each text."""
+        """Run, texts, and of each text its number of tokens and the sums of their trigrams' ``values``."""
         at = 0
         for run, text in self.spans:
-            texts, place = np.unique(text, return_inverse=True)
             of = self.of[at:at + len(text)]
             at += len(text)
-            yield run, texts, [np.bincount(place, x[of], len(texts)) for x in values]
+            begin = np.nonzero(np.append(True, text[1:] != text[:-1]))[0]  # tokens are in order of their texts
+            yield run, text[begin], [np.diff(begin, append=len(text)), *(np.add.reduceat(x[of], begin) for x in values)]
 
 
 @lru_cache(maxsize=128)
@@ -747,10 +834,10 @@ def _score(sent, total: int, vocab: int, burn: int, samples: int, seed: int):
             order = np.argsort(w)
             if not np.array_equal(w[order], shard.words):
                 raise RuntimeError("a shard's words are not those of its tokens")
-            score = np.log10(shard.predict(p[order], burn, samples, np.random.default_rng((seed, number))))
-            of = shard.w1[shard.up]
-            count = c[order][of]
-            for run_id, texts, sums in shard.by_text(np.ones(len(of)), (count > 0).astype(float), np.log10((count + 1.0) / (total + vocab + 1)), score):
+            score = shard.predict(p[order], burn, samples, np.random.default_rng((seed, number)))
+            np.log10(score, out=score)
+            count, of = c[order], shard.w1[shard.up]
+            for run_id, texts, sums in shard.by_text((count > 0).astype(float)[of], np.log10((count + 1.0) / (total + vocab + 1))[of], score):
                 rows.append((run_id, pack_sums(texts, sums), None))
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["run", "sums", "info"])
 

@@ -260,3 +260,68 @@ def test_a_shard_takes_few_bytes_a_token():
     finally:
         tracemalloc.stop()
     assert most < 130 * n
+
+
+def blob_of(rng, n, names, known, groups=1):
+    """Random tokens, packed, and what they are: text, held out, hashes of the three words, group."""
+    doc = np.sort(rng.integers(0, n // 20 + 1, n)) * 2
+    doc += doc // 2 % 3 == 0
+    words, group = (rng.random((3, n)) ** 2 * len(names)).astype(np.int32), rng.integers(0, groups, n)
+    return hpylm.pack(0, doc, words, group, names, known.ranks(names)), (doc // 2, doc % 2, *names[words], group)
+
+
+@pytest.mark.parametrize("most", [1 << 62, 1])
+def test_levels_are_numbered_as_dictionaries_would(monkeypatch, most):
+    """Rare and frequent words, groups, several blobs; also where columns don't fit into one number."""
+    monkeypatch.setattr(hpylm, "MOST", most)
+    rng = np.random.default_rng(2)
+    names = rng.integers(-1 << 62, 1 << 62, 60)
+    known = Frequent(names[10:30], np.arange(220, 200, -1), np.full(20, 1e-3), 1e-4)
+    blobs, every = zip(*(blob_of(rng, n, rng.permutation(names)[:40], known, 3) for n in (700, 1, 300)))
+    shard = Shard(list(blobs), known)
+    tri = [tuple(map(int, x)) for own in every for x in zip(own[5], own[3], own[4], own[2])]  # group, b, w, a
+    held = [bool(x) for own in every for x in own[1]]
+    customers = Counter(x for x, h in zip(tri, held) if not h)
+    by_number = {}
+    for x, i in zip(tri, shard.of.tolist()):
+        assert by_number.setdefault(i, x) == x
+    assert len(by_number) == len(set(tri)) == len(shard.c2)
+    assert all(customers[x] == shard.c2[i] for i, x in by_number.items())
+    for level, part in ((shard.u2, lambda x: (x[0], x[1], x[3])), (shard.up, lambda x: x[:3]), (shard.u1[shard.up], lambda x: x[:2]), (shard.w1[shard.up], lambda x: x[2])):
+        assert len({(part(x), int(level[i])) for i, x in by_number.items()}) == len({part(x) for x in tri}) == len(set(level.tolist()))
+    assert all(shard.words[shard.w1[shard.up[i]]] == x[2] for i, x in by_number.items()) and (np.diff(shard.words) > 0).all()
+    ones, values = [], rng.random(len(shard.c2))
+    for (_, texts, (n, total)), own, at in zip(shard.by_text(values), every, (0, 700, 701)):
+        of = shard.of[at:at + len(own[0])]
+        assert texts.tolist() == sorted(set(own[0].tolist())) and n.tolist() == [int((own[0] == t).sum()) for t in texts]
+        assert np.allclose(total, [values[of[own[0] == t]].sum() for t in texts])
+        ones += n.tolist()
+    assert sum(ones) == 1001
+
+
+def test_a_shard_sorts_its_tokens_once_and_its_trigrams_once(monkeypatch):
+    """Sorting is most of what building a shard costs, and both passes build every shard."""
+    rng, n, sorted_ = np.random.default_rng(1), 100_000, []
+    names = rng.integers(-1 << 62, 1 << 62, 20_000)
+    known = Frequent(names[:1000], np.arange(2000, 1000, -1), np.full(1000, 1e-4), 1e-6)
+    blob, _ = blob_of(rng, n, names, known)
+    for name in ("argsort", "sort", "unique"):
+        monkeypatch.setattr(np, name, lambda x, *a, f=getattr(np, name), **k: (sorted_.append(np.size(x)), f(x, *a, **k))[1])
+    shard = Shard([blob], known)
+    assert len(shard.c2) > 0.9 * n and n < sum(sorted_) < 2.6 * n  # and of names
+
+
+def test_narrow_draws_are_the_exact_conditional_and_never_overflow():
+    for d, c, base, rest in ((0.5, 3, 0.1, 5), (0.9, 7, 0.02, 40), (0.05, 20, 0.01, 1000), (0.95, 32, 0.001, 700)):
+        st, k, n = log_stirling(d), np.arange(1, c + 1), 20_000
+        logit = st[c, 1:c + 1] + np.cumsum(np.log(1 + d * (rest + k - 1))) + k * np.log(base)
+        p = np.exp(logit - logit.max())
+        p /= p.sum()
+        t = sample_tables(np.full(n, c), np.ones(n, np.int64), np.full(n, base), np.arange(n), 1.0, d, st, np.random.default_rng(5), others=np.full(n, rest))
+        got = np.bincount(t, minlength=c + 1)[1:] / n
+        assert abs(got - p).max() < 0.02, (d, c)
+    for d in (0.05, 0.95):
+        for base, want in ((1.0, 32), (1e-300, 1)):
+            with np.errstate(over="raise", invalid="raise"):
+                t = sample_tables(np.full(9, 32), np.ones(9, np.int64), np.full(9, base), np.arange(9), 1.0, d, log_stirling(d), np.random.default_rng(1), others=np.full(9, 1 << 24))
+            assert abs(t - want).max() <= 1
