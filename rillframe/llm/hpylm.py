@@ -595,28 +595,26 @@ class Shard:
     """
 
     def __init__(self, blobs: list[bytes], known: Frequent) -> None:
-        tokens = [unpack_codes(x) for x in blobs]
-        self.known, self.spans = known, [(t.run, t.text) for t in tokens]
+        n = sum(struct.unpack_from(HEAD, x)[0] for x in blobs)
+        a, b, w, group, text, held = (np.empty(n, kind) for kind in (np.int32, np.int32, np.int32, np.int32, np.int32, bool))
+        self.known, self.spans, names, at, before = known, [], [], 0, 0
+        for t in map(unpack_codes, blobs):  # into arrays of the whole shard: pieces of it would be held beside them
+            own = slice(at, at + len(t.text))
+            a[own], b[own], w[own], group[own], text[own], held[own] = t.a, t.b, t.w, t.group, t.text, t.held
+            for code in (a[own], b[own], w[own]):
+                code[code >= SENT] += before
+            self.spans.append((t.run, text[own]))
+            names.append(t.rare.copy())
+            at, before = own.stop, before + len(t.rare)
         # rare words get codes of the shard
-        names, places = np.unique(np.concatenate([t.rare for t in tokens]), return_inverse=True)
-        places, at = (SENT + places).astype(np.int32), 0
-        for t in tokens:
-            for code in (t.a, t.b, t.w):
-                some = np.nonzero(code >= SENT)[0]
-                code[some] = places[code[some] + (at - SENT)]
-            at += len(t.rare)
-        del places
-
-        def whole(name: str) -> np.ndarray:
-            out = np.concatenate([getattr(t, name) for t in tokens])
-            for t in tokens:  # or all of it would be held twice
-                setattr(t, name, None)
-            return out
-
+        names, places = np.unique(np.concatenate(names), return_inverse=True)
+        for code in (a, b, w):
+            some = np.nonzero(code >= SENT)[0]
+            code[some] = SENT + places[code[some] - SENT]
+        del t, code, some, places
         codes = SENT + len(names)
-        key, keys = _keys(whole("b"), whole("group"), codes)
-        held, a, w = map(whole, ("held", "a", "w"))
-        del tokens
+        key, keys = _keys(b, group, codes)
+        del b, group
         # sorted by restaurant, word and the word two before: words after a word, and trigrams of those, lie side by side
         tri = joined((key, keys), (w, codes), (a, codes))
         order = np.argsort(tri)
